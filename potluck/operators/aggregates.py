@@ -229,3 +229,14 @@ def person_totals_by_month(expenses: DataFrame, shares: DataFrame, members: Data
     zero = F.lit(0).cast("decimal(28,2)")
     return months.join(names, G).join(sums, [G, "month", "member"], "left").select(
         G, "month", F.col("member").alias("person"), money(F.coalesce("v", zero)).alias("amount"))
+
+
+def top_people(shares: DataFrame, members: DataFrame, k: int = 2) -> DataFrame:
+    """Top-``k`` members by total owed share; ties go to the later member column."""
+    from pyspark.sql import Window
+    t = tracked_shares(shares, members)
+    tot = t.groupBy(G, "member").agg(F.sum("owed_share").alias("v"), F.min("ord").alias("ord"))
+    w = Window.partitionBy(G).orderBy(F.col("v").desc(), F.col("ord").desc())
+    ranked = tot.select("*", F.row_number().over(w).alias("rank")).where(F.col("rank") <= k)
+    return ranked.select(G, F.col("rank").cast("long").alias("rank"), F.col("member").alias("person"),
+                         money("v").alias("amount"))

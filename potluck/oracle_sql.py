@@ -77,3 +77,159 @@ def register(name: str, select: str, extra: str = "") -> None:
 register("month_category", """
 SELECT group_id, month, category, CAST(SUM(amount) AS DOUBLE) AS amount
 FROM expenses GROUP BY 1, 2, 3""")
+
+# Fixed fixture categories (market segments plus the default), sorted.
+CATEGORIES = ("AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY", "Uncategorized")
+
+register("month_category_pivot", "SELECT group_id, month, " + ", ".join(
+    f"CAST(coalesce(SUM(CASE WHEN category = '{c}' THEN amount END), 0) AS DOUBLE) AS \"{c}\"" for c in CATEGORIES)
+    + ", CAST(SUM(amount) AS DOUBLE) AS \"Total\" FROM expenses GROUP BY 1, 2")
+
+register("monthly_totals", """
+SELECT group_id, month, CAST(SUM(amount) AS DOUBLE) AS amount FROM expenses GROUP BY 1, 2""")
+
+register("category_totals", """
+SELECT group_id, category, CAST(SUM(amount) AS DOUBLE) AS amount
+FROM expenses GROUP BY 1, 2 HAVING SUM(amount) > 0""")
+
+register("category_by_month", """
+SELECT group_id, month, category, CAST(SUM(amount) AS DOUBLE) AS amount
+FROM expenses GROUP BY 1, 2, 3 HAVING SUM(amount) > 0""")
+
+register("category_cube", """
+SELECT group_id, CASE WHEN GROUPING(month) = 1 THEN 'All months' ELSE month END AS month,
+       category, CAST(SUM(amount) AS DOUBLE) AS amount
+FROM expenses GROUP BY GROUPING SETS ((group_id, category), (group_id, month, category))""")
+
+register("category_series", """
+SELECT group_id, category, month, CAST(amount AS DOUBLE) AS amount,
+       row_number() OVER (PARTITION BY group_id, category ORDER BY month DESC) - 1 AS pos
+FROM (SELECT group_id, category, month, SUM(amount) AS amount FROM expenses
+      GROUP BY 1, 2, 3 HAVING SUM(amount) > 0)""")
+
+register("summary", """
+SELECT group_id, COUNT(*) AS expense_count, CAST(SUM(amount) AS DOUBLE) AS total_expenses,
+       array_to_string(list_sort(list_distinct(list(currency) FILTER (WHERE trim(currency) <> ''))), ',')
+         AS currencies
+FROM expenses GROUP BY 1""")
+
+register("multi_currency", """
+SELECT group_id, COUNT(DISTINCT currency) AS currency_count, COUNT(DISTINCT currency) > 1 AS multi_currency
+FROM expenses GROUP BY 1""")
+
+register("distinct_values", """
+SELECT DISTINCT group_id, 'currency' AS kind, currency AS value FROM expenses WHERE trim(currency) <> ''
+UNION ALL
+SELECT DISTINCT group_id, 'month' AS kind, month AS value FROM expenses WHERE trim(month) <> ''
+UNION ALL
+SELECT group_id, 'category' AS kind, category AS value FROM expenses GROUP BY 1, 3 HAVING SUM(amount) > 0""")
+
+register("scoped_month", """
+SELECT group_id,
+       CASE WHEN m_count > 0 THEN '1997-06' ELSE 'all' END AS selected_month,
+       CASE WHEN m_count > 0 THEN m_count ELSE all_count END AS scoped_count,
+       CAST(CASE WHEN m_count > 0 THEN coalesce(m_total, 0) ELSE all_total END AS DOUBLE) AS scoped_total
+FROM (SELECT group_id, COUNT(*) AS all_count, SUM(amount) AS all_total,
+             COUNT(*) FILTER (WHERE month = '1997-06') AS m_count,
+             SUM(amount) FILTER (WHERE month = '1997-06') AS m_total
+      FROM expenses GROUP BY 1)""")
+
+EXPENSE_COLS = ("group_id, expense_id, date, updated_at, month, description, category, "
+                "CAST(amount AS DOUBLE) AS amount, currency")
+
+register("normalize_expenses", f"SELECT {EXPENSE_COLS} FROM expenses")
+
+register("scan_month_range", f"""
+SELECT {EXPENSE_COLS} FROM expenses WHERE date >= '1996-01-01' AND date < '1998-01-01'""")
+
+# ------------------------------------------------------------------ shares
+register("explode_shares", """
+SELECT group_id, expense_id, user_id, person, month,
+       CAST(owed_share AS DOUBLE) AS owed_share, CAST(paid_share AS DOUBLE) AS paid_share
+FROM shares""")
+
+register("person_names", "SELECT DISTINCT group_id, user_id, person FROM shares")
+
+register("net_owes_rows", """
+SELECT group_id, expense_id, user_id, member AS person, month, CAST(net_rev AS DOUBLE) AS net_owes
+FROM tracked""")
+
+PERSON_MONTH = """
+SELECT m.group_id, m.month, p.member AS person, CAST(coalesce(s.v, 0) AS DOUBLE) AS amount
+FROM pm_months m JOIN pm_persons p ON p.group_id = m.group_id
+LEFT JOIN pm_sums s ON s.group_id = m.group_id AND s.month = m.month AND s.member = p.member
+UNION ALL
+SELECT group_id, month, 'Total' AS person, CAST(SUM(v) AS DOUBLE) AS amount FROM pm_sums GROUP BY 1, 2"""
+
+
+def _person_month_ctes(value: str) -> str:
+    return f"""
+pm_sums AS (SELECT group_id, month, member, SUM({value}) AS v FROM tracked GROUP BY 1, 2, 3),
+pm_months AS (SELECT DISTINCT group_id, month FROM pm_sums),
+pm_persons AS (SELECT DISTINCT group_id, member FROM pm_sums)"""
+
+
+register("person_month_owed", PERSON_MONTH, _person_month_ctes("owed_share"))
+register("person_month_net", PERSON_MONTH, _person_month_ctes("net_rev"))
+
+# Fixed fixture member names, in member order.
+MEMBER_NAMES = ("Alice", "Bob", "Carol")
+
+
+def _wide_ctes(value: str) -> str:
+    cols = ",\n".join(f"  SUM(CASE WHEN member = '{n}' THEN {value} END) AS \"w_{n}\"" for n in MEMBER_NAMES)
+    return f"pw AS (SELECT group_id, expense_id,\n{cols}\nFROM tracked GROUP BY 1, 2)"
+
+
+WIDE_SELECT = (
+    "SELECT e.group_id, e.expense_id, e.date, e.updated_at, e.month, e.description, e.category, "
+    "CAST(e.amount AS DOUBLE) AS amount, e.currency, "
+    + ", ".join(f"CAST(round(coalesce(pw.\"w_{n}\", 0), 2) AS DOUBLE) AS \"{n}_owes\"" for n in MEMBER_NAMES)
+    + "\nFROM expenses e LEFT JOIN pw ON pw.group_id = e.group_id AND pw.expense_id = e.expense_id")
+
+register("widen_owes", WIDE_SELECT, _wide_ctes("owed_share"))
+register("widen_net_owes", WIDE_SELECT, _wide_ctes("net_rev"))
+
+KEPT_TRACKED = """
+kept_tracked AS (
+  SELECT t.* FROM tracked t
+  WHERE EXISTS (SELECT 1 FROM expenses e WHERE e.group_id = t.group_id AND e.expense_id = t.expense_id)),
+member_names AS (SELECT group_id, name AS member, MIN(ord) AS ord FROM members GROUP BY 1, 2)"""
+
+register("person_totals", """
+SELECT n.group_id, n.member AS person, CAST(coalesce(s.v, 0) AS DOUBLE) AS amount
+FROM member_names n
+LEFT JOIN (SELECT group_id, member, SUM(net_rev) AS v FROM kept_tracked GROUP BY 1, 2) s
+  ON s.group_id = n.group_id AND s.member = n.member""", KEPT_TRACKED)
+
+register("person_totals_by_month", """
+SELECT m.group_id, m.month, n.member AS person, CAST(coalesce(s.v, 0) AS DOUBLE) AS amount
+FROM (SELECT DISTINCT group_id, month FROM expenses) m
+JOIN member_names n ON n.group_id = m.group_id
+LEFT JOIN (SELECT group_id, month, member, SUM(net_rev) AS v FROM kept_tracked GROUP BY 1, 2, 3) s
+  ON s.group_id = m.group_id AND s.month = m.month AND s.member = n.member""", KEPT_TRACKED)
+
+register("share_sanity", """
+SELECT group_id, COUNT(*) AS share_rows, COUNT(DISTINCT expense_id) AS distinct_expenses
+FROM shares GROUP BY 1""")
+
+register("top_people", """
+SELECT group_id, rnk AS rank, member AS person, CAST(v AS DOUBLE) AS amount
+FROM (SELECT *, row_number() OVER (PARTITION BY group_id ORDER BY v DESC, ord DESC) AS rnk
+      FROM (SELECT group_id, member, MIN(ord) AS ord, SUM(owed_share) AS v FROM tracked GROUP BY 1, 2))
+WHERE rnk <= 2""")
+
+# ------------------------------------------------------------------ calendar
+CALENDAR = """
+calendar AS (
+  SELECT group_id, strftime(d, '%Y-%m') AS month, d
+  FROM (SELECT group_id, unnest(generate_series(CAST(min(month) || '-01' AS DATE),
+                                                 CAST(max(month) || '-01' AS DATE), INTERVAL 1 MONTH)) AS d
+        FROM expenses WHERE regexp_matches(month, '^[0-9]{4}-[0-9]{2}$') GROUP BY group_id))"""
+
+register("month_calendar", "SELECT group_id, month FROM calendar", CALENDAR)
+
+register("month_bounds", """
+SELECT group_id, month, strftime(d, '%Y-%m-%d') AS start_date,
+       strftime(CAST(d + INTERVAL 1 MONTH AS DATE), '%Y-%m-%d') AS end_date
+FROM calendar""", CALENDAR)

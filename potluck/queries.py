@@ -27,3 +27,167 @@ def query(fn: Query) -> Query:
 @query
 def month_category(spark: SparkSession, sf_dir: str) -> DataFrame:
     return A.month_category(from_tables(spark, sf_dir).expenses)
+
+
+def doubles(df: DataFrame) -> DataFrame:
+    """Cast every decimal column to double (exact cents → output type)."""
+    from pyspark.sql import functions as F
+    from pyspark.sql.types import DecimalType
+    return df.select(*[F.col(f"`{f.name}`").cast("double").alias(f.name) if isinstance(f.dataType, DecimalType)
+                       else F.col(f"`{f.name}`") for f in df.schema.fields])
+
+
+@query
+def month_category_pivot(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return A.month_category_pivot(from_tables(spark, sf_dir).expenses)
+
+
+@query
+def monthly_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return A.monthly_totals(from_tables(spark, sf_dir).expenses)
+
+
+@query
+def category_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return A.category_totals(from_tables(spark, sf_dir).expenses)
+
+
+@query
+def category_by_month(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return A.category_by_month(from_tables(spark, sf_dir).expenses)
+
+
+@query
+def category_cube(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return A.category_cube(from_tables(spark, sf_dir).expenses)
+
+
+@query
+def category_series(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return A.category_series(from_tables(spark, sf_dir).expenses)
+
+
+@query
+def summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return A.summary(from_tables(spark, sf_dir).expenses)
+
+
+@query
+def multi_currency(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return A.multi_currency(from_tables(spark, sf_dir).expenses)
+
+
+@query
+def distinct_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return A.distinct_values(from_tables(spark, sf_dir).expenses)
+
+
+SCOPED_MONTH = "1997-06"
+
+
+@query
+def scoped_month(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return A.scoped_month(from_tables(spark, sf_dir).expenses, SCOPED_MONTH)
+
+
+@query
+def normalize_expenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return doubles(from_tables(spark, sf_dir).expenses)
+
+
+SCAN_START, SCAN_END = "1996-01", "1997-12"
+
+
+@query
+def scan_month_range(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Expenses of a month range; the bounds reach the Parquet scan as pushed filters."""
+    from potluck.sources.calendar import range_bounds
+    lo, hi = range_bounds(SCAN_START, SCAN_END)
+    return doubles(from_tables(spark, sf_dir, date_from=lo, date_to=hi).expenses)
+
+
+# ------------------------------------------------------------------ shares
+@query
+def explode_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return doubles(from_tables(spark, sf_dir).shares)
+
+
+@query
+def person_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return from_tables(spark, sf_dir).shares.select("group_id", "user_id", "person").distinct()
+
+
+@query
+def net_owes_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import functions as F
+    led = from_tables(spark, sf_dir)
+    t = A.tracked_shares(led.shares, led.members)
+    return t.select("group_id", "expense_id", "user_id", F.col("member").alias("person"), "month",
+                    A.money(A.net_owes(led.params.share_mode)).alias("net_owes"))
+
+
+@query
+def person_month_owed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    led = from_tables(spark, sf_dir)
+    return A.person_month_owed(led.shares, led.members)
+
+
+@query
+def person_month_net(spark: SparkSession, sf_dir: str) -> DataFrame:
+    led = from_tables(spark, sf_dir)
+    return A.person_month_net(led.shares, led.members, led.params.share_mode)
+
+
+def _widen(spark: SparkSession, sf_dir: str, net: bool) -> DataFrame:
+    from pyspark.sql import functions as F
+    from potluck.operators.widen import widen
+    from potluck.sources.members import member_names
+    led = from_tables(spark, sf_dir)
+    value = A.net_owes(led.params.share_mode) if net else F.col("owed_share")
+    return doubles(widen(led.expenses, led.shares, led.members, value, member_names(led.members)))
+
+
+@query
+def widen_owes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _widen(spark, sf_dir, net=False)
+
+
+@query
+def widen_net_owes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _widen(spark, sf_dir, net=True)
+
+
+@query
+def person_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    led = from_tables(spark, sf_dir)
+    return A.person_totals(led.expenses, led.shares, led.members, led.params.share_mode)
+
+
+@query
+def person_totals_by_month(spark: SparkSession, sf_dir: str) -> DataFrame:
+    led = from_tables(spark, sf_dir)
+    return A.person_totals_by_month(led.expenses, led.shares, led.members, led.params.share_mode)
+
+
+@query
+def share_sanity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return A.share_sanity(from_tables(spark, sf_dir).shares)
+
+
+@query
+def top_people(spark: SparkSession, sf_dir: str) -> DataFrame:
+    led = from_tables(spark, sf_dir)
+    return A.top_people(led.shares, led.members, k=2)
+
+
+# ------------------------------------------------------------------ calendar
+@query
+def month_calendar(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from potluck.sources.calendar import group_calendar
+    return group_calendar(from_tables(spark, sf_dir).expenses)
+
+
+@query
+def month_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from potluck.sources.calendar import calendar_bounds, group_calendar
+    return calendar_bounds(group_calendar(from_tables(spark, sf_dir).expenses))
