@@ -233,3 +233,117 @@ register("month_bounds", """
 SELECT group_id, month, strftime(d, '%Y-%m-%d') AS start_date,
        strftime(CAST(d + INTERVAL 1 MONTH AS DATE), '%Y-%m-%d') AS end_date
 FROM calendar""", CALENDAR)
+
+# ------------------------------------------------------------------ exclusions, upsert
+KEPT = """
+kept AS (
+  SELECT * FROM expenses
+  WHERE NOT (month IN ('1996-03', '1997-06', '1998-01')
+             AND contains(lower(description), 'urgent') AND contains(lower(description), 'building')))"""
+
+register("exclusions", """
+SELECT s.group_id, s.expense_id, s.user_id, s.person, s.month,
+       CAST(s.owed_share AS DOUBLE) AS owed_share, CAST(s.paid_share AS DOUBLE) AS paid_share
+FROM shares s
+WHERE EXISTS (SELECT 1 FROM kept k WHERE k.group_id = s.group_id AND k.expense_id = s.expense_id)""", KEPT)
+
+register("exclusion_counts", """
+SELECT e.group_id, e.expenses_before, e.expenses_after, s.shares_before, s.shares_after,
+       e.expenses_before - e.expenses_after AS expenses_removed,
+       s.shares_before - s.shares_after AS shares_removed
+FROM (SELECT group_id, COUNT(*) AS expenses_before,
+             COUNT(*) FILTER (WHERE expense_id IN (SELECT expense_id FROM kept)) AS expenses_after
+      FROM expenses GROUP BY 1) e
+JOIN (SELECT group_id, COUNT(*) AS shares_before,
+             COUNT(*) FILTER (WHERE expense_id IN (SELECT expense_id FROM kept)) AS shares_after
+      FROM shares GROUP BY 1) s ON s.group_id = e.group_id""", KEPT)
+
+STORE = _wide_ctes("owed_share") + """,
+store AS (
+  SELECT e.group_id, e.expense_id, e.date, e.updated_at, e.month, 'old ' || e.description AS description,
+         e.category, CAST(e.amount AS DOUBLE) AS amount, e.currency,
+         CAST(round(coalesce(pw."w_Alice", 0), 2) AS DOUBLE) AS "Alice_owes",
+         CAST(round(coalesce(pw."w_Bob", 0), 2) AS DOUBLE) AS "Bob_owed",
+         CAST(round(coalesce(pw."w_Bob", 0), 2) AS DOUBLE) * 2 AS "Bob_paid",
+         CAST(round(coalesce(pw."w_Carol", 0), 2) AS DOUBLE) AS "Carol_paid_x"
+  FROM expenses e LEFT JOIN pw ON pw.group_id = e.group_id AND pw.expense_id = e.expense_id
+  WHERE e.date < '1999-01-01'),
+store_canon AS (
+  SELECT group_id, expense_id, date, updated_at, month, description, category, amount, currency,
+         round(coalesce("Alice_owes", 0), 2) AS "Alice_owes", round(coalesce("Bob_owed", 0), 2) AS "Bob_owes",
+         round(coalesce("Carol_paid_x", 0), 2) AS "Carol_owes"
+  FROM store),
+incoming AS (SELECT * FROM expenses WHERE date >= '1998-01-01')"""
+
+register("legacy_owes_columns", "SELECT * FROM store_canon", STORE)
+
+register("upsert_expenses", """
+SELECT coalesce(i.group_id, s.group_id) AS group_id, coalesce(i.expense_id, s.expense_id) AS expense_id,
+       coalesce(i.date, s.date) AS date, coalesce(i.updated_at, s.updated_at) AS updated_at,
+       coalesce(i.month, s.month) AS month, coalesce(i.description, s.description) AS description,
+       coalesce(i.category, s.category) AS category,
+       coalesce(CAST(i.amount AS DOUBLE), s.amount) AS amount, coalesce(i.currency, s.currency) AS currency,
+       s."Alice_owes", s."Bob_owes", s."Carol_owes"
+FROM store_canon s FULL OUTER JOIN incoming i ON i.group_id = s.group_id AND i.expense_id = s.expense_id""",
+         STORE)
+
+register("new_expenses", f"""
+SELECT {EXPENSE_COLS} FROM incoming i
+WHERE NOT EXISTS (SELECT 1 FROM store s WHERE s.group_id = i.group_id AND s.expense_id = i.expense_id)""",
+         STORE)
+
+# ------------------------------------------------------------------ trends
+MOM = """
+mc AS (SELECT group_id, month, category, SUM(amount) AS v FROM expenses GROUP BY 1, 2, 3
+       UNION ALL SELECT group_id, month, 'Total' AS category, SUM(amount) AS v FROM expenses GROUP BY 1, 2),
+grid AS (SELECT m.group_id, m.month, c.category
+         FROM (SELECT DISTINCT group_id, month FROM mc) m
+         JOIN (SELECT DISTINCT group_id, category FROM mc) c ON c.group_id = m.group_id),
+cells AS (SELECT g.group_id, g.month, g.category, coalesce(mc.v, 0) AS v
+          FROM grid g LEFT JOIN mc ON mc.group_id = g.group_id AND mc.month = g.month
+                                   AND mc.category = g.category),
+lagged AS (SELECT *, lag(v) OVER (PARTITION BY group_id, category ORDER BY month) AS prev FROM cells),
+mom AS (SELECT group_id, month, category, CAST(v AS DOUBLE) AS value, CAST(v - prev AS DOUBLE) AS delta,
+               CASE WHEN prev IS NULL OR prev = 0 THEN 0.0
+                    ELSE CAST(v AS DOUBLE) / CAST(prev AS DOUBLE) - 1 END AS pct
+        FROM lagged)"""
+
+register("mom_full", "SELECT * FROM mom", MOM)
+register("mom_delta", "SELECT group_id, month, category, delta FROM mom", MOM)
+register("mom_pct", "SELECT group_id, month, category, pct FROM mom", MOM)
+
+# ------------------------------------------------------------------ debts
+EDGES = """
+edges AS (
+  SELECT d.group_id, d.t AS from_id, d.f AS to_id,
+         coalesce(mf.name, CAST(d.t AS VARCHAR)) AS from_name,
+         coalesce(mt.name, CAST(d.f AS VARCHAR)) AS to_name, d.amount
+  FROM debt_sums d
+  LEFT JOIN members mf ON mf.group_id = d.group_id AND mf.user_id = d.t
+  LEFT JOIN members mt ON mt.group_id = d.group_id AND mt.user_id = d.f
+  WHERE d.amount > 0),
+member_names AS (SELECT group_id, name AS member, MIN(ord) AS ord FROM members GROUP BY 1, 2)"""
+
+register("debt_edges", """
+SELECT group_id, from_id, to_id, from_name, to_name, CAST(amount AS DOUBLE) AS amount FROM edges""", EDGES)
+
+register("member_balances", """
+SELECT n.group_id, n.member AS name, CAST(coalesce(o.v, 0) AS DOUBLE) AS owes,
+       CAST(coalesce(r.v, 0) AS DOUBLE) AS to_receive
+FROM member_names n
+LEFT JOIN (SELECT group_id, from_name AS nm, SUM(amount) AS v FROM edges GROUP BY 1, 2) o
+  ON o.group_id = n.group_id AND o.nm = n.member
+LEFT JOIN (SELECT group_id, to_name AS nm, SUM(amount) AS v FROM edges GROUP BY 1, 2) r
+  ON r.group_id = n.group_id AND r.nm = n.member""", EDGES)
+
+register("debtor_totals", """
+SELECT n.group_id, n.member AS person, CAST(coalesce(s.v, 0) AS DOUBLE) AS amount
+FROM member_names n
+LEFT JOIN (SELECT d.group_id, m.name, SUM(d.amount) AS v FROM debt_sums d
+           JOIN members m ON m.group_id = d.group_id AND m.user_id = d.f GROUP BY 1, 2) s
+  ON s.group_id = n.group_id AND s.name = n.member""", EDGES)
+
+register("top_debt", """
+SELECT group_id, from_id, to_id, from_name, to_name, CAST(amount AS DOUBLE) AS amount
+FROM (SELECT *, row_number() OVER (PARTITION BY group_id ORDER BY amount DESC, from_id, to_id) AS rn FROM edges)
+WHERE rn = 1""", EDGES)

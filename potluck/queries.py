@@ -191,3 +191,106 @@ def month_calendar(spark: SparkSession, sf_dir: str) -> DataFrame:
 def month_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
     from potluck.sources.calendar import calendar_bounds, group_calendar
     return calendar_bounds(group_calendar(from_tables(spark, sf_dir).expenses))
+
+
+# ------------------------------------------------------------------ exclusions, upsert
+from potluck.operators.exclusions import ExclusionRules  # noqa: E402
+
+# Exclusion parameters (blank entries and spaces are ignored, months de-duplicated).
+EXCLUSION_RULES = ExclusionRules(months="1996-03, 1997-06,,1998-01 ,1996-03", descriptions=" urgent, BUILDING ,")
+
+
+@query
+def exclusions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shares after the exclusion rules (semi join to kept expenses)."""
+    from potluck.plans.ledger import LedgerParams
+    led = from_tables(spark, sf_dir, LedgerParams(exclusions=EXCLUSION_RULES))
+    return doubles(led.shares)
+
+
+@query
+def exclusion_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from potluck.operators.exclusions import exclusion_counts as counts
+    led = from_tables(spark, sf_dir)
+    return counts(led.raw_expenses, led.raw_shares, EXCLUSION_RULES)
+
+
+def _store_and_incoming(spark: SparkSession, sf_dir: str):
+    from potluck.sources import fixture
+    from potluck.sources.members import member_names
+    led = from_tables(spark, sf_dir)
+    names = member_names(led.members)
+    store = fixture.previous_export(led.expenses, led.shares, led.members, names)
+    return led, names, store, fixture.incoming_fetch(led.expenses)
+
+
+@query
+def legacy_owes_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from potluck.operators.upsert import canonical_owes
+    _, names, store, _ = _store_and_incoming(spark, sf_dir)
+    return canonical_owes(store, names)
+
+
+@query
+def upsert_expenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from potluck.operators.upsert import canonical_owes, upsert, upsert_sorted
+    _, names, store, incoming = _store_and_incoming(spark, sf_dir)
+    return doubles(upsert_sorted(upsert(canonical_owes(store, names), incoming)))
+
+
+@query
+def new_expenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from potluck.operators.upsert import new_rows
+    _, _, store, incoming = _store_and_incoming(spark, sf_dir)
+    return doubles(new_rows(store, incoming))
+
+
+# ------------------------------------------------------------------ trends
+@query
+def mom_full(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from potluck.operators.trends import mom_full as mf
+    return mf(from_tables(spark, sf_dir).expenses)
+
+
+@query
+def mom_delta(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from potluck.operators.trends import mom_delta as md
+    return md(from_tables(spark, sf_dir).expenses)
+
+
+@query
+def mom_pct(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from potluck.operators.trends import mom_pct as mp
+    return mp(from_tables(spark, sf_dir).expenses)
+
+
+# ------------------------------------------------------------------ debts
+def _edges(spark: SparkSession, sf_dir: str):
+    from potluck.operators.debts import debt_edges as de
+    led = from_tables(spark, sf_dir)
+    return led, de(led.debts_raw, led.members, led.params.debt_mode)
+
+
+@query
+def debt_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return doubles(_edges(spark, sf_dir)[1])
+
+
+@query
+def member_balances(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from potluck.operators.debts import member_balances as mb
+    led, edges = _edges(spark, sf_dir)
+    return mb(edges, led.members)
+
+
+@query
+def debtor_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from potluck.operators.debts import debtor_totals as dt
+    led = from_tables(spark, sf_dir)
+    return dt(led.debts_raw, led.members)
+
+
+@query
+def top_debt(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from potluck.operators.debts import top_debt as td
+    return doubles(td(_edges(spark, sf_dir)[1]))

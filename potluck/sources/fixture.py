@@ -125,3 +125,35 @@ def debts_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
         to_text.alias("to"),
         F.col("amount").cast("string").alias("amount"),
     )
+
+
+# Upsert fixture: a previous export holds the expenses dated before STORE_BEFORE (with an
+# older description and legacy member column spellings); the new fetch covers the months
+# from INCOMING_FROM on, so the year in between is in both.
+STORE_BEFORE = "1999-01-01"
+INCOMING_FROM = "1998-01-01"
+
+
+def previous_export(expenses: DataFrame, shares: DataFrame, members: DataFrame, names: list[str]) -> DataFrame:
+    """Wide expense table as an earlier run stored it, with legacy ``_owed/_paid`` columns.
+
+    Member i (in member order) is stored as: i % 3 == 0 → ``<n>_owes``; 1 → ``<n>_owed``
+    plus a conflicting ``<n>_paid``; 2 → ``<n>_paid_x``. Amounts are doubles, as re-read
+    from a spreadsheet.
+    """
+    from potluck.operators.widen import widen
+    old = expenses.where(F.col("date") < STORE_BEFORE).withColumn(
+        "description", F.concat(F.lit("old "), F.col("description")))
+    wide = widen(old, shares, members, F.col("owed_share"), names)
+    wide = wide.withColumn("amount", F.col("amount").cast("double"))
+    for i, n in enumerate(names):
+        col = f"{n}_owes"
+        if i % 3 == 1:
+            wide = wide.withColumnRenamed(col, f"{n}_owed").withColumn(f"{n}_paid", F.col(f"{n}_owed") * 2)
+        elif i % 3 == 2:
+            wide = wide.withColumnRenamed(col, f"{n}_paid_x")
+    return wide
+
+
+def incoming_fetch(expenses: DataFrame) -> DataFrame:
+    return expenses.where(F.col("date") >= INCOMING_FROM)
