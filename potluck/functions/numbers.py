@@ -82,5 +82,5 @@ def pct_of_max(amount_cents: Column, max_cents: Column) -> Column:
 
 
 def cents(c) -> Column:
-    """Decimal money → whole cents as long."""
-    return (_col(c) * 100).cast(T.LongType())
+    """Money (decimal or double) → whole cents as long."""
+    return F.round(_col(c) * 100).cast(T.LongType())

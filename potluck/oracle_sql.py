@@ -347,3 +347,111 @@ register("top_debt", """
 SELECT group_id, from_id, to_id, from_name, to_name, CAST(amount AS DOUBLE) AS amount
 FROM (SELECT *, row_number() OVER (PARTITION BY group_id ORDER BY amount DESC, from_id, to_id) AS rn FROM edges)
 WHERE rn = 1""", EDGES)
+
+# ------------------------------------------------------------------ charts, tables, formats
+
+
+def color_sql(c: str) -> str:
+    def part(start: int, length: int) -> str:
+        return f"CAST('0x' || substring(sha256(coalesce(nullif({c}, ''), 'unknown')), {start}, {length}) AS BIGINT)"
+    return (f"('hsl(' || CAST({part(1, 8)} % 360 AS VARCHAR) || 'deg ' || CAST(62 + {part(9, 2)} % 24 AS VARCHAR)"
+            f" || '% ' || CAST(40 + {part(11, 2)} % 20 AS VARCHAR) || '%)')")
+
+
+def pct_sql(v: str, mx: str) -> str:
+    a, m = f"CAST(round({v} * 100) AS BIGINT)", f"CAST(round({mx} * 100) AS BIGINT)"
+    return f"CAST(({a} * 2000 + {m}) // ({m} * 2) AS DOUBLE) / CAST(10 AS DOUBLE)"
+
+
+def bars_sql(items: str, order: str, limit: int, color: bool) -> str:
+    col = f", {color_sql('label')} AS color" if color else ""
+    return f"""
+SELECT group_id, rn - 1 AS pos, label, CAST(v AS DOUBLE) AS amount, {pct_sql('v', 'mx')} AS pct{col}
+FROM (SELECT *, max(v) OVER (PARTITION BY group_id) AS mx
+      FROM (SELECT *, row_number() OVER (PARTITION BY group_id ORDER BY {order}) AS rn
+            FROM ({items}) WHERE v > 0)
+      WHERE rn <= {limit})"""
+
+
+register("bars_category", bars_sql(
+    "SELECT group_id, category AS label, SUM(amount) AS v FROM expenses GROUP BY 1, 2", "v DESC, label", 20, True))
+
+register("bars_monthly", bars_sql(
+    "SELECT group_id, month AS label, SUM(amount) AS v FROM expenses GROUP BY 1, 2", "label DESC", 120, False))
+
+register("bars_series", bars_sql(
+    """SELECT e.group_id, e.month AS label, SUM(e.amount) AS v FROM expenses e
+       JOIN sel s ON s.group_id = e.group_id AND s.category = e.category GROUP BY 1, 2""",
+    "label DESC", 120, False), """
+charted AS (SELECT group_id, category FROM expenses GROUP BY 1, 2 HAVING SUM(amount) > 0),
+sel AS (SELECT group_id,
+               CASE WHEN max(CASE WHEN category = 'HOUSEHOLD' THEN 1 ELSE 0 END) = 1 THEN 'HOUSEHOLD'
+                    ELSE min(category) END AS category
+        FROM charted GROUP BY 1)""")
+
+register("person_month_groups", f"""
+SELECT c.group_id, c.month, CAST(coalesce(r.rank, 10000) AS BIGINT) AS month_rank, c.person,
+       CAST(c.v AS DOUBLE) AS amount, {pct_sql('c.v', 'c.mx')} AS pct, {color_sql('c.person')} AS color
+FROM (SELECT m.group_id, m.month, p.member AS person, coalesce(s.v, 0) AS v,
+             greatest(max(coalesce(s.v, 0)) OVER (PARTITION BY m.group_id), 1) AS mx
+      FROM pm_months m JOIN pm_persons p ON p.group_id = m.group_id
+      LEFT JOIN pm_sums s ON s.group_id = m.group_id AND s.month = m.month AND s.member = p.member) c
+LEFT JOIN (SELECT group_id, month, dense_rank() OVER (PARTITION BY group_id ORDER BY month DESC) - 1 AS rank
+           FROM (SELECT DISTINCT group_id, month FROM expenses WHERE trim(month) <> '')) r
+  ON r.group_id = c.group_id AND r.month = c.month""", _person_month_ctes("net_rev"))
+
+WIDE_NET = _wide_ctes("net_rev") + ",\nwide AS (" + WIDE_SELECT + ")"
+RAW_COLS = ["date", "month", "description", "category", "amount", "currency", "expense_id",
+            *[f"{n}_owes" for n in MEMBER_NAMES]]
+RAW_SELECT = ", ".join(f'"{c}"' for c in RAW_COLS)
+
+
+def pyfloat_sql(c: str) -> str:
+    return f"regexp_replace(CAST(CAST({c} AS DECIMAL(38,2)) AS VARCHAR), '0$', '')"
+
+
+HAYSTACK = "lower(concat_ws(' ', " + ", ".join(
+    pyfloat_sql(f'"{c}"') if c in ("amount",) or c.endswith("_owes") else f'CAST("{c}" AS VARCHAR)'
+    for c in RAW_COLS) + "))"
+
+register("recent_expenses", f"""
+SELECT group_id, pos, {RAW_SELECT}
+FROM (SELECT *, row_number() OVER (PARTITION BY group_id ORDER BY date DESC, expense_id) - 1 AS pos FROM wide)
+WHERE pos < 30""", WIDE_NET)
+
+register("text_search", f"""
+SELECT group_id, {RAW_SELECT} FROM wide WHERE contains({HAYSTACK}, 'high auto')""", WIDE_NET)
+
+register("table_page", f"""
+SELECT f.group_id, f.pos, {", ".join(f'f."{c}"' for c in RAW_COLS)}, t.raw_total
+FROM (SELECT *, row_number() OVER (PARTITION BY group_id ORDER BY date DESC, expense_id) - 1 AS pos
+      FROM scoped) f
+JOIN (SELECT group_id, COUNT(*) AS raw_total FROM scoped GROUP BY 1) t ON t.group_id = f.group_id
+WHERE f.pos < 500""", WIDE_NET + """,
+has AS (SELECT group_id, max(CASE WHEN month = '1997-06' THEN 1 ELSE 0 END) AS h FROM wide GROUP BY 1),
+scoped AS (SELECT w.* FROM wide w JOIN has ON has.group_id = w.group_id
+           WHERE (has.h = 0 OR w.month = '1997-06') AND contains(""" + HAYSTACK.replace('"', 'w."').replace(
+    "w.\"", '"') + """, 'urgent'))""")
+
+register("format_money", "SELECT group_id, expense_id, " + ", ".join(
+    f"'₪' || format('{{:,.2f}}', CAST(\"{c}\" AS DOUBLE)) AS \"{c}_text\"" for c in RAW_COLS
+    if c == "amount" or c.endswith("_owes")) + " FROM wide", WIDE_NET)
+
+register("label_color", f"""
+SELECT label, {color_sql('label')} AS color
+FROM (SELECT category AS label FROM expenses UNION SELECT person AS label FROM shares)""")
+
+register("table_payload", "SELECT group_id, expense_id, to_json(struct_pack(" + ", ".join(
+    f'"{c}" := round("{c}", 2)' if c == "amount" or c.endswith("_owes") else f'"{c}" := "{c}"'
+    for c in RAW_COLS) + ")) AS row_json FROM wide", WIDE_NET)
+
+register("coerce_numbers", """
+SELECT l_orderkey, l_linenumber, format('{:,.2f}', l_extendedprice) AS raw_comma,
+       CAST(CAST(l_extendedprice AS DECIMAL(18,2)) AS DOUBLE) AS share_value,
+       CASE WHEN contains(format('{:,.2f}', l_extendedprice), ',') THEN CAST(0 AS DOUBLE)
+            ELSE CAST(CAST(l_extendedprice AS DECIMAL(18,2)) AS DOUBLE) END AS cost_value,
+       ' ' || CAST(l_quantity AS VARCHAR) || 'd' AS raw_junk, CAST(0 AS DOUBLE) AS junk_value,
+       CAST(CAST(l_discount AS DECIMAL(18,2)) AS DOUBLE) AS spaced_value
+FROM lineitem""")
+
+register("members_from_json", "SELECT group_id, user_id, name, ord FROM members")

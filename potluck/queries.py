@@ -294,3 +294,139 @@ def debtor_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
 def top_debt(spark: SparkSession, sf_dir: str) -> DataFrame:
     from potluck.operators.debts import top_debt as td
     return doubles(td(_edges(spark, sf_dir)[1]))
+
+
+# ------------------------------------------------------------------ charts, tables, formats
+def _raw_wide(spark: SparkSession, sf_dir: str):
+    """Dashboard expense table: expenses + net ``<name>_owes`` columns (decimal money)."""
+    from potluck.operators.widen import widen
+    from potluck.sources.members import member_names
+    led = from_tables(spark, sf_dir)
+    names = member_names(led.members)
+    return led, names, widen(led.expenses, led.shares, led.members, A.net_owes(led.params.share_mode), names)
+
+
+@query
+def bars_category(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Top 20 categories over all months, percent of max, coloured by label."""
+    from pyspark.sql import functions as F
+    from potluck.operators.bars import bars
+    from potluck.schemas import CATEGORY_BARS_LIMIT
+    s = from_tables(spark, sf_dir).expenses.groupBy("group_id", "category").agg(F.sum("amount").alias("amount"))
+    return bars(s, "category", [F.col("amount").desc(), F.col("category")], CATEGORY_BARS_LIMIT, color=True)
+
+
+@query
+def bars_monthly(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Monthly totals, newest first, at most 120 bars."""
+    from pyspark.sql import functions as F
+    from potluck.operators.bars import bars
+    from potluck.schemas import MONTH_BARS_LIMIT
+    s = from_tables(spark, sf_dir).expenses.groupBy("group_id", "month").agg(F.sum("amount").alias("amount"))
+    return bars(s, "month", [F.col("month").desc()], MONTH_BARS_LIMIT)
+
+
+SERIES_CATEGORY = "HOUSEHOLD"
+
+
+@query
+def bars_series(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Month series of the selected category (invalid → first category), at most 120 bars."""
+    from pyspark.sql import functions as F
+    from potluck.operators.bars import bars
+    from potluck.plans.views import selected_category
+    from potluck.schemas import MONTH_BARS_LIMIT
+    e = from_tables(spark, sf_dir).expenses
+    sel = selected_category(e, SERIES_CATEGORY)
+    s = (e.join(sel, ["group_id", "category"], "left_semi")
+         .groupBy("group_id", "month").agg(F.sum("amount").alias("amount")))
+    return bars(s, "month", [F.col("month").desc()], MONTH_BARS_LIMIT)
+
+
+@query
+def person_month_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import functions as F
+    from potluck.operators.bars import person_month_groups as pmg
+    led = from_tables(spark, sf_dir)
+    pm = A.person_month(led.shares, led.members, A.net_owes(led.params.share_mode))
+    months = led.expenses.where(F.trim("month") != "").select("group_id", "month").distinct()
+    return pmg(pm.drop("ord"), months)
+
+
+@query
+def recent_expenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from potluck.operators.tables import recent
+    from potluck.schemas import RECENT_ROWS_DEFAULT
+    _, names, wide = _raw_wide(spark, sf_dir)
+    return doubles(recent(wide, names, RECENT_ROWS_DEFAULT))
+
+
+SEARCH_QUERY = " High AUTO "
+PAGE_MONTH = "1997-06"
+
+
+@query
+def text_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from potluck.operators.tables import raw_table_columns, search
+    _, names, wide = _raw_wide(spark, sf_dir)
+    cols = raw_table_columns(wide.columns, names)
+    return doubles(search(wide.select("group_id", *cols), cols, SEARCH_QUERY))
+
+
+@query
+def table_page(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from potluck.operators.tables import table_page as tp
+    from potluck.schemas import TABLE_LIMIT_DEFAULT
+    _, names, wide = _raw_wide(spark, sf_dir)
+    return doubles(tp(wide, names, PAGE_MONTH, "urgent", TABLE_LIMIT_DEFAULT))
+
+
+@query
+def format_money(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Money columns of the expense table rendered as currency text."""
+    from pyspark.sql import functions as F
+    from potluck.functions.format import format_money as fm
+    from potluck.operators.tables import money_columns
+    _, names, wide = _raw_wide(spark, sf_dir)
+    return wide.select("group_id", "expense_id",
+                       *[fm(F.col(c)).alias(f"{c}_text") for c in money_columns(wide.columns)])
+
+
+@query
+def label_color(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Colour of every chart label: categories and person names."""
+    from pyspark.sql import functions as F
+    from potluck.functions.format import label_color as lc
+    led = from_tables(spark, sf_dir)
+    labels = (led.expenses.select(F.col("category").alias("label"))
+              .unionByName(led.shares.select(F.col("person").alias("label"))).distinct())
+    return labels.select("label", lc("label").alias("color"))
+
+
+@query
+def table_payload(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from potluck.operators.tables import raw_table_columns, table_payload as tp
+    _, names, wide = _raw_wide(spark, sf_dir)
+    return tp(wide, raw_table_columns(wide.columns, names))
+
+
+@query
+def coerce_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lenient number parsing of money text as it arrives (thousands commas, junk)."""
+    from pyspark.sql import functions as F
+    from potluck.functions.numbers import lenient_cost, lenient_money
+    from potluck.sources.fixture import table
+    li = table(spark, sf_dir, "lineitem")
+    comma = F.format_number(F.col("l_extendedprice"), 2)
+    junk = F.concat(F.lit(" "), F.col("l_quantity").cast("string"), F.lit("d"))
+    spaced = F.concat(F.lit("  "), F.col("l_discount").cast("string"), F.lit(" "))
+    return li.select(
+        "l_orderkey", "l_linenumber", comma.alias("raw_comma"),
+        A.money(lenient_money(comma)).alias("share_value"), A.money(lenient_cost(comma)).alias("cost_value"),
+        junk.alias("raw_junk"), A.money(lenient_money(junk)).alias("junk_value"),
+        A.money(lenient_cost(spaced)).alias("spaced_value"))
+
+
+@query
+def members_from_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return from_tables(spark, sf_dir).members
