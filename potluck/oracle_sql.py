@@ -455,3 +455,17 @@ SELECT l_orderkey, l_linenumber, format('{:,.2f}', l_extendedprice) AS raw_comma
 FROM lineitem""")
 
 register("members_from_json", "SELECT group_id, user_id, name, ord FROM members")
+
+# ------------------------------------------------------------------ sinks and streams
+# The export of a first run (empty store) is the expense table widened with owed shares.
+QUERIES["sink_roundtrip"] = QUERIES["widen_owes"]
+
+register("stream_upsert", """
+SELECT group_id, expense_id, date,
+       CASE WHEN date >= '1998-01-01' AND date < '1999-01-01' THEN '2003-01-01 00:00:00'
+            ELSE updated_at END AS updated_at,
+       month,
+       CASE WHEN date >= '1998-01-01' AND date < '1999-01-01' THEN description || ' (edited)'
+            ELSE description END AS description,
+       category, CAST(amount AS DOUBLE) AS amount, currency
+FROM expenses""")

@@ -16,3 +16,88 @@ def selected_category(expenses: DataFrame, category: str | None) -> DataFrame:
     choice = totals.groupBy(G).agg(F.min("category").alias("first"),
                                    F.max((F.col("category") == sel).cast("int")).alias("has"))
     return choice.select(G, F.when(F.col("has") == 1, F.lit(sel)).otherwise(F.col("first")).alias("category"))
+
+
+def selected_month(expenses: DataFrame, month: str | None) -> DataFrame:
+    """Per group the month filter: the requested month if the group has it, else ``all``."""
+    from potluck.schemas import ALL_MONTHS
+    sel = (month or ALL_MONTHS).strip()
+    has = expenses.groupBy(G).agg(F.max((F.col("month") == sel).cast("int")).alias("has"))
+    ok = (F.col("has") == 1) & F.lit(sel != ALL_MONTHS)
+    return has.select(G, F.when(ok, F.lit(sel)).otherwise(F.lit(ALL_MONTHS)).alias("month"))
+
+
+def dashboard_view(snapshot, category_month: str | None = None, person_month: str | None = None,
+                   category: str | None = None) -> dict[str, DataFrame]:
+    """The dashboard for chosen filters, per group: a header row plus the chart series.
+
+    Returns ``header`` (one row per group: validated filters, scoped count/total, top
+    debt, bar counts) and ``category_bars``, ``monthly_bars``, ``category_month_bars``,
+    ``person_month_groups``.
+    """
+    from potluck.operators import aggregates as A
+    from potluck.operators.bars import bars, person_month_groups
+    from potluck.operators.debts import top_debt
+    from potluck.schemas import ALL_MONTHS, CATEGORY_BARS_LIMIT, MONTH_BARS_LIMIT
+
+    led = snapshot.ledger
+    e = led.expenses
+    cm = selected_month(e, category_month).withColumnRenamed("month", "selected_category_month")
+    pm = selected_month(e, person_month).withColumnRenamed("month", "selected_person_month")
+    cat = selected_category(e, category).withColumnRenamed("category", "selected_category")
+
+    scoped = (e.join(cm, G).where((F.col("selected_category_month") == ALL_MONTHS)
+                                  | (F.col("month") == F.col("selected_category_month")))
+              .groupBy(G).agg(F.count(F.lit(1)).alias("scoped_count"),
+                              A.money(F.sum("amount")).alias("scoped_total")))
+    cat_items = (e.join(cm, G).where((F.col("selected_category_month") == ALL_MONTHS)
+                                     | (F.col("month") == F.col("selected_category_month")))
+                 .groupBy(G, "category").agg(F.sum("amount").alias("amount")))
+    category_bars = bars(cat_items, "category", [F.col("amount").desc(), F.col("category")],
+                         CATEGORY_BARS_LIMIT, color=True)
+    monthly = e.groupBy(G, "month").agg(F.sum("amount").alias("amount"))
+    monthly_bars = bars(monthly, "month", [F.col("month").desc()], MONTH_BARS_LIMIT)
+    series = (e.join(cat.withColumnRenamed("selected_category", "category"), [G, "category"], "left_semi")
+              .groupBy(G, "month").agg(F.sum("amount").alias("amount")))
+    category_month_bars = bars(series, "month", [F.col("month").desc()], MONTH_BARS_LIMIT)
+    person = A.person_month(led.shares, led.members, A.net_owes(led.params.share_mode)).drop("ord")
+    person = person.join(pm, G).where((F.col("selected_person_month") == ALL_MONTHS)
+                                      | (F.col("month") == F.col("selected_person_month")))
+    groups = person_month_groups(person.drop("selected_person_month"), snapshot.months())
+    top = top_debt(snapshot.debt_edges()).select(
+        G, F.col("from_name").alias("top_debt_from"), F.col("to_name").alias("top_debt_to"),
+        A.money("amount").alias("top_debt_amount"))
+
+    def count_of(df: DataFrame, name: str) -> DataFrame:
+        return df.groupBy(G).agg(F.count(F.lit(1)).alias(name))
+
+    header = led.groups.select(G)
+    for part in (cm, pm, cat, scoped, top, count_of(category_bars, "n_category_bars"),
+                 count_of(monthly_bars, "n_monthly_bars"), count_of(category_month_bars, "n_category_month_bars"),
+                 count_of(groups.select(G, "month").distinct(), "n_person_months")):
+        header = header.join(part, G, "left")
+    return {"header": header, "category_bars": category_bars, "monthly_bars": monthly_bars,
+            "category_month_bars": category_month_bars, "person_month_groups": groups}
+
+
+def tables_view(snapshot, month: str | None = None, query: str | None = None,
+                table_limit: int | None = None) -> dict[str, DataFrame]:
+    """Tables page: month + text filter on the expense, category and person tables;
+    the row limit applies to the expense table only. ``header`` holds the counts."""
+    from potluck.operators.tables import month_filter_rows, search, table_page
+    from potluck.schemas import TABLE_LIMIT_DEFAULT, TABLE_LIMIT_MIN
+
+    limit = max(int(table_limit or TABLE_LIMIT_DEFAULT), TABLE_LIMIT_MIN)
+    raw = table_page(snapshot.raw_wide, snapshot.names, month, query, limit)
+    monthly = snapshot.monthly_by_category()
+    monthly = search(month_filter_rows(monthly, month), [c for c in monthly.columns if c != G], query)
+    person = snapshot.per_person_month()
+    person = search(month_filter_rows(person, month), [c for c in person.columns if c != G], query)
+    sel = selected_month(snapshot.ledger.expenses, month).withColumnRenamed("month", "selected_month")
+    counts = raw.groupBy(G).agg(F.first("raw_total").alias("raw_total"), F.count(F.lit(1)).alias("raw_shown"))
+    header = (snapshot.ledger.groups.select(G).join(sel, G, "left").join(counts, G, "left")
+              .select(G, "selected_month", F.lit((query or "").strip()).alias("query"),
+                      F.coalesce("raw_total", F.lit(0)).alias("raw_total"),
+                      F.coalesce("raw_shown", F.lit(0)).alias("raw_shown"),
+                      F.lit(limit).alias("table_limit")))
+    return {"header": header, "raw": raw, "monthly": monthly, "person": person}

@@ -430,3 +430,70 @@ def coerce_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def members_from_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     return from_tables(spark, sf_dir).members
+
+
+# ------------------------------------------------------------------ composed plans
+@query
+def snapshot_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One JSON dashboard document per group (bounded parts)."""
+    from potluck.plans.snapshot import Snapshot
+    return Snapshot(from_tables(spark, sf_dir), generated_at="1970-01-01T00:00:00+00:00",
+                    start_month="1995-01", end_month="2001-12").to_json()
+
+
+@query
+def dashboard_view(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from potluck.plans.snapshot import Snapshot
+    from potluck.plans.views import dashboard_view as dv
+    return dv(Snapshot(from_tables(spark, sf_dir)), "1997-06", "1999-13", "Nope")["header"]
+
+
+@query
+def tables_view(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from potluck.plans.snapshot import Snapshot
+    from potluck.plans.views import tables_view as tv
+    return tv(Snapshot(from_tables(spark, sf_dir)), "1997-06", "urgent", 10)["header"]
+
+
+def _scratch(spark: SparkSession, kind: str) -> str:
+    """A fresh folder for this run inside the shared checkpoint folder."""
+    import uuid
+    from potluck.session import shared_path
+    return shared_path(spark, "potluck", kind, uuid.uuid4().hex)
+
+
+@query
+def sink_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Publish an export (expenses partitioned by month, shares, pivots) and read it back."""
+    from potluck.plans.export import export
+    from potluck.sinks.writers import read_published
+    root = _scratch(spark, "exports")
+    export(spark, from_tables(spark, sf_dir), root, version=1)
+    return doubles(read_published(spark, root, "raw_expenses"))
+
+
+# Stream fixture: documents land in two drops; the second re-sends the 1998 documents
+# with a later updated_at and an edited description.
+CORRECTION_FROM, CORRECTION_TO = "1998-01-01", "1999-01-01"
+CORRECTION_STAMP = "2003-01-01 00:00:00"
+
+
+@query
+def stream_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Landed documents → Structured Streaming upsert (availableNow) → final store."""
+    from pyspark.sql import functions as F
+    from potluck.sources import fixture
+    from potluck.streaming import upsert_stream as S
+    base = _scratch(spark, "stream")
+    headers = fixture.expense_headers(spark, sf_dir)
+    headers.repartitionByRange(4, "date").write.parquet(f"{base}/landing/a")
+    in_range = (F.col("date") >= CORRECTION_FROM) & (F.col("date") < CORRECTION_TO)
+    corrections = headers.where(in_range).select(
+        *[F.lit(CORRECTION_STAMP).alias(c) if c == "updated_at"
+          else F.concat(F.col(c), F.lit(" (edited)")).alias(c) if c == "description"
+          else F.col(c) for c in headers.columns])
+    corrections.coalesce(1).write.parquet(f"{base}/landing/b")
+    q = S.start(spark, f"{base}/landing/*", f"{base}/store", f"{base}/checkpoint",
+                available_now=True, max_files_per_trigger=2)
+    q.awaitTermination()
+    return doubles(S.current_store(spark, f"{base}/store"))
