@@ -8,9 +8,6 @@ from pyspark.sql import types as T
 
 from potluck.schemas import MONEY
 
-# Fixed value: the decimal-number grammar that Python's float() accepts for ledger text
-# (sign, digits, fraction, exponent). A bare Spark cast also takes Java suffixes ('1d').
-NUMBER_PATTERN = r"^[+-]?([0-9]+(\.[0-9]*)?|\.[0-9]+)([eE][+-]?[0-9]+)?$"
 DIGITS_PATTERN = r"^[0-9]+$"
 SIGNED_DIGITS_PATTERN = r"^[+-]?[0-9]+$"
 _EDGE_SPACE = r"^\s+|\s+$"
@@ -26,19 +23,23 @@ def strip_text(c) -> Column:
 
 
 def money_or_zero(text: Column) -> Column:
-    """Text already cleaned → decimal cents; anything unparseable → 0.00."""
-    parsed = F.when(text.rlike(NUMBER_PATTERN), text.try_cast(T.DecimalType(38, 10)))
-    return F.coalesce(parsed.try_cast(MONEY), F.lit(0).cast(MONEY))
+    """Number text → decimal cents; null, blank or unparseable → 0.00.
+
+    Spark's text → decimal cast takes surrounding whitespace, signs, exponents and
+    Unicode digits like Python's ``float()``, and rejects what it rejects (e.g. ``1d``,
+    ``0x10``, ``1,0``). Non-finite values (``inf``/``nan``) have no decimal and become 0.
+    """
+    return F.coalesce(text.try_cast(T.DecimalType(38, 10)).try_cast(MONEY), F.lit(0).cast(MONEY))
 
 
 def lenient_money(c) -> Column:
-    """Share/debt amounts: null, blank or garbage → 0; spaces and thousands commas removed."""
-    return money_or_zero(F.regexp_replace(strip_text(c), ",", ""))
+    """Share/debt amounts: like :func:`lenient_cost` after removing thousands commas."""
+    return money_or_zero(F.translate(_col(c).cast("string"), ",", ""))
 
 
 def lenient_cost(c) -> Column:
-    """Expense cost: like :func:`lenient_money` but commas are *not* removed ("1,234.5" → 0)."""
-    return money_or_zero(strip_text(c))
+    """Expense cost: commas are *not* removed, so ``"1,234.5"`` → 0."""
+    return money_or_zero(_col(c).cast("string"))
 
 
 def lenient_long(c) -> Column:

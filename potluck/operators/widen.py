@@ -42,17 +42,20 @@ def widen(expenses: DataFrame, shares: DataFrame, members: DataFrame, value: Col
           names: list[str]) -> DataFrame:
     """Expense table plus one ``<name>_owes`` column per member name (0.0 when none).
 
-    Stale member columns already on the expense table are dropped first. The member
-    sums are aggregated per expense before the join, so the join sees one row per
-    expense on each side (a co-partitioned shuffle join, or broadcast when small).
+    Stale member columns already on the expense table are dropped first. Member sums are
+    one conditional aggregation keyed by ``expense_id`` (partial sums before the
+    shuffle), so the left join sees one row per expense on each side and reuses that
+    hash partitioning. Expense ids are unique across groups (as the source issues them).
     """
     base = expenses.drop(*stale_member_columns(expenses.columns, names))
-    sums = member_amounts(shares, members, value)
-    piv = sums.groupBy(G, "expense_id").pivot("member", names).agg(F.first("v"))
+    t = tracked_shares(shares, members)
+    piv = t.groupBy("expense_id").agg(
+        *[F.sum(F.when(F.col("member") == n, value)).alias(f"_w{i}") for i, n in enumerate(names)])
     zero = F.lit(0).cast("decimal(28,2)")
-    owes = [money(F.round(F.coalesce(F.col(f"`{n}`"), zero), 2)).alias(f"{n}{OWES_SUFFIX}") for n in names]
-    keep = [F.col(c) for c in base.columns]
-    return base.join(piv, [G, "expense_id"], "left").select(*keep, *owes)
+    owes = [money(F.round(F.coalesce(F.col(f"_w{i}"), zero), 2)).alias(f"{n}{OWES_SUFFIX}")
+            for i, n in enumerate(names)]
+    keep = [F.col(f"`{c}`") for c in base.columns]
+    return base.join(piv, "expense_id", "left").select(*keep, *owes)
 
 
 def legacy_sources(columns: list[str], name: str) -> str | None:

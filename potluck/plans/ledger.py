@@ -2,11 +2,12 @@
 
 A ``Ledger`` is a bundle of lazy DataFrames. Nothing is computed until a sink or an
 action runs; Catalyst prunes the columns and pushes the filters of each consumer down
-to the Parquet scans.
+to the Parquet scans. Tables a query does not use are never even planned.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass, field, replace
 
 from pyspark.sql import DataFrame, SparkSession
@@ -40,37 +41,95 @@ class LedgerParams:
         return direction_mode(self.share_direction or self.debt_direction)
 
 
-@dataclass(frozen=True)
 class Ledger:
-    groups: DataFrame        # group_id, group_name, members_json
-    members: DataFrame       # group_id, user_id, name, ord
-    expenses: DataFrame      # EXPENSES, after settlement filter and exclusions
-    shares: DataFrame        # SHARES, after exclusions
-    debts_raw: DataFrame     # DEBTS_RAW
-    params: LedgerParams = field(default_factory=LedgerParams)
-    raw_expenses: DataFrame | None = None  # before exclusions
-    raw_shares: DataFrame | None = None    # before exclusions
+    """Lazily built ledger tables.
+
+    ``groups``: group_id, group_name, members_json · ``members``: group_id, user_id, name, ord ·
+    ``raw_expenses`` / ``raw_shares``: normalized, before exclusions · ``expenses`` /
+    ``shares``: after exclusions · ``debts_raw``: landed simplified debts.
+    """
+
+    def __init__(self, sources: dict[str, Callable[[], DataFrame]], params: LedgerParams | None = None):
+        self._sources = sources
+        self.params = params or LedgerParams()
+        self._cache: dict[str, DataFrame] = {}
+
+    def _get(self, name: str) -> DataFrame:
+        if name not in self._cache:
+            self._cache[name] = self._sources[name]()
+        return self._cache[name]
+
+    @property
+    def groups(self) -> DataFrame:
+        return self._get("groups")
+
+    @property
+    def members(self) -> DataFrame:
+        return self._get("members")
+
+    @property
+    def raw_expenses(self) -> DataFrame:
+        return self._get("raw_expenses")
+
+    @property
+    def raw_shares(self) -> DataFrame:
+        return self._get("raw_shares")
+
+    @property
+    def debts_raw(self) -> DataFrame:
+        return self._get("debts_raw")
+
+    def _excluded(self) -> tuple[DataFrame, DataFrame]:
+        if "expenses" not in self._cache:
+            e, s = apply_exclusions(self.raw_expenses, self.raw_shares, self.params.exclusions)
+            self._cache["expenses"], self._cache["shares"] = e, s
+        return self._cache["expenses"], self._cache["shares"]
+
+    @property
+    def expenses(self) -> DataFrame:
+        if not self.params.exclusions.active:
+            return self.raw_expenses
+        return self._excluded()[0]
+
+    @property
+    def shares(self) -> DataFrame:
+        if not self.params.exclusions.active:
+            return self.raw_shares
+        return self._excluded()[1]
 
     def with_params(self, params: LedgerParams) -> "Ledger":
-        return build(self.groups, self.members, self.raw_expenses, self.raw_shares, self.debts_raw, params)
+        return Ledger(self._sources, params)
 
 
 def build(groups: DataFrame, members: DataFrame, expenses: DataFrame, shares: DataFrame,
           debts_raw: DataFrame, params: LedgerParams | None = None) -> Ledger:
-    params = params or LedgerParams()
-    kept_e, kept_s = apply_exclusions(expenses, shares, params.exclusions)
-    return Ledger(groups, members, kept_e, kept_s, debts_raw, params, expenses, shares)
+    """Ledger over given (already normalized) DataFrames, e.g. hand-made test rows."""
+    return Ledger({"groups": lambda: groups, "members": lambda: members, "raw_expenses": lambda: expenses,
+                   "raw_shares": lambda: shares, "debts_raw": lambda: debts_raw}, params)
 
 
 def from_tables(spark: SparkSession, sf_dir: str, params: LedgerParams | None = None,
                 date_from: str | None = None, date_to: str | None = None) -> Ledger:
     """Ledger over the driver tables (see ``sources.fixture`` for the mapping)."""
-    groups = fixture.group_config(spark, sf_dir)
-    members = members_from_config(groups)
-    headers = fixture.expense_headers(spark, sf_dir, date_from, date_to)
-    expenses = normalize_expenses(headers)
-    shares = normalize_shares(fixture.share_rows(spark, sf_dir, headers), members)
-    return build(groups, members, expenses, shares, fixture.debts_raw(spark, sf_dir), params)
+    cache: dict[str, DataFrame] = {}
+
+    def once(name: str, make: Callable[[], DataFrame]) -> Callable[[], DataFrame]:
+        def get() -> DataFrame:
+            if name not in cache:
+                cache[name] = make()
+            return cache[name]
+        return get
+
+    groups = once("groups", lambda: fixture.group_config(spark, sf_dir))
+    members = once("members", lambda: members_from_config(groups()))
+    headers = once("headers", lambda: fixture.expense_headers(spark, sf_dir, date_from, date_to))
+    return Ledger({
+        "groups": groups,
+        "members": members,
+        "raw_expenses": once("e", lambda: normalize_expenses(headers())),
+        "raw_shares": once("s", lambda: normalize_shares(fixture.share_rows(spark, sf_dir, headers()), members())),
+        "debts_raw": once("d", lambda: fixture.debts_raw(spark, sf_dir)),
+    }, params)
 
 
 def with_exclusions(ledger: Ledger, rules: ExclusionRules) -> Ledger:

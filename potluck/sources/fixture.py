@@ -94,7 +94,9 @@ def share_rows(spark: SparkSession, sf_dir: str, headers: DataFrame | None = Non
     paid = (F.when(F.col("l_returnflag") == "A", F.lit(0).cast(MONEY))
             .when(F.col("l_returnflag") == "N", price * 2)
             .otherwise(price))
-    return li.join(h, li.l_orderkey == h.expense_id).select(
+    # Both sides are fact tables: keep the planner from broadcasting either one on the
+    # strength of a compressed-file size estimate (sort-merge join, AQE handles skew).
+    return li.join(h.hint("merge"), li.l_orderkey == h.expense_id).select(
         "group_id", "expense_id", "date", "deleted_at",
         F.col("l_linenumber").cast("long").alias("user_id"),
         F.lit(None).cast("string").alias("first_name"),
@@ -110,7 +112,7 @@ def debts_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
     li = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_suppkey", "l_extendedprice")
     frm = F.col("l_linenumber").cast("long")
     to = (F.col("l_suppkey") % 7 + 1).cast("long")
-    edges = (li.join(o, li.l_orderkey == o.o_orderkey)
+    edges = (li.join(o.hint("merge"), li.l_orderkey == o.o_orderkey)
              .join(c, F.col("o_custkey") == F.col("c_custkey"))
              .select(F.col("c_nationkey").cast("long").alias("group_id"), frm.alias("f"), to.alias("t"),
                      F.col("l_extendedprice").cast(MONEY).alias("price"))
