@@ -28,6 +28,18 @@ def net_owes(mode: str) -> Column:
     return F.greatest(diff, F.lit(0).cast("decimal(18,2)"))
 
 
+def grid(df: DataFrame, row: str, col: str) -> DataFrame:
+    """Every (row, col) value pair present in each group: the cells of a zero-filled pivot.
+
+    Each group's column values are gathered into one small array (bounded: categories or
+    members) that is looked up per row value and exploded — a many-to-one join on
+    ``group_id`` plus a generator, never a pairwise join of two large sides.
+    """
+    cols = df.groupBy(G).agg(F.array_distinct(F.collect_list(col)).alias("_vals"))
+    rows = df.select(G, row).distinct()
+    return rows.join(cols, G).select(G, row, F.explode("_vals").alias(col))
+
+
 # ---------------------------------------------------------------- expense aggregates
 
 def month_category_sums(expenses: DataFrame) -> DataFrame:
@@ -171,11 +183,10 @@ def person_month(shares: DataFrame, members: DataFrame, value: Column) -> DataFr
     """
     t = tracked_shares(shares, members).select(G, "month", "member", "ord", value.alias("v"))
     sums = t.groupBy(G, "month", "member").agg(F.sum("v").alias("v"), F.min("ord").alias("ord"))
-    months = sums.select(G, "month").distinct()
     persons = sums.groupBy(G, "member").agg(F.min("ord").alias("ord"))
-    grid = months.join(persons, G)
     zero = F.lit(0).cast("decimal(28,2)")
-    cells = grid.join(sums.drop("ord"), [G, "month", "member"], "left").select(
+    cells = grid(sums, "month", "member").join(persons, [G, "member"]).join(
+        sums.drop("ord"), [G, "month", "member"], "left").select(
         G, "month", F.col("member").alias("person"), "ord", F.coalesce("v", zero).alias("amount"))
     total = sums.groupBy(G, "month").agg(F.sum("v").alias("amount")).select(
         G, "month", F.lit(TOTAL_LABEL).alias("person"), F.lit(1 << 30).alias("ord"), "amount")
@@ -224,10 +235,11 @@ def person_totals_by_month(expenses: DataFrame, shares: DataFrame, members: Data
     """Net owes per month (of the expense table) and member; zero-filled grid."""
     t = tracked_shares(kept_expense_shares(shares, expenses), members)
     sums = t.groupBy(G, "month", "member").agg(F.sum(net_owes(mode)).alias("v"))
-    months = expenses.select(G, "month").distinct()
-    names = members.groupBy(G, F.col("name").alias("member")).agg(F.min("ord").alias("ord"))
+    names = members.groupBy(G).agg(F.array_distinct(F.collect_list("name")).alias("_names"))
+    cells = expenses.select(G, "month").distinct().join(names, G).select(
+        G, "month", F.explode("_names").alias("member"))
     zero = F.lit(0).cast("decimal(28,2)")
-    return months.join(names, G).join(sums, [G, "month", "member"], "left").select(
+    return cells.join(sums, [G, "month", "member"], "left").select(
         G, "month", F.col("member").alias("person"), money(F.coalesce("v", zero)).alias("amount"))
 
 

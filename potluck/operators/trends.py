@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from potluck.operators.aggregates import money
+from potluck.operators.aggregates import grid, money
 from potluck.schemas import TOTAL_LABEL
 
 G = "group_id"
@@ -27,10 +27,8 @@ def mom_full(expenses: DataFrame) -> DataFrame:
         F.sum("amount").alias("v"), F.grouping("category").alias("is_total"))
     sums = sums.select(G, "month", F.when(F.col("is_total") == 1, F.lit(TOTAL_LABEL))
                        .otherwise(F.col("category")).alias("category"), "v")
-    months = sums.select(G, "month").distinct()
-    cats = sums.select(G, "category").distinct()
     zero = F.lit(0).cast("decimal(28,2)")
-    cells = months.join(cats, G).join(sums, [G, "month", "category"], "left").select(
+    cells = grid(sums, "month", "category").join(sums, [G, "month", "category"], "left").select(
         G, "month", "category", F.coalesce("v", zero).alias("v"))
     w = Window.partitionBy(G, "category").orderBy("month")
     prev = F.lag("v").over(w)

@@ -8,7 +8,7 @@ partitioning).
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -19,12 +19,18 @@ KEY = ["group_id", "expense_id"]
 
 
 def dedupe_latest(df: DataFrame, order_col: str = "updated_at") -> DataFrame:
-    """One row per key: the latest ``updated_at`` (ties: the larger row text, deterministic)."""
-    if order_col not in df.columns:
+    """One row per key: the one with the latest ``updated_at`` (ties: the larger row text).
+
+    An aggregation (``max_by``) rather than a window: each task keeps only its best row
+    per key before the shuffle, so even a key repeated millions of times stays cheap.
+    """
+    cols = [c for c in df.columns if c not in KEY]
+    if not cols:
         return df.dropDuplicates(KEY)
-    w = Window.partitionBy(*KEY).orderBy(F.col(order_col).desc_nulls_last(),
-                                         F.to_json(F.struct(*[F.col(f"`{c}`") for c in df.columns])).desc())
-    return df.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") == 1).drop("_rn")
+    row = F.struct(*[F.col(f"`{c}`") for c in cols])
+    rank = F.struct(F.col(f"`{order_col}`") if order_col in df.columns else F.lit(None), F.to_json(row))
+    best = df.groupBy(*KEY).agg(F.max_by(row, rank).alias("_r"))
+    return best.select(*KEY, *[F.col("_r").getField(c).alias(c) for c in cols]).select(*df.columns)
 
 
 def upsert(existing: DataFrame | None, incoming: DataFrame, dedupe: bool = True) -> DataFrame:

@@ -56,5 +56,5 @@ def export(spark: SparkSession, ledger: Ledger, root: str, version: int,
     }
     if include_shares:
         tables["raw_shares"] = ledger.shares
-    writers.publish(spark, root, version, tables, skip_empty=tuple(tables))
+    writers.publish(spark, root, version, tables)
     return ExportResult(vpath, version, ("raw_expenses", *tables))
