@@ -210,9 +210,9 @@ def share_sanity(shares: DataFrame) -> DataFrame:
 
 
 def share_sample(shares: DataFrame, n: int = 6) -> DataFrame:
-    """First ``n`` share rows per group by (expense_id, user_id): a bounded peek."""
+    """First ``n`` share rows per group in key order: a bounded peek (per-task group limit)."""
     from pyspark.sql import Window
-    w = Window.partitionBy(G).orderBy("expense_id", "user_id", "person")
+    w = Window.partitionBy(G).orderBy("expense_id", "user_id", "owed_share", "paid_share")
     return shares.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= n).drop("_rn")
 
 
@@ -252,3 +252,14 @@ def top_people(shares: DataFrame, members: DataFrame, k: int = 2) -> DataFrame:
     ranked = tot.select("*", F.row_number().over(w).alias("rank")).where(F.col("rank") <= k)
     return ranked.select(G, F.col("rank").cast("long").alias("rank"), F.col("member").alias("person"),
                          money("v").alias("amount"))
+
+
+def person_month_wide(person_month: DataFrame, names: list[str]) -> DataFrame:
+    """Long month × person table → one column per member name (member order) + ``Total``.
+
+    ``names`` is the bounded member-name list; a member absent from a group's rows gets
+    null in that group (the single-group original has no such column at all).
+    """
+    cols = [n for n in names if n != TOTAL_LABEL] + [TOTAL_LABEL]
+    return person_month.groupBy(G, "month").agg(
+        *[F.max(F.when(F.col("person") == n, F.col("amount"))).alias(n) for n in cols])

@@ -213,6 +213,14 @@ register("share_sanity", """
 SELECT group_id, COUNT(*) AS share_rows, COUNT(DISTINCT expense_id) AS distinct_expenses
 FROM shares GROUP BY 1""")
 
+register("share_sample", """
+SELECT group_id, expense_id, user_id, person, month,
+       CAST(owed_share AS DOUBLE) AS owed_share, CAST(paid_share AS DOUBLE) AS paid_share
+FROM (SELECT *, row_number() OVER (PARTITION BY group_id
+                                   ORDER BY expense_id, user_id, owed_share, paid_share) AS rn
+      FROM shares)
+WHERE rn <= 6""")
+
 register("top_people", """
 SELECT group_id, rnk AS rank, member AS person, CAST(v AS DOUBLE) AS amount
 FROM (SELECT *, row_number() OVER (PARTITION BY group_id ORDER BY v DESC, ord DESC) AS rnk

@@ -91,7 +91,8 @@ def tables_view(snapshot, month: str | None = None, query: str | None = None,
     raw = table_page(snapshot.raw_wide, snapshot.names, month, query, limit)
     monthly = snapshot.monthly_by_category()
     monthly = search(month_filter_rows(monthly, month), [c for c in monthly.columns if c != G], query)
-    person = snapshot.per_person_month()
+    from potluck.operators.aggregates import person_month_wide
+    person = person_month_wide(snapshot.per_person_month(), snapshot.names)
     person = search(month_filter_rows(person, month), [c for c in person.columns if c != G], query)
     sel = selected_month(snapshot.ledger.expenses, month).withColumnRenamed("month", "selected_month")
     counts = raw.groupBy(G).agg(F.first("raw_total").alias("raw_total"), F.count(F.lit(1)).alias("raw_shown"))

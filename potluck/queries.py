@@ -174,6 +174,12 @@ def share_sanity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return A.share_sanity(from_tables(spark, sf_dir).shares)
 
 
+@query
+def share_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The share sanity peek: first 6 shares of each group in key order."""
+    return doubles(A.share_sample(from_tables(spark, sf_dir).shares, 6))
+
+
 @query
 def top_people(spark: SparkSession, sf_dir: str) -> DataFrame:
     led = from_tables(spark, sf_dir)
