@@ -477,3 +477,50 @@ SELECT group_id, expense_id, date,
             ELSE description END AS description,
        category, CAST(amount AS DOUBLE) AS amount, currency
 FROM expenses""")
+
+# ------------------------------------------------------------------ composed views
+register("dashboard_view", """
+SELECT g.group_id,
+       CASE WHEN cm.ok THEN '1997-06' ELSE 'all' END AS selected_category_month,
+       'all' AS selected_person_month,
+       sc.category AS selected_category,
+       sm.scoped_count, sm.scoped_total,
+       td.from_name AS top_debt_from, td.to_name AS top_debt_to, CAST(td.amount AS DOUBLE) AS top_debt_amount,
+       cb.n AS n_category_bars, mb.n AS n_monthly_bars, smb.n AS n_category_month_bars, pmn.n AS n_person_months
+FROM (SELECT CAST(n_nationkey AS BIGINT) AS group_id FROM nation) g
+LEFT JOIN (SELECT group_id, bool_or(month = '1997-06') AS ok FROM expenses GROUP BY 1) cm ON cm.group_id = g.group_id
+LEFT JOIN (SELECT group_id, min(category) AS category FROM charted GROUP BY 1) sc ON sc.group_id = g.group_id
+LEFT JOIN (SELECT e.group_id, COUNT(*) AS scoped_count, CAST(SUM(e.amount) AS DOUBLE) AS scoped_total
+           FROM expenses e JOIN (SELECT group_id, bool_or(month = '1997-06') AS ok FROM expenses GROUP BY 1) v
+             ON v.group_id = e.group_id
+           WHERE NOT v.ok OR e.month = '1997-06' GROUP BY 1) sm ON sm.group_id = g.group_id
+LEFT JOIN (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY group_id ORDER BY amount DESC, from_id, to_id) AS rn
+                          FROM edges) WHERE rn = 1) td ON td.group_id = g.group_id
+LEFT JOIN (SELECT e.group_id, least(COUNT(*), 20) AS n FROM (
+             SELECT e.group_id, e.category FROM expenses e
+             JOIN (SELECT group_id, bool_or(month = '1997-06') AS ok FROM expenses GROUP BY 1) v
+               ON v.group_id = e.group_id
+             WHERE NOT v.ok OR e.month = '1997-06' GROUP BY 1, 2 HAVING SUM(e.amount) > 0) e GROUP BY 1) cb
+  ON cb.group_id = g.group_id
+LEFT JOIN (SELECT group_id, least(COUNT(*), 120) AS n FROM (
+             SELECT group_id, month FROM expenses GROUP BY 1, 2 HAVING SUM(amount) > 0) GROUP BY 1) mb
+  ON mb.group_id = g.group_id
+LEFT JOIN (SELECT group_id, least(COUNT(*), 120) AS n FROM (
+             SELECT e.group_id, e.month FROM expenses e
+             JOIN (SELECT group_id, min(category) AS category FROM charted GROUP BY 1) s
+               ON s.group_id = e.group_id AND s.category = e.category
+             GROUP BY 1, 2 HAVING SUM(e.amount) > 0) GROUP BY 1) smb ON smb.group_id = g.group_id
+LEFT JOIN (SELECT group_id, COUNT(DISTINCT month) AS n FROM tracked GROUP BY 1) pmn ON pmn.group_id = g.group_id""",
+         EDGES + """,
+charted AS (SELECT group_id, category FROM expenses GROUP BY 1, 2 HAVING SUM(amount) > 0)""")
+
+register("tables_view", f"""
+SELECT g.group_id, CASE WHEN h.h = 1 THEN '1997-06' ELSE 'all' END AS selected_month, 'urgent' AS query,
+       coalesce(t.n, 0) AS raw_total, least(coalesce(t.n, 0), 50) AS raw_shown, 50 AS table_limit
+FROM (SELECT CAST(n_nationkey AS BIGINT) AS group_id FROM nation) g
+LEFT JOIN has h ON h.group_id = g.group_id
+LEFT JOIN (SELECT group_id, COUNT(*) AS n FROM scoped GROUP BY 1) t ON t.group_id = g.group_id""",
+         WIDE_NET + """,
+has AS (SELECT group_id, max(CASE WHEN month = '1997-06' THEN 1 ELSE 0 END) AS h FROM wide GROUP BY 1),
+scoped AS (SELECT w.* FROM wide w JOIN has ON has.group_id = w.group_id
+           WHERE (has.h = 0 OR w.month = '1997-06') AND contains(""" + HAYSTACK + """, 'urgent'))""")

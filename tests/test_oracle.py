@@ -55,4 +55,4 @@ def test_matches_oracle(spark, con, name):
 
 def test_every_query_has_an_oracle_or_is_rows_only():
     rows_only = set(E.queries()) - set(E.oracle_sql())
-    assert rows_only == {"snapshot_json", "dashboard_view", "tables_view"}
+    assert rows_only == {"snapshot_json"}
