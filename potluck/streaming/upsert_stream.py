@@ -1,15 +1,25 @@
-"""Structured Streaming refresh: landed expense documents upserted into a versioned store.
+"""Structured Streaming refresh: landed expense documents upserted into a partitioned store.
 
 The original refreshes on a timer (default 900 s, floor 30 s) plus a manual trigger, and
 keeps the last good snapshot when a refresh fails. Here:
 
 * ``readStream`` over a landing directory of expense headers (Parquet or JSON);
 * a processing-time trigger for the timer, ``availableNow`` for a manual/catch-up run;
-* ``foreachBatch`` merges each micro-batch into the store (dedupe by key, latest
-  ``updated_at`` wins; then the full-outer-join upsert) and writes store version
-  ``v=<batchId>``. The base of batch *n* is the newest published version below *n*, so
-  a replayed batch rewrites the same version with the same content (idempotent), and
-  the version becomes current only after its write committed (last good one survives).
+* ``foreachBatch`` merges each micro-batch into the store.
+
+Store layout: Parquet partitioned by ``id_range = expense_id div range_size``. An id never
+changes, so a row never moves between partitions, and a batch only touches the
+partitions of its own keys (with ids issued in time order, the recent ones). Per batch:
+
+1. de-duplicate the batch by key (latest ``updated_at``), tag each row with its range;
+2. read only the touched partitions of the store (partition pruning), upsert the batch
+   into them (full outer join on the key);
+3. stage the merged partitions in the shared folder, then overwrite exactly those
+   partitions of the store (dynamic partition overwrite).
+
+Work per batch grows with the batch's partitions, not with the store. A replayed batch
+recomputes the same partitions from already-merged rows, and the upsert is idempotent,
+so replays are safe; a partition is always either its old or its new version.
 """
 
 from __future__ import annotations
@@ -17,14 +27,19 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from potluck.operators.normalize import normalize_expenses
-from potluck.operators.upsert import upsert
+from potluck.operators.upsert import dedupe_latest, upsert
 from potluck.schemas import EXPENSE_HEADER, REFRESH_SECONDS_DEFAULT, REFRESH_SECONDS_MIN
 from potluck.sinks import writers
 
-STORE_TABLE = "expenses"
+ID_RANGE = "id_range"
+DEFAULT_RANGE_SIZE = 1_000_000
+# Above this many touched partitions the pruning list is not brought to the driver; the
+# store is then joined on the partition column instead (still correct, less pruning).
+MAX_LISTED_RANGES = 10_000
 
 
 def refresh_seconds(value: int | str | None) -> int:
@@ -34,26 +49,44 @@ def refresh_seconds(value: int | str | None) -> int:
     return max(int(str(value).strip()), REFRESH_SECONDS_MIN)
 
 
-def merge_batch(store_root: str) -> Callable[[DataFrame, int], None]:
-    """The ``foreachBatch`` function: upsert the batch into the store as a new version."""
+def _range_of(size: int):
+    return F.call_function("div", F.col("expense_id"), F.lit(size)).cast("long")
+
+
+def merge_batch(store: str, staging: str, range_size: int = DEFAULT_RANGE_SIZE) -> Callable[[DataFrame, int], None]:
+    """The ``foreachBatch`` function: upsert one micro-batch into the touched partitions."""
     def run(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        base_v = writers.latest_version(spark, store_root, before=batch_id)
-        base = writers.read_published(spark, store_root, STORE_TABLE, version=base_v) if base_v is not None else None
-        merged = upsert(base, batch)
-        writers.publish(spark, store_root, batch_id, {STORE_TABLE: merged})
+        inc = dedupe_latest(batch)
+        if writers.path_exists(spark, store):
+            current = spark.read.parquet(store)
+            listed = inc.select(_range_of(range_size).alias(ID_RANGE)).distinct().limit(MAX_LISTED_RANGES + 1).collect()
+            if len(listed) <= MAX_LISTED_RANGES:
+                touched = current.where(F.col(ID_RANGE).isin([r[0] for r in listed]))
+            else:
+                ranges = inc.select(_range_of(range_size).alias(ID_RANGE)).distinct()
+                touched = current.join(ranges, ID_RANGE, "left_semi")
+            merged = upsert(touched.drop(ID_RANGE), inc, dedupe=False)
+        else:
+            merged = inc
+        stage = f"{staging.rstrip('/')}/batch={batch_id}"
+        merged.withColumn(ID_RANGE, _range_of(range_size)).write.mode("overwrite").parquet(stage)
+        (spark.read.parquet(stage).write.mode("overwrite")
+         .option("partitionOverwriteMode", "dynamic").partitionBy(ID_RANGE).parquet(store))
     return run
 
 
-def start(spark: SparkSession, landing: str, store_root: str, checkpoint: str,
+def start(spark: SparkSession, landing: str, store: str, checkpoint: str,
           interval_seconds: int | None = None, available_now: bool = False,
-          fmt: str = "parquet", max_files_per_trigger: int | None = None) -> StreamingQuery:
+          fmt: str = "parquet", max_files_per_trigger: int | None = None,
+          range_size: int = DEFAULT_RANGE_SIZE, staging: str | None = None) -> StreamingQuery:
     """Start the refresh stream. Exactly one of timer / ``available_now`` applies."""
     reader = spark.readStream.schema(EXPENSE_HEADER).format(fmt)
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", str(max_files_per_trigger))
     expenses = normalize_expenses(reader.load(landing))
-    writer = (expenses.writeStream.foreachBatch(merge_batch(store_root))
+    stage_root = staging or f"{checkpoint.rstrip('/')}/_staging"
+    writer = (expenses.writeStream.foreachBatch(merge_batch(store, stage_root, range_size))
               .option("checkpointLocation", checkpoint))
     if available_now:
         writer = writer.trigger(availableNow=True)
@@ -62,6 +95,8 @@ def start(spark: SparkSession, landing: str, store_root: str, checkpoint: str,
     return writer.start()
 
 
-def current_store(spark: SparkSession, store_root: str) -> DataFrame | None:
-    """The newest committed store version (``None`` before the first batch)."""
-    return writers.read_published(spark, store_root, STORE_TABLE)
+def current_store(spark: SparkSession, store: str) -> DataFrame | None:
+    """The store as it is now (``None`` before the first batch)."""
+    if not writers.path_exists(spark, store):
+        return None
+    return spark.read.parquet(store).drop(ID_RANGE)

@@ -22,7 +22,7 @@ def test_stream_equals_batch(spark, docs):
         .withColumn("description", F.lit("Market (edited)"))
     edit.coalesce(1).write.parquet(f"{base}/landing/c")
     q = S.start(spark, f"{base}/landing/*", f"{base}/store", f"{base}/ckpt", available_now=True,
-                max_files_per_trigger=1)
+                max_files_per_trigger=1, range_size=2)
     q.awaitTermination()
     store = S.current_store(spark, f"{base}/store")
     batch = upsert(None, normalize_expenses(headers.unionByName(edit)))
@@ -30,7 +30,7 @@ def test_stream_equals_batch(spark, docs):
     assert rows(store, *cols) == rows(batch, *cols)
     assert store.where("expense_id = 1").collect()[0].description == "Market (edited)"
     # replaying a batch id rewrites the same version with the same content
-    S.merge_batch(f"{base}/store")(normalize_expenses(edit), 2)
+    S.merge_batch(f"{base}/store", f"{base}/staging", 2)(normalize_expenses(edit), 2)
     assert rows(S.current_store(spark, f"{base}/store"), *cols) == rows(batch, *cols)
 
 
@@ -38,3 +38,22 @@ def test_refresh_interval_floor():
     assert S.refresh_seconds(None) == 900
     assert S.refresh_seconds("5") == 30
     assert S.refresh_seconds(120) == 120
+
+
+def test_batch_touches_only_its_partitions(spark, docs):
+    base = shared_path(spark, "tests", "potluck-test-stream-parts", uuid.uuid4().hex)
+    headers, _ = flatten_docs(docs)
+    run = S.merge_batch(f"{base}/store", f"{base}/staging", 2)
+    run(normalize_expenses(headers), 0)
+    before = {r.id_range: r.n for r in spark.read.parquet(f"{base}/store").groupBy("id_range")
+              .agg(F.count("*").alias("n")).collect()}
+    assert set(before) == {0, 1, 2, 3}  # ids 1..6 → ranges 0..3 (id 3 and 5 are dropped)
+    import os
+    untouched = sorted(os.listdir(f"{base}/store/id_range=0".replace("file:", "")))
+    edit = headers.where("id = 4").withColumn("updated_at", F.lit("2030-01-01T00:00:00Z")) \
+        .withColumn("description", F.lit("Paris (edited)"))
+    run(normalize_expenses(edit), 1)
+    assert sorted(os.listdir(f"{base}/store/id_range=0".replace("file:", ""))) == untouched
+    store = S.current_store(spark, f"{base}/store")
+    assert store.count() == 4
+    assert store.where("expense_id = 4").collect()[0].description == "Paris (edited)"
