@@ -29,8 +29,23 @@ from potluck.schemas import MONEY
 FIXTURE_MEMBERS_JSON = '{"3": "Alice", "1": "Bob", "5": "Carol"}'
 
 
+# Columns read from the driver tables, with their stored types. Declaring them skips
+# footer-based schema inference and documents exactly what the ledger depends on.
+TABLE_SCHEMAS = {
+    "nation": "n_nationkey int, n_name string",
+    "customer": "c_custkey bigint, c_nationkey int, c_mktsegment string",
+    "orders": ("o_orderkey bigint, o_custkey bigint, o_totalprice double, o_orderdate timestamp_ntz, "
+               "o_orderpriority string"),
+    "lineitem": ("l_orderkey bigint, l_suppkey bigint, l_linenumber int, l_quantity double, "
+                 "l_extendedprice double, l_discount double, l_returnflag string"),
+}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    reader = spark.read
+    if name in TABLE_SCHEMAS:
+        reader = reader.schema(TABLE_SCHEMAS[name])
+    return reader.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
 def group_config(spark: SparkSession, sf_dir: str) -> DataFrame:
