@@ -90,6 +90,30 @@ class Snapshot:
         led = self.ledger
         return A.person_month_net(led.shares, led.members, led.params.share_mode)
 
+    # --- materialized base (one refresh feeds many parts)
+    def materialize(self, root: str, version: int) -> "Snapshot":
+        """Write the shared base tables once and return a snapshot that reads them back.
+
+        Every part of a refresh derives from the same expenses, shares and member table;
+        writing them to the shared folder (published version ``version`` under ``root``)
+        computes the normalization once and cuts the lineage, so a lost executor re-runs
+        only a stage of the part being computed, never the whole ingest.
+        """
+        from potluck.plans.ledger import build
+        from potluck.sinks import writers
+        led = self.ledger
+        writers.publish(self.ledger.expenses.sparkSession, root, version, {
+            "expenses": led.expenses, "shares": led.shares, "members": led.members,
+            "groups": led.groups, "debts_raw": led.debts_raw})
+        spark = led.expenses.sparkSession
+
+        def read(name: str) -> DataFrame:
+            return writers.read_published(spark, root, name, version=version)
+
+        base = build(read("groups"), read("members"), read("expenses"), read("shares"), read("debts_raw"),
+                     led.params.__class__(led.params.debt_direction, led.params.share_direction))
+        return Snapshot(base, self.recent_rows, self.generated_at, self.start_month, self.end_month)
+
     # --- one JSON document per group (bounded parts only)
     def to_json(self) -> DataFrame:
         def nest(df: DataFrame, name: str, fields: list[str], order: str, desc: bool = False) -> DataFrame:

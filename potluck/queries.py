@@ -443,8 +443,9 @@ def members_from_json(spark: SparkSession, sf_dir: str) -> DataFrame:
 def snapshot_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One JSON dashboard document per group (bounded parts)."""
     from potluck.plans.snapshot import Snapshot
-    return Snapshot(from_tables(spark, sf_dir), generated_at="1970-01-01T00:00:00+00:00",
-                    start_month="1995-01", end_month="2001-12").to_json()
+    snap = Snapshot(from_tables(spark, sf_dir), generated_at="1970-01-01T00:00:00+00:00",
+                    start_month="1995-01", end_month="2001-12")
+    return snap.materialize(_scratch(spark, "snapshots"), version=1).to_json()
 
 
 @query
