@@ -28,16 +28,45 @@ def net_owes(mode: str) -> Column:
     return F.greatest(diff, F.lit(0).cast("decimal(18,2)"))
 
 
-def grid(df: DataFrame, row: str, col: str) -> DataFrame:
-    """Every (row, col) value pair present in each group: the cells of a zero-filled pivot.
-
-    Each group's column values are gathered into one small array (bounded: categories or
-    members) that is looked up per row value and exploded — a many-to-one join on
-    ``group_id`` plus a generator, never a pairwise join of two large sides.
+def dense_cells(sums: DataFrame, row: str, col: str, value: str = "v",
+                col_values: DataFrame | None = None, total_label: str | None = None) -> DataFrame:
+    """Zero-filled pivot cells of each group from one pass over aggregated ``sums``.
+
+    ``sums`` holds ``group_id, row, col, value`` with at most one row per cell (already
+    aggregated). Each group's cells are gathered once into an array — bounded by the
+    pivot's size (months × categories or members), never by the number of expenses — and
+    the grid is generated from it: rows present × columns present, missing cells 0.
+    ``col_values`` (``group_id, col``) replaces the present columns when given (e.g.
+    every member of the group); ``total_label`` adds a column holding each row's total.
+    The input is consumed once, so the plan that produced it runs once, and there is no
+    join of two large sides.
     """
-    cols = df.groupBy(G).agg(F.array_distinct(F.collect_list(col)).alias("_vals"))
-    rows = df.select(G, row).distinct()
-    return rows.join(cols, G).select(G, row, F.explode("_vals").alias(col))
+    dec = "decimal(28,2)"
+    entry = F.struct(F.col(row).cast("string").alias("r"), F.col(col).cast("string").alias("c"),
+                     F.col(value).cast(dec).alias("v"))
+    per = sums.groupBy(G).agg(F.collect_list(entry).alias("_e"))
+    present = F.filter("_e", lambda x: x["c"].isNotNull())
+    rows_ = F.array_distinct(F.transform("_e", lambda x: x["r"]))
+    if col_values is not None:
+        names = col_values.groupBy(G).agg(F.array_distinct(F.collect_list(col)).alias("_cols"))
+        per = per.join(names, G).select(G, present.alias("_e"), rows_.alias("_rows"), "_cols")
+    else:
+        per = per.select(G, present.alias("_e"), rows_.alias("_rows"),
+                         F.array_distinct(F.transform(present, lambda x: x["c"])).alias("_cols"))
+    if total_label is not None:
+        per = per.withColumn("_cols", F.concat("_cols", F.array(F.lit(total_label))))
+    keyed = F.map_from_arrays(
+        F.transform("_e", lambda x: F.struct(x["r"].alias("r"), x["c"].alias("c"))),
+        F.transform("_e", lambda x: x["v"]))
+    zero = F.lit(0).cast(dec)
+    out = (per.select(G, F.explode("_rows").alias(row), "_cols", "_e", keyed.alias("_m"))
+           .select(G, row, F.explode("_cols").alias(col), "_e", "_m"))
+    cell = F.coalesce(F.element_at("_m", F.struct(F.col(row).alias("r"), F.col(col).alias("c"))), zero)
+    if total_label is not None:
+        row_total = F.aggregate(F.filter("_e", lambda x: x["r"] == F.col(row)), zero,
+                                lambda acc, x: (acc + x["v"]).cast(dec))
+        cell = F.when(F.col(col) == total_label, row_total).otherwise(cell)
+    return out.select(G, row, col, cell.alias(value))
 
 
 # ---------------------------------------------------------------- expense aggregates
@@ -178,19 +207,16 @@ def person_month(shares: DataFrame, members: DataFrame, value: Column) -> DataFr
     """Month × person grid of a share value (zero-filled), plus a ``Total`` person per month.
 
     Months are those with tracked shares; persons are the members present in the group's
-    rows (members without any share are omitted, as in the wide original). The grid is
-    months × present members of one group, both bounded (calendar × member list).
+    rows (members without any share are omitted, as in the wide original). One aggregation
+    feeds the per-group grid (bounded by months × members) and its row totals.
     """
-    t = tracked_shares(shares, members).select(G, "month", "member", "ord", value.alias("v"))
-    sums = t.groupBy(G, "month", "member").agg(F.sum("v").alias("v"), F.min("ord").alias("ord"))
-    persons = sums.groupBy(G, "member").agg(F.min("ord").alias("ord"))
-    zero = F.lit(0).cast("decimal(28,2)")
-    cells = grid(sums, "month", "member").join(persons, [G, "member"]).join(
-        sums.drop("ord"), [G, "month", "member"], "left").select(
-        G, "month", F.col("member").alias("person"), "ord", F.coalesce("v", zero).alias("amount"))
-    total = sums.groupBy(G, "month").agg(F.sum("v").alias("amount")).select(
-        G, "month", F.lit(TOTAL_LABEL).alias("person"), F.lit(1 << 30).alias("ord"), "amount")
-    return cells.unionByName(total).select(G, "month", "person", "ord", money("amount").alias("amount"))
+    t = tracked_shares(shares, members).select(G, "month", "member", value.alias("v"))
+    sums = t.groupBy(G, "month", "member").agg(F.sum("v").alias("v"))
+    cells = dense_cells(sums, "month", "member", total_label=TOTAL_LABEL)
+    order = members.groupBy(G, F.col("name").alias("member")).agg(F.min("ord").alias("ord"))
+    return cells.join(order, [G, "member"], "left").select(
+        G, "month", F.col("member").alias("person"),
+        F.coalesce("ord", F.lit(1 << 30)).alias("ord"), money("v").alias("amount"))
 
 
 def person_month_owed(shares: DataFrame, members: DataFrame) -> DataFrame:
@@ -232,15 +258,18 @@ def person_totals(expenses: DataFrame, shares: DataFrame, members: DataFrame, mo
 
 
 def person_totals_by_month(expenses: DataFrame, shares: DataFrame, members: DataFrame, mode: str) -> DataFrame:
-    """Net owes per month (of the expense table) and member; zero-filled grid."""
-    t = tracked_shares(kept_expense_shares(shares, expenses), members)
-    sums = t.groupBy(G, "month", "member").agg(F.sum(net_owes(mode)).alias("v"))
-    names = members.groupBy(G).agg(F.array_distinct(F.collect_list("name")).alias("_names"))
-    cells = expenses.select(G, "month").distinct().join(names, G).select(
-        G, "month", F.explode("_names").alias("member"))
-    zero = F.lit(0).cast("decimal(28,2)")
-    return cells.join(sums, [G, "month", "member"], "left").select(
-        G, "month", F.col("member").alias("person"), money(F.coalesce("v", zero)).alias("amount"))
+    """Net owes per month (of the expense table) and member; zero-filled grid.
+
+    The expense table is consumed once: its rows are left-joined with the tracked share
+    rows on ``expense_id`` (settlement shares find no expense and drop out), so months
+    without any tracked share still appear. All members of the group are columns.
+    """
+    t = tracked_shares(shares, members).select("expense_id", "member", net_owes(mode).alias("v"))
+    rows = expenses.select(G, "expense_id", "month").join(t, "expense_id", "left")
+    sums = rows.groupBy(G, "month", "member").agg(F.sum("v").cast("decimal(28,2)").alias("v"))
+    names = members.select(G, F.col("name").alias("member"))
+    cells = dense_cells(sums, "month", "member", col_values=names)
+    return cells.select(G, "month", F.col("member").alias("person"), money("v").alias("amount"))
 
 
 def top_people(shares: DataFrame, members: DataFrame, k: int = 2) -> DataFrame:

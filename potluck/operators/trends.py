@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from potluck.operators.aggregates import grid, money
+from potluck.operators.aggregates import dense_cells, money
 from potluck.schemas import TOTAL_LABEL
 
 G = "group_id"
@@ -23,13 +23,8 @@ def mom_full(expenses: DataFrame) -> DataFrame:
 
     ``pct`` = value / previous − 1 in double; a previous value of 0 (or none) gives 0.0.
     """
-    sums = expenses.groupingSets([[G, "month", "category"], [G, "month"]], G, "month", "category").agg(
-        F.sum("amount").alias("v"), F.grouping("category").alias("is_total"))
-    sums = sums.select(G, "month", F.when(F.col("is_total") == 1, F.lit(TOTAL_LABEL))
-                       .otherwise(F.col("category")).alias("category"), "v")
-    zero = F.lit(0).cast("decimal(28,2)")
-    cells = grid(sums, "month", "category").join(sums, [G, "month", "category"], "left").select(
-        G, "month", "category", F.coalesce("v", zero).alias("v"))
+    sums = expenses.groupBy(G, "month", "category").agg(F.sum("amount").alias("v"))
+    cells = dense_cells(sums, "month", "category", total_label=TOTAL_LABEL)
     w = Window.partitionBy(G, "category").orderBy("month")
     prev = F.lag("v").over(w)
     lagged = cells.select("*", prev.alias("prev"))

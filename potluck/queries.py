@@ -452,14 +452,16 @@ def snapshot_json(spark: SparkSession, sf_dir: str) -> DataFrame:
 def dashboard_view(spark: SparkSession, sf_dir: str) -> DataFrame:
     from potluck.plans.snapshot import Snapshot
     from potluck.plans.views import dashboard_view as dv
-    return dv(Snapshot(from_tables(spark, sf_dir)), "1997-06", "1999-13", "Nope")["header"]
+    snap = Snapshot(from_tables(spark, sf_dir)).materialize(_scratch(spark, "snapshots"), version=1)
+    return dv(snap, "1997-06", "1999-13", "Nope")["header"]
 
 
 @query
 def tables_view(spark: SparkSession, sf_dir: str) -> DataFrame:
     from potluck.plans.snapshot import Snapshot
     from potluck.plans.views import tables_view as tv
-    return tv(Snapshot(from_tables(spark, sf_dir)), "1997-06", "urgent", 10)["header"]
+    snap = Snapshot(from_tables(spark, sf_dir)).materialize(_scratch(spark, "snapshots"), version=1)
+    return tv(snap, "1997-06", "urgent", 10)["header"]
 
 
 def _scratch(spark: SparkSession, kind: str) -> str:
