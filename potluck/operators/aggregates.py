@@ -33,40 +33,40 @@ def dense_cells(sums: DataFrame, row: str, col: str, value: str = "v",
     """Zero-filled pivot cells of each group from one pass over aggregated ``sums``.
 
     ``sums`` holds ``group_id, row, col, value`` with at most one row per cell (already
-    aggregated). Each group's cells are gathered once into an array — bounded by the
-    pivot's size (months × categories or members), never by the number of expenses — and
-    the grid is generated from it: rows present × columns present, missing cells 0.
-    ``col_values`` (``group_id, col``) replaces the present columns when given (e.g.
-    every member of the group); ``total_label`` adds a column holding each row's total.
-    The input is consumed once, so the plan that produced it runs once, and there is no
-    join of two large sides.
+    aggregated; a null ``col`` marks a row value without cells). Rows become small maps
+    ``col → value``; each group then gathers its row maps (bounded by the pivot's size:
+    months × categories or members, never by the number of expenses) and every row is
+    expanded over the group's columns, missing cells 0. ``col_values`` (``group_id, col``)
+    replaces the present columns (e.g. every member); ``total_label`` adds each row's total.
+    The input is consumed once — the plan that produced it runs once — and no two large
+    sides are ever joined.
     """
     dec = "decimal(28,2)"
-    entry = F.struct(F.col(row).cast("string").alias("r"), F.col(col).cast("string").alias("c"),
-                     F.col(value).cast(dec).alias("v"))
-    per = sums.groupBy(G).agg(F.collect_list(entry).alias("_e"))
-    present = F.filter("_e", lambda x: x["c"].isNotNull())
-    rows_ = F.array_distinct(F.transform("_e", lambda x: x["r"]))
+    cell = F.when(F.col(col).isNotNull(), F.struct(F.col(col).cast("string").alias("c"),
+                                                    F.col(value).cast(dec).alias("v")))
+    rowmaps = sums.groupBy(G, row).agg(F.map_from_entries(F.collect_list(cell)).alias("m"))
+    per = rowmaps.groupBy(G).agg(F.collect_list(F.struct(F.col(row).alias("r"), "m")).alias("_rows"))
     if col_values is not None:
-        names = col_values.groupBy(G).agg(F.array_distinct(F.collect_list(col)).alias("_cols"))
-        per = per.join(names, G).select(G, present.alias("_e"), rows_.alias("_rows"), "_cols")
+        names = col_values.groupBy(G).agg(F.array_distinct(F.collect_list(F.col(col).cast("string"))).alias("_cols"))
+        per = per.join(names, G)
     else:
-        per = per.select(G, present.alias("_e"), rows_.alias("_rows"),
-                         F.array_distinct(F.transform(present, lambda x: x["c"])).alias("_cols"))
+        per = per.select(G, "_rows", F.array_distinct(F.flatten(
+            F.transform("_rows", lambda x: F.map_keys(x["m"])))).alias("_cols"))
     if total_label is not None:
         per = per.withColumn("_cols", F.concat("_cols", F.array(F.lit(total_label))))
-    keyed = F.map_from_arrays(
-        F.transform("_e", lambda x: F.struct(x["r"].alias("r"), x["c"].alias("c"))),
-        F.transform("_e", lambda x: x["v"]))
     zero = F.lit(0).cast(dec)
-    out = (per.select(G, F.explode("_rows").alias(row), "_cols", "_e", keyed.alias("_m"))
-           .select(G, row, F.explode("_cols").alias(col), "_e", "_m"))
-    cell = F.coalesce(F.element_at("_m", F.struct(F.col(row).alias("r"), F.col(col).alias("c"))), zero)
-    if total_label is not None:
-        row_total = F.aggregate(F.filter("_e", lambda x: x["r"] == F.col(row)), zero,
-                                lambda acc, x: (acc + x["v"]).cast(dec))
-        cell = F.when(F.col(col) == total_label, row_total).otherwise(cell)
-    return out.select(G, row, col, cell.alias(value))
+    rows_ = per.select(G, F.explode("_rows").alias("x"), "_cols").select(
+        G, F.col("x.r").alias(row), F.col("x.m").alias("m"), "_cols")
+
+    def fill(c):
+        v = F.coalesce(F.element_at("m", c), zero)
+        if total_label is not None:
+            total = F.aggregate(F.map_values("m"), zero, lambda acc, x: (acc + x).cast(dec))
+            v = F.when(c == total_label, total).otherwise(v)
+        return F.struct(c.alias("c"), v.alias("v"))
+
+    out = rows_.select(G, row, F.explode(F.transform("_cols", fill)).alias("y"))
+    return out.select(G, row, F.col("y.c").alias(col), F.col("y.v").alias(value))
 
 
 # ---------------------------------------------------------------- expense aggregates
