@@ -48,7 +48,9 @@ def search(df: DataFrame, cols: list[str], query: str | None) -> DataFrame:
 def month_filter_rows(df: DataFrame, month: str | None) -> DataFrame:
     """Restrict to one month when that month exists in the row's group, else keep all.
 
-    Validation is per group: a semi-join-free flag computed by one aggregation.
+    For the small aggregated tables (month × category, month × person): the per-group
+    flag is joined back. Row-level tables use :func:`table_page`, which never joins the
+    raw rows on the group key.
     """
     sel = (month or ALL_MONTHS).strip()
     if sel == ALL_MONTHS:
@@ -78,14 +80,28 @@ def table_page(raw_wide: DataFrame, names: list[str], month: str | None, query:
                limit: int) -> DataFrame:
     """One page of the filtered expense table plus the total count before the limit.
 
-    The count is a grouped aggregation (partial per task) joined back to the ≤ ``limit``
-    rows of each group; no window over a whole group is needed.
+    Raw rows are never joined or windowed on the group key as a whole: the month check,
+    both totals and the search hits are one partial aggregation per group, and the page
+    candidates (first rows of the month, first rows of all months) are top-k windows that
+    Spark limits per task before the shuffle. Only these small results are joined.
     """
     limit = max(int(limit), TABLE_LIMIT_MIN)
+    sel = (month or ALL_MONTHS).strip()
     cols = raw_table_columns(raw_wide.columns, names)
-    rows = search(month_filter_rows(raw_wide.select(G, *cols), month), cols, query)
-    total = rows.groupBy(G).agg(F.count(F.lit(1)).alias("raw_total"))
-    return first_rows(rows, limit).join(total, G)
+    base = raw_wide.select(G, *cols)
+    match = search_matches(search_text_columns(base, cols), query)
+    hits = base.where(match)
+    if sel == ALL_MONTHS:
+        total = hits.groupBy(G).agg(F.count(F.lit(1)).alias("raw_total"))
+        return first_rows(hits, limit).join(total, G)
+    in_month = F.col("month") == sel
+    info = base.groupBy(G).agg(F.max(in_month.cast("int")).alias("_has"),
+                               F.count_if(match).alias("_all"), F.count_if(match & in_month).alias("_sel"))
+    pages = (first_rows(hits, limit).withColumn("_which", F.lit(0))
+             .unionByName(first_rows(hits.where(in_month), limit).withColumn("_which", F.lit(1))))
+    page = pages.join(info, G).where(F.col("_which") == F.col("_has"))
+    total = F.when(F.col("_has") == 1, F.col("_sel")).otherwise(F.col("_all"))
+    return page.select(G, *cols, "pos", total.alias("raw_total"))
 
 
 def table_payload(df: DataFrame, cols: list[str]) -> DataFrame:

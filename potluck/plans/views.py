@@ -46,19 +46,23 @@ def dashboard_view(snapshot, category_month: str | None = None, person_month: st
     pm = selected_month(e, person_month).withColumnRenamed("month", "selected_person_month")
     cat = selected_category(e, category).withColumnRenamed("category", "selected_category")
 
-    scoped = (e.join(cm, G).where((F.col("selected_category_month") == ALL_MONTHS)
-                                  | (F.col("month") == F.col("selected_category_month")))
-              .groupBy(G).agg(F.count(F.lit(1)).alias("scoped_count"),
-                              A.money(F.sum("amount")).alias("scoped_total")))
-    cat_items = (e.join(cm, G).where((F.col("selected_category_month") == ALL_MONTHS)
-                                     | (F.col("month") == F.col("selected_category_month")))
-                 .groupBy(G, "category").agg(F.sum("amount").alias("amount")))
+    # Scoped count/total and category totals: conditional sums in one aggregation each,
+    # validated per group at the aggregated level (no join of expense rows on the group).
+    sel_cm = (category_month or ALL_MONTHS).strip()
+    scoped = A.scoped_month(e, sel_cm).select(G, "scoped_count", "scoped_total")
+    in_month = F.col("month") == sel_cm
+    cat_all = e.groupBy(G, "category").agg(F.sum("amount").alias("all_amt"),
+                                           F.sum(F.when(in_month, F.col("amount"))).alias("sel_amt"))
+    cat_items = cat_all.join(cm, G).select(
+        G, "category", F.when(F.col("selected_category_month") == ALL_MONTHS, F.col("all_amt"))
+        .otherwise(F.col("sel_amt")).alias("amount"))
     category_bars = bars(cat_items, "category", [F.col("amount").desc(), F.col("category")],
                          CATEGORY_BARS_LIMIT, color=True)
     monthly = e.groupBy(G, "month").agg(F.sum("amount").alias("amount"))
     monthly_bars = bars(monthly, "month", [F.col("month").desc()], MONTH_BARS_LIMIT)
-    series = (e.join(cat.withColumnRenamed("selected_category", "category"), [G, "category"], "left_semi")
-              .groupBy(G, "month").agg(F.sum("amount").alias("amount")))
+    series = (A.month_category_sums(e)
+              .join(cat.withColumnRenamed("selected_category", "category"), [G, "category"], "left_semi")
+              .select(G, "month", "amount"))
     category_month_bars = bars(series, "month", [F.col("month").desc()], MONTH_BARS_LIMIT)
     person = A.person_month(led.shares, led.members, A.net_owes(led.params.share_mode)).drop("ord")
     person = person.join(pm, G).where((F.col("selected_person_month") == ALL_MONTHS)

@@ -344,8 +344,9 @@ def bars_series(spark: SparkSession, sf_dir: str) -> DataFrame:
     from potluck.schemas import MONTH_BARS_LIMIT
     e = from_tables(spark, sf_dir).expenses
     sel = selected_category(e, SERIES_CATEGORY)
-    s = (e.join(sel, ["group_id", "category"], "left_semi")
-         .groupBy("group_id", "month").agg(F.sum("amount").alias("amount")))
+    # aggregate first (partial sums), then pick the selected series: small ⋈ small
+    s = A.month_category_sums(e).join(sel, ["group_id", "category"], "left_semi").select(
+        "group_id", "month", "amount")
     return bars(s, "month", [F.col("month").desc()], MONTH_BARS_LIMIT)
 
 
