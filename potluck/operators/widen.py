@@ -22,22 +22,6 @@ def stale_member_columns(columns: list[str], names: list[str]) -> list[str]:
     return drop
 
 
-def member_amounts(shares: DataFrame, members: DataFrame, value: Column) -> DataFrame:
-    """``group_id, expense_id, member, v``: a share value summed per expense and member."""
-    t = tracked_shares(shares, members)
-    return t.groupBy(G, "expense_id", "member").agg(F.sum(value).alias("v"))
-
-
-def widen_long(expenses: DataFrame, shares: DataFrame, members: DataFrame, value: Column) -> DataFrame:
-    """Every expense × every member of its group with the summed value (0 when none)."""
-    names = members.groupBy(G, F.col("name").alias("member")).agg(F.min("ord").alias("ord"))
-    grid = expenses.select(G, "expense_id").join(names, G)
-    sums = member_amounts(shares, members, value)
-    zero = F.lit(0).cast("decimal(28,2)")
-    return grid.join(sums, [G, "expense_id", "member"], "left").select(
-        G, "expense_id", "member", "ord", F.coalesce("v", zero).alias("owes"))
-
-
 def widen(expenses: DataFrame, shares: DataFrame, members: DataFrame, value: Column,
           names: list[str]) -> DataFrame:
     """Expense table plus one ``<name>_owes`` column per member name (0.0 when none).
