@@ -92,18 +92,17 @@ def distinct_categories(expenses: DataFrame, limit: int = MAX_PIVOT_VALUES) -> l
 def month_category_pivot(expenses: DataFrame, categories: list[str] | None = None) -> DataFrame:
     """Wide month × category table, zero-filled, with a ``Total`` column.
 
-    The category list is explicit (bounded) so Spark plans a single two-phase aggregate
-    followed by the pivot instead of an extra distinct job.
+    The category list is explicit and bounded; each cell is a conditional sum, so the
+    whole table is one two-phase aggregation on (group, month) — a single shuffle of
+    partial sums.
     """
     cats = categories if categories is not None else distinct_categories(expenses)
-    piv = expenses.groupBy(G, "month").pivot("category", cats).agg(F.sum("amount"))
     zero = F.lit(0).cast("decimal(28,2)")
-    filled = [F.coalesce(F.col(f"`{c}`"), zero) for c in cats]
-    total = filled[0] if filled else zero
-    for c in filled[1:]:
-        total = total + c
-    return piv.select(G, "month", *[money(f).alias(c) for f, c in zip(filled, cats)],
-                      money(total).alias(TOTAL_LABEL))
+    cells = [F.coalesce(F.sum(F.when(F.col("category") == c, F.col("amount"))), zero).alias(f"_c{i}")
+             for i, c in enumerate(cats)]
+    piv = expenses.groupBy(G, "month").agg(*cells, F.coalesce(F.sum("amount"), zero).alias("_total"))
+    return piv.select(G, "month", *[money(f"_c{i}").alias(c) for i, c in enumerate(cats)],
+                      money("_total").alias(TOTAL_LABEL))
 
 
 def monthly_totals(expenses: DataFrame) -> DataFrame:
