@@ -164,13 +164,17 @@ def multi_currency(expenses: DataFrame) -> DataFrame:
 
 
 def distinct_values(expenses: DataFrame) -> DataFrame:
-    """``group_id, kind, value``: currencies, months (non-blank) and charted categories."""
-    cur = expenses.where(nonblank("currency")).select(G, F.lit("currency").alias("kind"),
-                                                     F.col("currency").alias("value")).distinct()
-    mon = expenses.where(nonblank("month")).select(G, F.lit("month").alias("kind"),
-                                                  F.col("month").alias("value")).distinct()
-    cat = category_totals(expenses).select(G, F.lit("category").alias("kind"), F.col("category").alias("value"))
-    return cur.unionByName(mon).unionByName(cat)
+    """``group_id, kind, value``: currencies, months (non-blank) and charted categories.
+
+    One pass: every expense row contributes its three (kind, value) pairs to a single
+    grouped aggregation; categories are kept only with a positive total.
+    """
+    pairs = F.array(*[F.struct(F.lit(k).alias("kind"), F.col(k).alias("value"), F.col("amount").alias("amount"))
+                      for k in ("currency", "month", "category")])
+    s = (expenses.select(G, F.explode(pairs).alias("p")).select(G, "p.*")
+         .groupBy(G, "kind", "value").agg(F.sum("amount").alias("amount")))
+    keep = F.when(F.col("kind") == "category", F.col("amount") > 0).otherwise(nonblank("value"))
+    return s.where(keep).select(G, "kind", "value")
 
 
 def scoped_month(expenses: DataFrame, month: str | None) -> DataFrame:

@@ -102,17 +102,25 @@ class Snapshot:
         from potluck.plans.ledger import build
         from potluck.sinks import writers
         led = self.ledger
-        writers.publish(self.ledger.expenses.sparkSession, root, version, {
-            "expenses": led.expenses, "shares": led.shares, "members": led.members,
-            "groups": led.groups, "debts_raw": led.debts_raw})
         spark = led.expenses.sparkSession
+        vpath = writers.version_path(root, version)
+        tables = {"expenses": led.expenses, "shares": led.shares, "members": led.members,
+                  "groups": led.groups, "debts_raw": led.debts_raw}
+        for name, df in tables.items():
+            writers.write_table(df, f"{vpath}/{name}")
 
         def read(name: str) -> DataFrame:
-            return writers.read_published(spark, root, name, version=version)
+            return spark.read.parquet(f"{vpath}/{name}")
 
         base = build(read("groups"), read("members"), read("expenses"), read("shares"), read("debts_raw"),
                      led.params.__class__(led.params.debt_direction, led.params.share_direction))
-        return Snapshot(base, self.recent_rows, self.generated_at, self.start_month, self.end_month)
+        snap = Snapshot(base, self.recent_rows, self.generated_at, self.start_month, self.end_month)
+        # the wide expense table feeds the recent rows, pages, searches and pivots: write it
+        # once too (from the written base), so each view scans a table instead of re-joining
+        writers.write_table(snap.raw_wide, f"{vpath}/raw_wide")
+        snap.__dict__["raw_wide"] = read("raw_wide")
+        writers.touch(spark, f"{vpath}/{writers.PUBLISHED}", str(version))
+        return snap
 
     # --- one JSON document per group (bounded parts only)
     def to_json(self) -> DataFrame:
