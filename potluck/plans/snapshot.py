@@ -130,6 +130,15 @@ class Snapshot:
             arr = F.sort_array(items, asc=not desc)
             return df.groupBy(G).agg(F.transform(arr, lambda s: s.dropFields("_k")).alias(name))
 
+        def nest_map(df: DataFrame, name: str, key: str, fields: list[str], order, desc: bool = False) -> DataFrame:
+            """``{key value: [rows sorted by order]}`` per group (keys and lists are bounded)."""
+            items = F.collect_list(F.struct(order.alias("_k"), *[F.col(f) for f in fields]))
+            lists = df.groupBy(G, key).agg(F.transform(F.sort_array(items, asc=not desc),
+                                                       lambda s: s.dropFields("_k")).alias("_l"))
+            return lists.groupBy(G).agg(F.map_from_entries(F.collect_list(F.struct(key, "_l"))).alias(name))
+
+        order_of = self.ledger.members.groupBy(G, F.col("name").alias("person")).agg(F.min("ord").alias("o"))
+
         parts = [
             nest(self.months(), "months", ["month"], "month", desc=True),
             self.summary().select(G, F.struct("expense_count", "total_expenses", F.split("currencies", ",")
@@ -141,7 +150,16 @@ class Snapshot:
             nest(self.monthly_totals(), "monthly_totals", ["month", "amount"], "month", desc=True),
             nest(self.category_totals_all().withColumn("_o", F.struct(-F.col("amount"), "category")),
                  "category_totals_all", ["category", "amount"], "_o"),
-            nest(self.person_totals_all(), "person_totals_all", ["person", "amount"], "person"),
+            nest(self.person_totals_all().join(order_of, [G, "person"], "left"), "person_totals_all",
+                 ["person", "amount"], "o"),
+            nest_map(self.category_totals_by_month(), "category_totals_by_month", "month", ["category", "amount"],
+                     F.struct(-F.col("amount"), F.col("category"))),
+            nest_map(self.category_month_series(), "category_month_series", "category", ["month", "amount"],
+                     F.col("month"), desc=True),
+            nest(A.distinct_values(self.ledger.expenses).where("kind = 'category'"), "categories",
+                 ["value"], "value"),
+            nest_map(self.person_totals_by_month().join(order_of, [G, "person"], "left"), "person_totals_by_month",
+                     "month", ["person", "amount"], F.col("o")),
             nest(self.recent_expenses(), "recent_expenses", ["pos", *self.raw_columns], "pos"),
         ]
         doc = self.ledger.groups.select(G, "group_name")
