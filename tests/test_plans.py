@@ -39,3 +39,17 @@ def test_member_lookup_is_broadcast(spark):
 def test_top_k_uses_group_limit(spark):
     text = plan_text(QUERIES["recent_expenses"](spark, SF))
     assert "WindowGroupLimit" in text
+
+
+@pytest.mark.parametrize("name", ["summary", "multi_currency", "scoped_month", "share_sanity", "distinct_values"])
+def test_group_keyed_aggregates_combine_before_the_shuffle(spark, name):
+    # a hot group sends one partial row per task, not its rows
+    text = plan_text(QUERIES[name](spark, SF))
+    assert "partial_" in text
+
+
+def test_no_fact_table_broadcast(spark):
+    text = plan_text(QUERIES["widen_net_owes"](spark, SF))
+    import re
+    for block in re.findall(r"BroadcastExchange.*?(?=\n\s*[:+]- [A-Z]|\Z)", text, flags=re.S):
+        assert "lineitem" not in block
