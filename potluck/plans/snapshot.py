@@ -84,11 +84,14 @@ class Snapshot:
         return recent(self.raw_wide, self.names, max(self.recent_rows, RECENT_ROWS_MIN))
 
     def monthly_by_category(self) -> DataFrame:
-        return A.month_category_pivot(self.raw_wide)
+        """Month × category table, months ascending (as the workbook and dashboard show it)."""
+        return A.month_category_pivot(self.raw_wide).orderBy(G, "month")
 
     def per_person_month(self) -> DataFrame:
+        """Month × person net table, newest month first, members in member order."""
         led = self.ledger
-        return A.person_month_net(led.shares, led.members, led.params.share_mode)
+        return A.person_month(led.shares, led.members, A.net_owes(led.params.share_mode)).orderBy(
+            G, F.col("month").desc(), "ord").drop("ord")
 
     # --- materialized base (one refresh feeds many parts)
     def materialize(self, root: str, version: int) -> "Snapshot":

@@ -92,3 +92,11 @@ def test_export_job_round_trip(spark, mini):
     pp = writers.read_published(spark, root, "per_person_month")
     assert rows(pp.where("month = '2024-01'"), "person", "amount") == [
         ("Alice", 1110.5), ("Bob", 40.0), ("Total", 1150.5)]
+
+
+def test_read_store_missing_and_present(spark, mini):
+    from potluck.operators.upsert import read_store
+    root = shared_path(spark, "tests", "potluck-test-store", uuid.uuid4().hex)
+    assert read_store(spark, f"{root}/nothing-here") is None
+    mini.expenses.write.parquet(f"{root}/store")
+    assert read_store(spark, f"{root}/store").count() == 4
