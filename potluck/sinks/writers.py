@@ -82,14 +82,17 @@ def publish(spark: SparkSession, root: str, version: int, tables: dict[str, Data
             partition_by: dict[str, list[str]] | None = None, skip_empty: tuple[str, ...] = ()) -> str:
     """Write ``tables`` as version ``version`` under ``root`` and mark it published.
 
-    Tables named in ``skip_empty`` are written only when they have rows (the original
-    omits empty sheets); the check is a one-row probe, not a count.
+    Tables named in ``skip_empty`` are dropped from the version when they came out empty
+    (the original omits empty sheets). The check runs on the written files — a row count
+    that Parquet answers from its footers — so the table's plan is never run twice.
     """
     vpath = version_path(root, version)
     for name, df in tables.items():
-        if name in skip_empty and df.isEmpty():
-            continue
-        write_table(df, f"{vpath}/{name}", (partition_by or {}).get(name))
+        path = f"{vpath}/{name}"
+        write_table(df, path, (partition_by or {}).get(name))
+        if name in skip_empty and spark.read.parquet(path).count() == 0:
+            fs, p = _fs(spark, path)
+            fs.delete(p, True)
     touch(spark, f"{vpath}/{PUBLISHED}", str(version))
     return vpath
 

@@ -100,3 +100,11 @@ def test_read_store_missing_and_present(spark, mini):
     assert read_store(spark, f"{root}/nothing-here") is None
     mini.expenses.write.parquet(f"{root}/store")
     assert read_store(spark, f"{root}/store").count() == 4
+
+
+def test_empty_tables_are_not_published(spark):
+    from potluck.sinks import writers
+    root = shared_path(spark, "tests", "potluck-test-empty", uuid.uuid4().hex)
+    writers.publish(spark, root, 1, {"full": spark.range(2), "empty": spark.range(0)}, skip_empty=("full", "empty"))
+    assert writers.read_published(spark, root, "full").count() == 2
+    assert writers.read_published(spark, root, "empty") is None
