@@ -37,14 +37,21 @@ def drop_mask(rules: ExclusionRules):
 def apply_exclusions(expenses: DataFrame, shares: DataFrame, rules: ExclusionRules) -> tuple[DataFrame, DataFrame]:
     """Filter expenses; when rules are active keep only shares of kept expenses.
 
-    The share filter is a left-semi join on the expense key, so while rules are active
-    the shares of settlement (and other non-kept) documents disappear as well.
+    The share filter matches shares to the kept expense keys, so while rules are active
+    the shares of settlement (and other non-kept) documents disappear as well. A group
+    without any expense is left untouched (the original returns early on an empty
+    expense table); that check is a join with the group's presence flag, which AQE turns
+    into a broadcast once the distinct groups turn out small.
     """
     if not rules.active:
         return expenses, shares
     kept = expenses.where(~F.coalesce(drop_mask(rules), F.lit(False)))
-    kept_ids = kept.select("group_id", "expense_id")
-    return kept, shares.join(kept_ids, ["group_id", "expense_id"], "left_semi")
+    kept_ids = kept.select("group_id", "expense_id", F.lit(True).alias("_kept"))
+    present = expenses.select("group_id").distinct().select("group_id", F.lit(True).alias("_present"))
+    marked = (shares.join(kept_ids, ["group_id", "expense_id"], "left")
+              .join(present, "group_id", "left"))
+    keep = F.col("_kept").isNotNull() | F.col("_present").isNull()
+    return kept, marked.where(keep).select(*shares.columns)
 
 
 def exclusion_counts(raw_expenses: DataFrame, raw_shares: DataFrame, rules: ExclusionRules) -> DataFrame:
@@ -61,10 +68,12 @@ def exclusion_counts(raw_expenses: DataFrame, raw_shares: DataFrame, rules: Excl
             F.count(F.lit(1)).alias("expenses_before"),
             F.count_if(~F.col("dropped")).alias("expenses_after"))
         kept_ids = flagged.where(~F.col("dropped")).select("group_id", "expense_id", F.lit(1).alias("hit"))
+        present = raw_expenses.select("group_id").distinct().select("group_id", F.lit(1).alias("present"))
         s = (raw_shares.select("group_id", "expense_id")
-             .join(kept_ids, ["group_id", "expense_id"], "left")
+             .join(kept_ids, ["group_id", "expense_id"], "left").join(present, "group_id", "left")
              .groupBy("group_id").agg(F.count(F.lit(1)).alias("shares_before"),
-                                      F.count("hit").alias("shares_after")))
+                                      F.count_if(F.col("hit").isNotNull() | F.col("present").isNull())
+                                      .alias("shares_after")))
     else:
         e = raw_expenses.groupBy("group_id").agg(F.count(F.lit(1)).alias("expenses_before"))
         e = e.withColumn("expenses_after", F.col("expenses_before"))

@@ -153,3 +153,12 @@ def test_scoped_month(mini):
     r = A.scoped_month(mini.expenses, "1999-01").collect()[0]
     assert (r.selected_month, r.scoped_count, r.scoped_total) == ("all", 4, 185.0)
     assert GID == r.group_id
+
+
+def test_exclusions_leave_groups_without_expenses_alone(spark, mini):
+    # a group whose documents are all settlements has no expenses: its shares survive
+    from potluck.operators.exclusions import apply_exclusions
+    extra = mini.shares.where("expense_id = 3").withColumn("group_id", F.lit(GID + 1))
+    e, s = apply_exclusions(mini.expenses, mini.shares.unionByName(extra), ExclusionRules("2024-03", "paris"))
+    assert s.where(f"group_id = {GID + 1}").count() == 2
+    assert s.where(f"group_id = {GID}").count() == 4
