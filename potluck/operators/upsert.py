@@ -19,7 +19,7 @@ KEY = ["group_id", "expense_id"]
 
 
 def dedupe_latest(df: DataFrame, order_col: str = "updated_at") -> DataFrame:
-    """One row per key: the one with the latest ``updated_at`` (ties: the larger row text).
+    """One row per key: the one with the latest ``updated_at`` (ties: the larger row hash).
 
     An aggregation (``max_by``) rather than a window: each task keeps only its best row
     per key before the shuffle, so even a key repeated millions of times stays cheap.
@@ -28,7 +28,8 @@ def dedupe_latest(df: DataFrame, order_col: str = "updated_at") -> DataFrame:
     if not cols:
         return df.dropDuplicates(KEY)
     row = F.struct(*[F.col(f"`{c}`") for c in cols])
-    rank = F.struct(F.col(f"`{order_col}`") if order_col in df.columns else F.lit(None), F.to_json(row))
+    rank = F.struct(F.col(f"`{order_col}`") if order_col in df.columns else F.lit(None),
+                    F.xxhash64(*[F.col(f"`{c}`") for c in cols]))
     best = df.groupBy(*KEY).agg(F.max_by(row, rank).alias("_r"))
     return best.select(*KEY, *[F.col("_r").getField(c).alias(c) for c in cols]).select(*df.columns)
 
