@@ -3,7 +3,7 @@
     python -m potluck.cli export   --docs D --groups G [--debts X] --out ROOT [--start YYYY-MM]
                                    [--end YYYY-MM] [--group-id N ...] [--no-raw-shares] [--debug-shares]
     python -m potluck.cli snapshot --docs D --groups G [--debts X] --out ROOT [--recent N]
-    python -m potluck.cli stream   --landing L --store S --checkpoint C [--interval SEC | --once]
+    python -m potluck.cli stream   --landing L --store S --checkpoint C [--interval SEC | --once] [--headers]
 
 Options that the single-group original reads from its environment are flags here:
 ``--exclude-months``, ``--exclude-descriptions``, ``--debt-direction``,
@@ -18,6 +18,7 @@ import sys
 import time
 
 from pyspark.sql import SparkSession
+from pyspark.sql import functions as F
 
 
 def _parser() -> argparse.ArgumentParser:
@@ -55,6 +56,7 @@ def _parser() -> argparse.ArgumentParser:
     st.add_argument("--format", default="parquet", choices=["json", "parquet"])
     st.add_argument("--interval", default=None)
     st.add_argument("--once", action="store_true", help="process what has landed, then stop")
+    st.add_argument("--headers", action="store_true", help="landed files hold flat expense headers")
     return p
 
 
@@ -74,7 +76,7 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
     spark = spark or SparkSession.builder.appName(f"potluck-{a.cmd}").getOrCreate()
     if a.cmd == "stream":
         from potluck.streaming.upsert_stream import start
-        q = start(spark, a.landing, a.store, a.checkpoint, a.interval, a.once, a.format)
+        q = start(spark, a.landing, a.store, a.checkpoint, a.interval, a.once, a.format, nested=not a.headers)
         q.awaitTermination()
         return 0
     led = _ledger(spark, a)
@@ -84,13 +86,18 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
         from potluck.plans.export import export
         res = export(spark, led, a.out, version, include_shares=not a.no_raw_shares)
         if a.debug_shares:
-            for r in A.share_sanity(led.shares).collect():
-                print(json.dumps(r.asDict()))
-            for r in A.share_sample(led.shares, 6).collect():
+            # bounded console output: overall counts and the first six rows
+            tot = led.shares.agg(F.count(F.lit(1)).alias("share_rows"),
+                                 F.count_distinct("group_id", "expense_id").alias("distinct_expenses")).first()
+            print(json.dumps(tot.asDict()))
+            for r in led.shares.orderBy("group_id", "expense_id", "user_id").limit(6).collect():
                 print(json.dumps({k: str(v) for k, v in r.asDict().items()}))
-        warn = A.multi_currency(led.expenses).where("multi_currency").select("group_id").collect()
-        for r in warn:
-            print(f"[!] group {r.group_id}: more than one currency; amounts are not converted", file=sys.stderr)
+        warn = A.multi_currency(led.expenses).where("multi_currency")
+        n_warn = warn.count()
+        if n_warn:
+            some = [r.group_id for r in warn.select("group_id").orderBy("group_id").limit(20).collect()]
+            print(f"[!] {n_warn} group(s) with more than one currency (amounts are not converted), "
+                  f"e.g. {some}", file=sys.stderr)
         print(json.dumps({"path": res.path, "version": res.version, "tables": list(res.tables)}))
         return 0
     from potluck.plans.snapshot import Snapshot

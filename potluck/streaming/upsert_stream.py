@@ -30,9 +30,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from potluck.operators.normalize import normalize_expenses
+from potluck.operators.normalize import flatten_docs, normalize_expenses
 from potluck.operators.upsert import dedupe_latest, upsert
-from potluck.schemas import EXPENSE_HEADER, REFRESH_SECONDS_DEFAULT, REFRESH_SECONDS_MIN
+from potluck.schemas import EXPENSE_DOC, EXPENSE_HEADER, REFRESH_SECONDS_DEFAULT, REFRESH_SECONDS_MIN
 from potluck.sinks import writers
 
 ID_RANGE = "id_range"
@@ -79,12 +79,18 @@ def merge_batch(store: str, staging: str, range_size: int = DEFAULT_RANGE_SIZE)
 def start(spark: SparkSession, landing: str, store: str, checkpoint: str,
           interval_seconds: int | None = None, available_now: bool = False,
           fmt: str = "parquet", max_files_per_trigger: int | None = None,
-          range_size: int = DEFAULT_RANGE_SIZE, staging: str | None = None) -> StreamingQuery:
-    """Start the refresh stream. Exactly one of timer / ``available_now`` applies."""
-    reader = spark.readStream.schema(EXPENSE_HEADER).format(fmt)
+          range_size: int = DEFAULT_RANGE_SIZE, staging: str | None = None,
+          nested: bool = False) -> StreamingQuery:
+    """Start the refresh stream. Exactly one of timer / ``available_now`` applies.
+
+    The landing folder holds expense headers, or whole nested documents with ``nested``
+    (their users are not needed for the expense store and are projected away).
+    """
+    reader = spark.readStream.schema(EXPENSE_DOC if nested else EXPENSE_HEADER).format(fmt)
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", str(max_files_per_trigger))
-    expenses = normalize_expenses(reader.load(landing))
+    landed = reader.load(landing)
+    expenses = normalize_expenses(flatten_docs(landed)[0] if nested else landed)
     stage_root = staging or f"{checkpoint.rstrip('/')}/_staging"
     writer = (expenses.writeStream.foreachBatch(merge_batch(store, stage_root, range_size))
               .option("checkpointLocation", checkpoint))

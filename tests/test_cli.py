@@ -42,3 +42,13 @@ def test_export_and_snapshot_commands(spark, capsys):
     doc = json.loads(writers.read_published(spark, f"{base}/snap", "snapshot").collect()[0].snapshot)
     assert doc["summary"]["expense_count"] == 4 and doc["months"][0]["month"] == "None"
     assert [b["name"] for b in doc["member_balances"]] == ["Alice", "Bob"]
+
+
+def test_stream_command_once(spark):
+    from potluck.cli import main
+    from potluck.streaming.upsert_stream import current_store
+    base = shared_path(spark, "tests", "potluck-test-cli-stream", uuid.uuid4().hex)
+    _land(spark, base)
+    assert main(["stream", "--landing", f"{base}/docs", "--store", f"{base}/store",
+                 "--checkpoint", f"{base}/ckpt", "--format", "json", "--once"], spark) == 0
+    assert sorted(r.expense_id for r in current_store(spark, f"{base}/store").collect()) == [1, 2, 4, 6]
