@@ -7,6 +7,7 @@ to the Parquet scans. Tables a query does not use are never even planned.
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 from dataclasses import dataclass, field, replace
 
@@ -110,7 +111,18 @@ def build(groups: DataFrame, members: DataFrame, expenses: DataFrame, shares: Da
 
 def from_tables(spark: SparkSession, sf_dir: str, params: LedgerParams | None = None,
                 date_from: str | None = None, date_to: str | None = None) -> Ledger:
-    """Ledger over the driver tables (see ``sources.fixture`` for the mapping)."""
+    """Ledger over the driver tables (see ``sources.fixture`` for the mapping).
+
+    The lazy plans are memoized per session and arguments: many outputs of one job (or
+    many views served from one process) share one planned ledger instead of re-analysing
+    the same normalization each time. Nothing is computed or cached as data.
+    """
+    return _ledger_for(spark, sf_dir.rstrip("/"), params or LedgerParams(), date_from, date_to)
+
+
+@functools.lru_cache(maxsize=16)
+def _ledger_for(spark: SparkSession, sf_dir: str, params: LedgerParams,
+                date_from: str | None, date_to: str | None) -> Ledger:
     cache: dict[str, DataFrame] = {}
 
     def once(name: str, make: Callable[[], DataFrame]) -> Callable[[], DataFrame]:
