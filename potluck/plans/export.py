@@ -51,8 +51,10 @@ def export(spark: SparkSession, ledger: Ledger, root: str, version: int,
     base = spark.read.parquet(f"{vpath}/raw_expenses")
     # 2) the dependent tables read the written base
     tables = {
-        "monthly_by_category": A.month_category_pivot(base),
-        "per_person_month": A.person_month_owed(ledger.shares, ledger.members),
+        # both pivots are written in month order (they are small, aggregated tables)
+        "monthly_by_category": A.month_category_pivot(base).orderBy("group_id", "month"),
+        "per_person_month": A.person_month(ledger.shares, ledger.members, F.col("owed_share"))
+        .orderBy("group_id", "month", "ord").drop("ord"),
     }
     if include_shares:
         tables["raw_shares"] = ledger.shares
