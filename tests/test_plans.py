@@ -53,3 +53,15 @@ def test_no_fact_table_broadcast(spark):
     import re
     for block in re.findall(r"BroadcastExchange.*?(?=\n\s*[:+]- [A-Z]|\Z)", text, flags=re.S):
         assert "lineitem" not in block
+
+
+def test_landed_documents_month_range_is_pushed_down(spark, docs):
+    import uuid
+    from potluck.session import shared_path
+    from potluck.sources.docs import month_range, read_docs
+    path = shared_path(spark, "tests", "potluck-test-docs", uuid.uuid4().hex)
+    docs.write.parquet(path)
+    df = month_range(read_docs(spark, path, "parquet"), "2024-03", "2024-03")
+    text = plan_text(df)
+    assert "GreaterThanOrEqual(date,2024-03-01)" in text and "LessThan(date,2024-04-01)" in text
+    assert sorted(r.id for r in df.collect()) == [4, 5]
