@@ -106,3 +106,38 @@ def tables_view(snapshot, month: str | None = None, query: str | None = None,
                       F.coalesce("raw_shown", F.lit(0)).alias("raw_shown"),
                       F.lit(limit).alias("table_limit")))
     return {"header": header, "raw": raw, "monthly": monthly, "person": person}
+
+
+def group_tables(snapshot, group_id: int) -> dict[str, DataFrame]:
+    """The single-group tables exactly as the original shapes them, for one group.
+
+    ``monthly_by_category``: month + that group's categories (sorted) + ``Total``, months
+    ascending; ``per_person_month``: month + the group's members that have shares (member
+    order) + ``Total``, newest month first; ``raw_expenses``: the display columns with a
+    ``<name>_owes`` column for every member of the group, newest first. Column lists are
+    read from the group's own (bounded) category and member lists.
+    """
+    from potluck.operators import aggregates as A
+    from potluck.operators.tables import raw_table_columns
+    from potluck.operators.widen import widen
+    from potluck.schemas import MAX_PIVOT_VALUES, TOTAL_LABEL
+
+    led = snapshot.ledger
+    one = F.col(G) == F.lit(group_id)
+    e, s, m = led.expenses.where(one), led.shares.where(one), led.members.where(one)
+    cats = A.distinct_categories(e, MAX_PIVOT_VALUES)
+    monthly = A.month_category_pivot(e, cats).drop(G).orderBy("month")
+    pm = A.person_month(s, m, A.net_owes(led.params.share_mode))
+    present = [r[0] for r in pm.where(F.col("person") != TOTAL_LABEL).groupBy("person")
+               .agg(F.min("ord").alias("o")).orderBy("o", "person").limit(MAX_PIVOT_VALUES + 1).collect()]
+    if len(present) > MAX_PIVOT_VALUES:
+        raise ValueError("too many members for a wide table")
+    person = (A.person_month_wide(pm.drop("ord"), present).drop(G)
+              .select("month", *present, TOTAL_LABEL).orderBy(F.col("month").desc()))
+    names = [r[0] for r in m.groupBy("name").agg(F.min("ord").alias("o")).orderBy("o", "name")
+             .limit(MAX_PIVOT_VALUES + 1).collect()]
+    if len(names) > MAX_PIVOT_VALUES:
+        raise ValueError("too many members for a wide table")
+    wide = widen(e, s, m, A.net_owes(led.params.share_mode), names)
+    raw = wide.select(*raw_table_columns(wide.columns, names)).orderBy(F.col("date").desc(), "expense_id")
+    return {"monthly_by_category": monthly, "per_person_month": person, "raw_expenses": raw}

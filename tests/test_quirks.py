@@ -162,3 +162,20 @@ def test_exclusions_leave_groups_without_expenses_alone(spark, mini):
     e, s = apply_exclusions(mini.expenses, mini.shares.unionByName(extra), ExclusionRules("2024-03", "paris"))
     assert s.where(f"group_id = {GID + 1}").count() == 2
     assert s.where(f"group_id = {GID}").count() == 4
+
+
+def test_single_group_tables_have_the_original_shape(mini):
+    from potluck.plans.snapshot import Snapshot
+    from potluck.plans.views import group_tables
+    t = group_tables(Snapshot(mini), GID)
+    mbc = t["monthly_by_category"]
+    assert mbc.columns == ["month", "Groceries", "Trips", "Uncategorized", "Total"]
+    assert [tuple(r) for r in mbc.collect()] == [("2024-01", 100.0, 0.0, 0.0, 100.0), ("2024-03", 0.0, 80.0, 0.0, 80.0),
+                                                 ("None", 5.0, 0.0, 0.0, 5.0)]
+    ppm = t["per_person_month"]
+    assert ppm.columns == ["month", "Alice", "Bob", "Total"]
+    assert [tuple(r) for r in ppm.collect()] == [("2024-03", 0.0, 0.0, 0.0), ("2024-01", 40.0, 1050.5, 1090.5)]
+    raw = t["raw_expenses"]
+    assert raw.columns == ["date", "month", "description", "category", "amount", "currency", "expense_id",
+                           "Alice_owes", "Bob_owes"]
+    assert [r.expense_id for r in raw.collect()] == [6, 4, 2, 1]
