@@ -1,4 +1,4 @@
-"""DuckDB reference SQL for every registered query (the correctness oracle).
+"""DuckDB SQL twin of every registered query (the correctness oracle).
 
 The driver registers the raw tables as views; the common table expressions below map them
 to the ledger exactly as ``potluck.sources.fixture`` does, in plain SQL. Each query

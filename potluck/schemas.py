@@ -8,7 +8,7 @@ from pyspark.sql import types as T
 MONEY = T.DecimalType(18, 2)
 
 # ---------------------------------------------------------------------------
-# Fixed values (must equal the reference behaviour for identical results)
+# Fixed values (must equal the original behaviour for identical results)
 # ---------------------------------------------------------------------------
 # Category used when an expense has none.
 DEFAULT_CATEGORY = "Uncategorized"
