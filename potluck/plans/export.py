@@ -19,7 +19,6 @@ from potluck.operators.upsert import canonical_owes, upsert, upsert_sorted
 from potluck.operators.widen import widen
 from potluck.plans.ledger import Ledger
 from potluck.sinks import writers
-from potluck.sources.members import member_names
 
 
 @dataclass(frozen=True)
@@ -38,7 +37,7 @@ def export(spark: SparkSession, ledger: Ledger, root: str, version: int,
     into; rows it has that the new fetch lacks are kept, and their member columns are
     re-derived from the current shares (0 when none).
     """
-    names = member_names(ledger.members)
+    names = ledger.member_names()
     prev_v = writers.latest_version(spark, root, before=version)
     prev = writers.read_published(spark, root, "raw_expenses", version=prev_v) if prev_v is not None else None
     merged = upsert(canonical_owes(prev, names) if prev is not None else None, ledger.expenses)

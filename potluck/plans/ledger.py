@@ -98,6 +98,13 @@ class Ledger:
             return self.raw_shares
         return self._excluded()[1]
 
+    def member_names(self) -> list[str]:
+        """Distinct member names in member order (bounded; computed once per ledger)."""
+        if "_names" not in self.__dict__:
+            from potluck.sources.members import member_names
+            self.__dict__["_names"] = member_names(self.members)
+        return self.__dict__["_names"]
+
     def with_params(self, params: LedgerParams) -> "Ledger":
         return Ledger(self._sources, params)
 

@@ -20,7 +20,6 @@ from potluck.operators.tables import raw_table_columns, recent
 from potluck.operators.widen import widen
 from potluck.plans.ledger import Ledger
 from potluck.schemas import RECENT_ROWS_DEFAULT, RECENT_ROWS_MIN
-from potluck.sources.members import member_names
 
 G = "group_id"
 
@@ -35,7 +34,7 @@ class Snapshot:
 
     @cached_property
     def names(self) -> list[str]:
-        return member_names(self.ledger.members)
+        return self.ledger.member_names()
 
     @cached_property
     def raw_wide(self) -> DataFrame:

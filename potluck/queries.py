@@ -141,10 +141,9 @@ def person_month_net(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _widen(spark: SparkSession, sf_dir: str, net: bool) -> DataFrame:
     from pyspark.sql import functions as F
     from potluck.operators.widen import widen
-    from potluck.sources.members import member_names
     led = from_tables(spark, sf_dir)
     value = A.net_owes(led.params.share_mode) if net else F.col("owed_share")
-    return doubles(widen(led.expenses, led.shares, led.members, value, member_names(led.members)))
+    return doubles(widen(led.expenses, led.shares, led.members, value, led.member_names()))
 
 
 @query
@@ -223,9 +222,8 @@ def exclusion_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _store_and_incoming(spark: SparkSession, sf_dir: str):
     from potluck.sources import fixture
-    from potluck.sources.members import member_names
     led = from_tables(spark, sf_dir)
-    names = member_names(led.members)
+    names = led.member_names()
     store = fixture.previous_export(led.expenses, led.shares, led.members, names)
     return led, names, store, fixture.incoming_fetch(led.expenses)
 
@@ -306,9 +304,8 @@ def top_debt(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _raw_wide(spark: SparkSession, sf_dir: str):
     """Dashboard expense table: expenses + net ``<name>_owes`` columns (decimal money)."""
     from potluck.operators.widen import widen
-    from potluck.sources.members import member_names
     led = from_tables(spark, sf_dir)
-    names = member_names(led.members)
+    names = led.member_names()
     return led, names, widen(led.expenses, led.shares, led.members, A.net_owes(led.params.share_mode), names)
 
 
