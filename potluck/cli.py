@@ -44,6 +44,7 @@ def _parser() -> argparse.ArgumentParser:
     inputs(e)
     e.add_argument("--no-raw-shares", action="store_true")
     e.add_argument("--debug-shares", action="store_true")
+    e.add_argument("--report-format", default="parquet", choices=["parquet", "csv"])
 
     s = sub.add_parser("snapshot", help="publish dashboard documents and tables")
     inputs(s)
@@ -84,7 +85,8 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
     if a.cmd == "export":
         from potluck.operators import aggregates as A
         from potluck.plans.export import export
-        res = export(spark, led, a.out, version, include_shares=not a.no_raw_shares)
+        res = export(spark, led, a.out, version, include_shares=not a.no_raw_shares,
+                     report_format=a.report_format)
         if a.debug_shares:
             # bounded console output: overall counts and the first six rows
             tot = led.shares.agg(F.count(F.lit(1)).alias("share_rows"),

@@ -29,12 +29,12 @@ class ExportResult:
 
 
 def export(spark: SparkSession, ledger: Ledger, root: str, version: int,
-           include_shares: bool = True) -> ExportResult:
+           include_shares: bool = True, report_format: str = "parquet") -> ExportResult:
     """Publish ``raw_expenses`` (partitioned by month), ``raw_shares``,
     ``monthly_by_category`` and ``per_person_month`` as version ``version`` under ``root``.
 
-    The previous published version (if any) is the store the new expenses are upserted
-    into; rows it has that the new fetch lacks are kept, and their member columns are
+    ``report_format`` (``parquet`` or ``csv``) applies to the three report tables. The
+    previous published version (if any) is the store the new expenses are upserted into; rows it has that the new fetch lacks are kept, and their member columns are
     re-derived from the current shares (0 when none).
     """
     names = ledger.member_names()
@@ -57,5 +57,8 @@ def export(spark: SparkSession, ledger: Ledger, root: str, version: int,
     }
     if include_shares:
         tables["raw_shares"] = ledger.shares
-    writers.publish(spark, root, version, tables, skip_empty=tuple(tables))
+    # the report tables may be written as CSV with a header; the expense table stays the
+    # Parquet store that the next run upserts into
+    writers.publish(spark, root, version, tables, skip_empty=tuple(tables),
+                    formats={t: report_format for t in tables})
     return ExportResult(vpath, version, ("raw_expenses", *tables))

@@ -78,19 +78,27 @@ def write_table(df: DataFrame, path: str, partition_by: list[str] | None = None,
     w.save(path)
 
 
+def _reader(spark: SparkSession, fmt: str):
+    r = spark.read.format(fmt)
+    return r.option("header", True) if fmt == "csv" else r
+
+
 def publish(spark: SparkSession, root: str, version: int, tables: dict[str, DataFrame],
-            partition_by: dict[str, list[str]] | None = None, skip_empty: tuple[str, ...] = ()) -> str:
+            partition_by: dict[str, list[str]] | None = None, skip_empty: tuple[str, ...] = (),
+            formats: dict[str, str] | None = None) -> str:
     """Write ``tables`` as version ``version`` under ``root`` and mark it published.
 
     Tables named in ``skip_empty`` are dropped from the version when they came out empty
-    (the original omits empty sheets). The check runs on the written files — a row count
-    that Parquet answers from its footers — so the table's plan is never run twice.
+    (the original omits empty sheets). The check runs on the written files (for Parquet a
+    row count answered from the footers), so the table's plan is never run twice.
+    ``formats`` picks a file format per table (default Parquet; ``csv`` has a header).
     """
     vpath = version_path(root, version)
     for name, df in tables.items():
         path = f"{vpath}/{name}"
-        write_table(df, path, (partition_by or {}).get(name))
-        if name in skip_empty and spark.read.parquet(path).count() == 0:
+        fmt = (formats or {}).get(name, "parquet")
+        write_table(df, path, (partition_by or {}).get(name), fmt)
+        if name in skip_empty and _reader(spark, fmt).load(path).limit(1).count() == 0:
             fs, p = _fs(spark, path)
             fs.delete(p, True)
     touch(spark, f"{vpath}/{PUBLISHED}", str(version))
@@ -98,7 +106,7 @@ def publish(spark: SparkSession, root: str, version: int, tables: dict[str, Data
 
 
 def read_published(spark: SparkSession, root: str, name: str, schema=None,
-                   version: int | None = None) -> DataFrame | None:
+                   version: int | None = None, fmt: str = "parquet") -> DataFrame | None:
     """Table ``name`` of the newest (or given) published version, ``None`` if there is none."""
     v = version if version is not None else latest_version(spark, root)
     if v is None:
@@ -106,7 +114,7 @@ def read_published(spark: SparkSession, root: str, name: str, schema=None,
     path = f"{version_path(root, v)}/{name}"
     if not path_exists(spark, path):
         return None
-    reader = spark.read
+    reader = _reader(spark, fmt)
     if schema is not None:
         reader = reader.schema(schema)
-    return reader.option("basePath", path).parquet(path)
+    return reader.option("basePath", path).load(path)

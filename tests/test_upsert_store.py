@@ -108,3 +108,14 @@ def test_empty_tables_are_not_published(spark):
     writers.publish(spark, root, 1, {"full": spark.range(2), "empty": spark.range(0)}, skip_empty=("full", "empty"))
     assert writers.read_published(spark, root, "full").count() == 2
     assert writers.read_published(spark, root, "empty") is None
+
+
+def test_export_report_tables_as_csv(spark, mini):
+    from potluck.plans.export import export
+    from potluck.sinks import writers
+    root = shared_path(spark, "tests", "potluck-test-csv", uuid.uuid4().hex)
+    export(spark, mini, root, version=1, report_format="csv")
+    pp = writers.read_published(spark, root, "per_person_month", fmt="csv")
+    assert pp.columns == ["group_id", "month", "person", "amount"]
+    assert pp.count() == 6
+    assert writers.read_published(spark, root, "raw_expenses").count() == 4
