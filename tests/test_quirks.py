@@ -179,3 +179,19 @@ def test_single_group_tables_have_the_original_shape(mini):
     assert raw.columns == ["date", "month", "description", "category", "amount", "currency", "expense_id",
                            "Alice_owes", "Bob_owes"]
     assert [r.expense_id for r in raw.collect()] == [6, 4, 2, 1]
+
+
+def test_dashboard_view_header(mini):
+    from potluck.plans.snapshot import Snapshot
+    from potluck.plans.views import dashboard_view, tables_view
+    d = dashboard_view(Snapshot(mini), "1999-01", "2024-03", "Nope")
+    h = d["header"].collect()[0]
+    assert (h.selected_category_month, h.selected_person_month, h.selected_category) == ("all", "2024-03", "Groceries")
+    assert (h.scoped_count, h.scoped_total) == (4, 185.0)
+    assert (h.top_debt_from, h.top_debt_to, h.top_debt_amount) == ("Bob", "Alice", 30.0)
+    assert (h.n_category_bars, h.n_monthly_bars, h.n_category_month_bars, h.n_person_months) == (2, 3, 2, 1)
+    bars = [(r.label, r.pct, r.color is not None) for r in d["category_bars"].orderBy("pos").collect()]
+    assert bars == [("Groceries", 100.0, True), ("Trips", 76.2, True)]
+    t = tables_view(Snapshot(mini), "2024-01", "fuel", 10)
+    th = t["header"].collect()[0]
+    assert (th.selected_month, th.query, th.raw_total, th.raw_shown, th.table_limit) == ("2024-01", "fuel", 1, 1, 50)
