@@ -106,11 +106,15 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
     from potluck.sinks import writers
     snap = Snapshot(led, recent_rows=a.recent, start_month=a.start, end_month=a.end,
                     generated_at=time.strftime("%Y-%m-%dT%H:%M:%S+00:00", time.gmtime()))
-    snap = snap.materialize(f"{a.out.rstrip('/')}/_base", version)
+    base = f"{a.out.rstrip('/')}/_base"
+    snap = snap.materialize(base, version)
+    # the wide expense table is already written once under the base version; only the
+    # documents and the small pivots are published here
     writers.publish(spark, a.out, version, {
         "snapshot": snap.to_json(), "monthly_by_category": snap.monthly_by_category(),
-        "per_person_month": snap.per_person_month(), "raw_expenses": snap.raw_wide})
-    print(json.dumps({"path": writers.version_path(a.out, version), "version": version}))
+        "per_person_month": snap.per_person_month()})
+    print(json.dumps({"path": writers.version_path(a.out, version), "version": version,
+                      "raw_expenses": f"{writers.version_path(base, version)}/raw_wide"}))
     return 0
 
 
