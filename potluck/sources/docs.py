@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from potluck.operators.normalize import flatten_docs, normalize_expenses, normalize_shares
 from potluck.plans.ledger import Ledger, LedgerParams, build
 from potluck.schemas import DEBTS_RAW, EXPENSE_DOC, GROUP_CONFIG
-from potluck.sources.calendar import range_bounds
+from potluck.sources.calendar import month_bounds, range_bounds
 from potluck.sources.members import members_from_config
 
 
@@ -38,10 +38,13 @@ def read_debts(spark: SparkSession, path: str | None, fmt: str = "json") -> Data
 
 def month_range(docs: DataFrame, start_ym: str | None, end_ym: str | None) -> DataFrame:
     """Documents dated in the months ``start_ym`` … ``end_ym`` (inclusive, ``YYYY-MM``)."""
-    if not start_ym and not end_ym:
-        return docs
-    lo, hi = range_bounds(start_ym or "0001-01", end_ym or "9999-12")
-    return docs.where((F.col("date") >= lo) & (F.col("date") < hi))
+    if start_ym and end_ym:
+        range_bounds(start_ym, end_ym)  # validates the order
+    if start_ym:
+        docs = docs.where(F.col("date") >= month_bounds(start_ym)[0])
+    if end_ym:
+        docs = docs.where(F.col("date") < month_bounds(end_ym)[1])
+    return docs
 
 
 def ledger_from_docs(docs: DataFrame, groups: DataFrame, debts: DataFrame,

@@ -86,3 +86,12 @@ def test_first_present_falsy_fallthrough(spark):
     got = [r[0] for r in df.select(first_present(df, ["owed_share", "owedShare", "owed"], truthy=True)).collect()]
     assert got == ["5", "7", "3"]
     assert [r[0] for r in df.select(first_present(df, ["missing"])).collect()] == [None, None, None]
+
+
+def test_month_range_open_ends(spark, docs):
+    from potluck.sources.docs import month_range
+    assert sorted(r.id for r in month_range(docs, "2024-03", None).collect()) == [4, 5]
+    assert sorted(r.id for r in month_range(docs, None, "2024-01").collect()) == [1, 2, 3]
+    assert month_range(docs, None, None).count() == 6
+    with pytest.raises(ValueError):
+        month_range(docs, "2024-03", "2024-01")
