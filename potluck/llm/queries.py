@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from potluck.llm.common import documents
+from potluck.llm.piece_bpe import piece_encode
 from potluck.llm.substring_dedup import substring_dedup
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -16,6 +17,17 @@ def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup(documents(spark, sf_dir)).select("doc_id", "n_words", "n_removed", "kept_sha256")
 
 
+def piece_model() -> str:
+    """Path of the vocabulary; the file is the same on every executor."""
+    import public_tokenizers
+    return public_tokenizers.path("piece_bpe_32k.model")
+
+
+def op8_piece_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return piece_encode(documents(spark, sf_dir), piece_model(), outputs=(), verify=True)
+
+
 QUERIES: dict[str, Query] = {
     "op1_substring_dedup": op1_substring_dedup,
+    "op8_piece_bpe": op8_piece_bpe,
 }
