@@ -5,8 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from potluck.llm.common import documents
+from potluck.llm import lang_id
 from potluck.llm.piece_bpe import piece_encode
 from potluck.llm.substring_dedup import substring_dedup
 
@@ -27,7 +29,15 @@ def op8_piece_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return piece_encode(documents(spark, sf_dir), piece_model(), outputs=(), verify=True)
 
 
+def op9_lang_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    model = lang_id.train(docs, lang_id.fold("doc_id", 4) != 2)
+    return lang_id.identify(docs, model).select(
+        "doc_id", F.coalesce(lang_id.fold("doc_id", 4) == 2, F.lit(False)).alias("held_out"), "lang_pred", "score", "rejected")
+
+
 QUERIES: dict[str, Query] = {
     "op1_substring_dedup": op1_substring_dedup,
     "op8_piece_bpe": op8_piece_bpe,
+    "op9_lang_id": op9_lang_id,
 }

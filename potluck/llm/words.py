@@ -53,12 +53,15 @@ def _pow(n: int) -> tuple[np.ndarray, np.ndarray]:
 @dataclass
 class Words:
     """Words of ``n`` texts: ``first[i]:first[i+1]`` are the words of text i in ``start``/``end``
-    (byte positions in ``data``); ``row`` is the number of the slice's first text."""
+    (byte positions in ``data``); ``row`` is the number of the slice's first text. Text i is
+    ``raw[bounds[i]:bounds[i+1]]``; ``data`` is ``raw`` through the table of ``words``."""
     row: int
     data: np.ndarray
     first: np.ndarray
     start: np.ndarray
     end: np.ndarray
+    raw: np.ndarray
+    bounds: np.ndarray
 
     @property
     def n(self) -> int:
@@ -99,11 +102,23 @@ def slices(offsets: np.ndarray, limit: int = SLICE_BYTES) -> Iterator[tuple[int,
         at = to
 
 
-def words(column: pa.Array, limit: int = SLICE_BYTES) -> Iterator[Words]:
-    """The words of a text column, slice by slice."""
+def letters_only() -> np.ndarray:
+    """Byte table for ``words``: A-Z become a-z, a-z and all bytes of other scripts stay,
+    everything else separates words."""
+    table = np.full(256, 32, np.uint8)
+    table[128:] = np.arange(128, 256)
+    table[97:123] = np.arange(97, 123)
+    table[65:91] = np.arange(97, 123)
+    return table
+
+
+def words(column: pa.Array, limit: int = SLICE_BYTES, table: np.ndarray | None = None) -> Iterator[Words]:
+    """The words of a text column, slice by slice; each byte passes through ``table`` first."""
     data, offsets = text_buffers(column)
     for at, to in slices(offsets, limit):
-        own = data[offsets[at]:offsets[to]]
+        raw = own = data[offsets[at]:offsets[to]]
+        if table is not None:
+            own = table[raw]
         bounds = offsets[at:to + 1] - offsets[at]
         inside = np.ones(own.size + 2, bool)
         inside[0] = inside[-1] = False
@@ -113,7 +128,7 @@ def words(column: pa.Array, limit: int = SLICE_BYTES) -> Iterator[Words]:
         is_start = inside[1:-1] & (~inside[:-2] | cut[:-1])
         is_end = inside[1:-1] & (~inside[2:] | cut[1:])
         start, end = np.flatnonzero(is_start), np.flatnonzero(is_end) + 1
-        yield Words(at, own, np.searchsorted(start, bounds), start, end)
+        yield Words(at, own, np.searchsorted(start, bounds), start, end, raw, bounds)
 
 
 def windows(hashes: np.ndarray, first: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
