@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from potluck.llm.common import documents
-from potluck.llm import lang_id
+from potluck.llm import lang_id, toxicity
 from potluck.llm.piece_bpe import piece_encode
 from potluck.llm.substring_dedup import substring_dedup
 
@@ -36,8 +36,18 @@ def op9_lang_id(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", F.coalesce(lang_id.fold("doc_id", 4) == 2, F.lit(False)).alias("held_out"), "lang_pred", "score", "rejected")
 
 
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    model = toxicity.train(docs, labels, lang_id.fold("doc_id", 3) != 1)
+    return toxicity.score(docs, model).select(
+        "doc_id", F.coalesce(lang_id.fold("doc_id", 3) == 1, F.lit(False)).alias("held_out"),
+        "score", "predicted", F.size("sentences").cast("long").alias("n_offending"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_substring_dedup": op1_substring_dedup,
+    "op7_toxicity": op7_toxicity,
     "op8_piece_bpe": op8_piece_bpe,
     "op9_lang_id": op9_lang_id,
 }

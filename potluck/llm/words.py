@@ -76,6 +76,20 @@ class Words:
         return mix((total[self.end] - total[self.start]) * down[self.start]
                    + (self.end - self.start).astype(_U))
 
+    def prefix_hashes(self, sizes: tuple[int, ...]) -> np.ndarray:
+        """Hashes of each word's first bytes, one column for each size; 0 where the word is
+        not longer than that."""
+        n = self.data.size
+        up, down = _pow(n + 1)
+        total = np.zeros(n + 1, _U)
+        np.cumsum(_BYTE[self.data] * up[:n], out=total[1:])
+        out = np.zeros((self.start.size, len(sizes)), _U)
+        for c, size in enumerate(sizes):
+            long = self.end - self.start > size
+            at = self.start[long]
+            out[long, c] = mix((total[at + size] - total[at]) * down[at] + _U(size + (1 << 32)))
+        return out
+
     def text_of(self) -> np.ndarray:
         """Number (within the slice) of each word's text."""
         return np.repeat(np.arange(self.n), np.diff(self.first))
