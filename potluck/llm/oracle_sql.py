@@ -20,6 +20,43 @@ SELECT w.doc_id, CAST(len(ws) AS BIGINT) AS n_words,
 FROM w LEFT JOIN kept USING (doc_id)
 """
 
+# The steps of the distribution function are summed in the same order as in Spark.
+OP4 = r"""
+WITH RECURSIVE counts AS (
+  SELECT source, count(*) AS n, power(CAST(count(*) AS DOUBLE), 0.7) AS weight FROM documents GROUP BY source),
+rates AS (
+  SELECT source, n, weight / (SELECT sum(weight) FROM counts) * (SELECT sum(n) FROM counts) / n AS rate FROM counts),
+steps AS (
+  SELECT source, rate, 0 AS k, CAST(0 AS DOUBLE) AS log_k, exp(-rate) AS step FROM rates
+  UNION ALL
+  SELECT source, rate, k + 1, log_k + ln(k + 1), step + exp((k + 1) * ln(rate) - rate - (log_k + ln(k + 1)))
+  FROM steps WHERE k < ceil(rate + 12 * sqrt(rate) + 40)),
+tables AS (SELECT source, rate, list(step) AS steps FROM steps GROUP BY source, rate),
+counted AS (
+  SELECT d.doc_id, d.source, d.text, rate,
+         len(list_filter(steps, lambda s: s <= CAST('0x' || substr(md5('mix-1|' || d.doc_id), 1, 13) AS BIGINT) / 4503599627370496.0)) AS copies
+  FROM documents d JOIN tables t ON d.source IS NOT DISTINCT FROM t.source),
+copied AS (SELECT *, unnest(range(1, copies + 1)) AS copy FROM counted)
+SELECT doc_id, source, CAST(copy AS INTEGER) AS copy, CAST(copies AS INTEGER) AS copies, round(rate, 9) AS rate,
+       CAST('0x' || substr(md5('mix-1|' || doc_id || '|' || copy), 1, 13) AS BIGINT) / 4503599627370496.0 AS order_key,
+       sha256(text) AS text_sha256
+FROM copied
+"""
+
+OP10 = r"""
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS e FROM embeddings
+  WHERE len(embedding) > 0 AND vec_id IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (
+  SELECT q.vec_id AS query_id, c.vec_id, CAST(list_dot_product(CAST(q.e AS DOUBLE[]), CAST(c.e AS DOUBLE[])) AS BIGINT) AS score
+  FROM v q JOIN v c ON q.vec_id <> c.vec_id AND len(q.e) = len(c.e) WHERE q.vec_id % 100 = 0)
+SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score
+FROM s QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) <= 10
+"""
+
 QUERIES: dict[str, str] = {
     "op1_substring_dedup": OP1,
+    "op4_poisson_mix": OP4,
+    "op10_topk_search": OP10,
 }

@@ -9,8 +9,12 @@ from pyspark.sql import functions as F
 
 from potluck.llm.common import documents
 from potluck.llm import lang_id, toxicity
+from potluck.llm.license_scan import license_scan
 from potluck.llm.piece_bpe import piece_encode
+from potluck.llm.poisson_mix import poisson_mix
 from potluck.llm.substring_dedup import substring_dedup
+from potluck.llm.topk_search import top_k
+from potluck.llm.trie_counts import token_counts
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -36,6 +40,20 @@ def op9_lang_id(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", F.coalesce(lang_id.fold("doc_id", 4) == 2, F.lit(False)).alias("held_out"), "lang_pred", "score", "rejected")
 
 
+def op4_poisson_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = poisson_mix(documents(spark, sf_dir))
+    return mixed.select("row.doc_id", "row.source", "copy", "copies", F.round("rate", 9).alias("rate"),
+                        "order_key", F.sha2(F.col("row.text"), 256).alias("text_sha256"))
+
+
+def op5_trie_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts(documents(spark, sf_dir), piece_model())
+
+
+def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan(documents(spark, sf_dir)).drop("detections")
+
+
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
@@ -45,9 +63,17 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
         "score", "predicted", F.size("sentences").cast("long").alias("n_offending"))
 
 
+def op10_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return top_k(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), F.col("id") % 100 == 0)
+
+
 QUERIES: dict[str, Query] = {
     "op1_substring_dedup": op1_substring_dedup,
+    "op4_poisson_mix": op4_poisson_mix,
+    "op5_trie_counts": op5_trie_counts,
+    "op6_license_scan": op6_license_scan,
     "op7_toxicity": op7_toxicity,
     "op8_piece_bpe": op8_piece_bpe,
     "op9_lang_id": op9_lang_id,
+    "op10_topk_search": op10_topk_search,
 }
