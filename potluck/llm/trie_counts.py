@@ -52,50 +52,71 @@ class TrieCounter:
     """Forward scores and token counts of pre-tokens under piece log-probabilities."""
 
     def __init__(self, scores: dict[str, float]):
-        self.scores = scores
-        self.longest = max(map(len, scores), default=1)
+        # every ending of a piece is a key, so that a walk back from a character knows when
+        # no longer piece can end there; None marks endings that are no pieces themselves
+        self.endings: dict[str, float | None] = {p[i:]: None for p in scores for i in range(len(p))}
+        self.endings.update(scores)
         self.terminals: dict[str, tuple[int, float]] = {}
 
     def insert(self, words: list[str]) -> None:
-        """Terminal states of distinct words, by a depth-first walk over their trie."""
-        scores, longest, terminals = self.scores, self.longest, self.terminals
-        best, count, forward = [0.0], [0], [0.0]         # states along the path; depth 0 first
+        """Terminal states of distinct words, by a depth-first walk over their trie.
+
+        A state's forward score is kept as ``base + log(ratio)``."""
+        endings, terminals, exp = self.endings, self.terminals, math.exp
+        best, count, base, ratio = [0.0], [0], [0.0], [1.0]      # along the path; depth 0 first
         last = ""
-        for word in sorted(words):
+        for plain in sorted(words):
+            word = SPACE + plain
             shared, most = 0, min(len(last), len(word))
             while shared < most and last[shared] == word[shared]:
                 shared += 1
-            del best[shared + 1:], count[shared + 1:], forward[shared + 1:]
+            del best[shared + 1:], count[shared + 1:], base[shared + 1:], ratio[shared + 1:]
             for depth in range(shared + 1, len(word) + 1):
-                top, tokens, paths = -math.inf, 0, []
-                for size in range(1, min(longest, depth) + 1):
-                    score = scores.get(word[depth - size:depth])
-                    if score is None:
-                        if size > 1:
-                            continue
-                        many = len(word[depth - 1].encode())
+                top, tokens, ways = -math.inf, 0, []
+                for at in range(depth - 1, -1, -1):
+                    score, many = endings.get(word[at:depth], 0.0), 1
+                    if score is None or score == 0.0:
+                        if at < depth - 1:
+                            if score is None:
+                                continue
+                            break
+                        many = len(word[at].encode("utf-8", "surrogatepass"))
+                        unknown = score == 0.0
                         score = UNKNOWN * many
                     else:
-                        many = 1
-                    at = depth - size
+                        unknown = False
                     total = best[at] + score
                     if total > top or total == top and count[at] + many < tokens:
                         top, tokens = total, count[at] + many
-                    paths.append(forward[at] + score)
-                high = max(paths)
+                    ways.append((at, score))
+                    if unknown:
+                        break
                 best.append(top)
                 count.append(tokens)
-                forward.append(high if len(paths) == 1 else high + math.log(sum([math.exp(p - high) for p in paths])))
-            terminals[word] = count[-1], forward[-1]
+                if len(ways) == 1:
+                    at, score = ways[0]
+                    base.append(base[at] + score)
+                    ratio.append(ratio[at])
+                else:
+                    r = 0.0
+                    for at, score in ways:
+                        r += ratio[at] * exp(base[at] + score - top)
+                    if r > 1e100:
+                        base.append(top + math.log(r))
+                        ratio.append(1.0)
+                    else:
+                        base.append(top)
+                        ratio.append(r)
+            terminals[plain] = count[-1], base[-1] + math.log(ratio[-1])
             last = word
 
     def count(self, texts: list[str]) -> list[tuple[int, int, float]]:
         """(pre-tokens, tokens, forward score) of each text."""
-        cut = [[SPACE + w for w in _WORD.findall(t)] for t in texts]
         if len(self.terminals) > KEPT:
             self.terminals.clear()
         terminals = self.terminals
-        new = {w for words in cut for w in words}.difference(terminals)
+        cut = [_WORD.findall(t) for t in texts]
+        new = set().union(*cut).difference(terminals)
         self.insert(list(new))
         out = []
         for words in cut:
