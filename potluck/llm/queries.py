@@ -12,6 +12,7 @@ from potluck.llm import lang_id, toxicity
 from potluck.llm.license_scan import license_scan
 from potluck.llm.piece_bpe import piece_encode
 from potluck.llm.poisson_mix import poisson_mix
+from potluck.llm.spotsigs import spotsigs
 from potluck.llm.substring_dedup import substring_dedup
 from potluck.llm.topk_search import top_k
 from potluck.llm.trie_counts import token_counts
@@ -40,6 +41,10 @@ def op9_lang_id(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", F.coalesce(lang_id.fold("doc_id", 4) == 2, F.lit(False)).alias("held_out"), "lang_pred", "score", "rejected")
 
 
+def op3_spotsigs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spotsigs(documents(spark, sf_dir)).drop("sigs", "edited")
+
+
 def op4_poisson_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = poisson_mix(documents(spark, sf_dir))
     return mixed.select("row.doc_id", "row.source", "copy", "copies", F.round("rate", 9).alias("rate"),
@@ -69,6 +74,7 @@ def op10_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     "op1_substring_dedup": op1_substring_dedup,
+    "op3_spotsigs": op3_spotsigs,
     "op4_poisson_mix": op4_poisson_mix,
     "op5_trie_counts": op5_trie_counts,
     "op6_license_scan": op6_license_scan,
