@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from potluck.llm.common import documents
 from potluck.llm import lang_id, toxicity
+from potluck.llm.jaccard_join import jaccard_join
 from potluck.llm.license_scan import license_scan
 from potluck.llm.piece_bpe import piece_encode
 from potluck.llm.poisson_mix import poisson_mix
@@ -41,6 +42,10 @@ def op9_lang_id(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", F.coalesce(lang_id.fold("doc_id", 4) == 2, F.lit(False)).alias("held_out"), "lang_pred", "score", "rejected")
 
 
+def op2_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join(documents(spark, sf_dir))
+
+
 def op3_spotsigs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spotsigs(documents(spark, sf_dir)).drop("sigs", "edited")
 
@@ -74,6 +79,7 @@ def op10_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     "op1_substring_dedup": op1_substring_dedup,
+    "op2_jaccard_join": op2_jaccard_join,
     "op3_spotsigs": op3_spotsigs,
     "op4_poisson_mix": op4_poisson_mix,
     "op5_trie_counts": op5_trie_counts,
