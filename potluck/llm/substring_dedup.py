@@ -265,8 +265,9 @@ def parse(window: int, carry_type: pa.DataType | None, want_text: bool):
                 a, b = w.first[i], w.first[i + 1]
                 own = data[bounds[i]:max(bounds[i], bounds[i + 1] - 1)]
                 digests.append(hashlib.sha256(own).hexdigest())
-                if want_text:
-                    texts.append(own.decode("utf-8", "replace"))
+                if want_text:                        # untouched texts stay as they are
+                    same = w.raw[w.bounds[i]:w.bounds[i + 1]].tobytes()
+                    texts.append((own if lost[i] else same).decode())
                 spans.append(factors(found[a:b], hit[a:b], window) if lost[i] else [])
             n_words.append(np.diff(w.first))
             n_removed.append(lost)
@@ -288,7 +289,8 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                     window: int = WINDOW, carry: list[str] | None = None,
                     with_text: bool = False) -> DataFrame:
     """One row per input row: doc_id, n_words, n_removed, kept_sha256, factors
-    (array of start, length, ref_doc in words), and on request ``kept_text`` and ``carry``."""
+    (array of start, length, ref_doc in words), and on request ``kept_text`` (the text itself
+    where nothing is removed, "" for null) and ``carry``."""
     spark = docs.sparkSession
     buckets = 4 * partitions(spark)
     rows = doc_input(docs, id_col, text_col, carry).withColumn("grp", F.floor(F.col("doc_id") / GROUP))
