@@ -140,7 +140,7 @@ def fit(labels: list[str], ids: list[np.ndarray], shares: list[np.ndarray]) -> L
     if not order:
         return None
     langs = sorted({labels[r] for r in order})
-    target = np.array([langs.index(lab) for lab in labels])
+    target = np.array([langs.index(lab) if lab in langs else -1 for lab in labels])
     rng = np.random.default_rng(7)
     order = rng.permutation(np.array(order))
     aside, used = order[: len(order) // 5], order[len(order) // 5:]

@@ -3,9 +3,9 @@
 A text is reduced to its words (A-Z lower-cased; runs of digits, letters and anything
 beyond ASCII) joined by one space, so a rule never sees punctuation or line breaks. Rules
 are regular expressions over that form, each with a label, a priority and a keyword: a
-rule's expression runs only where its keyword occurs. A detection that lies inside another
-one of a higher rule, or of the same priority and more words, is suppressed; what is left
-gives the labels.
+rule's expression runs only where its keyword occurs. A detection that lies inside another one of
+a higher priority, or of the same priority and more words, or that covers the same words as
+one of an earlier rule, is suppressed; what is left gives the labels.
 
 Rules come from three lists, in order of priority: base phrases (never suppressed), known
 passages of license texts, and license names in the contexts of ``CONTEXTS``.
@@ -150,11 +150,6 @@ class Rule:
     pattern: re.Pattern
 
 
-def _keyword(expression: str) -> str:
-    """The words that an expression begins with, as far as they are plain text; gates it."""
-    return re.match(r"[a-z0-9 ]*", expression)[0].rpartition(" ")[0]
-
-
 def build_rules() -> list[Rule]:
     """All rules, highest priority first."""
     whole = lambda x: re.compile(rb"(?<![^ ])(?:" + x.encode() + rb")(?![^ ])")
@@ -174,6 +169,7 @@ def _plain(spdx: str, name: str) -> bool:
 
 
 RULES = build_rules()
+_KEYWORDS = {r.keyword for r in RULES}
 _LOWER = bytes(c if c >= 128 or 48 <= c <= 57 or 97 <= c <= 122 else c + 32 if 65 <= c <= 90 else 32 for c in range(256))
 
 
@@ -183,6 +179,7 @@ class Detection:
     priority: int
     start: int
     end: int
+    order: int = 0               # of the rule
 
 
 def reduced(text: bytes) -> bytes:
@@ -192,21 +189,20 @@ def reduced(text: bytes) -> bytes:
 
 def detect(text: bytes) -> list[Detection]:
     """Detections in a reduced text that no other one suppresses, in order of position."""
-    present = {k: k in text for k in {r.keyword for r in RULES}}
-    found = [Detection(r.label, r.priority, m.start(), m.end())
-             for r in RULES if present[r.keyword] for m in r.pattern.finditer(text)]
+    present = {k: k in text for k in _KEYWORDS}
+    found = [Detection(r.label, r.priority, m.start(), m.end(), i)
+             for i, r in enumerate(RULES) if present[r.keyword] for m in r.pattern.finditer(text)]
     return suppress(found)
 
 
 def suppress(found: list[Detection]) -> list[Detection]:
-    """Drop detections inside one of a higher priority, or of the same one and more text."""
+    """Drop detections inside another one that comes before: by priority, length, rule."""
     kept: list[Detection] = []
-    for d in sorted(found, key=lambda d: (-d.priority, d.start - d.end, d.start, d.label)):
-        inside = any(k.start <= d.start and d.end <= k.end
-                     and (k.priority > d.priority or k.end - k.start > d.end - d.start) for k in kept)
+    for d in sorted(found, key=lambda d: (-d.priority, d.start - d.end, d.order, d.start)):
+        inside = any(k.start <= d.start and d.end <= k.end for k in kept)
         if d.priority == 100 or not inside:
             kept.append(d)
-    return sorted(kept, key=lambda d: (d.start, d.end, d.label))
+    return sorted(kept, key=lambda d: (d.start, d.end, d.order))
 
 
 def base_places(text: bytes) -> tuple[list[int], set[str]]:
