@@ -18,7 +18,8 @@ from pathlib import Path
 sys.path.insert(0, str(Path(__file__).resolve().parent))
 
 HEADLINE = ["month_category", "widen_net_owes", "upsert_expenses", "category_cube", "mom_full",
-            "member_balances", "text_search"]
+            "member_balances", "text_search", "table_page", "snapshot_json", "dashboard_view", "exclusions",
+            "stream_upsert"]
 
 
 def main() -> None:

@@ -3,7 +3,7 @@
     python -m potluck.cli export   --docs D --groups G [--debts X] --out ROOT [--start YYYY-MM]
                                    [--end YYYY-MM] [--group-id N ...] [--no-raw-shares] [--debug-shares]
     python -m potluck.cli snapshot --docs D --groups G [--debts X] --out ROOT [--recent N]
-    python -m potluck.cli stream   --landing L --store S --checkpoint C [--interval SEC | --once] [--headers]
+    python -m potluck.cli stream   --landing L --store S --checkpoint C [--interval SEC | --once]
 
 Options that the single-group original reads from its environment are flags here:
 ``--exclude-months``, ``--exclude-descriptions``, ``--debt-direction``,
@@ -57,27 +57,30 @@ def _parser() -> argparse.ArgumentParser:
     st.add_argument("--format", default="parquet", choices=["json", "parquet"])
     st.add_argument("--interval", default=None)
     st.add_argument("--once", action="store_true", help="process what has landed, then stop")
-    st.add_argument("--headers", action="store_true", help="landed files hold flat expense headers")
     return p
 
 
 def _ledger(spark: SparkSession, a):
     from potluck.operators.exclusions import ExclusionRules
     from potluck.plans.ledger import LedgerParams
-    from potluck.sources.docs import ledger_from_docs, month_range, read_debts, read_docs, read_groups
+    from potluck.sources.docs import ledger_from_docs, read_debts, read_docs, read_groups, rejected_docs
     params = LedgerParams(a.debt_direction, a.share_direction,
-                          ExclusionRules(a.exclude_months, a.exclude_descriptions))
-    docs = month_range(read_docs(spark, a.docs, a.format), a.start, a.end)
+                          ExclusionRules.of(a.exclude_months, a.exclude_descriptions))
+    docs = read_docs(spark, a.docs, a.format)
+    if a.format == "json" and (bad := rejected_docs(spark, a.docs).count()):
+        print(f"[!] {bad} line(s) of {a.docs} are no documents and are left out", file=sys.stderr)
     return ledger_from_docs(docs, read_groups(spark, a.groups, a.format), read_debts(spark, a.debts, a.format),
-                            params, a.group_id)
+                            params, a.group_id, a.start, a.end)
 
 
 def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> int:
     a = _parser().parse_args(argv)
-    spark = spark or SparkSession.builder.appName(f"potluck-{a.cmd}").getOrCreate()
+    if spark is None:
+        from potluck.session import SKEW_SETTINGS
+        spark = SparkSession.builder.appName(f"potluck-{a.cmd}").config(map=SKEW_SETTINGS).getOrCreate()
     if a.cmd == "stream":
         from potluck.streaming.upsert_stream import start
-        q = start(spark, a.landing, a.store, a.checkpoint, a.interval, a.once, a.format, nested=not a.headers)
+        q = start(spark, a.landing, a.store, a.checkpoint, a.interval, a.once, a.format)
         q.awaitTermination()
         return 0
     led = _ledger(spark, a)
@@ -85,6 +88,8 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
     if a.cmd == "export":
         from potluck.operators import aggregates as A
         from potluck.plans.export import export
+        from potluck.schemas import EXPENSE_STORE
+        from potluck.sinks import writers
         res = export(spark, led, a.out, version, include_shares=not a.no_raw_shares,
                      report_format=a.report_format)
         if a.debug_shares:
@@ -94,10 +99,11 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
             print(json.dumps(tot.asDict()))
             for r in led.shares.orderBy("group_id", "expense_id", "user_id").limit(6).collect():
                 print(json.dumps({k: str(v) for k, v in r.asDict().items()}))
-        warn = A.multi_currency(led.expenses).where("multi_currency")
-        n_warn = warn.count()
-        if n_warn:
-            some = [r.group_id for r in warn.select("group_id").orderBy("group_id").limit(20).collect()]
+        # the merged table, stored rows included, as it was written
+        merged = writers.read_published(spark, a.out, "raw_expenses", EXPENSE_STORE, version=version)
+        first = A.multi_currency(merged).where("multi_currency").orderBy("group_id").limit(21).collect()
+        if first:
+            n_warn, some = ("over 20" if len(first) > 20 else len(first)), [r.group_id for r in first[:20]]
             print(f"[!] {n_warn} group(s) with more than one currency (amounts are not converted), "
                   f"e.g. {some}", file=sys.stderr)
         print(json.dumps({"path": res.path, "version": res.version, "tables": list(res.tables)}))

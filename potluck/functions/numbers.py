@@ -23,13 +23,13 @@ def strip_text(c) -> Column:
 
 
 def money_or_zero(text: Column) -> Column:
-    """Number text → decimal cents; null, blank or unparseable → 0.00.
+    """Number text → exact decimal; null, blank or unparseable → 0.
 
     Spark's text → decimal cast takes surrounding whitespace, signs, exponents and
     Unicode digits like Python's ``float()``, and rejects what it rejects (e.g. ``1d``,
     ``0x10``, ``1,0``). Non-finite values (``inf``/``nan``) have no decimal and become 0.
     """
-    return F.coalesce(text.try_cast(T.DecimalType(38, 10)).try_cast(MONEY), F.lit(0).cast(MONEY))
+    return F.coalesce(text.try_cast(MONEY), F.lit(0).cast(MONEY))
 
 
 def lenient_money(c) -> Column:
@@ -66,12 +66,8 @@ def resolve_user_id(c) -> Column:
 
 
 def py_float_text(c) -> Column:
-    """Decimal cents → the text Python prints for the same float (100.00 → '100.0')."""
-    return F.regexp_replace(_col(c).cast("string"), "0$", "")
-
-
-def to_double(c) -> Column:
-    return _col(c).cast(T.DoubleType())
+    """Money rounded to cents → the text Python prints for the same float (100.00 → '100.0')."""
+    return F.regexp_replace(_col(c).cast("decimal(38,2)").cast("string"), "0$", "")
 
 
 def pct_of_max(amount_cents: Column, max_cents: Column) -> Column:

@@ -22,23 +22,5 @@ def contains_all_ci(text, needles: list[str]) -> Column:
     return reduce(lambda acc, n: acc & F.contains(low, F.lit(n.lower())), needles, F.lit(True))
 
 
-def row_text(cols: list) -> Column:
-    """Space-joined text of a row's values, null rendered as ``None`` (search haystack)."""
-    return F.concat_ws(" ", *[F.coalesce(_col(c).cast("string"), F.lit(NULL_LABEL)) for c in cols])
-
-
-def search_matches(cols: list, query: str | None) -> Column:
-    """Row filter of the table search: lower-cased needle inside the lower-cased row text."""
-    q = (query or "").strip()
-    if not q:
-        return F.lit(True)
-    return F.contains(F.lower(row_text(cols)), F.lit(q.lower()))
-
-
 def nonblank(c) -> Column:
     return F.trim(_col(c).cast("string")) != ""
-
-
-def parse_csv_values(raw: str | None) -> list[str]:
-    """Comma list → trimmed, non-blank values (job parameter parsing, done on the driver)."""
-    return [v.strip() for v in (raw or "").split(",") if v.strip()]

@@ -11,13 +11,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from potluck.functions.text import nonblank
-from potluck.schemas import ALL_MONTHS, ALL_MONTHS_LABEL, MAX_PIVOT_VALUES, TOTAL_LABEL
+from potluck.schemas import ALL_MONTHS, ALL_MONTHS_LABEL, MONEY, SUM, TOTAL_LABEL
 
 G = "group_id"
 
 
 def money(c) -> Column:
-    """Exact decimal → double for output."""
+    """Exact decimal → double for output (nothing is rounded here)."""
     return (F.col(c) if isinstance(c, str) else c).cast("double")
 
 
@@ -25,52 +25,56 @@ def net_owes(mode: str) -> Column:
     """Net amount a share row still owes, clipped at 0 per row (``reverse`` flips the sign)."""
     paid, owed = F.col("paid_share"), F.col("owed_share")
     diff = paid - owed if mode == "reverse" else owed - paid
-    return F.greatest(diff, F.lit(0).cast("decimal(18,2)"))
+    return F.greatest(diff, F.lit(0).cast(MONEY))
 
 
-def dense_cells(sums: DataFrame, row: str, col: str, value: str = "v",
-                col_values: DataFrame | None = None, total_label: str | None = None) -> DataFrame:
-    """Zero-filled pivot cells of each group from one pass over aggregated ``sums``.
+def grid(sums: DataFrame, row: str, col: str, value: str = "v", cols: DataFrame | None = None,
+         total_label: str | None = None) -> DataFrame:
+    """Zero-filled pivot cells of each group: its rows × its columns, one row per cell, with
+    the ``total`` of the row beside it.
 
-    ``sums`` holds ``group_id, row, col, value`` with at most one row per cell (already
-    aggregated; a null ``col`` marks a row value without cells). Rows become small maps
-    ``col → value``; each group then gathers its row maps (bounded by the pivot's size:
-    months × categories or members, never by the number of expenses) and every row is
-    expanded over the group's columns, missing cells 0. ``col_values`` (``group_id, col``)
-    replaces the present columns (e.g. every member); ``total_label`` adds each row's total.
-    The input is consumed once — the plan that produced it runs once — and no two large
-    sides are ever joined.
+    ``sums`` holds ``group_id, row, col, value``, at most one row per cell; a null ``col``
+    marks a row of the grid without cells. ``cols`` (``group_id, col``) replaces the columns
+    that occur; else ``total_label`` adds the totals as one more column, marked by ``is_total``.
+    Each row of the pivot is gathered into a map, as long as the pivot is wide; the columns
+    come from the same maps, so Spark reuses their shuffle and runs the input once, and the
+    rows meet the columns of their group in a join: no task holds a group's whole grid.
     """
-    dec = "decimal(28,2)"
-    cell = F.when(F.col(col).isNotNull(), F.struct(F.col(col).cast("string").alias("c"),
-                                                    F.col(value).cast(dec).alias("v")))
-    rowmaps = sums.groupBy(G, row).agg(F.map_from_entries(F.collect_list(cell)).alias("m"))
-    per = rowmaps.groupBy(G).agg(F.collect_list(F.struct(F.col(row).alias("r"), "m")).alias("_rows"))
-    if col_values is not None:
-        names = col_values.groupBy(G).agg(F.array_distinct(F.collect_list(F.col(col).cast("string"))).alias("_cols"))
-        per = per.join(names, G)
-    else:
-        per = per.select(G, "_rows", F.array_distinct(F.flatten(
-            F.transform("_rows", lambda x: F.map_keys(x["m"])))).alias("_cols"))
-    if total_label is not None:
-        per = per.withColumn("_cols", F.concat("_cols", F.array(F.lit(total_label))))
-    zero = F.lit(0).cast(dec)
-    rows_ = per.select(G, F.explode("_rows").alias("x"), "_cols").select(
-        G, F.col("x.r").alias(row), F.col("x.m").alias("m"), "_cols")
-
-    def fill(c):
-        v = F.coalesce(F.element_at("m", c), zero)
+    cell = F.when(F.col(col).isNotNull(), F.struct(F.col(col).alias("k"), F.col(value).cast(SUM).alias("v")))
+    zero = F.lit(0).cast(SUM)
+    rows = sums.groupBy(G, row).agg(
+        F.map_from_entries(F.collect_list(cell)).alias("_cells"),
+        F.coalesce(F.sum(F.when(F.col(col).isNotNull(), F.col(value))).cast(SUM), zero).alias("total"))
+    label = lambda name, is_total: F.struct(name.alias(col), F.lit(is_total).alias("is_total"))
+    if cols is None:
+        labels = F.transform(F.map_keys("_cells"), lambda k: label(k, False))
         if total_label is not None:
-            total = F.aggregate(F.map_values("m"), zero, lambda acc, x: (acc + x).cast(dec))
-            v = F.when(c == total_label, total).otherwise(v)
-        return F.struct(c.alias("c"), v.alias("v"))
-
-    out = rows_.select(G, row, F.explode(F.transform("_cols", fill)).alias("y"))
-    return out.select(G, row, F.col("y.c").alias(col), F.col("y.v").alias(value))
+            labels = F.concat(labels, F.array(label(F.lit(total_label), True)))
+        cols = rows.select(G, F.explode(labels).alias("l")).select(G, "l.*").distinct()
+    else:
+        cols = cols.select(G, col, F.lit(False).alias("is_total"))
+    v = F.when(F.col("is_total"), F.col("total")).otherwise(
+        F.coalesce(F.try_element_at(F.col("_cells"), F.col(col)), zero))
+    return rows.join(cols, G).select(G, row, col, "is_total", v.alias(value), "total")
 
 
 # ---------------------------------------------------------------- expense aggregates
 
+# The chart base: sums of expenses with the number of expenses behind each, in ``n``. It has
+# the columns that the functions below read, so they take it in the place of the expenses.
+CHART_KEY = ("month", "category", "currency")
+
+
+def chart_base(expenses: DataFrame) -> DataFrame:
+    return expenses.groupBy(G, *CHART_KEY).agg(F.sum("amount").cast(SUM).alias("amount"), F.count("*").alias("n"))
+
+
+def _rows(expenses: DataFrame, condition: Column | None = None) -> Column:
+    """The number of expenses, or of those for which a condition holds."""
+    each = F.col("n") if "n" in expenses.columns else F.lit(1)
+    return F.coalesce(F.sum(each if condition is None else F.when(condition, each)), F.lit(0))
+
+
 def month_category_sums(expenses: DataFrame) -> DataFrame:
     """``group_id, month, category, amount`` (decimal) — the basis of most charts."""
     return expenses.groupBy(G, "month", "category").agg(F.sum("amount").alias("amount"))
@@ -81,28 +85,16 @@ def month_category(expenses: DataFrame) -> DataFrame:
     return month_category_sums(expenses).select(G, "month", "category", money("amount").alias("amount"))
 
 
-def distinct_categories(expenses: DataFrame, limit: int = MAX_PIVOT_VALUES) -> list[str]:
-    """Bounded, sorted category list for wide tables (raises beyond ``limit``)."""
-    rows = expenses.select("category").distinct().orderBy("category").limit(limit + 1).collect()
-    if len(rows) > limit:
-        raise ValueError(f"more than {limit} categories: use the long-form table")
-    return [r[0] for r in rows]
+def month_category_grid(expenses: DataFrame) -> DataFrame:
+    """Month × category table of each group, zero-filled, one row per cell, with the month's
+    total beside every cell (``total`` is a column, so no category's name can clash with it).
 
-
-def month_category_pivot(expenses: DataFrame, categories: list[str] | None = None) -> DataFrame:
-    """Wide month × category table, zero-filled, with a ``Total`` column.
-
-    The category list is explicit and bounded; each cell is a conditional sum, so the
-    whole table is one two-phase aggregation on (group, month) — a single shuffle of
-    partial sums.
+    The categories are the group's own. One group's table in the wide form, one column per
+    category, is ``plans.views.group_tables``.
     """
-    cats = categories if categories is not None else distinct_categories(expenses)
-    zero = F.lit(0).cast("decimal(28,2)")
-    cells = [F.coalesce(F.sum(F.when(F.col("category") == c, F.col("amount"))), zero).alias(f"_c{i}")
-             for i, c in enumerate(cats)]
-    piv = expenses.groupBy(G, "month").agg(*cells, F.coalesce(F.sum("amount"), zero).alias("_total"))
-    return piv.select(G, "month", *[money(f"_c{i}").alias(c) for i, c in enumerate(cats)],
-                      money("_total").alias(TOTAL_LABEL))
+    sums = month_category_sums(expenses).withColumnRenamed("amount", "v")
+    return grid(sums, "month", "category").select(
+        G, "month", "category", money("v").alias("amount"), money("total").alias("total"))
 
 
 def monthly_totals(expenses: DataFrame) -> DataFrame:
@@ -151,7 +143,7 @@ def summary(expenses: DataFrame) -> DataFrame:
     """Per group: expense count, grand total, sorted distinct currencies (comma list)."""
     cur = F.when(nonblank("currency"), F.col("currency"))
     return expenses.groupBy(G).agg(
-        F.count(F.lit(1)).alias("expense_count"),
+        _rows(expenses).alias("expense_count"),
         money(F.sum("amount")).alias("total_expenses"),
         F.array_join(F.array_sort(F.collect_set(cur)), ",").alias("currencies"),
     )
@@ -166,12 +158,14 @@ def multi_currency(expenses: DataFrame) -> DataFrame:
 def distinct_values(expenses: DataFrame) -> DataFrame:
     """``group_id, kind, value``: currencies, months (non-blank) and charted categories.
 
-    One pass: every expense row contributes its three (kind, value) pairs to a single
-    grouped aggregation; categories are kept only with a positive total.
+    Expenses are summed per combination of the three first; only those sums are taken
+    apart into (kind, value) pairs. Categories are kept only with a positive total.
     """
+    kinds = ("currency", "month", "category")
+    sums = expenses.groupBy(G, *kinds).agg(F.sum("amount").alias("amount"))
     pairs = F.array(*[F.struct(F.lit(k).alias("kind"), F.col(k).alias("value"), F.col("amount").alias("amount"))
-                      for k in ("currency", "month", "category")])
-    s = (expenses.select(G, F.explode(pairs).alias("p")).select(G, "p.*")
+                      for k in kinds])
+    s = (sums.select(G, F.explode(pairs).alias("p")).select(G, "p.*")
          .groupBy(G, "kind", "value").agg(F.sum("amount").alias("amount")))
     keep = F.when(F.col("kind") == "category", F.col("amount") > 0).otherwise(nonblank("value"))
     return s.where(keep).select(G, "kind", "value")
@@ -185,11 +179,11 @@ def scoped_month(expenses: DataFrame, month: str | None) -> DataFrame:
     """
     sel = (month or ALL_MONTHS).strip()
     per_group = expenses.groupBy(G).agg(
-        F.count(F.lit(1)).alias("all_count"), F.sum("amount").alias("all_total"),
-        F.count_if(F.col("month") == sel).alias("m_count"),
+        _rows(expenses).alias("all_count"), F.sum("amount").alias("all_total"),
+        _rows(expenses, F.col("month") == sel).alias("m_count"),
         F.sum(F.when(F.col("month") == sel, F.col("amount"))).alias("m_total"))
     valid = (F.col("m_count") > 0) & F.lit(sel != ALL_MONTHS)
-    zero = F.lit(0).cast("decimal(28,2)")
+    zero = F.lit(0).cast(SUM)
     return per_group.select(
         G,
         F.when(valid, F.lit(sel)).otherwise(F.lit(ALL_MONTHS)).alias("selected_month"),
@@ -200,6 +194,11 @@ def scoped_month(expenses: DataFrame, month: str | None) -> DataFrame:
 
 # ---------------------------------------------------------------- share aggregates
 
+def member_order(members: DataFrame) -> DataFrame:
+    """``group_id, name, ord``: each member name of a group once, with its first position."""
+    return members.groupBy(G, "name").agg(F.min("ord").alias("ord"))
+
+
 def tracked_shares(shares: DataFrame, members: DataFrame) -> DataFrame:
     """Shares of configured members, named by the member map (inner join = semi + lookup)."""
     m = members.select(G, "user_id", F.col("name").alias("member"), "ord")
@@ -207,29 +206,29 @@ def tracked_shares(shares: DataFrame, members: DataFrame) -> DataFrame:
 
 
 def person_month(shares: DataFrame, members: DataFrame, value: Column) -> DataFrame:
-    """Month × person grid of a share value (zero-filled), plus a ``Total`` person per month.
+    """Month × person grid of a share value (zero-filled), plus one ``is_total`` row per month.
 
     Months are those with tracked shares; persons are the members present in the group's
-    rows (members without any share are omitted, as in the wide original). One aggregation
-    feeds the per-group grid (bounded by months × members) and its row totals.
+    rows (members without any share are omitted, as in the wide original). ``amount`` is
+    exact; ``ord`` is the member order, totals last.
     """
     t = tracked_shares(shares, members).select(G, "month", "member", value.alias("v"))
     sums = t.groupBy(G, "month", "member").agg(F.sum("v").alias("v"))
-    cells = dense_cells(sums, "month", "member", total_label=TOTAL_LABEL)
-    order = members.groupBy(G, F.col("name").alias("member")).agg(F.min("ord").alias("ord"))
-    return cells.join(order, [G, "member"], "left").select(
-        G, "month", F.col("member").alias("person"),
-        F.coalesce("ord", F.lit(1 << 30)).alias("ord"), money("v").alias("amount"))
+    order = member_order(members).withColumnRenamed("name", "member")
+    cells = grid(sums, "month", "member", total_label=TOTAL_LABEL).join(
+        order.withColumn("is_total", F.lit(False)), [G, "member", "is_total"], "left")
+    return cells.select(G, "month", F.col("member").alias("person"), "is_total",
+                        F.coalesce("ord", F.lit(2**31 - 1)).alias("ord"), F.col("v").alias("amount"))
 
 
 def person_month_owed(shares: DataFrame, members: DataFrame) -> DataFrame:
-    """Export table: owed share per month and member (+ ``Total``)."""
-    return person_month(shares, members, F.col("owed_share")).drop("ord")
+    """Export table: owed share per month and member (+ the month's total)."""
+    return person_month(shares, members, F.col("owed_share")).drop("ord").withColumn("amount", money("amount"))
 
 
 def person_month_net(shares: DataFrame, members: DataFrame, mode: str) -> DataFrame:
-    """Dashboard table: clipped net owes per month and member (+ ``Total``)."""
-    return person_month(shares, members, net_owes(mode)).drop("ord")
+    """Dashboard table: clipped net owes per month and member (+ the month's total)."""
+    return person_month(shares, members, net_owes(mode)).drop("ord").withColumn("amount", money("amount"))
 
 
 def share_sanity(shares: DataFrame) -> DataFrame:
@@ -254,8 +253,8 @@ def person_totals(expenses: DataFrame, shares: DataFrame, members: DataFrame, mo
     """Net owes per member over all kept expenses; every member listed (0 when none)."""
     t = tracked_shares(kept_expense_shares(shares, expenses), members)
     sums = t.groupBy(G, "member").agg(F.sum(net_owes(mode)).alias("v"))
-    names = members.groupBy(G, F.col("name").alias("member")).agg(F.min("ord").alias("ord"))
-    zero = F.lit(0).cast("decimal(28,2)")
+    names = member_order(members).withColumnRenamed("name", "member")
+    zero = F.lit(0).cast(SUM)
     return names.join(sums, [G, "member"], "left").select(
         G, F.col("member").alias("person"), money(F.coalesce("v", zero)).alias("amount"))
 
@@ -264,15 +263,15 @@ def person_totals_by_month(expenses: DataFrame, shares: DataFrame, members: Data
     """Net owes per month (of the expense table) and member; zero-filled grid.
 
     The expense table is consumed once: its rows are left-joined with the tracked share
-    rows on ``expense_id`` (settlement shares find no expense and drop out), so months
+    rows on the full key (settlement shares find no expense and drop out), so months
     without any tracked share still appear. All members of the group are columns.
     """
-    t = tracked_shares(shares, members).select("expense_id", "member", net_owes(mode).alias("v"))
-    rows = expenses.select(G, "expense_id", "month").join(t, "expense_id", "left")
-    sums = rows.groupBy(G, "month", "member").agg(F.sum("v").cast("decimal(28,2)").alias("v"))
-    names = members.select(G, F.col("name").alias("member"))
-    cells = dense_cells(sums, "month", "member", col_values=names)
-    return cells.select(G, "month", F.col("member").alias("person"), money("v").alias("amount"))
+    t = tracked_shares(shares, members).select(G, "expense_id", "member", net_owes(mode).alias("v"))
+    rows = expenses.select(G, "expense_id", "month").join(t, [G, "expense_id"], "left")
+    sums = rows.groupBy(G, "month", "member").agg(F.sum("v").cast(SUM).alias("v"))
+    names = member_order(members).select(G, F.col("name").alias("member"))
+    return grid(sums, "month", "member", cols=names).select(
+        G, "month", F.col("member").alias("person"), money("v").alias("amount"))
 
 
 def top_people(shares: DataFrame, members: DataFrame, k: int = 2) -> DataFrame:
@@ -284,14 +283,3 @@ def top_people(shares: DataFrame, members: DataFrame, k: int = 2) -> DataFrame:
     ranked = tot.select("*", F.row_number().over(w).alias("rank")).where(F.col("rank") <= k)
     return ranked.select(G, F.col("rank").cast("long").alias("rank"), F.col("member").alias("person"),
                          money("v").alias("amount"))
-
-
-def person_month_wide(person_month: DataFrame, names: list[str]) -> DataFrame:
-    """Long month × person table → one column per member name (member order) + ``Total``.
-
-    ``names`` is the bounded member-name list; a member absent from a group's rows gets
-    null in that group (the single-group original has no such column at all).
-    """
-    cols = [n for n in names if n != TOTAL_LABEL] + [TOTAL_LABEL]
-    return person_month.groupBy(G, "month").agg(
-        *[F.max(F.when(F.col("person") == n, F.col("amount"))).alias(n) for n in cols])

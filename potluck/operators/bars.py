@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from potluck.functions.format import label_color
 from potluck.functions.numbers import cents, pct_of_max
 from potluck.operators.aggregates import money
-from potluck.schemas import ALL_MONTHS, TOTAL_LABEL, UNKNOWN_MONTH_RANK
+from potluck.schemas import ALL_MONTHS, SUM, UNKNOWN_MONTH_RANK
 
 G = "group_id"
 
@@ -42,17 +42,17 @@ def bars(items: DataFrame, label: str, order: list[Column], limit: int, color: b
 def person_month_groups(person_month: DataFrame, months: DataFrame, month_filter: str = ALL_MONTHS) -> DataFrame:
     """Grouped bars: for each month of the person table, every member's amount and percent.
 
-    ``person_month`` is the long month × person table (decimal ``amount``, ``Total`` rows
+    ``person_month`` is the long month × person table (exact ``amount``, ``is_total`` rows
     are ignored); ``months`` the group's known months (``group_id, month``). Months are
     ranked newest first, unknown months last; the max is over the shown cells, at least 1.
     """
-    cells = person_month.where(F.col("person") != TOTAL_LABEL)
+    cells = person_month.where(~F.col("is_total"))
     if month_filter != ALL_MONTHS:
         cells = cells.where(F.col("month") == month_filter)
     ranked = months.select(G, "month", (F.dense_rank().over(
         Window.partitionBy(G).orderBy(F.col("month").desc())) - 1).alias("rank"))
     cells = cells.join(ranked, [G, "month"], "left")
-    mx = F.greatest(F.max("amount").over(Window.partitionBy(G)), F.lit(1).cast("decimal(28,2)"))
+    mx = F.greatest(F.max("amount").over(Window.partitionBy(G)), F.lit(1).cast(SUM))
     return cells.select(
         G, "month", F.coalesce("rank", F.lit(UNKNOWN_MONTH_RANK)).cast("long").alias("month_rank"),
         "person", money("amount").alias("amount"),

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from potluck.functions.numbers import lenient_long, lenient_money, resolve_user_id
 from potluck.operators.aggregates import money
 from potluck.operators.normalize import first_present
-from potluck.schemas import UNKNOWN_PERSON
+from potluck.schemas import MONEY, SUM, UNKNOWN_PERSON
 
 G = "group_id"
 FROM_FIELDS = ["from", "from_user", "from_user_id"]
@@ -33,19 +33,21 @@ def debt_edges(debts_raw: DataFrame, members: DataFrame, mode: str) -> DataFrame
 
     ``reverse`` (the default mode) swaps the landed direction. Endpoints are resolved
     leniently (ids, digit text or ``{"id": ..}`` objects); unknown ids keep their number
-    as the name, missing ones become ``Unknown``.
+    as the name, missing ones become ``Unknown``. ``pos`` numbers a group's edges by amount,
+    largest first (ties: lower ids).
     """
     f_raw = first_present(debts_raw, FROM_FIELDS, truthy=True)
     t_raw = first_present(debts_raw, TO_FIELDS, truthy=True)
     src, dst = (t_raw, f_raw) if mode == "reverse" else (f_raw, t_raw)
     edges = debts_raw.select(
         G, resolve_user_id(src).alias("from_id"), resolve_user_id(dst).alias("to_id"),
-        F.round(lenient_money(F.col("amount")), 2).alias("amount"),
+        F.round(lenient_money(F.col("amount")), 2).cast(MONEY).alias("amount"),
     ).where(F.col("amount") > 0)
     named = (edges.join(_name_lookup(members, "from_id", "fm"), [G, "from_id"], "left")
              .join(_name_lookup(members, "to_id", "tm"), [G, "to_id"], "left"))
+    place = F.row_number().over(Window.partitionBy(G).orderBy(F.col("amount").desc(), "from_id", "to_id"))
     return named.select(G, "from_id", "to_id", _display_name("fm", "from_id").alias("from_name"),
-                        _display_name("tm", "to_id").alias("to_name"), "amount")
+                        _display_name("tm", "to_id").alias("to_name"), "amount", (place - 1).cast("long").alias("pos"))
 
 
 def member_balances(edges: DataFrame, members: DataFrame) -> DataFrame:
@@ -56,12 +58,12 @@ def member_balances(edges: DataFrame, members: DataFrame) -> DataFrame:
     """
     ends = edges.select(G, F.explode(F.array(
         F.struct(F.col("from_name").alias("name"), F.col("amount").alias("owes"),
-                 F.lit(0).cast("decimal(18,2)").alias("recv")),
-        F.struct(F.col("to_name").alias("name"), F.lit(0).cast("decimal(18,2)").alias("owes"),
+                 F.lit(0).cast(MONEY).alias("recv")),
+        F.struct(F.col("to_name").alias("name"), F.lit(0).cast(MONEY).alias("owes"),
                  F.col("amount").alias("recv")))).alias("e")).select(G, "e.*")
     sums = ends.groupBy(G, "name").agg(F.sum("owes").alias("owes"), F.sum("recv").alias("recv"))
     names = members.groupBy(G, "name").agg(F.min("ord").alias("ord"))
-    zero = F.lit(0).cast("decimal(28,2)")
+    zero = F.lit(0).cast(SUM)
     return names.join(sums, [G, "name"], "left").select(
         G, "name", money(F.round(F.coalesce("owes", zero), 2)).alias("owes"),
         money(F.round(F.coalesce("recv", zero), 2)).alias("to_receive"))
@@ -78,12 +80,11 @@ def debtor_totals(debts_raw: DataFrame, members: DataFrame) -> DataFrame:
     named = d.join(members.select(G, "user_id", "name"), [G, "user_id"], "inner")
     sums = named.groupBy(G, "name").agg(F.sum("amount").alias("v"))
     names = members.groupBy(G, "name").agg(F.min("ord").alias("ord"))
-    zero = F.lit(0).cast("decimal(28,2)")
+    zero = F.lit(0).cast(SUM)
     return names.join(sums, [G, "name"], "left").select(
         G, F.col("name").alias("person"), money(F.coalesce("v", zero)).alias("amount"))
 
 
 def top_debt(edges: DataFrame) -> DataFrame:
     """The largest edge of each group (ties: lower from_id, then to_id)."""
-    w = Window.partitionBy(G).orderBy(F.col("amount").desc(), "from_id", "to_id")
-    return edges.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") == 1).drop("_rn")
+    return edges.where(F.col("pos") == 0).drop("pos")

@@ -2,36 +2,40 @@
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from potluck.functions.text import contains_all_ci, parse_csv_values
+from potluck.functions.text import contains_all_ci
 
 
 @dataclass(frozen=True)
 class ExclusionRules:
-    """Comma lists as given by the user, e.g. ``months="2025-10,2025-11"``, ``descriptions="paris,trip"``."""
-    months: str = ""
-    descriptions: str = ""
+    """Months (``YYYY-MM``) and description texts; both must be given for the rules to act."""
+    months: tuple[str, ...] = ()
+    descriptions: tuple[str, ...] = ()
 
-    @property
-    def month_set(self) -> list[str]:
-        return sorted(set(parse_csv_values(self.months)))
-
-    @property
-    def patterns(self) -> list[str]:
-        return parse_csv_values(self.descriptions)
+    @classmethod
+    def of(cls, months: str = "", descriptions: str = "") -> "ExclusionRules":
+        """Rules from comma lists; surrounding spaces, blank entries and repeats do not count."""
+        return cls(*(tuple(dict.fromkeys(re.findall(r"[^,\s](?:[^,]*[^,\s])?", given)))
+                     for given in (months, descriptions)))
 
     @property
     def active(self) -> bool:
-        return bool(self.month_set) and bool(self.patterns)
+        return bool(self.months and self.descriptions)
 
 
 def drop_mask(rules: ExclusionRules):
     """Row is dropped when its month is listed AND its description holds *every* pattern."""
-    return F.col("month").isin(rules.month_set) & contains_all_ci(F.col("description"), rules.patterns)
+    return F.col("month").isin(list(rules.months)) & contains_all_ci(F.col("description"), list(rules.descriptions))
+
+
+def _without_expenses(expenses: DataFrame, shares: DataFrame) -> DataFrame:
+    """The few groups that have shares but no expense at all (one row per group)."""
+    return shares.select("group_id").distinct().join(expenses.select("group_id").distinct(), "group_id", "left_anti")
 
 
 def apply_exclusions(expenses: DataFrame, shares: DataFrame, rules: ExclusionRules) -> tuple[DataFrame, DataFrame]:
@@ -39,19 +43,16 @@ def apply_exclusions(expenses: DataFrame, shares: DataFrame, rules: ExclusionRul
 
     The share filter matches shares to the kept expense keys, so while rules are active
     the shares of settlement (and other non-kept) documents disappear as well. A group
-    without any expense is left untouched (the original returns early on an empty
-    expense table); that check is a join with the group's presence flag, which AQE turns
-    into a broadcast once the distinct groups turn out small.
+    without any expense is left untouched (the original returns early on an empty expense
+    table): those groups are found among the distinct ids of both tables, and only their
+    shares are looked up by group.
     """
     if not rules.active:
         return expenses, shares
     kept = expenses.where(~F.coalesce(drop_mask(rules), F.lit(False)))
-    kept_ids = kept.select("group_id", "expense_id", F.lit(True).alias("_kept"))
-    present = expenses.select("group_id").distinct().select("group_id", F.lit(True).alias("_present"))
-    marked = (shares.join(kept_ids, ["group_id", "expense_id"], "left")
-              .join(present, "group_id", "left"))
-    keep = F.col("_kept").isNotNull() | F.col("_present").isNull()
-    return kept, marked.where(keep).select(*shares.columns)
+    of_kept = shares.join(kept.select("group_id", "expense_id"), ["group_id", "expense_id"], "left_semi")
+    untouched = shares.join(_without_expenses(expenses, shares), "group_id", "left_semi")
+    return kept, of_kept.unionByName(untouched)
 
 
 def exclusion_counts(raw_expenses: DataFrame, raw_shares: DataFrame, rules: ExclusionRules) -> DataFrame:
@@ -63,23 +64,20 @@ def exclusion_counts(raw_expenses: DataFrame, raw_shares: DataFrame, rules: Excl
     zero = F.lit(0).cast("long")
     if rules.active:
         dropped = F.coalesce(drop_mask(rules), F.lit(False))
-        flagged = raw_expenses.select("group_id", "expense_id", dropped.alias("dropped"))
-        e = flagged.groupBy("group_id").agg(
-            F.count(F.lit(1)).alias("expenses_before"),
-            F.count_if(~F.col("dropped")).alias("expenses_after"))
-        kept_ids = flagged.where(~F.col("dropped")).select("group_id", "expense_id", F.lit(1).alias("hit"))
-        present = raw_expenses.select("group_id").distinct().select("group_id", F.lit(1).alias("present"))
+        e = raw_expenses.groupBy("group_id").agg(
+            F.count(F.lit(1)).alias("expenses_before"), F.count_if(~dropped).alias("expenses_after"))
+        kept_ids = raw_expenses.where(~dropped).select("group_id", "expense_id", F.lit(1).alias("hit"))
         s = (raw_shares.select("group_id", "expense_id")
-             .join(kept_ids, ["group_id", "expense_id"], "left").join(present, "group_id", "left")
-             .groupBy("group_id").agg(F.count(F.lit(1)).alias("shares_before"),
-                                      F.count_if(F.col("hit").isNotNull() | F.col("present").isNull())
-                                      .alias("shares_after")))
+             .join(kept_ids, ["group_id", "expense_id"], "left")
+             .groupBy("group_id").agg(F.count(F.lit(1)).alias("shares_before"), F.count("hit").alias("matched")))
     else:
         e = raw_expenses.groupBy("group_id").agg(F.count(F.lit(1)).alias("expenses_before"))
         e = e.withColumn("expenses_after", F.col("expenses_before"))
         s = raw_shares.groupBy("group_id").agg(F.count(F.lit(1)).alias("shares_before"))
-        s = s.withColumn("shares_after", F.col("shares_before"))
-    out = e.join(s, "group_id", "full")
+        s = s.withColumn("matched", F.col("shares_before"))
+    # a group without any expense keeps all its shares
+    after = F.when(F.col("expenses_before").isNull(), F.col("shares_before")).otherwise(F.col("matched"))
+    out = e.join(s, "group_id", "full").withColumn("shares_after", after)
     cols = ("expenses_before", "expenses_after", "shares_before", "shares_after")
     out = out.select("group_id", *[F.coalesce(F.col(c).cast("long"), zero).alias(c) for c in cols])
     return out.select("*", (F.col("expenses_before") - F.col("expenses_after")).alias("expenses_removed"),

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from potluck.functions.numbers import lenient_cost, lenient_money
+from potluck.functions.numbers import lenient_cost, lenient_long, lenient_money
 from potluck.schemas import (
     DEFAULT_CATEGORY, NULL_LABEL, SETTLEMENT_CATEGORY_PATTERN, UNKNOWN_PERSON,
 )
@@ -48,6 +48,22 @@ def first_present(df: DataFrame, names: list[str], truthy: bool = False) -> Colu
     return F.coalesce(*cols) if len(cols) > 1 else cols[0]
 
 
+def latest_documents(docs: DataFrame) -> DataFrame:
+    """One document per (group_id, id): the latest ``updated_at``, a missing stamp lowest.
+
+    Runs on raw documents, before deleted ones, settlements or months are looked at, so a
+    later deletion hides every earlier version. An aggregation: each task sends its best
+    version of a key. Equal stamps are decided by the content's hash; documents without an
+    id are all kept.
+    """
+    key = ["group_id", "id"]
+    row = F.struct(*[F.col(c) for c in docs.columns])
+    stamp = F.when(~F.col("updated_at").isin("", NULL_LABEL), F.col("updated_at"))
+    rank = F.struct(F.coalesce(stamp, F.lit("")), F.xxhash64(F.to_json(row)))
+    best = docs.where("id is not null").groupBy(*key).agg(F.max_by(row, rank).alias("d")).select("d.*")
+    return best.unionByName(docs.where("id is null"))
+
+
 def flatten_docs(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Nested documents (``EXPENSE_DOC``) → (headers, share rows); both narrow projections."""
     headers = docs.select(
@@ -56,12 +72,19 @@ def flatten_docs(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     users = docs.select(
         "group_id", F.col("id").alias("expense_id"), "date", "deleted_at",
         F.explode("users").alias("u"))
+    entry = {f.name: f.dataType for f in docs.schema["users"].dataType.elementType.fields}
+
+    def amount(*spellings: str) -> Column:
+        """The first spelling that holds something (empty and zero values fall through)."""
+        cols = [F.col(f"u.{n}").cast("string") for n in spellings if n in entry]
+        return F.coalesce(*[F.when(~c.isin("", "0"), c) for c in cols]) if cols else F.lit(None).cast("string")
+
     shares = users.select(
         "group_id", "expense_id", "date", "deleted_at",
-        F.coalesce(F.col("u.user_id"), F.col("u.user.id")).alias("user_id"),
+        lenient_long(F.coalesce(F.col("u.user_id").cast("string"), F.col("u.user.id").cast("string"))).alias("user_id"),
         F.col("u.user.first_name").alias("first_name"),
-        F.when(F.col("u.owed_share") != "", F.col("u.owed_share")).alias("owed_share"),
-        F.when(F.col("u.paid_share") != "", F.col("u.paid_share")).alias("paid_share"),
+        amount("owed_share", "owedShare", "owed").alias("owed_share"),
+        amount("paid_share", "paidShare", "paid").alias("paid_share"),
     )
     return headers, shares
 

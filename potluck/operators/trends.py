@@ -12,31 +12,32 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from potluck.operators.aggregates import dense_cells, money
+from potluck.operators.aggregates import grid, money
 from potluck.schemas import TOTAL_LABEL
 
 G = "group_id"
 
 
 def mom_full(expenses: DataFrame) -> DataFrame:
-    """``group_id, month, category, value, delta, pct`` (delta null / pct 0 on the first month).
+    """``group_id, month, category, is_total, value, delta, pct`` (delta null / pct 0 on the
+    first month); a month's total is the row with ``is_total``.
 
     ``pct`` = value / previous − 1 in double; a previous value of 0 (or none) gives 0.0.
     """
     sums = expenses.groupBy(G, "month", "category").agg(F.sum("amount").alias("v"))
-    cells = dense_cells(sums, "month", "category", total_label=TOTAL_LABEL)
-    w = Window.partitionBy(G, "category").orderBy("month")
+    cells = grid(sums, "month", "category", total_label=TOTAL_LABEL)
+    w = Window.partitionBy(G, "category", "is_total").orderBy("month")
     prev = F.lag("v").over(w)
     lagged = cells.select("*", prev.alias("prev"))
     ratio = F.col("v").cast("double") / F.col("prev").cast("double") - F.lit(1.0)
     pct = F.when(F.col("prev").isNull() | (F.col("prev") == 0), F.lit(0.0)).otherwise(ratio)
-    return lagged.select(G, "month", "category", money("v").alias("value"),
+    return lagged.select(G, "month", "category", "is_total", money("v").alias("value"),
                          money(F.col("v") - F.col("prev")).alias("delta"), pct.alias("pct"))
 
 
 def mom_delta(expenses: DataFrame) -> DataFrame:
-    return mom_full(expenses).select(G, "month", "category", "delta")
+    return mom_full(expenses).select(G, "month", "category", "is_total", "delta")
 
 
 def mom_pct(expenses: DataFrame) -> DataFrame:
-    return mom_full(expenses).select(G, "month", "category", "pct")
+    return mom_full(expenses).select(G, "month", "category", "is_total", "pct")

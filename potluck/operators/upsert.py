@@ -8,18 +8,18 @@ partitioning).
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from potluck.operators.widen import legacy_sources
-from potluck.schemas import LEGACY_VARIANTS, OWES_SUFFIX, UPSERT_SORT
+from potluck.schemas import NULL_LABEL, UPSERT_SORT
 
 KEY = ["group_id", "expense_id"]
 
 
 def dedupe_latest(df: DataFrame, order_col: str = "updated_at") -> DataFrame:
-    """One row per key: the one with the latest ``updated_at`` (ties: the larger row hash).
+    """One row per key: the one with the latest ``updated_at``, a missing stamp lowest (ties:
+    the larger row hash).
 
     An aggregation (``max_by``) rather than a window: each task keeps only its best row
     per key before the shuffle, so even a key repeated millions of times stays cheap.
@@ -28,8 +28,9 @@ def dedupe_latest(df: DataFrame, order_col: str = "updated_at") -> DataFrame:
     if not cols:
         return df.dropDuplicates(KEY)
     row = F.struct(*[F.col(f"`{c}`") for c in cols])
-    rank = F.struct(F.col(f"`{order_col}`") if order_col in df.columns else F.lit(None),
-                    F.xxhash64(*[F.col(f"`{c}`") for c in cols]))
+    stamp = F.col(f"`{order_col}`") if order_col in df.columns else F.lit(None).cast("string")
+    stamp = F.coalesce(F.when(~stamp.isin("", NULL_LABEL), stamp), F.lit(""))
+    rank = F.struct(stamp, F.xxhash64(*[F.col(f"`{c}`") for c in cols]))
     best = df.groupBy(*KEY).agg(F.max_by(row, rank).alias("_r"))
     return best.select(*KEY, *[F.col("_r").getField(c).alias(c) for c in cols]).select(*df.columns)
 
@@ -76,10 +77,17 @@ def _common_type(a: T.DataType, b: T.DataType) -> T.DataType:
     return T.StringType()
 
 
-def upsert_sorted(merged: DataFrame) -> DataFrame:
-    """Presentation order after an upsert: date, category, description (id breaks ties)."""
-    keys = [c for c in UPSERT_SORT if c in merged.columns] + ["expense_id"]
-    return merged.orderBy(*keys)
+def with_position(merged: DataFrame) -> DataFrame:
+    """Each group's rows numbered from 0 by date, category, description (id breaks ties).
+
+    For presentation. A store is written unnumbered, each of its files in this order
+    (``sort_keys``)."""
+    order = Window.partitionBy("group_id").orderBy(*sort_keys(merged))
+    return merged.withColumn("pos", F.row_number().over(order) - 1)
+
+
+def sort_keys(df: DataFrame) -> list[str]:
+    return [c for c in UPSERT_SORT if c in df.columns] + ["expense_id"]
 
 
 def new_rows(existing: DataFrame, incoming: DataFrame) -> DataFrame:
@@ -87,34 +95,15 @@ def new_rows(existing: DataFrame, incoming: DataFrame) -> DataFrame:
     return incoming.join(existing.select(*KEY), KEY, "left_anti")
 
 
-def canonical_owes(store: DataFrame, names: list[str]) -> DataFrame:
-    """Legacy member columns → ``<name>_owes`` (rounded, 0 when missing); variants dropped.
-
-    Precedence per member: an existing ``<name>_owes``, else the first legacy spelling
-    present in the fixed variant order. A schema-time choice: one ``select``.
-    """
-    cols = list(store.columns)
-    drop, canon = set(), []
-    for n in names:
-        target = f"{n}{OWES_SUFFIX}"
-        src = legacy_sources(cols, n)
-        value = F.col(f"`{src}`").try_cast("double") if src else F.lit(None).cast("double")
-        canon.append(F.round(F.coalesce(value, F.lit(0.0)), 2).alias(target))
-        drop.update(v.format(n=n) for v in LEGACY_VARIANTS)
-        drop.add(target)
-    keep = [F.col(f"`{c}`") for c in cols if c not in drop]
-    return store.select(*keep, *canon)
-
-
-def read_store(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame | None:
+def read_store(spark: SparkSession, path: str, schema: T.StructType, fmt: str = "parquet") -> DataFrame | None:
     """The stored table, or ``None`` when nothing was stored yet.
 
-    A missing path means "no store"; an unreadable store raises instead of silently
-    restarting from empty (which would lose rows on the next write).
+    A missing path means "no store", a folder without files an empty one; an unreadable
+    store raises instead of silently restarting from empty (which would lose rows).
     """
     jvm = spark.sparkContext._jvm
     hpath = jvm.org.apache.hadoop.fs.Path(path)
     fs = hpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
     if not fs.exists(hpath):
         return None
-    return spark.read.format(fmt).load(path)
+    return spark.read.schema(schema).format(fmt).load(path)

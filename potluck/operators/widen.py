@@ -1,54 +1,80 @@
-"""Per-expense member amounts: long form (canonical) and the wide ``<name>_owes`` table."""
+"""Per-expense member amounts: what every member of a group owes for each of its expenses.
+
+The canonical form is one column, ``owes``: an array of (name, amount) in the order of the
+group's own member map, one entry for every member (0 when none). A group never sees a
+member of another one, and any number of names fits into one job. One column per member is
+a presentation of a single group (``plans.views.group_tables``).
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from potluck.operators.aggregates import money, tracked_shares
-from potluck.schemas import LEGACY_VARIANTS, OWES_SUFFIX
+from potluck.functions.numbers import py_float_text
+from potluck.operators.aggregates import tracked_shares
+from potluck.schemas import LEGACY_VARIANTS, OWES_SUFFIX, SUM
+from potluck.sources.members import member_lists
 
 G = "group_id"
+KEY = [G, "expense_id"]
+OWES = "owes"
+# Map column of a stored table that still has one column per member: column name → amount.
+MEMBER_COLUMNS = "member_columns"
+
+
+def _entries(value_of) -> Column:
+    """One (name, amount) entry for each of the group's names; amounts rounded to cents."""
+    zero = F.lit(0).cast(SUM)
+    return F.transform(F.coalesce("_names", F.array().cast("array<string>")), lambda n: F.struct(
+        n.alias("name"), F.round(F.coalesce(value_of(n), zero), 2).cast("decimal(38,2)").alias("amount")))
 
 
-def stale_member_columns(columns: list[str], names: list[str]) -> list[str]:
-    """Existing ``<name>_owes/_owed/_paid`` columns (and ``_x``/``_y`` variants) to re-derive."""
-    drop = []
-    for n in names:
-        for base in (f"{n}_owes", f"{n}_owed", f"{n}_paid"):
-            for cand in (base, f"{base}_x", f"{base}_y"):
-                if cand in columns and cand not in drop:
-                    drop.append(cand)
-    return drop
+def widen(expenses: DataFrame, shares: DataFrame, members: DataFrame, value: Column) -> DataFrame:
+    """Expense table plus ``owes``; an ``owes`` column it already has is derived anew.
+
+    Shares are summed per (expense, member) and gathered per expense, at most one entry a
+    member, before the join on the full key. The group's names come from one row per group,
+    which Spark broadcasts when its size allows.
+    """
+    sums = tracked_shares(shares, members).groupBy(*KEY, "member").agg(F.sum(value).cast(SUM).alias("v"))
+    per_expense = sums.groupBy(*KEY).agg(F.map_from_entries(F.collect_list(F.struct("member", "v"))).alias("_sums"))
+    names = member_lists(members).withColumnRenamed("names", "_names")
+    base = expenses.drop(OWES)
+    # both sides grow with the data: never broadcast on the strength of a file-size estimate
+    return base.join(per_expense.hint("merge"), KEY, "left").join(names, G, "left").select(
+        *[F.col(f"`{c}`") for c in base.columns],
+        _entries(lambda n: F.try_element_at(F.col("_sums"), n)).alias(OWES))
 
 
-def widen(expenses: DataFrame, shares: DataFrame, members: DataFrame, value: Column,
-          names: list[str]) -> DataFrame:
-    """Expense table plus one ``<name>_owes`` column per member name (0.0 when none).
+def canonical_owes(store: DataFrame, members: DataFrame) -> DataFrame:
+    """A stored table with ``member_columns`` → the same with ``owes``.
 
-    Stale member columns already on the expense table are dropped first. Member sums are
-    one conditional aggregation keyed by ``expense_id`` (partial sums before the
-    shuffle), so the left join sees one row per expense on each side and reuses that
-    hash partitioning. Expense ids are unique across groups (as the source issues them).
+    Each member takes its ``<name>_owes`` column, else the first legacy spelling that the
+    store has, in the fixed order of the variants; rounded, 0 when missing.
     """
-    base = expenses.drop(*stale_member_columns(expenses.columns, names))
-    t = tracked_shares(shares, members)
-    piv = t.groupBy("expense_id").agg(
-        *[F.sum(F.when(F.col("member") == n, value)).alias(f"_w{i}") for i, n in enumerate(names)])
-    zero = F.lit(0).cast("decimal(28,2)")
-    owes = [money(F.round(F.coalesce(F.col(f"_w{i}"), zero), 2)).alias(f"{n}{OWES_SUFFIX}")
-            for i, n in enumerate(names)]
-    keep = [F.col(f"`{c}`") for c in base.columns]
-    return base.join(piv, "expense_id", "left").select(*keep, *owes)
-
-
-def legacy_sources(columns: list[str], name: str) -> str | None:
-    """Column feeding ``<name>_owes``: the canonical one, else the first legacy variant present."""
-    canonical = f"{name}{OWES_SUFFIX}"
-    if canonical in columns:
-        return canonical
-    for v in LEGACY_VARIANTS:
-        cand = v.format(n=name)
-        if cand in columns:
-            return cand
-    return None
+    def value_of(name: Column) -> Column:
+        columns = F.col(MEMBER_COLUMNS)
+        spellings = [F.concat(name, F.lit(OWES_SUFFIX))] + [
+            F.concat(name, F.lit(v.replace("{n}", ""))) for v in LEGACY_VARIANTS]
+        zero = F.lit(0.0)
+        chosen = F.coalesce(*[F.when(F.map_contains_key(columns, s), F.coalesce(F.try_element_at(columns, s), zero))
+                              for s in spellings])
+        return chosen.cast(SUM)
+
+    names = member_lists(members).withColumnRenamed("names", "_names")
+    keep = [c for c in store.columns if c not in (MEMBER_COLUMNS, OWES)]
+    return store.join(names, G, "left").select(*[F.col(f"`{c}`") for c in keep], _entries(value_of).alias(OWES))
+
+
+def fold_member_columns(wide: DataFrame, fixed: list[str]) -> DataFrame:
+    """One group's wide table → its ``fixed`` columns and the others as ``member_columns``."""
+    others = [c for c in wide.columns if c not in fixed]
+    entries = [x for c in others for x in (F.lit(c), F.col(f"`{c}`").try_cast("double"))]
+    folded = F.create_map(*entries) if entries else F.create_map().cast("map<string,double>")
+    return wide.select(*[c for c in fixed if c in wide.columns], folded.alias(MEMBER_COLUMNS))
+
+
+def owes_text(owes: str = OWES) -> Column:
+    """``name=amount, ...`` in member order, amounts as Python prints them."""
+    return F.array_join(F.transform(owes, lambda x: F.concat(x["name"], F.lit("="), py_float_text(x["amount"]))), ", ")

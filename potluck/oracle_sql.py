@@ -22,10 +22,13 @@ hdr AS (
               ELSE c.c_mktsegment END AS category_name
   FROM orders o JOIN customer c ON o.o_custkey = c.c_custkey),
 members AS (
-  SELECT CAST(n.n_nationkey AS BIGINT) AS group_id, m.user_id, m.name, m.ord
-  FROM nation n,
-       (VALUES (CAST(3 AS BIGINT), 'Alice', 1), (CAST(1 AS BIGINT), 'Bob', 2),
-               (CAST(5 AS BIGINT), 'Carol', 3)) AS m(user_id, name, ord)),
+  SELECT CAST(n_nationkey AS BIGINT) AS group_id, CAST(1 + (n_nationkey + d) % 7 AS BIGINT) AS user_id,
+         CASE WHEN d = 0 THEN 'Alice' ELSE n_name || ' ' || d END AS name, CAST(o AS INTEGER) AS ord
+  FROM nation, (VALUES (0, 1), (4, 2), (2, 3)) AS t(d, o)
+  UNION ALL
+  SELECT CAST(n_nationkey AS BIGINT), CAST(100 + i AS BIGINT), n_name || ' ' || (100 + i), CAST(3 + i AS INTEGER)
+  FROM nation, range(1, 43) AS r(i)),
+member_names AS (SELECT group_id, name AS member, MIN(ord) AS ord FROM members GROUP BY 1, 2),
 all_expenses AS (
   SELECT group_id, id AS expense_id, date, updated_at, substring(date, 1, 7) AS month,
          description, coalesce(category_name, 'Uncategorized') AS category, amount, currency
@@ -78,12 +81,12 @@ register("month_category", """
 SELECT group_id, month, category, CAST(SUM(amount) AS DOUBLE) AS amount
 FROM expenses GROUP BY 1, 2, 3""")
 
-# Fixed fixture categories (market segments plus the default), sorted.
-CATEGORIES = ("AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY", "Uncategorized")
-
-register("month_category_pivot", "SELECT group_id, month, " + ", ".join(
-    f"CAST(coalesce(SUM(CASE WHEN category = '{c}' THEN amount END), 0) AS DOUBLE) AS \"{c}\"" for c in CATEGORIES)
-    + ", CAST(SUM(amount) AS DOUBLE) AS \"Total\" FROM expenses GROUP BY 1, 2")
+register("month_category_pivot", """
+SELECT m.group_id, m.month, c.category, CAST(coalesce(s.v, 0) AS DOUBLE) AS amount, CAST(m.t AS DOUBLE) AS total
+FROM (SELECT group_id, month, SUM(amount) AS t FROM expenses GROUP BY 1, 2) m
+JOIN (SELECT DISTINCT group_id, category FROM expenses) c ON c.group_id = m.group_id
+LEFT JOIN (SELECT group_id, month, category, SUM(amount) AS v FROM expenses GROUP BY 1, 2, 3) s
+  ON s.group_id = m.group_id AND s.month = m.month AND s.category = c.category""")
 
 register("monthly_totals", """
 SELECT group_id, month, CAST(SUM(amount) AS DOUBLE) AS amount FROM expenses GROUP BY 1, 2""")
@@ -155,16 +158,16 @@ SELECT group_id, expense_id, user_id, member AS person, month, CAST(net_rev AS D
 FROM tracked""")
 
 PERSON_MONTH = """
-SELECT m.group_id, m.month, p.member AS person, CAST(coalesce(s.v, 0) AS DOUBLE) AS amount
+SELECT m.group_id, m.month, p.member AS person, false AS is_total, CAST(coalesce(s.v, 0) AS DOUBLE) AS amount
 FROM pm_months m JOIN pm_persons p ON p.group_id = m.group_id
 LEFT JOIN pm_sums s ON s.group_id = m.group_id AND s.month = m.month AND s.member = p.member
 UNION ALL
-SELECT group_id, month, 'Total' AS person, CAST(SUM(v) AS DOUBLE) AS amount FROM pm_sums GROUP BY 1, 2"""
+SELECT group_id, month, 'Total' AS person, true AS is_total, CAST(SUM(v) AS DOUBLE) AS amount FROM pm_sums GROUP BY 1, 2"""
 
 
-def _person_month_ctes(value: str) -> str:
+def _person_month_ctes(value: str, where: str = "true") -> str:
     return f"""
-pm_sums AS (SELECT group_id, month, member, SUM({value}) AS v FROM tracked GROUP BY 1, 2, 3),
+pm_sums AS (SELECT group_id, month, member, SUM({value}) AS v FROM tracked WHERE {where} GROUP BY 1, 2, 3),
 pm_months AS (SELECT DISTINCT group_id, month FROM pm_sums),
 pm_persons AS (SELECT DISTINCT group_id, member FROM pm_sums)"""
 
@@ -172,20 +175,30 @@ pm_persons AS (SELECT DISTINCT group_id, member FROM pm_sums)"""
 register("person_month_owed", PERSON_MONTH, _person_month_ctes("owed_share"))
 register("person_month_net", PERSON_MONTH, _person_month_ctes("net_rev"))
 
-# Fixed fixture member names, in member order.
-MEMBER_NAMES = ("Alice", "Bob", "Carol")
-
 
-def _wide_ctes(value: str) -> str:
-    cols = ",\n".join(f"  SUM(CASE WHEN member = '{n}' THEN {value} END) AS \"w_{n}\"" for n in MEMBER_NAMES)
-    return f"pw AS (SELECT group_id, expense_id,\n{cols}\nFROM tracked GROUP BY 1, 2)"
+def pyfloat_sql(c: str) -> str:
+    return f"regexp_replace(CAST(CAST({c} AS DECIMAL(38,2)) AS VARCHAR), '0$', '')"
 
 
-WIDE_SELECT = (
-    "SELECT e.group_id, e.expense_id, e.date, e.updated_at, e.month, e.description, e.category, "
-    "CAST(e.amount AS DOUBLE) AS amount, e.currency, "
-    + ", ".join(f"CAST(round(coalesce(pw.\"w_{n}\", 0), 2) AS DOUBLE) AS \"{n}_owes\"" for n in MEMBER_NAMES)
-    + "\nFROM expenses e LEFT JOIN pw ON pw.group_id = e.group_id AND pw.expense_id = e.expense_id")
+def _wide_ctes(value: str) -> str:
+    """``wide``: expenses with the members' amounts as text, as numbers only, as money and JSON."""
+    v = "round(coalesce(s.v, 0), 2)"
+    return f"""
+share_sums AS (SELECT group_id, expense_id, member, SUM({value}) AS v FROM tracked GROUP BY 1, 2, 3),
+member_cells AS (
+  SELECT e.group_id, e.expense_id,
+         string_agg(m.member || '=' || {pyfloat_sql(v)}, ', ' ORDER BY m.ord) AS owes,
+         string_agg({pyfloat_sql(v)}, ' ' ORDER BY m.ord) AS amounts,
+         string_agg(m.member || ' ' || '₪' || format('{{:,.2f}}', CAST({v} AS DOUBLE)), '; ' ORDER BY m.ord) AS money,
+         string_agg('"' || m.member || '_owes":' || CAST(to_json(CAST({v} AS DOUBLE)) AS VARCHAR), ',' ORDER BY m.ord) AS json
+  FROM expenses e JOIN member_names m ON m.group_id = e.group_id
+  LEFT JOIN share_sums s ON s.group_id = e.group_id AND s.expense_id = e.expense_id AND s.member = m.member
+  GROUP BY 1, 2),
+wide AS (SELECT e.*, c.owes, c.amounts, c.money, c.json
+         FROM expenses e LEFT JOIN member_cells c ON c.group_id = e.group_id AND c.expense_id = e.expense_id)"""
+
+
+WIDE_SELECT = f"SELECT {EXPENSE_COLS}, owes FROM wide"
 
 register("widen_owes", WIDE_SELECT, _wide_ctes("owed_share"))
 register("widen_net_owes", WIDE_SELECT, _wide_ctes("net_rev"))
@@ -193,8 +206,7 @@ register("widen_net_owes", WIDE_SELECT, _wide_ctes("net_rev"))
 KEPT_TRACKED = """
 kept_tracked AS (
   SELECT t.* FROM tracked t
-  WHERE EXISTS (SELECT 1 FROM expenses e WHERE e.group_id = t.group_id AND e.expense_id = t.expense_id)),
-member_names AS (SELECT group_id, name AS member, MIN(ord) AS ord FROM members GROUP BY 1, 2)"""
+  WHERE EXISTS (SELECT 1 FROM expenses e WHERE e.group_id = t.group_id AND e.expense_id = t.expense_id))"""
 
 register("person_totals", """
 SELECT n.group_id, n.member AS person, CAST(coalesce(s.v, 0) AS DOUBLE) AS amount
@@ -268,32 +280,21 @@ JOIN (SELECT group_id, COUNT(*) AS shares_before,
 
 STORE = _wide_ctes("owed_share") + """,
 store AS (
-  SELECT e.group_id, e.expense_id, e.date, e.updated_at, e.month, 'old ' || e.description AS description,
-         e.category, CAST(e.amount AS DOUBLE) AS amount, e.currency,
-         CAST(round(coalesce(pw."w_Alice", 0), 2) AS DOUBLE) AS "Alice_owes",
-         CAST(round(coalesce(pw."w_Bob", 0), 2) AS DOUBLE) AS "Bob_owed",
-         CAST(round(coalesce(pw."w_Bob", 0), 2) AS DOUBLE) * 2 AS "Bob_paid",
-         CAST(round(coalesce(pw."w_Carol", 0), 2) AS DOUBLE) AS "Carol_paid_x"
-  FROM expenses e LEFT JOIN pw ON pw.group_id = e.group_id AND pw.expense_id = e.expense_id
-  WHERE e.date < '1999-01-01'),
-store_canon AS (
-  SELECT group_id, expense_id, date, updated_at, month, description, category, amount, currency,
-         round(coalesce("Alice_owes", 0), 2) AS "Alice_owes", round(coalesce("Bob_owed", 0), 2) AS "Bob_owes",
-         round(coalesce("Carol_paid_x", 0), 2) AS "Carol_owes"
-  FROM store),
-incoming AS (SELECT * FROM expenses WHERE date >= '1998-01-01')"""
-
-register("legacy_owes_columns", "SELECT * FROM store_canon", STORE)
+  SELECT group_id, expense_id, date, updated_at, month, 'old ' || description AS description, category,
+         CAST(amount AS DOUBLE) AS amount, currency, owes
+  FROM wide WHERE expense_id % 3 <> 2),
+incoming AS (SELECT * FROM expenses WHERE expense_id % 3 <> 1)"""
+
+register("legacy_owes_columns", "SELECT * FROM store", STORE)
 
 register("upsert_expenses", """
-SELECT coalesce(i.group_id, s.group_id) AS group_id, coalesce(i.expense_id, s.expense_id) AS expense_id,
+SELECT *, row_number() OVER (PARTITION BY group_id ORDER BY date, category, description, expense_id) - 1 AS pos
+FROM (SELECT coalesce(i.group_id, s.group_id) AS group_id, coalesce(i.expense_id, s.expense_id) AS expense_id,
        coalesce(i.date, s.date) AS date, coalesce(i.updated_at, s.updated_at) AS updated_at,
        coalesce(i.month, s.month) AS month, coalesce(i.description, s.description) AS description,
        coalesce(i.category, s.category) AS category,
-       coalesce(CAST(i.amount AS DOUBLE), s.amount) AS amount, coalesce(i.currency, s.currency) AS currency,
-       s."Alice_owes", s."Bob_owes", s."Carol_owes"
-FROM store_canon s FULL OUTER JOIN incoming i ON i.group_id = s.group_id AND i.expense_id = s.expense_id""",
-         STORE)
+       coalesce(CAST(i.amount AS DOUBLE), s.amount) AS amount, coalesce(i.currency, s.currency) AS currency, s.owes
+FROM store s FULL OUTER JOIN incoming i ON i.group_id = s.group_id AND i.expense_id = s.expense_id)""", STORE)
 
 register("new_expenses", f"""
 SELECT {EXPENSE_COLS} FROM incoming i
@@ -302,38 +303,38 @@ WHERE NOT EXISTS (SELECT 1 FROM store s WHERE s.group_id = i.group_id AND s.expe
 
 # ------------------------------------------------------------------ trends
 MOM = """
-mc AS (SELECT group_id, month, category, SUM(amount) AS v FROM expenses GROUP BY 1, 2, 3
-       UNION ALL SELECT group_id, month, 'Total' AS category, SUM(amount) AS v FROM expenses GROUP BY 1, 2),
-grid AS (SELECT m.group_id, m.month, c.category
+mc AS (SELECT group_id, month, category, false AS is_total, SUM(amount) AS v FROM expenses GROUP BY 1, 2, 3
+       UNION ALL SELECT group_id, month, 'Total', true, SUM(amount) AS v FROM expenses GROUP BY 1, 2),
+grid AS (SELECT m.group_id, m.month, c.category, c.is_total
          FROM (SELECT DISTINCT group_id, month FROM mc) m
-         JOIN (SELECT DISTINCT group_id, category FROM mc) c ON c.group_id = m.group_id),
-cells AS (SELECT g.group_id, g.month, g.category, coalesce(mc.v, 0) AS v
+         JOIN (SELECT DISTINCT group_id, category, is_total FROM mc) c ON c.group_id = m.group_id),
+cells AS (SELECT g.group_id, g.month, g.category, g.is_total, coalesce(mc.v, 0) AS v
           FROM grid g LEFT JOIN mc ON mc.group_id = g.group_id AND mc.month = g.month
-                                   AND mc.category = g.category),
-lagged AS (SELECT *, lag(v) OVER (PARTITION BY group_id, category ORDER BY month) AS prev FROM cells),
-mom AS (SELECT group_id, month, category, CAST(v AS DOUBLE) AS value, CAST(v - prev AS DOUBLE) AS delta,
+                                   AND mc.category = g.category AND mc.is_total = g.is_total),
+lagged AS (SELECT *, lag(v) OVER (PARTITION BY group_id, category, is_total ORDER BY month) AS prev FROM cells),
+mom AS (SELECT group_id, month, category, is_total, CAST(v AS DOUBLE) AS value, CAST(v - prev AS DOUBLE) AS delta,
                CASE WHEN prev IS NULL OR prev = 0 THEN 0.0
                     ELSE CAST(v AS DOUBLE) / CAST(prev AS DOUBLE) - 1 END AS pct
         FROM lagged)"""
 
 register("mom_full", "SELECT * FROM mom", MOM)
-register("mom_delta", "SELECT group_id, month, category, delta FROM mom", MOM)
-register("mom_pct", "SELECT group_id, month, category, pct FROM mom", MOM)
+register("mom_delta", "SELECT group_id, month, category, is_total, delta FROM mom", MOM)
+register("mom_pct", "SELECT group_id, month, category, is_total, pct FROM mom", MOM)
 
 # ------------------------------------------------------------------ debts
 EDGES = """
 edges AS (
   SELECT d.group_id, d.t AS from_id, d.f AS to_id,
+         row_number() OVER (PARTITION BY d.group_id ORDER BY d.amount DESC, d.t, d.f) - 1 AS pos,
          coalesce(mf.name, CAST(d.t AS VARCHAR)) AS from_name,
          coalesce(mt.name, CAST(d.f AS VARCHAR)) AS to_name, d.amount
   FROM debt_sums d
   LEFT JOIN members mf ON mf.group_id = d.group_id AND mf.user_id = d.t
   LEFT JOIN members mt ON mt.group_id = d.group_id AND mt.user_id = d.f
-  WHERE d.amount > 0),
-member_names AS (SELECT group_id, name AS member, MIN(ord) AS ord FROM members GROUP BY 1, 2)"""
+  WHERE d.amount > 0)"""
 
 register("debt_edges", """
-SELECT group_id, from_id, to_id, from_name, to_name, CAST(amount AS DOUBLE) AS amount FROM edges""", EDGES)
+SELECT group_id, from_id, to_id, from_name, to_name, CAST(amount AS DOUBLE) AS amount, pos FROM edges""", EDGES)
 
 register("member_balances", """
 SELECT n.group_id, n.member AS name, CAST(coalesce(o.v, 0) AS DOUBLE) AS owes,
@@ -408,19 +409,10 @@ LEFT JOIN (SELECT group_id, month, dense_rank() OVER (PARTITION BY group_id ORDE
            FROM (SELECT DISTINCT group_id, month FROM expenses WHERE trim(month) <> '')) r
   ON r.group_id = c.group_id AND r.month = c.month""", _person_month_ctes("net_rev"))
 
-WIDE_NET = _wide_ctes("net_rev") + ",\nwide AS (" + WIDE_SELECT + ")"
-RAW_COLS = ["date", "month", "description", "category", "amount", "currency", "expense_id",
-            *[f"{n}_owes" for n in MEMBER_NAMES]]
-RAW_SELECT = ", ".join(f'"{c}"' for c in RAW_COLS)
-
-
-def pyfloat_sql(c: str) -> str:
-    return f"regexp_replace(CAST(CAST({c} AS DECIMAL(38,2)) AS VARCHAR), '0$', '')"
-
-
-HAYSTACK = "lower(concat_ws(' ', " + ", ".join(
-    pyfloat_sql(f'"{c}"') if c in ("amount",) or c.endswith("_owes") else f'CAST("{c}" AS VARCHAR)'
-    for c in RAW_COLS) + "))"
+WIDE_NET = _wide_ctes("net_rev")
+RAW_SELECT = "date, month, description, category, CAST(amount AS DOUBLE) AS amount, currency, expense_id, owes"
+HAYSTACK = (f"lower(concat_ws(' ', date, month, description, category, {pyfloat_sql('amount')}, currency, "
+            "CAST(expense_id AS VARCHAR), amounts))")
 
 register("recent_expenses", f"""
 SELECT group_id, pos, {RAW_SELECT}
@@ -430,28 +422,42 @@ WHERE pos < 30""", WIDE_NET)
 register("text_search", f"""
 SELECT group_id, {RAW_SELECT} FROM wide WHERE contains({HAYSTACK}, 'high auto')""", WIDE_NET)
 
+SCOPED = WIDE_NET + f""",
+has AS (SELECT group_id, max(CASE WHEN month = '1997-06' THEN 1 ELSE 0 END) AS h FROM wide GROUP BY 1),
+scoped AS (SELECT * FROM wide WHERE contains({HAYSTACK}, 'urgent')
+           AND (month = '1997-06' OR group_id IN (SELECT group_id FROM has WHERE h = 0)))"""
+
 register("table_page", f"""
-SELECT f.group_id, f.pos, {", ".join(f'f."{c}"' for c in RAW_COLS)}, t.raw_total
+SELECT f.group_id, f.pos, {RAW_SELECT}, t.raw_total
 FROM (SELECT *, row_number() OVER (PARTITION BY group_id ORDER BY date DESC, expense_id) - 1 AS pos
       FROM scoped) f
 JOIN (SELECT group_id, COUNT(*) AS raw_total FROM scoped GROUP BY 1) t ON t.group_id = f.group_id
-WHERE f.pos < 500""", WIDE_NET + """,
-has AS (SELECT group_id, max(CASE WHEN month = '1997-06' THEN 1 ELSE 0 END) AS h FROM wide GROUP BY 1),
-scoped AS (SELECT w.* FROM wide w JOIN has ON has.group_id = w.group_id
-           WHERE (has.h = 0 OR w.month = '1997-06') AND contains(""" + HAYSTACK.replace('"', 'w."').replace(
-    "w.\"", '"') + """, 'urgent'))""")
+WHERE f.pos < 500""", SCOPED)
 
-register("format_money", "SELECT group_id, expense_id, " + ", ".join(
-    f"'₪' || format('{{:,.2f}}', CAST(\"{c}\" AS DOUBLE)) AS \"{c}_text\"" for c in RAW_COLS
-    if c == "amount" or c.endswith("_owes")) + " FROM wide", WIDE_NET)
+register("format_money", """
+SELECT group_id, expense_id, '₪' || format('{:,.2f}', CAST(amount AS DOUBLE)) AS amount_text, money AS owes_text
+FROM wide""", WIDE_NET)
 
 register("label_color", f"""
 SELECT label, {color_sql('label')} AS color
 FROM (SELECT category AS label FROM expenses UNION SELECT person AS label FROM shares)""")
 
-register("table_payload", "SELECT group_id, expense_id, to_json(struct_pack(" + ", ".join(
-    f'"{c}" := round("{c}", 2)' if c == "amount" or c.endswith("_owes") else f'"{c}" := "{c}"'
-    for c in RAW_COLS) + ")) AS row_json FROM wide", WIDE_NET)
+register("table_payload", """
+SELECT group_id, expense_id, j[:-2] || ',' || json || '}' AS row_json
+FROM (SELECT group_id, expense_id, json, CAST(to_json(struct_pack(
+        date := date, month := month, description := description, category := category,
+        amount := round(CAST(amount AS DOUBLE), 2), currency := currency, expense_id := expense_id)) AS VARCHAR) AS j
+      FROM wide)""", WIDE_NET)
+
+register("payload_columns", """
+SELECT group_id, 'date,month,description,category,amount,currency,expense_id,'
+                 || string_agg(member || '_owes', ',' ORDER BY ord) AS columns
+FROM member_names GROUP BY 1""")
+
+register("exact_money", """
+SELECT l_suppkey AS suppkey, CAST(SUM(CAST('0.00' || l_linenumber AS DECIMAL(32,8))) AS VARCHAR) AS tiny_sum,
+       CAST(SUM(CAST(l_linenumber AS HUGEINT) * 100000000000000000) AS VARCHAR) AS huge_sum
+FROM lineitem GROUP BY 1""")
 
 register("coerce_numbers", """
 SELECT l_orderkey, l_linenumber, format('{:,.2f}', l_extendedprice) AS raw_comma,
@@ -468,15 +474,34 @@ register("members_from_json", "SELECT group_id, user_id, name, ord FROM members"
 # The export of a first run (empty store) is the expense table widened with owed shares.
 QUERIES["sink_roundtrip"] = QUERIES["widen_owes"]
 
-register("stream_upsert", """
-SELECT group_id, expense_id, date,
-       CASE WHEN date >= '1998-01-01' AND date < '1999-01-01' THEN '2003-01-01 00:00:00'
-            ELSE updated_at END AS updated_at,
-       month,
-       CASE WHEN date >= '1998-01-01' AND date < '1999-01-01' THEN description || ' (edited)'
-            ELSE description END AS description,
-       category, CAST(amount AS DOUBLE) AS amount, currency
-FROM expenses""")
+register("sink_shares", """
+SELECT group_id, month, COUNT(*) AS n, CAST(SUM(owed_share) AS DOUBLE) AS owed, CAST(SUM(paid_share) AS DOUBLE) AS paid
+FROM shares GROUP BY 1, 2""")
+
+# Landed documents: ids divisible by 10 end deleted, other ids divisible by 4 edited.
+register("latest_documents", """
+SELECT h.group_id, h.id, h.updated_at || CASE WHEN h.id % 10 = 0 THEN '+2' WHEN h.id % 4 = 0 THEN '+1' ELSE '' END AS updated_at,
+       CASE WHEN h.id % 10 = 0 THEN '2003-01-01' ELSE h.deleted_at END AS deleted_at,
+       h.description || CASE WHEN h.id % 10 <> 0 AND h.id % 4 = 0 THEN ' (edited)' ELSE '' END AS description,
+       CAST(h.amount AS VARCHAR) AS cost, coalesce(u.n, 0) AS n_users
+FROM hdr h LEFT JOIN (SELECT l_orderkey, COUNT(*) AS n FROM lineitem GROUP BY 1) u ON u.l_orderkey = h.id""")
+
+LANDED = """
+landed AS (
+  SELECT group_id, expense_id, date, updated_at || CASE WHEN expense_id % 4 = 0 THEN '+1' ELSE '' END AS updated_at, month,
+         description || CASE WHEN expense_id % 4 = 0 THEN ' (edited)' ELSE '' END AS description, category, amount, currency
+  FROM expenses WHERE expense_id % 10 <> 0)"""
+
+register("landed_summary", """
+SELECT group_id, COUNT(*) AS expense_count, CAST(SUM(amount) AS DOUBLE) AS total_expenses,
+       array_to_string(list_sort(list_distinct(list(currency) FILTER (WHERE trim(currency) <> ''))), ',') AS currencies
+FROM landed GROUP BY 1""", LANDED)
+register("landed_person_month", PERSON_MONTH, _person_month_ctes("owed_share", "expense_id % 10 <> 0"))
+register("stream_upsert", f"SELECT {EXPENSE_COLS} FROM landed", LANDED)
+register("stream_shares", """
+SELECT group_id, expense_id, user_id, person, month,
+       CAST(owed_share AS DOUBLE) AS owed_share, CAST(paid_share AS DOUBLE) AS paid_share
+FROM shares WHERE expense_id % 10 <> 0""")
 
 # ------------------------------------------------------------------ composed views
 register("dashboard_view", """
@@ -514,13 +539,121 @@ LEFT JOIN (SELECT group_id, COUNT(DISTINCT month) AS n FROM tracked GROUP BY 1)
          EDGES + """,
 charted AS (SELECT group_id, category FROM expenses GROUP BY 1, 2 HAVING SUM(amount) > 0)""")
 
-register("tables_view", f"""
+register("tables_view", """
 SELECT g.group_id, CASE WHEN h.h = 1 THEN '1997-06' ELSE 'all' END AS selected_month, 'urgent' AS query,
        coalesce(t.n, 0) AS raw_total, least(coalesce(t.n, 0), 50) AS raw_shown, 50 AS table_limit
 FROM (SELECT CAST(n_nationkey AS BIGINT) AS group_id FROM nation) g
 LEFT JOIN has h ON h.group_id = g.group_id
-LEFT JOIN (SELECT group_id, COUNT(*) AS n FROM scoped GROUP BY 1) t ON t.group_id = g.group_id""",
-         WIDE_NET + """,
-has AS (SELECT group_id, max(CASE WHEN month = '1997-06' THEN 1 ELSE 0 END) AS h FROM wide GROUP BY 1),
-scoped AS (SELECT w.* FROM wide w JOIN has ON has.group_id = w.group_id
-           WHERE (has.h = 0 OR w.month = '1997-06') AND contains(""" + HAYSTACK + """, 'urgent'))""")
+LEFT JOIN (SELECT group_id, COUNT(*) AS n FROM scoped GROUP BY 1) t ON t.group_id = g.group_id""", SCOPED)
+
+register("dashboard_category_bars", bars_sql("""
+SELECT e.group_id, e.category AS label, SUM(e.amount) AS v FROM expenses e
+JOIN (SELECT group_id, bool_or(month = '1997-06') AS ok FROM expenses GROUP BY 1) s ON s.group_id = e.group_id
+WHERE NOT s.ok OR e.month = '1997-06' GROUP BY 1, 2""", "v DESC, label", 20, True))
+
+PM_GRID = _person_month_ctes("net_rev") + """,
+pm_order AS (SELECT p.group_id, p.member, n.ord FROM pm_persons p JOIN member_names n USING (group_id, member)),
+pm_grid AS (SELECT m.group_id, m.month, p.member, p.ord, coalesce(s.v, 0) AS v,
+                   sum(coalesce(s.v, 0)) OVER (PARTITION BY m.group_id, m.month) AS total
+            FROM pm_months m JOIN pm_order p ON p.group_id = m.group_id
+            LEFT JOIN pm_sums s ON s.group_id = m.group_id AND s.month = m.month AND s.member = p.member)"""
+
+register("dashboard_person_groups", f"""
+SELECT c.group_id, c.month, CAST(coalesce(r.rank, 10000) AS BIGINT) AS month_rank, c.member AS person,
+       CAST(c.v AS DOUBLE) AS amount, {pct_sql('c.v', 'c.mx')} AS pct, {color_sql('c.member')} AS color
+FROM (SELECT p.*, greatest(max(v) OVER (PARTITION BY p.group_id), 1) AS mx FROM pm_grid p
+      JOIN (SELECT group_id, bool_or(month = '1997-06') AS ok FROM expenses GROUP BY 1) s ON s.group_id = p.group_id
+      WHERE NOT s.ok OR p.month = '1997-06') c
+LEFT JOIN (SELECT group_id, month, dense_rank() OVER (PARTITION BY group_id ORDER BY month DESC) - 1 AS rank
+           FROM (SELECT DISTINCT group_id, month FROM expenses WHERE trim(month) <> '')) r
+  ON r.group_id = c.group_id AND r.month = c.month""", PM_GRID)
+
+MC_GRID = """
+mc_grid AS (
+  SELECT m.group_id, m.month, c.category, coalesce(s.v, 0) AS v, m.t AS total
+  FROM (SELECT group_id, month, SUM(amount) AS t FROM expenses GROUP BY 1, 2) m
+  JOIN (SELECT DISTINCT group_id, category FROM expenses) c ON c.group_id = m.group_id
+  LEFT JOIN (SELECT group_id, month, category, SUM(amount) AS v FROM expenses GROUP BY 1, 2, 3) s
+    ON s.group_id = m.group_id AND s.month = m.month AND s.category = c.category)"""
+
+register("tables_monthly", """
+SELECT g.group_id, g.month, row_number() OVER (PARTITION BY g.group_id, g.month ORDER BY category) - 1 AS pos,
+       category AS label, CAST(v AS DOUBLE) AS amount, CAST(total AS DOUBLE) AS total
+FROM mc_grid g JOIN (SELECT group_id, bool_or(month = '1997-06') AS ok FROM expenses GROUP BY 1) s ON s.group_id = g.group_id
+WHERE NOT s.ok OR g.month = '1997-06'""", MC_GRID)
+
+register("tables_person", f"""
+SELECT group_id, month, row_number() OVER (PARTITION BY group_id, month ORDER BY ord) - 1 AS pos, member AS label,
+       CAST(v AS DOUBLE) AS amount, CAST(total AS DOUBLE) AS total
+FROM pm_grid JOIN (SELECT group_id, month, month || ' ' || string_agg({pyfloat_sql('v')}, ' ' ORDER BY ord) || ' '
+                          || {pyfloat_sql('any_value(total)')} AS text FROM pm_grid GROUP BY 1, 2) USING (group_id, month)
+WHERE contains(text, '97-')""", PM_GRID)
+
+
+def _part(name: str, select: str) -> str:
+    return f"SELECT group_id, '{name}' AS part, key, pos, label, amount FROM ({select})"
+
+
+def _ranked(source: str, order: str, label: str, amount: str, key: str = "CAST(NULL AS VARCHAR)",
+            within: str = "group_id") -> str:
+    return (f"SELECT group_id, {key} AS key, row_number() OVER (PARTITION BY {within} ORDER BY {order}) - 1 AS pos, "
+            f"{label} AS label, {amount} AS amount FROM ({source})")
+
+
+_NO_AMOUNT = "CAST(NULL AS DOUBLE)"
+_AMOUNT = "CAST(round(v, 2) AS DOUBLE)"
+_MONTHS = "SELECT group_id, month, SUM(amount) AS v FROM expenses GROUP BY 1, 2"
+_CATEGORIES = "SELECT group_id, category, SUM(amount) AS v FROM expenses GROUP BY 1, 2 HAVING SUM(amount) > 0"
+_CELLS = "SELECT group_id, month, category, SUM(amount) AS v FROM expenses GROUP BY 1, 2, 3 HAVING SUM(amount) > 0"
+_TOTALS = """SELECT n.group_id, n.member, n.ord, coalesce(s.v, 0) AS v FROM member_names n
+  LEFT JOIN (SELECT group_id, member, SUM(net_rev) AS v FROM kept_tracked GROUP BY 1, 2) s
+    ON s.group_id = n.group_id AND s.member = n.member"""
+_BY_MONTH = """SELECT m.group_id, m.month, n.member, n.ord, coalesce(s.v, 0) AS v
+  FROM (SELECT DISTINCT group_id, month FROM expenses) m JOIN member_names n ON n.group_id = m.group_id
+  LEFT JOIN (SELECT group_id, month, member, SUM(net_rev) AS v FROM kept_tracked GROUP BY 1, 2, 3) s
+    ON s.group_id = m.group_id AND s.month = m.month AND s.member = n.member"""
+
+
+def _balance(end: str) -> str:
+    return f"""SELECT n.group_id, n.member, n.ord, coalesce(s.v, 0) AS v FROM member_names n
+  LEFT JOIN (SELECT group_id, {end} AS nm, SUM(amount) AS v FROM edges GROUP BY 1, 2) s
+    ON s.group_id = n.group_id AND s.nm = n.member"""
+
+
+def _month_table(grid: str, label: str, order: str) -> str:
+    """Cells of a month table with their total, positioned by month."""
+    return f"""SELECT group_id, month AS key, dense_rank() OVER (PARTITION BY group_id ORDER BY month {order}) - 1 AS pos,
+  label, amount FROM (SELECT group_id, month, {label} AS label, {_AMOUNT} AS amount FROM {grid}
+    UNION ALL SELECT DISTINCT group_id, month, 'Total', CAST(round(total, 2) AS DOUBLE) FROM {grid})"""
+
+
+register("snapshot_json", "\nUNION ALL\n".join([
+    _part("summary", f"SELECT group_id, {'CAST(NULL AS VARCHAR)'} AS key, 0 AS pos, 'expense_count' AS label, "
+          "CAST(COUNT(*) AS DOUBLE) AS amount FROM expenses GROUP BY 1"),
+    _part("summary", "SELECT group_id, CAST(NULL AS VARCHAR) AS key, 0 AS pos, 'total_expenses' AS label, "
+          "CAST(round(SUM(amount), 2) AS DOUBLE) AS amount FROM expenses GROUP BY 1"),
+    _part("currencies", _ranked("SELECT DISTINCT group_id, currency FROM expenses WHERE trim(currency) <> ''",
+                                "currency", "currency", _NO_AMOUNT)),
+    _part("months", _ranked(f"SELECT * FROM ({_MONTHS}) WHERE trim(month) <> ''", "month DESC", "month", _NO_AMOUNT)),
+    _part("owes", _ranked(_balance("from_name"), "ord", "member", _AMOUNT)),
+    _part("to_receive", _ranked(_balance("to_name"), "ord", "member", _AMOUNT)),
+    _part("debt_edges", "SELECT group_id, CAST(NULL AS VARCHAR) AS key, pos, from_name AS label, "
+          "CAST(amount AS DOUBLE) AS amount FROM edges"),
+    _part("monthly_totals", _ranked(_MONTHS, "month DESC", "month", _AMOUNT)),
+    _part("category_totals_all", _ranked(_CATEGORIES, "v DESC, category", "category", _AMOUNT)),
+    _part("categories", _ranked(_CATEGORIES, "category", "category", _NO_AMOUNT)),
+    _part("person_totals_all", _ranked(_TOTALS, "ord", "member", _AMOUNT)),
+    _part("category_totals_by_month", _ranked(_CELLS, "v DESC, category", "category", _AMOUNT, "month", "group_id, month")),
+    _part("category_month_series", _ranked(_CELLS, "month DESC", "month", _AMOUNT, "category", "group_id, category")),
+    _part("person_totals_by_month", _ranked(_BY_MONTH, "ord", "member", _AMOUNT, "month", "group_id, month")),
+    _part("monthly_by_category", _month_table("mc_grid", "category", "")),
+    _part("per_person_month", _month_table("pm_grid", "member", "DESC")),
+    _part("recent_columns", "SELECT group_id, CAST(NULL AS VARCHAR) AS key, pos, label, " + _NO_AMOUNT + """ AS amount FROM (
+      SELECT group_id, 6 + row_number() OVER (PARTITION BY group_id ORDER BY ord) AS pos, member || '_owes' AS label FROM member_names
+      UNION ALL
+      SELECT DISTINCT group_id, p, c FROM member_names, (VALUES (0, 'date'), (1, 'month'), (2, 'description'), (3, 'category'),
+        (4, 'amount'), (5, 'currency'), (6, 'expense_id')) AS t(p, c))"""),
+    _part("recent_expenses", """SELECT group_id, CAST(expense_id AS VARCHAR) AS key, pos, description AS label,
+      CAST(amount AS DOUBLE) AS amount FROM (SELECT *, row_number() OVER (PARTITION BY group_id ORDER BY date DESC, expense_id) - 1
+      AS pos FROM expenses) WHERE pos < 30"""),
+]), EDGES + "," + KEPT_TRACKED + "," + PM_GRID + "," + MC_GRID)

@@ -15,9 +15,10 @@ from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from potluck.operators import aggregates as A
-from potluck.operators.upsert import canonical_owes, upsert, upsert_sorted
-from potluck.operators.widen import widen
+from potluck.operators.upsert import sort_keys, upsert
+from potluck.operators.widen import OWES, widen
 from potluck.plans.ledger import Ledger
+from potluck.schemas import EXPENSE_STORE
 from potluck.sinks import writers
 
 
@@ -37,28 +38,32 @@ def export(spark: SparkSession, ledger: Ledger, root: str, version: int,
     previous published version (if any) is the store the new expenses are upserted into; rows it has that the new fetch lacks are kept, and their member columns are
     re-derived from the current shares (0 when none).
     """
-    names = ledger.member_names()
     prev_v = writers.latest_version(spark, root, before=version)
-    prev = writers.read_published(spark, root, "raw_expenses", version=prev_v) if prev_v is not None else None
-    merged = upsert(canonical_owes(prev, names) if prev is not None else None, ledger.expenses)
-    wide = widen(merged, ledger.shares, ledger.members, F.col("owed_share"), names)
+    prev = None
+    if prev_v is not None:
+        prev = writers.read_published(spark, root, "raw_expenses", EXPENSE_STORE, version=prev_v)
+    # the shares of this run give every stored row its members' amounts anew
+    merged = upsert(prev.drop(OWES) if prev is not None else None, ledger.expenses)
+    wide = widen(merged, ledger.shares, ledger.members, F.col("owed_share"))
     if "created_by" in wide.columns:
         wide = wide.drop("created_by")
+    writers.begin(spark, root, version)
     vpath = writers.version_path(root, version)
     # 1) the shared base, written once (lineage cut at a durable location)
-    writers.write_table(upsert_sorted(wide), f"{vpath}/raw_expenses", ["month"])
-    base = spark.read.parquet(f"{vpath}/raw_expenses")
+    stored = wide.select(*[F.col(f.name).cast(f.dataType) for f in EXPENSE_STORE.fields])
+    writers.write_table(stored, f"{vpath}/raw_expenses", ["month"], sort_by=sort_keys(stored))
+    base = writers.read_table(spark, f"{vpath}/raw_expenses", EXPENSE_STORE)
     # 2) the dependent tables read the written base
     tables = {
         # both pivots are written in month order (they are small, aggregated tables)
-        "monthly_by_category": A.month_category_pivot(base).orderBy("group_id", "month"),
+        "monthly_by_category": A.month_category_grid(base).orderBy("group_id", "month", "category"),
         "per_person_month": A.person_month(ledger.shares, ledger.members, F.col("owed_share"))
-        .orderBy("group_id", "month", "ord").drop("ord"),
+        .orderBy("group_id", "month", "ord").drop("ord").withColumn("amount", A.money("amount")),
     }
     if include_shares:
         tables["raw_shares"] = ledger.shares
     # the report tables may be written as CSV with a header; the expense table stays the
     # Parquet store that the next run upserts into
-    writers.publish(spark, root, version, tables, skip_empty=tuple(tables),
+    writers.publish(spark, root, version, tables, skip_empty=tuple(tables), keep=("raw_expenses",),
                     formats={t: report_format for t in tables})
     return ExportResult(vpath, version, ("raw_expenses", *tables))

@@ -98,13 +98,6 @@ class Ledger:
             return self.raw_shares
         return self._excluded()[1]
 
-    def member_names(self) -> list[str]:
-        """Distinct member names in member order (bounded; computed once per ledger)."""
-        if "_names" not in self.__dict__:
-            from potluck.sources.members import member_names
-            self.__dict__["_names"] = member_names(self.members)
-        return self.__dict__["_names"]
-
     def with_params(self, params: LedgerParams) -> "Ledger":
         return Ledger(self._sources, params)
 
@@ -117,19 +110,19 @@ def build(groups: DataFrame, members: DataFrame, expenses: DataFrame, shares: Da
 
 
 def from_tables(spark: SparkSession, sf_dir: str, params: LedgerParams | None = None,
-                date_from: str | None = None, date_to: str | None = None) -> Ledger:
+                start_month: str | None = None, end_month: str | None = None) -> Ledger:
     """Ledger over the driver tables (see ``sources.fixture`` for the mapping).
 
     The lazy plans are memoized per session and arguments: many outputs of one job (or
     many views served from one process) share one planned ledger instead of re-analysing
     the same normalization each time. Nothing is computed or cached as data.
     """
-    return _ledger_for(spark, sf_dir.rstrip("/"), params or LedgerParams(), date_from, date_to)
+    return _ledger_for(spark, sf_dir.rstrip("/"), params or LedgerParams(), start_month, end_month)
 
 
 @functools.lru_cache(maxsize=16)
 def _ledger_for(spark: SparkSession, sf_dir: str, params: LedgerParams,
-                date_from: str | None, date_to: str | None) -> Ledger:
+                start_month: str | None, end_month: str | None) -> Ledger:
     cache: dict[str, DataFrame] = {}
 
     def once(name: str, make: Callable[[], DataFrame]) -> Callable[[], DataFrame]:
@@ -141,7 +134,7 @@ def _ledger_for(spark: SparkSession, sf_dir: str, params: LedgerParams,
 
     groups = once("groups", lambda: fixture.group_config(spark, sf_dir))
     members = once("members", lambda: members_from_config(groups()))
-    headers = once("headers", lambda: fixture.expense_headers(spark, sf_dir, date_from, date_to))
+    headers = once("headers", lambda: fixture.expense_headers(spark, sf_dir, start_month, end_month))
     return Ledger({
         "groups": groups,
         "members": members,

@@ -41,7 +41,7 @@ def dashboard_view(snapshot, category_month: str | None = None, person_month: st
     from potluck.schemas import ALL_MONTHS, CATEGORY_BARS_LIMIT, MONTH_BARS_LIMIT
 
     led = snapshot.ledger
-    e = led.expenses
+    e = snapshot.sums
     cm = selected_month(e, category_month).withColumnRenamed("month", "selected_category_month")
     pm = selected_month(e, person_month).withColumnRenamed("month", "selected_person_month")
     cat = selected_category(e, category).withColumnRenamed("category", "selected_category")
@@ -64,7 +64,7 @@ def dashboard_view(snapshot, category_month: str | None = None, person_month: st
               .join(cat.withColumnRenamed("selected_category", "category"), [G, "category"], "left_semi")
               .select(G, "month", "amount"))
     category_month_bars = bars(series, "month", [F.col("month").desc()], MONTH_BARS_LIMIT)
-    person = A.person_month(led.shares, led.members, A.net_owes(led.params.share_mode)).drop("ord")
+    person = snapshot.person_month.drop("ord")
     person = person.join(pm, G).where((F.col("selected_person_month") == ALL_MONTHS)
                                       | (F.col("month") == F.col("selected_person_month")))
     groups = person_month_groups(person.drop("selected_person_month"), snapshot.months())
@@ -87,20 +87,21 @@ def dashboard_view(snapshot, category_month: str | None = None, person_month: st
 def tables_view(snapshot, month: str | None = None, query: str | None = None,
                 table_limit: int | None = None) -> dict[str, DataFrame]:
     """Tables page: month + text filter on the expense, category and person tables;
-    the row limit applies to the expense table only. ``header`` holds the counts."""
-    from potluck.operators.tables import month_filter_rows, search, table_page
+    the row limit applies to the expense table only. ``header`` holds the counts.
+
+    The month is selected once per group, from the months of its expenses, for all tables.
+    """
+    from potluck.operators.tables import in_selected_month, search, table_page
     from potluck.schemas import TABLE_LIMIT_DEFAULT, TABLE_LIMIT_MIN
 
     limit = max(int(table_limit or TABLE_LIMIT_DEFAULT), TABLE_LIMIT_MIN)
-    raw = table_page(snapshot.raw_wide, snapshot.names, month, query, limit)
-    monthly = snapshot.monthly_by_category()
-    monthly = search(month_filter_rows(monthly, month), [c for c in monthly.columns if c != G], query)
-    from potluck.operators.aggregates import person_month_wide
-    person = person_month_wide(snapshot.per_person_month(), snapshot.names)
-    person = search(month_filter_rows(person, month), [c for c in person.columns if c != G], query)
-    sel = selected_month(snapshot.ledger.expenses, month).withColumnRenamed("month", "selected_month")
+    raw = table_page(snapshot.raw_wide, month, query, limit)
+    selected = selected_month(snapshot.sums, month)
+    monthly = search(in_selected_month(snapshot.monthly_by_category(), selected), query)
+    person = search(in_selected_month(snapshot.per_person_month(), selected), query)
     counts = raw.groupBy(G).agg(F.first("raw_total").alias("raw_total"), F.count(F.lit(1)).alias("raw_shown"))
-    header = (snapshot.ledger.groups.select(G).join(sel, G, "left").join(counts, G, "left")
+    header = (snapshot.ledger.groups.select(G).join(selected.withColumnRenamed("month", "selected_month"), G, "left")
+              .join(counts, G, "left")
               .select(G, "selected_month", F.lit((query or "").strip()).alias("query"),
                       F.coalesce("raw_total", F.lit(0)).alias("raw_total"),
                       F.coalesce("raw_shown", F.lit(0)).alias("raw_shown"),
@@ -114,30 +115,29 @@ def group_tables(snapshot, group_id: int) -> dict[str, DataFrame]:
     ``monthly_by_category``: month + that group's categories (sorted) + ``Total``, months
     ascending; ``per_person_month``: month + the group's members that have shares (member
     order) + ``Total``, newest month first; ``raw_expenses``: the display columns with a
-    ``<name>_owes`` column for every member of the group, newest first. Column lists are
-    read from the group's own (bounded) category and member lists.
+    ``<name>_owes`` column for every member of the group, newest first. A table as wide as
+    one group's own labels; labels equal to ``Total`` or to another column give way to it.
     """
-    from potluck.operators import aggregates as A
-    from potluck.operators.tables import raw_table_columns
-    from potluck.operators.widen import widen
-    from potluck.schemas import MAX_PIVOT_VALUES, TOTAL_LABEL
+    from potluck.operators.tables import raw_table
+    from potluck.operators.widen import OWES
+    from potluck.schemas import OWES_SUFFIX, RAW_TABLE_COLUMNS, TOTAL_LABEL
 
-    led = snapshot.ledger
     one = F.col(G) == F.lit(group_id)
-    e, s, m = led.expenses.where(one), led.shares.where(one), led.members.where(one)
-    cats = A.distinct_categories(e, MAX_PIVOT_VALUES)
-    monthly = A.month_category_pivot(e, cats).drop(G).orderBy("month")
-    pm = A.person_month(s, m, A.net_owes(led.params.share_mode))
-    present = [r[0] for r in pm.where(F.col("person") != TOTAL_LABEL).groupBy("person")
-               .agg(F.min("ord").alias("o")).orderBy("o", "person").limit(MAX_PIVOT_VALUES + 1).collect()]
-    if len(present) > MAX_PIVOT_VALUES:
-        raise ValueError("too many members for a wide table")
-    person = (A.person_month_wide(pm.drop("ord"), present).drop(G)
-              .select("month", *present, TOTAL_LABEL).orderBy(F.col("month").desc()))
-    names = [r[0] for r in m.groupBy("name").agg(F.min("ord").alias("o")).orderBy("o", "name")
-             .limit(MAX_PIVOT_VALUES + 1).collect()]
-    if len(names) > MAX_PIVOT_VALUES:
-        raise ValueError("too many members for a wide table")
-    wide = widen(e, s, m, A.net_owes(led.params.share_mode), names)
-    raw = wide.select(*raw_table_columns(wide.columns, names)).orderBy(F.col("date").desc(), "expense_id")
-    return {"monthly_by_category": monthly, "per_person_month": person, "raw_expenses": raw}
+
+    def wide(rows: DataFrame, order) -> DataFrame:
+        first = rows.select(F.transform("cells", lambda x: x["label"]).alias("l")).first()
+        labels = [x for x in (first.l if first else []) if x not in ("month", TOTAL_LABEL)]
+        amounts = F.map_from_entries(F.col("cells"))
+        return rows.select("month", *[F.try_element_at(amounts, F.lit(x)).alias(x) for x in labels],
+                           F.col("total").alias(TOTAL_LABEL)).orderBy(order)
+
+    monthly = wide(snapshot.monthly_by_category().where(one), F.col("month"))
+    person = wide(snapshot.per_person_month().where(one), F.col("month").desc())
+    raw = raw_table(snapshot.raw_wide.where(one))
+    row = snapshot.ledger.members.where(one).groupBy("name").agg(F.min("ord").alias("ord"))
+    names = [r.name for r in row.orderBy("ord", "name").collect()]
+    owes = F.map_from_entries(F.col(OWES))
+    raw = raw.select(*[c for c in RAW_TABLE_COLUMNS if c in raw.columns],
+                     *[F.try_element_at(owes, F.lit(n)).cast("double").alias(f"{n}{OWES_SUFFIX}") for n in names])
+    return {"monthly_by_category": monthly, "per_person_month": person,
+            "raw_expenses": raw.orderBy(F.col("date").desc(), "expense_id")}

@@ -30,7 +30,7 @@ def month_category(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def doubles(df: DataFrame) -> DataFrame:
-    """Cast every decimal column to double (exact cents → output type)."""
+    """Cast every decimal column to double (exact decimals → output type)."""
     from pyspark.sql import functions as F
     from pyspark.sql.types import DecimalType
     return df.select(*[F.col(f"`{f.name}`").cast("double").alias(f.name) if isinstance(f.dataType, DecimalType)
@@ -39,7 +39,8 @@ def doubles(df: DataFrame) -> DataFrame:
 
 @query
 def month_category_pivot(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return A.month_category_pivot(from_tables(spark, sf_dir).expenses)
+    """Month × category table of every group, zero-filled, with the month's total beside."""
+    return A.month_category_grid(from_tables(spark, sf_dir).expenses)
 
 
 @query
@@ -101,9 +102,7 @@ SCAN_START, SCAN_END = "1996-01", "1997-12"
 @query
 def scan_month_range(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Expenses of a month range; the bounds reach the Parquet scan as pushed filters."""
-    from potluck.sources.calendar import range_bounds
-    lo, hi = range_bounds(SCAN_START, SCAN_END)
-    return doubles(from_tables(spark, sf_dir, date_from=lo, date_to=hi).expenses)
+    return doubles(from_tables(spark, sf_dir, start_month=SCAN_START, end_month=SCAN_END).expenses)
 
 
 # ------------------------------------------------------------------ shares
@@ -138,12 +137,18 @@ def person_month_net(spark: SparkSession, sf_dir: str) -> DataFrame:
     return A.person_month_net(led.shares, led.members, led.params.share_mode)
 
 
+def shown(wide: DataFrame) -> DataFrame:
+    """A table with ``owes`` for output: doubles, and the members' amounts as text."""
+    from potluck.operators.widen import OWES, owes_text
+    return doubles(wide.withColumn(OWES, owes_text()))
+
+
 def _widen(spark: SparkSession, sf_dir: str, net: bool) -> DataFrame:
     from pyspark.sql import functions as F
     from potluck.operators.widen import widen
     led = from_tables(spark, sf_dir)
     value = A.net_owes(led.params.share_mode) if net else F.col("owed_share")
-    return doubles(widen(led.expenses, led.shares, led.members, value, led.member_names()))
+    return shown(widen(led.expenses, led.shares, led.members, value))
 
 
 @query
@@ -202,7 +207,7 @@ def month_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
 from potluck.operators.exclusions import ExclusionRules  # noqa: E402
 
 # Exclusion parameters (blank entries and spaces are ignored, months de-duplicated).
-EXCLUSION_RULES = ExclusionRules(months="1996-03, 1997-06,,1998-01 ,1996-03", descriptions=" urgent, BUILDING ,")
+EXCLUSION_RULES = ExclusionRules.of("1996-03, 1997-06,,1998-01 ,1996-03", " urgent, BUILDING ,")
 
 
 @query
@@ -223,29 +228,29 @@ def exclusion_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _store_and_incoming(spark: SparkSession, sf_dir: str):
     from potluck.sources import fixture
     led = from_tables(spark, sf_dir)
-    names = led.member_names()
-    store = fixture.previous_export(led.expenses, led.shares, led.members, names)
-    return led, names, store, fixture.incoming_fetch(led.expenses)
+    return led, fixture.previous_export(led.expenses, led.shares, led.members), fixture.incoming_fetch(led.expenses)
 
 
 @query
 def legacy_owes_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from potluck.operators.upsert import canonical_owes
-    _, names, store, _ = _store_and_incoming(spark, sf_dir)
-    return canonical_owes(store, names)
+    from potluck.operators.widen import canonical_owes
+    led, store, _ = _store_and_incoming(spark, sf_dir)
+    return shown(canonical_owes(store, led.members))
 
 
 @query
 def upsert_expenses(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from potluck.operators.upsert import canonical_owes, upsert, upsert_sorted
-    _, names, store, incoming = _store_and_incoming(spark, sf_dir)
-    return doubles(upsert_sorted(upsert(canonical_owes(store, names), incoming)))
+    """The merged store in each group's presentation order (``pos``)."""
+    from potluck.operators.upsert import upsert, with_position
+    from potluck.operators.widen import canonical_owes
+    led, store, incoming = _store_and_incoming(spark, sf_dir)
+    return shown(with_position(upsert(canonical_owes(store, led.members), incoming)))
 
 
 @query
 def new_expenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     from potluck.operators.upsert import new_rows
-    _, _, store, incoming = _store_and_incoming(spark, sf_dir)
+    _, store, incoming = _store_and_incoming(spark, sf_dir)
     return doubles(new_rows(store, incoming))
 
 
@@ -301,12 +306,11 @@ def top_debt(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 # ------------------------------------------------------------------ charts, tables, formats
-def _raw_wide(spark: SparkSession, sf_dir: str):
-    """Dashboard expense table: expenses + net ``<name>_owes`` columns (decimal money)."""
+def _raw_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Dashboard expense table: expenses + every member's net amounts (decimal money)."""
     from potluck.operators.widen import widen
     led = from_tables(spark, sf_dir)
-    names = led.member_names()
-    return led, names, widen(led.expenses, led.shares, led.members, A.net_owes(led.params.share_mode), names)
+    return widen(led.expenses, led.shares, led.members, A.net_owes(led.params.share_mode))
 
 
 @query
@@ -361,8 +365,7 @@ def person_month_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
 def recent_expenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     from potluck.operators.tables import recent
     from potluck.schemas import RECENT_ROWS_DEFAULT
-    _, names, wide = _raw_wide(spark, sf_dir)
-    return doubles(recent(wide, names, RECENT_ROWS_DEFAULT))
+    return shown(recent(_raw_wide(spark, sf_dir), RECENT_ROWS_DEFAULT))
 
 
 SEARCH_QUERY = " High AUTO "
@@ -371,29 +374,25 @@ PAGE_MONTH = "1997-06"
 
 @query
 def text_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from potluck.operators.tables import raw_table_columns, search
-    _, names, wide = _raw_wide(spark, sf_dir)
-    cols = raw_table_columns(wide.columns, names)
-    return doubles(search(wide.select("group_id", *cols), cols, SEARCH_QUERY))
+    from potluck.operators.tables import raw_table, search
+    return shown(search(raw_table(_raw_wide(spark, sf_dir)), SEARCH_QUERY))
 
 
 @query
 def table_page(spark: SparkSession, sf_dir: str) -> DataFrame:
     from potluck.operators.tables import table_page as tp
     from potluck.schemas import TABLE_LIMIT_DEFAULT
-    _, names, wide = _raw_wide(spark, sf_dir)
-    return doubles(tp(wide, names, PAGE_MONTH, "urgent", TABLE_LIMIT_DEFAULT))
+    return shown(tp(_raw_wide(spark, sf_dir), PAGE_MONTH, "urgent", TABLE_LIMIT_DEFAULT))
 
 
 @query
 def format_money(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Money columns of the expense table rendered as currency text."""
+    """The money columns of the expense table rendered as currency text."""
     from pyspark.sql import functions as F
     from potluck.functions.format import format_money as fm
-    from potluck.operators.tables import money_columns
-    _, names, wide = _raw_wide(spark, sf_dir)
-    return wide.select("group_id", "expense_id",
-                       *[fm(F.col(c)).alias(f"{c}_text") for c in money_columns(wide.columns)])
+    wide = _raw_wide(spark, sf_dir)
+    owes = F.array_join(F.transform("owes", lambda x: F.concat(x["name"], F.lit(" "), fm(x["amount"]))), "; ")
+    return wide.select("group_id", "expense_id", fm(F.col("amount")).alias("amount_text"), owes.alias("owes_text"))
 
 
 @query
@@ -409,9 +408,17 @@ def label_color(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def table_payload(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from potluck.operators.tables import raw_table_columns, table_payload as tp
-    _, names, wide = _raw_wide(spark, sf_dir)
-    return tp(wide, raw_table_columns(wide.columns, names))
+    from potluck.operators.tables import raw_table, table_payload as tp
+    return tp(raw_table(_raw_wide(spark, sf_dir)))
+
+
+@query
+def payload_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The column list of each group's expense table."""
+    from pyspark.sql import functions as F
+    from potluck.operators.tables import payload_columns as pc
+    from potluck.sources.members import member_lists
+    return pc(member_lists(from_tables(spark, sf_dir).members)).withColumn("columns", F.array_join("columns", ","))
 
 
 @query
@@ -436,23 +443,73 @@ def members_from_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     return from_tables(spark, sf_dir).members
 
 
+# Amounts with sub-cent digits and beyond 1e16, as text: sums stay exact and are not cut.
+@query
+def exact_money(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import functions as F
+    from potluck.functions.numbers import lenient_money
+    from potluck.sources.fixture import table
+    li = table(spark, sf_dir, "lineitem")
+    tiny = F.concat(F.lit("0.00"), F.col("l_linenumber").cast("string"))
+    huge = F.concat(F.col("l_linenumber").cast("string"), F.lit("e17"))
+    return li.groupBy(F.col("l_suppkey").alias("suppkey")).agg(
+        F.sum(lenient_money(tiny)).cast("string").alias("tiny_sum"),
+        F.sum(lenient_money(huge)).cast("decimal(38,0)").cast("string").alias("huge_sum"))
+
+
+# ------------------------------------------------------------------ landed documents
+@query
+def latest_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The latest version of every landed document: re-sent, deleted and unstamped ones."""
+    from pyspark.sql import functions as F
+    from potluck.operators.normalize import latest_documents as ld
+    from potluck.sources import fixture
+    first, second = fixture.landed_documents(spark, sf_dir)
+    return ld(first.unionByName(second)).select("group_id", "id", "updated_at", "deleted_at", "description", "cost",
+                                                F.coalesce(F.size("users"), F.lit(0)).cast("long").alias("n_users"))
+
+
+@query
+def landed_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The summary of the ledger that the landed documents give."""
+    return A.summary(_landed_ledger(spark, sf_dir).expenses)
+
+
+@query
+def landed_person_month(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Owed shares per month and member of the landed documents, in all field spellings."""
+    led = _landed_ledger(spark, sf_dir)
+    return A.person_month_owed(led.shares, led.members)
+
+
+def _landed_ledger(spark: SparkSession, sf_dir: str):
+    from potluck.sources import fixture
+    from potluck.sources.docs import ledger_from_docs
+    led = from_tables(spark, sf_dir)
+    first, second = fixture.landed_documents(spark, sf_dir)
+    return ledger_from_docs(first.unionByName(second), led.groups, led.debts_raw)
+
+
 # ------------------------------------------------------------------ composed plans
-import functools  # noqa: E402
+VIEW_MONTH = "1997-06"
 
 
-@functools.lru_cache(maxsize=4)
-def _refreshed(spark: SparkSession, sf_dir: str):
-    """One dashboard refresh per session and tables: its base is written once to the
-    shared folder, and the snapshot document and every view read that written base."""
+def _snapshot(spark: SparkSession, sf_dir: str):
     from potluck.plans.snapshot import Snapshot
-    snap = Snapshot(from_tables(spark, sf_dir), generated_at="1970-01-01T00:00:00+00:00",
+    return Snapshot(from_tables(spark, sf_dir), generated_at="1970-01-01T00:00:00+00:00",
                     start_month="1995-01", end_month="2001-12")
-    return snap.materialize(_scratch(spark, "snapshots"), version=1)
+
+
+def _refreshed(spark: SparkSession, sf_dir: str):
+    """A dashboard refresh: its base is written once to the shared folder and read back."""
+    return _snapshot(spark, sf_dir).materialize(_scratch(spark, "snapshots"), version=1)
+
 
 @query
 def snapshot_json(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One JSON dashboard document per group (bounded parts)."""
-    return _refreshed(spark, sf_dir).to_json()
+    """The JSON dashboard documents, read back and laid out one value per row."""
+    from potluck.plans.documents import document_values
+    return document_values(_refreshed(spark, sf_dir).to_json())
 
 
 @query
@@ -460,14 +517,48 @@ def dashboard_view(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Dashboard header per group for category month 1997-06, an invalid person month and
     an invalid category (both fall back), served from the refreshed snapshot."""
     from potluck.plans.views import dashboard_view as dv
-    return dv(_refreshed(spark, sf_dir), "1997-06", "1999-13", "Nope")["header"]
+    return dv(_refreshed(spark, sf_dir), VIEW_MONTH, "1999-13", "Nope")["header"]
+
+
+@query
+def dashboard_category_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The category bars of the chosen month."""
+    from potluck.plans.views import dashboard_view as dv
+    return dv(_snapshot(spark, sf_dir), VIEW_MONTH, None, None)["category_bars"]
+
+
+@query
+def dashboard_person_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The person bars of the chosen month."""
+    from potluck.plans.views import dashboard_view as dv
+    return dv(_snapshot(spark, sf_dir), None, VIEW_MONTH, None)["person_month_groups"]
 
 
 @query
 def tables_view(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tables page header per group (month 1997-06, text "urgent", limit floored to 50)."""
     from potluck.plans.views import tables_view as tv
-    return tv(_refreshed(spark, sf_dir), "1997-06", "urgent", 10)["header"]
+    return tv(_refreshed(spark, sf_dir), VIEW_MONTH, "urgent", 10)["header"]
+
+
+def _cells(rows: DataFrame) -> DataFrame:
+    from pyspark.sql import functions as F
+    return rows.select("group_id", "month", F.posexplode("cells").alias("pos", "c"), "total").select(
+        "group_id", "month", "pos", "c.label", "c.amount", "total")
+
+
+@query
+def tables_monthly(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The month × category rows of the tables page for the chosen month."""
+    from potluck.plans.views import tables_view as tv
+    return _cells(tv(_snapshot(spark, sf_dir), VIEW_MONTH, None, None)["monthly"])
+
+
+@query
+def tables_person(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The month × person rows of the tables page that contain a text."""
+    from potluck.plans.views import tables_view as tv
+    return _cells(tv(_snapshot(spark, sf_dir), "all", "97-", None)["person"])
 
 
 def _scratch(spark: SparkSession, kind: str) -> str:
@@ -481,36 +572,46 @@ def _scratch(spark: SparkSession, kind: str) -> str:
 def sink_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Publish an export (expenses partitioned by month, shares, pivots) and read it back."""
     from potluck.plans.export import export
+    from potluck.schemas import EXPENSE_STORE
     from potluck.sinks.writers import read_published
     root = _scratch(spark, "exports")
     export(spark, from_tables(spark, sf_dir), root, version=1)
-    return doubles(read_published(spark, root, "raw_expenses"))
-
-
-# Stream fixture: documents land in two drops; the second re-sends the 1998 documents
-# with a later updated_at and an edited description.
-CORRECTION_FROM, CORRECTION_TO = "1998-01-01", "1999-01-01"
-CORRECTION_STAMP = "2003-01-01 00:00:00"
-# Store partition width in expense ids (fixture order keys are small numbers).
-STREAM_ID_RANGE = 10_000
+    return shown(read_published(spark, root, "raw_expenses", EXPENSE_STORE))
 
 
 @query
-def stream_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Landed documents → Structured Streaming upsert (availableNow) → final store."""
+def sink_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The published share table, read back and summed up per group and month."""
     from pyspark.sql import functions as F
+    from potluck.plans.export import export
+    from potluck.sinks.writers import read_published
+    root = _scratch(spark, "exports")
+    export(spark, from_tables(spark, sf_dir), root, version=1)
+    return doubles(read_published(spark, root, "raw_shares").groupBy("group_id", "month").agg(
+        F.count("*").alias("n"), F.sum("owed_share").alias("owed"), F.sum("paid_share").alias("paid")))
+
+
+def _streamed(spark: SparkSession, sf_dir: str):
+    """Landed documents → Structured Streaming (availableNow) → ledger over the store."""
     from potluck.sources import fixture
+    from potluck.sources.docs import ledger_from_docs
     from potluck.streaming import upsert_stream as S
     base = _scratch(spark, "stream")
-    headers = fixture.expense_headers(spark, sf_dir)
-    headers.repartitionByRange(4, "date").write.parquet(f"{base}/landing/a")
-    in_range = (F.col("date") >= CORRECTION_FROM) & (F.col("date") < CORRECTION_TO)
-    corrections = headers.where(in_range).select(
-        *[F.lit(CORRECTION_STAMP).alias(c) if c == "updated_at"
-          else F.concat(F.col(c), F.lit(" (edited)")).alias(c) if c == "description"
-          else F.col(c) for c in headers.columns])
-    corrections.coalesce(1).write.parquet(f"{base}/landing/b")
-    q = S.start(spark, f"{base}/landing/*", f"{base}/store", f"{base}/checkpoint",
-                available_now=True, max_files_per_trigger=2, range_size=STREAM_ID_RANGE)
-    q.awaitTermination()
-    return doubles(S.current_store(spark, f"{base}/store"))
+    first, second = fixture.landed_documents(spark, sf_dir)
+    first.write.parquet(f"{base}/landing/a")
+    second.write.parquet(f"{base}/landing/b")
+    S.start(spark, f"{base}/landing/*", f"{base}/store", f"{base}/checkpoint", available_now=True).awaitTermination()
+    led = from_tables(spark, sf_dir)
+    return ledger_from_docs(S.current_documents(spark, f"{base}/store"), led.groups, led.debts_raw)
+
+
+@query
+def stream_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Expenses of the streamed document store."""
+    return doubles(_streamed(spark, sf_dir).expenses)
+
+
+@query
+def stream_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shares of the streamed document store."""
+    return doubles(_streamed(spark, sf_dir).shares)

@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import types as T
 
-# Money is exact cents inside every job; results are cast to double only at the end.
-MONEY = T.DecimalType(18, 2)
+# Money is an exact decimal inside every job: 24 digits before the point and 8 behind it, so
+# sums never depend on the order of rows and are rounded, where they are, at the end only.
+MONEY = T.DecimalType(32, 8)
+SUM = T.DecimalType(38, 8)
 
 # ---------------------------------------------------------------------------
 # Fixed values (must equal the original behaviour for identical results)
@@ -51,20 +53,22 @@ RAW_TABLE_COLUMNS = ("date", "month", "description", "category", "amount", "curr
 # Upsert sort keys (expense_id appended as tiebreak, Spark sorts are not stable).
 UPSERT_SORT = ("date", "category", "description")
 
-# Guard for wide (pivoted) presentations: the value list must stay small.
-MAX_PIVOT_VALUES = 1000
-
 # ---------------------------------------------------------------------------
 # Input schemas
 # ---------------------------------------------------------------------------
+# Ids may arrive as numbers or text, amounts under several names (normalize.flatten_docs).
 USER_SHARE = T.StructType([
-    T.StructField("user_id", T.LongType()),
+    T.StructField("user_id", T.StringType()),
     T.StructField("user", T.StructType([
-        T.StructField("id", T.LongType()),
+        T.StructField("id", T.StringType()),
         T.StructField("first_name", T.StringType()),
     ])),
     T.StructField("owed_share", T.StringType()),
+    T.StructField("owedShare", T.StringType()),
+    T.StructField("owed", T.StringType()),
     T.StructField("paid_share", T.StringType()),
+    T.StructField("paidShare", T.StringType()),
+    T.StructField("paid", T.StringType()),
 ])
 
 # One landed expense document (nested, as an expense API returns it), plus its group.
@@ -94,18 +98,6 @@ EXPENSE_HEADER = T.StructType([
     T.StructField("category_name", T.StringType()),
 ])
 
-# One user entry of an expense document with the parent fields it needs.
-SHARE_ROW = T.StructType([
-    T.StructField("group_id", T.LongType()),
-    T.StructField("expense_id", T.LongType()),
-    T.StructField("date", T.StringType()),
-    T.StructField("deleted_at", T.StringType()),
-    T.StructField("user_id", T.LongType()),
-    T.StructField("first_name", T.StringType()),
-    T.StructField("owed_share", T.StringType()),
-    T.StructField("paid_share", T.StringType()),
-])
-
 # Normalized tables.
 EXPENSES = T.StructType([
     T.StructField("group_id", T.LongType()),
@@ -119,6 +111,12 @@ EXPENSES = T.StructType([
     T.StructField("currency", T.StringType()),
 ])
 
+# The stored expense table: columns sorted by name, with the members' amounts.
+EXPENSE_STORE = T.StructType(sorted(
+    [*EXPENSES.fields, T.StructField("owes", T.ArrayType(T.StructType([
+        T.StructField("name", T.StringType()), T.StructField("amount", T.DecimalType(38, 2))])))],
+    key=lambda f: f.name))
+
 SHARES = T.StructType([
     T.StructField("group_id", T.LongType()),
     T.StructField("expense_id", T.LongType()),
@@ -146,7 +144,7 @@ GROUP_CONFIG = T.StructType([
 # Simplified debts as landed: endpoints may be ids, digit strings or {"id": ..} objects.
 DEBTS_RAW = T.StructType([
     T.StructField("group_id", T.LongType()),
-    T.StructField("from", T.StringType()),
-    T.StructField("to", T.StringType()),
+    *[T.StructField(f"{end}{suffix}", T.StringType()) for end in ("from", "to")
+      for suffix in ("", "_user", "_user_id")],
     T.StructField("amount", T.StringType()),
 ])

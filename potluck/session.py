@@ -8,11 +8,21 @@ versioned stores). A folder is set here only when the session has none, as in te
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 
 from pyspark.sql import SparkSession
 
 
+# Skewed joins are split even where that costs one more shuffle (e.g. a join whose output is
+# already clustered for the following aggregation).
+SKEW_SETTINGS = {
+    "spark.sql.adaptive.enabled": "true",
+    "spark.sql.adaptive.skewJoin.enabled": "true",
+    "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
+}
+
+
 def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str = "potluck") -> SparkSession:
     """A local session configured the way the tests and bench expect."""
     builder = (
@@ -41,7 +51,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the cluster's shared checkpoint folder; set a scratch one only if unset.
 
     On a cluster ``spark.checkpoint.dir`` names a shared filesystem folder and is used
-    as is. Only a session without one (local tests) gets a fresh scratch folder.
+    as is. Only a local session without one (tests) gets a fresh scratch folder; on a
+    cluster a missing setting is an error, as executors do not see each other's folders.
     """
     current = spark.conf.get("spark.checkpoint.dir", None)
     try:
@@ -51,6 +62,9 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     if not current and sc is not None:
         current = sc.getCheckpointDir()
     if not current:
+        master = spark.conf.get("spark.master", "local")
+        if not re.fullmatch(r"local(\[.*\])?", master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         current = tempfile.mkdtemp(prefix="potluck-ckpt-", dir=os.environ.get("POTLUCK_SCRATCH", "/tmp"))
         try:
             spark.conf.set("spark.checkpoint.dir", current)

@@ -11,7 +11,10 @@ Mapping (one expense per order, one user share per line item, one group per nati
 * ``deleted_at`` = ``2002-01-01`` when key % 23 = 0
 * share: ``user_id`` = ``l_linenumber``, ``owed_share`` = extended price; ``paid_share`` by
   return flag: A → 0, N → 2 × price, R → price
-* members of every group (JSON config, in this order): 3 Alice, 1 Bob, 5 Carol
+* members of group g (JSON config, in this order): users ``1 + (g + d) % 7`` for d = 0, 4, 2,
+  named ``Alice``, ``<nation> 4`` and ``<nation> 2``; then ``MEMBERS_WITHOUT_SHARES`` users
+  101, 102, ... named ``<nation> 101`` and so on. Ids and names differ by group; ``Alice``
+  is a different user in each
 * simplified debts per group: from ``l_linenumber`` to ``1 + l_suppkey % 7`` (self edges
   removed), amount = sum of extended price; even ``to`` ids arrive nested as ``{"id": n}``
 
@@ -23,10 +26,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from potluck.schemas import MONEY
+from potluck.schemas import EXPENSE_DOC
+from potluck.sources.calendar import in_months
 
-# Fixed value: the member map given to every fixture group (JSON object order matters).
-FIXTURE_MEMBERS_JSON = '{"3": "Alice", "1": "Bob", "5": "Carol"}'
+# Members of a group that no line item belongs to; 25 groups then hold over 1000 names.
+MEMBERS_WITHOUT_SHARES = 42
 
 
 # Columns read from the driver tables, with their stored types. Declaring them skips
@@ -50,35 +54,34 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def group_config(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per group: id, name and its member map (JSON)."""
+    key, name = F.col("n_nationkey"), F.col("n_name")
+
+    def entry(user: Column, member: Column) -> Column:
+        return F.concat(F.lit('"'), user.cast("string"), F.lit('": "'), member, F.lit('"'))
+
+    active = [entry(1 + (key + d) % 7, F.lit("Alice") if d == 0 else F.concat(name, F.lit(f" {d}"))) for d in (0, 4, 2)]
+    others = F.transform(F.sequence(F.lit(101), F.lit(100 + MEMBERS_WITHOUT_SHARES)),
+                         lambda i: entry(i, F.concat(name, F.lit(" "), i.cast("string"))))
     return table(spark, sf_dir, "nation").select(
-        F.col("n_nationkey").cast("long").alias("group_id"),
-        F.col("n_name").alias("group_name"),
-        F.lit(FIXTURE_MEMBERS_JSON).alias("members_json"),
-    )
+        key.cast("long").alias("group_id"), name.alias("group_name"),
+        F.concat(F.lit("{"), F.array_join(F.concat(F.array(*active), others), ", "), F.lit("}")).alias("members_json"))
 
 
 def _money_text(c: Column) -> Column:
-    return c.cast(MONEY).cast("string")
+    return c.cast("decimal(18,2)").cast("string")
 
 
-def _orders(spark: SparkSession, sf_dir: str, date_from: str | None, date_to: str | None) -> DataFrame:
+def _orders(spark: SparkSession, sf_dir: str, start_month: str | None, end_month: str | None) -> DataFrame:
     o = table(spark, sf_dir, "orders").select(
         "o_orderkey", "o_custkey", "o_totalprice", "o_orderdate", "o_orderpriority")
     # Bounds on the real timestamp column so the scan can skip row groups.
-    if date_from:
-        o = o.where(F.col("o_orderdate") >= F.lit(date_from).cast("timestamp_ntz"))
-    if date_to:
-        o = o.where(F.col("o_orderdate") < F.lit(date_to).cast("timestamp_ntz"))
-    return o
-
+    return o.where(in_months(F.col("o_orderdate"), start_month, end_month))
 
-def expense_headers(spark: SparkSession, sf_dir: str, date_from: str | None = None,
-                    date_to: str | None = None) -> DataFrame:
-    """Expense documents without their users (schema ``EXPENSE_HEADER``).
 
-    ``date_from`` (inclusive) / ``date_to`` (exclusive) are ISO dates pushed to the scan.
-    """
-    o = _orders(spark, sf_dir, date_from, date_to)
+def expense_headers(spark: SparkSession, sf_dir: str, start_month: str | None = None,
+                    end_month: str | None = None) -> DataFrame:
+    """Expense documents without their users (schema ``EXPENSE_HEADER``), of whole months."""
+    o = _orders(spark, sf_dir, start_month, end_month)
     c = table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey", "c_mktsegment")
     k = F.col("o_orderkey")
     stamp = F.col("o_orderdate").cast("string")
@@ -105,8 +108,8 @@ def share_rows(spark: SparkSession, sf_dir: str, headers: DataFrame | None = Non
         "group_id", F.col("id").alias("expense_id"), "date", "deleted_at")
     li = table(spark, sf_dir, "lineitem").select(
         "l_orderkey", "l_linenumber", "l_extendedprice", "l_returnflag")
-    price = F.col("l_extendedprice").cast(MONEY)
-    paid = (F.when(F.col("l_returnflag") == "A", F.lit(0).cast(MONEY))
+    price = F.col("l_extendedprice").cast("decimal(18,2)")
+    paid = (F.when(F.col("l_returnflag") == "A", F.lit(0).cast("decimal(18,2)"))
             .when(F.col("l_returnflag") == "N", price * 2)
             .otherwise(price))
     # Both sides are fact tables: keep the planner from broadcasting either one on the
@@ -116,7 +119,7 @@ def share_rows(spark: SparkSession, sf_dir: str, headers: DataFrame | None = Non
         F.col("l_linenumber").cast("long").alias("user_id"),
         F.lit(None).cast("string").alias("first_name"),
         price.cast("string").alias("owed_share"),
-        paid.cast(MONEY).cast("string").alias("paid_share"),
+        paid.cast("decimal(18,2)").cast("string").alias("paid_share"),
     )
 
 
@@ -130,7 +133,7 @@ def debts_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
     edges = (li.join(o.hint("merge"), li.l_orderkey == o.o_orderkey)
              .join(c, F.col("o_custkey") == F.col("c_custkey"))
              .select(F.col("c_nationkey").cast("long").alias("group_id"), frm.alias("f"), to.alias("t"),
-                     F.col("l_extendedprice").cast(MONEY).alias("price"))
+                     F.col("l_extendedprice").cast("decimal(18,2)").alias("price"))
              .where(F.col("f") != F.col("t"))
              .groupBy("group_id", "f", "t")
              .agg(F.sum("price").alias("amount")))
@@ -144,33 +147,65 @@ def debts_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-# Upsert fixture: a previous export holds the expenses dated before STORE_BEFORE (with an
-# older description and legacy member column spellings); the new fetch covers the months
-# from INCOMING_FROM on, so the year in between is in both.
-STORE_BEFORE = "1999-01-01"
-INCOMING_FROM = "1998-01-01"
-
-
-def previous_export(expenses: DataFrame, shares: DataFrame, members: DataFrame, names: list[str]) -> DataFrame:
-    """Wide expense table as an earlier run stored it, with legacy ``_owed/_paid`` columns.
-
-    Member i (in member order) is stored as: i % 3 == 0 → ``<n>_owes``; 1 → ``<n>_owed``
-    plus a conflicting ``<n>_paid``; 2 → ``<n>_paid_x``. Amounts are doubles, as re-read
-    from a spreadsheet.
+# Upsert fixture: the store of an earlier run lacks the newest third of the ids (id % 3 = 2)
+# and holds rows that the new fetch does not send (id % 3 = 1); both read the whole table.
+def previous_export(expenses: DataFrame, shares: DataFrame, members: DataFrame) -> DataFrame:
+    """The expense table as an earlier run stored it: an older description, amounts as
+    doubles (as re-read from a spreadsheet), and one column per member in legacy spellings,
+    here as the entries of ``member_columns``. Member i (in member order) is stored as
+    ``<n>_owes`` (i % 3 = 0), ``<n>_owed`` with a conflicting ``<n>_paid`` (1), ``<n>_paid_x`` (2).
     """
-    from potluck.operators.widen import widen
-    old = expenses.where(F.col("date") < STORE_BEFORE).withColumn(
+    from potluck.operators.widen import MEMBER_COLUMNS, widen
+    old = expenses.where(F.col("expense_id") % 3 != 2).withColumn(
         "description", F.concat(F.lit("old "), F.col("description")))
-    wide = widen(old, shares, members, F.col("owed_share"), names)
-    wide = wide.withColumn("amount", F.col("amount").cast("double"))
-    for i, n in enumerate(names):
-        col = f"{n}_owes"
-        if i % 3 == 1:
-            wide = wide.withColumnRenamed(col, f"{n}_owed").withColumn(f"{n}_paid", F.col(f"{n}_owed") * 2)
-        elif i % 3 == 2:
-            wide = wide.withColumnRenamed(col, f"{n}_paid_x")
-    return wide
+    wide = widen(old, shares, members, F.col("owed_share"))
+
+    def stored(x: Column, i: Column) -> Column:
+        amount = x["amount"].cast("double")
+        cell = lambda suffix, v: F.struct(F.concat(x["name"], F.lit(suffix)).alias("key"), v.alias("value"))
+        return (F.when(i % 3 == 0, F.array(cell("_owes", amount)))
+                .when(i % 3 == 1, F.array(cell("_owed", amount), cell("_paid", amount * 2)))
+                .otherwise(F.array(cell("_paid_x", amount))))
+    columns = F.map_from_entries(F.flatten(F.transform("owes", stored)))
+    return wide.withColumn("amount", F.col("amount").cast("double")).withColumn(MEMBER_COLUMNS, columns).drop("owes")
 
 
 def incoming_fetch(expenses: DataFrame) -> DataFrame:
-    return expenses.where(F.col("date") >= INCOMING_FROM)
+    return expenses.where(F.col("expense_id") % 3 != 1)
+
+
+def landed_documents(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Expense documents as they land (``EXPENSE_DOC``), in two drops of several versions.
+
+    First every document once, and those with id % 6 = 0 also in a stale version without a
+    stamp. Then those with id % 4 = 0 a second later, edited, and those with id % 10 = 0 two
+    seconds later, deleted. Amounts use the three spellings of the share fields by id % 3.
+    """
+    h = expense_headers(spark, sf_dir)
+    li = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_extendedprice", "l_returnflag")
+    owed = F.col("l_extendedprice").cast("decimal(18,2)")
+    paid = F.when(F.col("l_returnflag") == "A", owed * 0).when(F.col("l_returnflag") == "N", owed * 2).otherwise(owed)
+    spelled = F.col("l_orderkey") % 3
+
+    def amount(value: Column, spelling: int) -> Column:
+        return F.when(spelled == spelling, value.cast("decimal(18,2)").cast("string"))
+    user = F.struct(
+        F.col("l_linenumber").cast("string").alias("user_id"),
+        F.lit(None).cast("struct<id:string,first_name:string>").alias("user"),
+        *[amount(v, i).alias(n) for v, names in ((owed, ("owed_share", "owedShare", "owed")),
+                                                 (paid, ("paid_share", "paidShare", "paid")))
+          for i, n in enumerate(names)])
+    users = li.groupBy(F.col("l_orderkey").alias("id")).agg(F.collect_list(user).alias("users"))
+    docs = h.join(users, "id", "left").withColumn("category", F.struct(F.col("category_name").alias("name")))
+    docs = docs.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in EXPENSE_DOC.fields])
+    k = F.col("id")
+
+    def version(rows: DataFrame, **changes: Column) -> DataFrame:
+        return rows.select(*[changes[c].alias(c) if c in changes else F.col(c) for c in docs.columns])
+    stale = version(docs.where(k % 6 == 0), updated_at=F.lit(None).cast("string"), description=F.lit("stale"),
+                    cost=F.lit("1"))
+    edited = version(docs.where(k % 4 == 0), updated_at=F.concat("updated_at", F.lit("+1")),
+                     description=F.concat("description", F.lit(" (edited)")))
+    deleted = version(docs.where(k % 10 == 0), updated_at=F.concat("updated_at", F.lit("+2")),
+                      deleted_at=F.lit("2003-01-01"))
+    return docs.unionByName(stale), edited.unionByName(deleted)

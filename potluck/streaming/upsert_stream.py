@@ -1,25 +1,27 @@
-"""Structured Streaming refresh: landed expense documents upserted into a partitioned store.
+"""Structured Streaming refresh: landed expense documents kept in a versioned document store.
 
-The original refreshes on a timer (default 900 s, floor 30 s) plus a manual trigger, and
-keeps the last good snapshot when a refresh fails. Here:
+The original refreshes on a timer (default 900 s, floor 30 s) plus a manual trigger, builds
+everything from the documents as they are then, and keeps the last good snapshot when a
+refresh fails. Here:
 
-* ``readStream`` over a landing directory of expense headers (Parquet or JSON);
+* ``readStream`` over a landing directory of expense documents (Parquet or JSON);
 * a processing-time trigger for the timer, ``availableNow`` for a manual/catch-up run;
-* ``foreachBatch`` merges each micro-batch into the store.
-
-Store layout: Parquet partitioned by ``id_range = expense_id div range_size``. An id never
-changes, so a row never moves between partitions, and a batch only touches the
-partitions of its own keys (with ids issued in time order, the recent ones). Per batch:
-
-1. de-duplicate the batch by key (latest ``updated_at``), tag each row with its range;
-2. read only the touched partitions of the store (partition pruning), upsert the batch
-   into them (full outer join on the key);
-3. stage the merged partitions in the shared folder, then overwrite exactly those
-   partitions of the store (dynamic partition overwrite).
-
-Work per batch grows with the batch's partitions, not with the store. A replayed batch
-recomputes the same partitions from already-merged rows, and the upsert is idempotent,
-so replays are safe; a partition is always either its old or its new version.
+* ``foreachBatch`` merges each micro-batch into the store of latest documents, from which
+  ``plans`` derive expenses, shares, exclusions and snapshots like from any documents.
+
+Store layout: Parquet partitioned by ``id_range = id div range_size`` and ``version`` (the
+batch). Per batch:
+
+1. read the current documents of the batch's ranges (partition pruning at run time), put the
+   batch beside them and keep the latest document of each key;
+2. write those ranges under the batch's own version, one shuffle by range that splits large
+   ranges; nothing that readers see is touched;
+3. replace the small pointer file that names the last finished version.
+
+Readers take, for each range, its newest version up to the pointer: they see either all of a
+batch or nothing of it, and a failed batch leaves the last good state. A replayed batch
+rewrites its own version with the same rows. Work grows with the batch's ranges, not with
+the store. ``drop_superseded`` removes versions that no reader needs any more.
 """
 
 from __future__ import annotations
@@ -28,18 +30,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
-from potluck.operators.normalize import flatten_docs, normalize_expenses
-from potluck.operators.upsert import dedupe_latest, upsert
-from potluck.schemas import EXPENSE_DOC, EXPENSE_HEADER, REFRESH_SECONDS_DEFAULT, REFRESH_SECONDS_MIN
+from potluck.operators.normalize import latest_documents
+from potluck.schemas import EXPENSE_DOC, REFRESH_SECONDS_DEFAULT, REFRESH_SECONDS_MIN
 from potluck.sinks import writers
 
-ID_RANGE = "id_range"
+ID_RANGE, VERSION = "id_range", "version"
+POINTER = "CURRENT"
 DEFAULT_RANGE_SIZE = 1_000_000
-# Above this many touched partitions the pruning list is not brought to the driver; the
-# store is then joined on the partition column instead (still correct, less pruning).
-MAX_LISTED_RANGES = 10_000
+STORE = T.StructType([*EXPENSE_DOC.fields, T.StructField(ID_RANGE, T.LongType()), T.StructField(VERSION, T.LongType())])
 
 
 def refresh_seconds(value: int | str | None) -> int:
@@ -50,49 +51,52 @@ def refresh_seconds(value: int | str | None) -> int:
 
 
 def _range_of(size: int):
-    return F.call_function("div", F.col("expense_id"), F.lit(size)).cast("long")
+    return F.coalesce(F.call_function("div", F.col("id"), F.lit(size)).cast("long"), F.lit(-1))
+
+
+def current_version(spark: SparkSession, store: str) -> int | None:
+    """The last finished batch, ``None`` before the first one."""
+    pointer = f"{store}/{POINTER}"
+    return int(spark.read.text(pointer).first()[0]) if writers.path_exists(spark, pointer) else None
+
+
+def _at(spark: SparkSession, store: str, version: int) -> DataFrame:
+    """The store's rows as of a version, with their range."""
+    rows = spark.read.schema(STORE).option("basePath", f"{store}/data").parquet(f"{store}/data").where(
+        F.col(VERSION) <= version)
+    newest = rows.groupBy(ID_RANGE).agg(F.max(VERSION).alias(VERSION))
+    return rows.join(newest, [ID_RANGE, VERSION], "left_semi").drop(VERSION)
 
 
-def merge_batch(store: str, staging: str, range_size: int = DEFAULT_RANGE_SIZE) -> Callable[[DataFrame, int], None]:
-    """The ``foreachBatch`` function: upsert one micro-batch into the touched partitions."""
+def merge_batch(store: str, range_size: int = DEFAULT_RANGE_SIZE) -> Callable[[DataFrame, int], None]:
+    """The ``foreachBatch`` function: bring one micro-batch into the store."""
     def run(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        inc = dedupe_latest(batch)
-        if writers.path_exists(spark, store):
-            current = spark.read.parquet(store)
-            listed = inc.select(_range_of(range_size).alias(ID_RANGE)).distinct().limit(MAX_LISTED_RANGES + 1).collect()
-            if len(listed) <= MAX_LISTED_RANGES:
-                touched = current.where(F.col(ID_RANGE).isin([r[0] for r in listed]))
-            else:
-                ranges = inc.select(_range_of(range_size).alias(ID_RANGE)).distinct()
-                touched = current.join(ranges, ID_RANGE, "left_semi")
-            merged = upsert(touched.drop(ID_RANGE), inc, dedupe=False)
-        else:
-            merged = inc
-        stage = f"{staging.rstrip('/')}/batch={batch_id}"
-        merged.withColumn(ID_RANGE, _range_of(range_size)).write.mode("overwrite").parquet(stage)
-        (spark.read.parquet(stage).write.mode("overwrite")
-         .option("partitionOverwriteMode", "dynamic").partitionBy(ID_RANGE).parquet(store))
+        docs = batch.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in EXPENSE_DOC.fields])
+        incoming = docs.withColumn(ID_RANGE, _range_of(range_size))
+        before = current_version(spark, store)
+        if before is not None and before >= batch_id:
+            before = batch_id - 1                     # a replay: as if the batch had not run
+        if before is not None and before >= 0:
+            touched = _at(spark, store, before).join(incoming.select(ID_RANGE).distinct(), ID_RANGE, "left_semi")
+            incoming = touched.unionByName(incoming)
+        merged = latest_documents(incoming.drop(ID_RANGE)).withColumn(ID_RANGE, _range_of(range_size))
+        (merged.withColumn(VERSION, F.lit(batch_id).cast("long")).hint("rebalance", ID_RANGE)
+         .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+         .partitionBy(ID_RANGE, VERSION).parquet(f"{store}/data"))
+        writers.touch(spark, f"{store}/{POINTER}", str(max(batch_id, current_version(spark, store) or 0)))
     return run
 
 
 def start(spark: SparkSession, landing: str, store: str, checkpoint: str,
           interval_seconds: int | None = None, available_now: bool = False,
           fmt: str = "parquet", max_files_per_trigger: int | None = None,
-          range_size: int = DEFAULT_RANGE_SIZE, staging: str | None = None,
-          nested: bool = False) -> StreamingQuery:
-    """Start the refresh stream. Exactly one of timer / ``available_now`` applies.
-
-    The landing folder holds expense headers, or whole nested documents with ``nested``
-    (their users are not needed for the expense store and are projected away).
-    """
-    reader = spark.readStream.schema(EXPENSE_DOC if nested else EXPENSE_HEADER).format(fmt)
+          range_size: int = DEFAULT_RANGE_SIZE) -> StreamingQuery:
+    """Start the refresh stream. Exactly one of timer / ``available_now`` applies."""
+    reader = spark.readStream.schema(EXPENSE_DOC).format(fmt)
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", str(max_files_per_trigger))
-    landed = reader.load(landing)
-    expenses = normalize_expenses(flatten_docs(landed)[0] if nested else landed)
-    stage_root = staging or f"{checkpoint.rstrip('/')}/_staging"
-    writer = (expenses.writeStream.foreachBatch(merge_batch(store, stage_root, range_size))
+    writer = (reader.load(landing).writeStream.foreachBatch(merge_batch(store, range_size))
               .option("checkpointLocation", checkpoint))
     if available_now:
         writer = writer.trigger(availableNow=True)
@@ -101,8 +105,27 @@ def start(spark: SparkSession, landing: str, store: str, checkpoint: str,
     return writer.start()
 
 
-def current_store(spark: SparkSession, store: str) -> DataFrame | None:
-    """The store as it is now (``None`` before the first batch)."""
-    if not writers.path_exists(spark, store):
-        return None
-    return spark.read.parquet(store).drop(ID_RANGE)
+def current_documents(spark: SparkSession, store: str) -> DataFrame:
+    """The latest documents as of the last finished batch; none before the first one."""
+    version = current_version(spark, store)
+    if version is None:
+        return spark.createDataFrame([], EXPENSE_DOC)
+    return _at(spark, store, version).drop(ID_RANGE)
+
+
+def drop_superseded(spark: SparkSession, store: str, keep: int = 2) -> int:
+    """Delete the folders of versions that are older than each range's last ``keep``; how many."""
+    version = current_version(spark, store)
+    if version is None:
+        return 0
+    fs, root = writers._fs(spark, f"{store}/data")
+    dropped = 0
+    for part in fs.listStatus(root) if fs.exists(root) else []:
+        if not part.isDirectory():
+            continue
+        versions = sorted(((int(v.getPath().getName().split("=")[1]), v.getPath()) for v in fs.listStatus(part.getPath())
+                           if v.isDirectory() and "=" in v.getPath().getName()), key=lambda x: x[0])
+        finished = [v for v in versions if v[0] <= version]
+        for _, path in finished[:-keep]:
+            dropped += bool(fs.delete(path, True))
+    return dropped

@@ -8,7 +8,7 @@ import pytest
 ROOT = Path(__file__).resolve().parents[1]
 sys.path.insert(0, str(ROOT))
 
-from potluck.schemas import DEBTS_RAW, EXPENSE_DOC, GROUP_CONFIG  # noqa: E402
+from potluck.schemas import EXPENSE_DOC, GROUP_CONFIG  # noqa: E402
 
 GID = 7
 
@@ -22,7 +22,8 @@ def spark():
 
 
 def _user(uid, owed, paid, first_name=None):
-    return {"user_id": uid, "user": {"id": uid, "first_name": first_name}, "owed_share": owed, "paid_share": paid}
+    return {"user_id": str(uid), "user": {"id": str(uid), "first_name": first_name}, "owed_share": owed,
+            "paid_share": paid}
 
 
 def _doc(i, date, cost, desc, cat, cur, deleted, users):
@@ -63,7 +64,7 @@ def mini(spark, docs):
     members = members_from_config(groups)
     headers, share_rows = flatten_docs(docs)
     return build(groups, members, normalize_expenses(headers), normalize_shares(share_rows, members),
-                 spark.createDataFrame(DEBTS, DEBTS_RAW))
+                 spark.createDataFrame(DEBTS, "group_id long, `from` string, `to` string, amount string"))
 
 
 def rows(df, *cols, sort=True):

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from conftest import GID
 from potluck.functions.numbers import lenient_cost, lenient_long, lenient_money, py_float_text, resolve_user_id
 from potluck.schemas import GROUP_CONFIG
-from potluck.sources.calendar import month_bounds, month_list, range_bounds
+from potluck.sources.calendar import in_months, month_start
 
 
 def _one(spark, col, values, dtype="string"):
@@ -36,21 +36,31 @@ def test_python_float_text(spark):
 
 
 def test_members_from_json_order_and_bad_config(spark):
-    from potluck.sources.members import member_names, members_from_config
+    from potluck.sources.members import member_lists, members_from_config
     groups = spark.createDataFrame([(GID, "a", '{"5": "Zed", "1": "Amy", " 3 ": "Bo"}'),
                                     (GID + 1, "b", "[1, 2]"), (GID + 2, "c", "not json")], GROUP_CONFIG)
     m = members_from_config(groups)
     got = [(r.group_id, r.user_id, r.name, r.ord) for r in m.orderBy("group_id", "ord").collect()]
     assert got == [(GID, 5, "Zed", 1), (GID, 1, "Amy", 2), (GID, 3, "Bo", 3)]
-    assert member_names(m) == ["Zed", "Amy", "Bo"]
+    assert [(r.group_id, r.names) for r in member_lists(m).collect()] == [(GID, ["Zed", "Amy", "Bo"])]
 
 
-def test_calendar_helpers():
-    assert month_bounds("2024-12") == ("2024-12-01", "2025-01-01")
-    assert month_list("2023-11", "2024-02") == ["2023-11", "2023-12", "2024-01", "2024-02"]
-    assert range_bounds("2024-01", "2024-03") == ("2024-01-01", "2024-04-01")
-    with pytest.raises(ValueError):
-        month_list("2024-02", "2024-01")
+def test_a_user_named_twice_counts_once(spark):
+    from potluck.sources.members import members_from_config
+    groups = spark.createDataFrame([(GID, "a", '{"5": "Zed", " 5": "Again", "1": "Amy"}')], GROUP_CONFIG)
+    assert sorted(map(tuple, members_from_config(groups).select("user_id", "name").collect())) == [(1, "Amy"), (5, "Zed")]
+
+
+def test_month_bounds(spark):
+    row = spark.range(1).select(month_start("2024-12").cast("string"), month_start("2024-12", 1).cast("string")).first()
+    assert tuple(row) == ("2024-12-01", "2025-01-01")
+    days = spark.sql("select explode(sequence(date'2024-01-30', date'2024-04-02')) as d")
+    inside = days.where(in_months(F.col("d"), "2024-02", "2024-03"))
+    assert tuple(map(str, inside.agg(F.min("d"), F.max("d")).first())) == ("2024-02-01", "2024-03-31")
+    assert days.where(in_months(F.col("d"), None, None)).count() == days.count()
+    for start, end in (("2024-02", "2024-01"), ("2024-13", None), (None, "24-01")):
+        with pytest.raises(ValueError):
+            in_months(F.col("d"), start, end)
 
 
 def test_group_calendar_fills_gaps(spark, mini):
@@ -72,8 +82,9 @@ def test_person_pivots_omit_members_without_shares_but_widen_has_all(spark, mini
     led = build(groups, members, mini.expenses, mini.shares, mini.debts_raw)
     persons = {r.person for r in A.person_month_owed(led.shares, led.members).collect()}
     assert persons == {"Alice", "Bob", "Total"}
-    wide = widen(led.expenses, led.shares, led.members, F.col("owed_share"), ["Alice", "Bob", "Dana"])
-    assert {r.Dana_owes for r in wide.collect()} == {0.0}
+    wide = widen(led.expenses, led.shares, led.members, F.col("owed_share"))
+    assert {tuple(x.name for x in r.owes) for r in wide.collect()} == {("Alice", "Bob", "Dana")}
+    assert {float(r.owes[2].amount) for r in wide.collect()} == {0.0}
     totals = {r.person: r.amount for r in A.person_totals(led.expenses, led.shares, led.members, "reverse").collect()}
     assert totals["Dana"] == 0.0
 

@@ -15,7 +15,7 @@ ALPHABET = "0123456789.,+-e "
 
 
 def model(text: str | None, strip_commas: bool) -> Decimal:
-    """What the ledger stores: Python's float() acceptance, exact cents, 0 otherwise."""
+    """What the ledger stores: Python's float() acceptance, 8 exact decimals, 0 otherwise."""
     if text is None:
         return Decimal("0.00")
     s = text.strip()
@@ -28,10 +28,10 @@ def model(text: str | None, strip_commas: bool) -> Decimal:
     if not math.isfinite(f) or "_" in s:
         return Decimal("0.00")
     try:
-        d = Decimal(s).quantize(Decimal("0.01"), rounding=ROUND_HALF_UP)
+        d = Decimal(s).quantize(Decimal("0.00000001"), rounding=ROUND_HALF_UP)
     except InvalidOperation:
         return Decimal("0.00")
-    return d if abs(d) < Decimal(10) ** 16 else Decimal("0.00")
+    return d if abs(d) < Decimal(10) ** 24 else Decimal("0.00")
 
 
 @settings(max_examples=15, deadline=None)

@@ -11,7 +11,7 @@ from potluck.operators import aggregates as A
 from potluck.operators import debts as D
 from potluck.operators.exclusions import ExclusionRules, exclusion_counts
 from potluck.operators.trends import mom_full
-from potluck.operators.widen import widen
+from potluck.operators.widen import owes_text, widen
 from potluck.plans.ledger import LedgerParams, with_exclusions
 
 
@@ -53,9 +53,9 @@ def test_person_month_net_is_clipped_per_row(mini):
 
 
 def test_widen_owed_has_every_member(mini):
-    wide = widen(mini.expenses, mini.shares, mini.members, F.col("owed_share"), ["Alice", "Bob"])
-    got = rows(wide, "expense_id", "Alice_owes", "Bob_owes")
-    assert got == [(1, 60.0, 40.0), (2, 1000.5, 0.0), (4, 80.0, 0.0), (6, 0.0, 0.0)]
+    wide = widen(mini.expenses, mini.shares, mini.members, F.col("owed_share"))
+    assert rows(wide.withColumn("owes", owes_text()), "expense_id", "owes") == [
+        (1, "Alice=60.0, Bob=40.0"), (2, "Alice=1000.5, Bob=0.0"), (4, "Alice=80.0, Bob=0.0"), (6, "Alice=0.0, Bob=0.0")]
 
 
 def test_month_over_month_on_zero_filled_grid(mini):
@@ -73,21 +73,22 @@ def test_category_totals_and_bars(mini):
 
 
 def test_exclusions_and_semi_join_side_effect(mini):
-    a = with_exclusions(mini, ExclusionRules("2024-03", "paris, trip"))
+    a = with_exclusions(mini, ExclusionRules.of("2024-03", "paris, trip"))
     assert a.expenses.count() == 3 and a.shares.count() == 4
-    b = with_exclusions(mini, ExclusionRules(" 2024-03 ,", "paris,food"))
+    b = with_exclusions(mini, ExclusionRules.of(" 2024-03 ,", "paris,food"))
     assert b.expenses.count() == 4 and b.shares.count() == 6
-    c = with_exclusions(mini, ExclusionRules("", "paris"))  # inactive: identity
+    c = with_exclusions(mini, ExclusionRules.of("", "paris"))  # inactive: identity
     assert c.expenses.count() == 4 and c.shares.count() == 8
-    cnt = exclusion_counts(mini.raw_expenses, mini.raw_shares, ExclusionRules("2024-03", "paris,trip")).collect()[0]
+    cnt = exclusion_counts(mini.raw_expenses, mini.raw_shares, ExclusionRules.of("2024-03", "paris,trip")).collect()[0]
     assert (cnt.expenses_removed, cnt.shares_removed) == (1, 4)
 
 
 def test_search_spans_fields(mini):
-    from potluck.operators.tables import raw_table_columns, search
-    wide = widen(mini.expenses, mini.shares, mini.members, A.net_owes("reverse"), ["Alice", "Bob"])
-    cols = raw_table_columns(wide.columns, ["Alice", "Bob"])
-    assert rows(search(wide, cols, "  Market groceries 100.0 ILS "), "expense_id") == [(1,)]
+    from potluck.operators.tables import raw_table, search
+    wide = raw_table(widen(mini.expenses, mini.shares, mini.members, A.net_owes("reverse")))
+    assert rows(search(wide, "  Market groceries 100.0 ILS "), "expense_id") == [(1,)]
+    assert rows(search(wide, "1 40.0 0.0"), "expense_id") == [(1,)]      # id, then the members' amounts
+    assert search(wide, " ").count() == 4
 
 
 def test_summary_and_months(mini):
@@ -129,7 +130,7 @@ def test_label_color(spark):
 
 def test_debt_edges_and_balances(mini):
     edges = D.debt_edges(mini.debts_raw, mini.members, "reverse")
-    assert rows(edges, "from_name", "to_name", "amount") == [("Alice", "103", 12), ("Bob", "Alice", 30)]
+    assert rows(edges, "from_name", "to_name", "amount", "pos") == [("Alice", "103", 12, 1), ("Bob", "Alice", 30, 0)]
     top = D.top_debt(edges).collect()[0]
     assert (top.from_name, top.to_name) == ("Bob", "Alice")
     bal = rows(D.member_balances(edges, mini.members), "name", "owes", "to_receive")
@@ -159,7 +160,7 @@ def test_exclusions_leave_groups_without_expenses_alone(spark, mini):
     # a group whose documents are all settlements has no expenses: its shares survive
     from potluck.operators.exclusions import apply_exclusions
     extra = mini.shares.where("expense_id = 3").withColumn("group_id", F.lit(GID + 1))
-    e, s = apply_exclusions(mini.expenses, mini.shares.unionByName(extra), ExclusionRules("2024-03", "paris"))
+    e, s = apply_exclusions(mini.expenses, mini.shares.unionByName(extra), ExclusionRules.of("2024-03", "paris"))
     assert s.where(f"group_id = {GID + 1}").count() == 2
     assert s.where(f"group_id = {GID}").count() == 4
 

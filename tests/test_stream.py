@@ -1,37 +1,44 @@
-"""Structured Streaming upsert: stream result = batch result; replays are idempotent."""
+"""Structured Streaming document store: stream = batch; replays, crashes, empty batches."""
 
 from __future__ import annotations
 
 import uuid
 
+import pytest
 from pyspark.sql import functions as F
 
 from potluck.session import shared_path
 from conftest import rows
-from potluck.operators.normalize import flatten_docs, normalize_expenses
-from potluck.operators.upsert import upsert
+from potluck.operators.normalize import latest_documents
+from potluck.sources.docs import ledger_from_docs
 from potluck.streaming import upsert_stream as S
 
+COLS = ["id", "description", "updated_at"]
 
-def test_stream_equals_batch(spark, docs):
-    base = shared_path(spark, "tests", "potluck-test-stream", uuid.uuid4().hex)
-    headers, _ = flatten_docs(docs)
-    headers.where("id <= 3").coalesce(1).write.parquet(f"{base}/landing/a")
-    headers.where("id > 3").coalesce(1).write.parquet(f"{base}/landing/b")
-    edit = headers.where("id = 1").withColumn("updated_at", F.lit("2030-01-01T00:00:00Z")) \
-        .withColumn("description", F.lit("Market (edited)"))
-    edit.coalesce(1).write.parquet(f"{base}/landing/c")
-    q = S.start(spark, f"{base}/landing/*", f"{base}/store", f"{base}/ckpt", available_now=True,
-                max_files_per_trigger=1, range_size=2)
-    q.awaitTermination()
-    store = S.current_store(spark, f"{base}/store")
-    batch = upsert(None, normalize_expenses(headers.unionByName(edit)))
-    cols = ["expense_id", "description", "amount", "month"]
-    assert rows(store, *cols) == rows(batch, *cols)
-    assert store.where("expense_id = 1").collect()[0].description == "Market (edited)"
-    # replaying a batch id rewrites the same version with the same content
-    S.merge_batch(f"{base}/store", f"{base}/staging", 2)(normalize_expenses(edit), 2)
-    assert rows(S.current_store(spark, f"{base}/store"), *cols) == rows(batch, *cols)
+
+def _base(spark, name):
+    return shared_path(spark, "tests", f"potluck-test-{name}", uuid.uuid4().hex)
+
+
+def _edit(docs, i, stamp, text, **more):
+    out = docs.where(F.col("id") == i).withColumn("updated_at", F.lit(stamp)).withColumn("description", F.lit(text))
+    for k, v in more.items():
+        out = out.withColumn(k, F.lit(v))
+    return out
+
+
+def test_stream_equals_batch(spark, docs, mini):
+    base = _base(spark, "stream")
+    edit = _edit(docs, 1, "2030-01-01T00:00:00Z", "Market (edited)")
+    for name, drop in (("a", docs.where("id <= 3")), ("b", docs.where("id > 3")), ("c", edit)):
+        drop.coalesce(1).write.parquet(f"{base}/landing/{name}")
+    S.start(spark, f"{base}/landing/*", f"{base}/store", f"{base}/ckpt", available_now=True,
+            max_files_per_trigger=1, range_size=2).awaitTermination()
+    store = S.current_documents(spark, f"{base}/store")
+    assert rows(store, *COLS) == rows(latest_documents(docs.unionByName(edit)), *COLS)
+    led = ledger_from_docs(store, mini.groups, mini.debts_raw)
+    assert sorted(r.expense_id for r in led.expenses.collect()) == [1, 2, 4, 6]
+    assert rows(led.shares, "expense_id", "user_id", "owed_share") == rows(mini.shares, "expense_id", "user_id", "owed_share")
 
 
 def test_refresh_interval_floor():
@@ -40,20 +47,52 @@ def test_refresh_interval_floor():
     assert S.refresh_seconds(120) == 120
 
 
-def test_batch_touches_only_its_partitions(spark, docs):
-    base = shared_path(spark, "tests", "potluck-test-stream-parts", uuid.uuid4().hex)
-    headers, _ = flatten_docs(docs)
-    run = S.merge_batch(f"{base}/store", f"{base}/staging", 2)
-    run(normalize_expenses(headers), 0)
-    before = {r.id_range: r.n for r in spark.read.parquet(f"{base}/store").groupBy("id_range")
-              .agg(F.count("*").alias("n")).collect()}
-    assert set(before) == {0, 1, 2, 3}  # ids 1..6 → ranges 0..3 (id 3 and 5 are dropped)
-    import os
-    untouched = sorted(os.listdir(f"{base}/store/id_range=0".replace("file:", "")))
-    edit = headers.where("id = 4").withColumn("updated_at", F.lit("2030-01-01T00:00:00Z")) \
-        .withColumn("description", F.lit("Paris (edited)"))
-    run(normalize_expenses(edit), 1)
-    assert sorted(os.listdir(f"{base}/store/id_range=0".replace("file:", ""))) == untouched
-    store = S.current_store(spark, f"{base}/store")
-    assert store.count() == 4
-    assert store.where("expense_id = 4").collect()[0].description == "Paris (edited)"
+def test_empty_first_batch(spark, docs):
+    base = _base(spark, "stream-empty")
+    run = S.merge_batch(f"{base}/store", 2)
+    assert S.current_documents(spark, f"{base}/store").count() == 0
+    run(docs.limit(0), 0)
+    assert S.current_documents(spark, f"{base}/store").count() == 0
+    run(docs, 1)
+    assert S.current_documents(spark, f"{base}/store").count() == 6
+
+
+def test_crash_before_the_pointer_and_replay(spark, docs, monkeypatch):
+    base = _base(spark, "stream-crash")
+    store = f"{base}/store"
+    run = S.merge_batch(store, 2)
+    run(docs, 0)
+    before = rows(S.current_documents(spark, store), *COLS)
+    with monkeypatch.context() as m:
+        m.setattr(S.writers, "touch", lambda *a: (_ for _ in ()).throw(RuntimeError("lost")))
+        with pytest.raises(RuntimeError):
+            run(_edit(docs, 4, "2030-01-01T00:00:00Z", "Paris (edited)"), 1)
+    assert rows(S.current_documents(spark, store), *COLS) == before       # the last good state
+    for _ in range(2):                                                    # the batch runs again, twice
+        run(_edit(docs, 4, "2030-01-01T00:00:00Z", "Paris (edited)"), 1)
+        now = {r.id: r.description for r in S.current_documents(spark, store).collect()}
+        assert now[4] == "Paris (edited)" and len(now) == 6
+
+
+def test_batch_writes_only_its_ranges(spark, docs):
+    base = _base(spark, "stream-parts")
+    store = f"{base}/store"
+    run = S.merge_batch(store, 2)
+    run(docs, 0)
+    run(_edit(docs, 4, "2030-01-01T00:00:00Z", "Paris (edited)"), 1)
+    parts = {(r.id_range, r.version) for r in spark.read.parquet(f"{store}/data").select("id_range", "version").distinct().collect()}
+    assert parts == {(0, 0), (1, 0), (2, 0), (3, 0), (2, 1)}
+    run(_edit(docs, 4, "2031-01-01T00:00:00Z", "Paris (again)"), 2)
+    assert S.drop_superseded(spark, store, keep=2) == 1
+    assert {r.id: r.description for r in S.current_documents(spark, store).collect()}[4] == "Paris (again)"
+
+
+def test_deletion_hides_every_version_and_stale_ones_do_not_win(spark, docs, mini):
+    base = _base(spark, "stream-delete")
+    run = S.merge_batch(f"{base}/store", 1000)
+    run(docs, 0)
+    gone = _edit(docs, 1, "2030-01-01T00:00:00Z", "Market", deleted_at="2030-01-01")
+    stale = docs.where("id = 2").withColumn("updated_at", F.lit(None).cast("string")).withColumn("description", F.lit("stale"))
+    run(gone.unionByName(stale), 1)
+    led = ledger_from_docs(S.current_documents(spark, f"{base}/store"), mini.groups, mini.debts_raw)
+    assert {r.expense_id: r.description for r in led.expenses.collect()} == {2: "Fuel", 4: "Paris trip", 6: "Undated"}
