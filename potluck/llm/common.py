@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -9,6 +10,9 @@ from pyspark.sql import functions as F
 
 from potluck.session import shared_path
 
+# Rows go to Python workers in batches of this many bytes at most (one row at least), so that
+# neither side holds a whole partition; a smaller setting of the session stays.
+ARROW_BATCH_BYTES = 4 << 20
 DOC_COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
@@ -16,6 +20,15 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def limit_batches(spark: SparkSession) -> None:
+    """Bound the session's Arrow batches by bytes."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    number, unit = re.fullmatch(r"(-?\d+)([kmgtp]?)", spark.conf.get(key).strip().lower().rstrip("b")).groups()
+    now = int(number) << 10 * " kmgtp".index(unit or " ")
+    if not 0 < now <= ARROW_BATCH_BYTES:
+        spark.conf.set(key, f"{ARROW_BATCH_BYTES}b")
+
+
 def doc_input(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
               carry: list[str] | None = None) -> DataFrame:
     """``doc_id`` long, ``text`` string and, if wanted, ``carry``: a struct of further columns.
@@ -23,6 +36,7 @@ def doc_input(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     Columns that are not asked for are left out, so no name of theirs can clash with an
     operator's own.
     """
+    limit_batches(docs.sparkSession)
     cols: list[Column] = [F.col(f"`{id_col}`").cast("long").alias("doc_id"),
                           F.col(f"`{text_col}`").cast("string").alias("text")]
     if carry is not None:

@@ -212,18 +212,18 @@ def identify(docs: DataFrame, model: LangModel | None, id_col: str = "doc_id", t
              carry: list[str] | None = None, keep_text: bool = False) -> DataFrame:
     """One row per input row: doc_id, lang_pred, score, rejected; on request carry and text."""
     rows = doc_input(docs, id_col, text_col, carry)
+    passed = ["doc_id"] + ["carry"] * (carry is not None) + ["text"] * keep_text
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found, score, rejected = classify(batch.column("text"), model)
-            out = {"doc_id": batch.column("doc_id")}
-            if carry is not None:
-                out["carry"] = batch.column("carry")
-            if keep_text:
-                out["text"] = batch.column("text")
-            out |= {"lang_pred": pa.array(found, pa.string()), "score": pa.array(score, pa.float64()),
-                    "rejected": pa.array(rejected, pa.bool_())}
-            yield pa.RecordBatch.from_pydict(out)
+        for whole in batches:
+            _, offsets = text_buffers(whole.column("text"))
+            for at, to in slices(offsets, SLICE_BYTES):          # small batches go out as well
+                batch = whole.slice(at, to - at)
+                found, score, rejected = classify(batch.column("text"), model)
+                yield pa.RecordBatch.from_pydict(
+                    {c: batch.column(c) for c in ("doc_id", "carry", "text") if c in passed}
+                    | {"lang_pred": pa.array(found, pa.string()), "score": pa.array(score, pa.float64()),
+                       "rejected": pa.array(rejected, pa.bool_())})
 
     fields = [T.StructField("doc_id", T.LongType())]
     if carry is not None:

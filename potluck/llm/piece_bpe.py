@@ -36,7 +36,7 @@ from potluck.llm.words import slices, text_buffers
 
 SPACE = "▁"
 CONTROL = b"\xff\xff"            # stands for a control id: no text, and never part of UTF-8
-CACHE_PARTS = 800_000        # encoded parts kept by a worker
+CACHE_PARTS = 300_000        # encoded parts kept by a worker
 CACHE_PART_CHARS = 40        # longer parts are encoded each time they occur
 SHORT_PART = 24              # up to here the agenda is a plain list, beyond it a heap
 BATCH_BYTES = 1 << 20        # text handled, and new parts verified, at a time

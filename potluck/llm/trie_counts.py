@@ -32,7 +32,7 @@ from potluck.llm.piece_bpe import SPACE, load
 from potluck.llm.words import slices, text_buffers
 
 UNKNOWN = -20.0              # log-probability of each byte of a character that is no piece
-KEPT = 800_000               # terminal states kept by a worker
+KEPT = 300_000               # terminal states kept by a worker
 KEPT_CHARS = 60              # longer pre-tokens are computed each time they occur
 BATCH_BYTES = 4 << 20
 _WORD = re.compile("[^\t-\r ]+")

@@ -13,7 +13,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 
-SLICE_BYTES = 2 << 20          # text handled at a time; a longer single text is one slice
+SLICE_BYTES = 1 << 20          # text handled at a time; a longer single text is one slice
 _U = np.uint64
 _rng = np.random.default_rng(20240229)
 _BYTE = _rng.integers(1, 2**64, 256, dtype=_U)          # random value of each byte
