@@ -49,6 +49,16 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def _own_folder(spark: SparkSession) -> str:
+    return shared_path(spark, "llm", spark.sparkContext.applicationId)
+
+
+def drop_checkpoints(spark: SparkSession) -> None:
+    """Delete what this application has checkpointed; only when its results are written."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_own_folder(spark))
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def checkpointed(df: DataFrame, name: str) -> DataFrame:
     """``df`` written to a new folder below ``spark.checkpoint.dir`` and read back.
 
@@ -56,7 +66,7 @@ def checkpointed(df: DataFrame, name: str) -> DataFrame:
     The shuffle files of the writing job are dropped when it ends.
     """
     spark = df.sparkSession
-    path = f"{shared_path(spark, 'llm')}/{name}-{uuid.uuid4().hex}"
+    path = f"{_own_folder(spark)}/{name}-{uuid.uuid4().hex}"
     key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
     before = spark.conf.get(key, None)
     spark.conf.set(key, "true")

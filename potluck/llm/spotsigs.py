@@ -42,7 +42,7 @@ CHAIN = 2
 REACH = 6
 FEW = 4
 FLOOR = 0.05
-RANGE = 1024
+RANGE = 1024                 # ids; a power of two
 BROADCAST_ROWS = 200_000     # first documents of ranges broadcast at most
 
 
@@ -95,8 +95,9 @@ def with_next(docs: DataFrame, columns: list[str], prepare=lambda df: df) -> Dat
     """``docs`` (doc_id, text) after ``prepare``, with ``next``: a struct of the ``columns`` of
     the document that follows by id; after the last, of the first."""
     tie = F.xxhash64(F.coalesce(F.col("text"), F.lit("")), F.col("text").isNull())
+    range_of = F.call_function("shiftright", "doc_id", F.lit(RANGE.bit_length() - 1))
     rows = docs.withColumn("tie", tie).withColumn(
-        "rng", F.coalesce(F.floor(F.col("doc_id") / RANGE), F.lit(2**62)))
+        "rng", F.coalesce(range_of, F.lit(2**62)))
     place = F.struct(F.col("doc_id").isNull().alias("late"), F.col("doc_id").alias("doc_id"), F.col("tie").alias("tie"))
     firsts = rows.groupBy("rng").agg(F.min(place).alias("place"))
     # one row per RANGE documents; the last range is followed by the first
@@ -104,7 +105,7 @@ def with_next(docs: DataFrame, columns: list[str], prepare=lambda df: df) -> Dat
     wrap = F.first("place").over(order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
     guests = firsts.select(F.col("rng").alias("to"), F.coalesce(F.lead("place").over(order), wrap).alias("of")) \
         .select("to", F.col("of.doc_id").alias("of_id"), F.col("of.tie").alias("of_tie"))
-    if docs.select(F.countDistinct(F.floor(F.col("doc_id") / RANGE))).first()[0] <= BROADCAST_ROWS:
+    if docs.select(F.countDistinct(range_of)).first()[0] <= BROADCAST_ROWS:
         guests = F.broadcast(guests)
     added = (rows.join(guests, F.col("doc_id").eqNullSafe(F.col("of_id")) & (F.col("tie") == F.col("of_tie")))
              .withColumn("rng", F.col("to")).drop("to", "of_id", "of_tie")

@@ -19,8 +19,8 @@ The index is consulted in two rounds, so that few sequences travel:
 
 Documents are handled in groups of ``GROUP`` consecutive ids. A group sends each sequence
 to the index once, however many of its documents hold it: a passage in a third of all
-documents costs one entry a group. Entries travel packed, one row per group and reference
-block, and are sorted in numpy there.
+documents costs one entry a group. Entries travel packed, one row for all that a task holds
+for a reference block, and are sorted in numpy there.
 
 Defined cases: null and empty texts have no words and lose none; texts shorter than the
 window lose none; rows with equal ids never remove from one another; rows without an id are
@@ -43,12 +43,13 @@ from potluck.llm.words import Words, windows, words
 
 WINDOW = 13
 ANCHOR = 5
-GROUP = 1024                 # consecutive document ids handled together
+GROUP = 1024                 # consecutive document ids handled together; a power of two
 FLUSH_WORDS = 4_000_000      # sequences gathered by a task before they are packed and sent
 _U = np.uint64
 _NONE = _U(2**64 - 1)
 
-ENTRY = "bucket int, grp long, hashes binary, low binary, high binary"
+ENTRY = "bucket int, grps binary, hashes binary, low binary, high binary"
+_PACKED = ("grps", "hashes", "low", "high")
 ANSWER = "grp long, hashes binary, first binary"
 
 
@@ -68,7 +69,7 @@ def anchors(w: Words, window: int = WINDOW) -> tuple[np.ndarray, np.ndarray, np.
 def _pack(hashes: np.ndarray, docs: np.ndarray, groups: np.ndarray, buckets: int) -> dict:
     """One entry per (group, sequence): the smallest and largest document; packed by block."""
     bucket = (hashes % _U(buckets)).astype(np.int64)
-    order = np.lexsort((docs, hashes, bucket, groups))
+    order = np.lexsort((docs, hashes, groups, bucket))
     hashes, docs, groups, bucket = hashes[order], docs[order], groups[order], bucket[order]
     new = np.ones(hashes.size, bool)
     new[1:] = (hashes[1:] != hashes[:-1]) | (groups[1:] != groups[:-1])
@@ -76,13 +77,14 @@ def _pack(hashes: np.ndarray, docs: np.ndarray, groups: np.ndarray, buckets: int
     low, high = docs[at], docs[np.append(at[1:], hashes.size) - 1]
     hashes, groups, bucket = hashes[at], groups[at], bucket[at]
     cut = np.ones(hashes.size, bool)
-    cut[1:] = (bucket[1:] != bucket[:-1]) | (groups[1:] != groups[:-1])
+    cut[1:] = bucket[1:] != bucket[:-1]
     cut = np.flatnonzero(cut)
     ends = np.append(cut[1:], hashes.size)
     # ids within a group differ by less than GROUP: 16 bits each beside the group's number
     base = groups * GROUP
     low, high = (low - base).astype(np.uint16), (high - base).astype(np.uint16)
-    return {"bucket": bucket[cut].astype(np.int32), "grp": groups[cut],
+    return {"bucket": bucket[cut].astype(np.int32),
+            "grps": [groups[a:b].tobytes() for a, b in zip(cut, ends)],
             "hashes": [hashes[a:b].tobytes() for a, b in zip(cut, ends)],
             "low": [low[a:b].tobytes() for a, b in zip(cut, ends)],
             "high": [high[a:b].tobytes() for a, b in zip(cut, ends)]}
@@ -90,9 +92,8 @@ def _pack(hashes: np.ndarray, docs: np.ndarray, groups: np.ndarray, buckets: int
 
 def _entry_batch(packed: dict) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(
-        [pa.array(packed["bucket"], pa.int32()), pa.array(packed["grp"], pa.int64()),
-         *[pa.array(packed[c], pa.binary()) for c in ("hashes", "low", "high")]],
-        names=["bucket", "grp", "hashes", "low", "high"])
+        [pa.array(packed["bucket"], pa.int32()), *[pa.array(packed[c], pa.binary()) for c in _PACKED]],
+        names=["bucket", *_PACKED])
 
 
 def _group_of(ids: np.ndarray) -> np.ndarray:
@@ -131,14 +132,9 @@ def _flush(held: list[tuple[np.ndarray, np.ndarray]], buckets: int) -> dict:
 
 
 def _unpack(table: pa.Table) -> tuple[np.ndarray, ...]:
-    groups = table.column("grp").to_numpy()
-    parts = table.column("hashes").to_pylist()
-    sizes = np.array([len(p) // 8 for p in parts], np.int64)
-    grp = np.repeat(groups, sizes)
-    hashes = np.frombuffer(b"".join(parts), _U)
-    low = np.frombuffer(b"".join(table.column("low").to_pylist()), np.uint16) + grp * GROUP
-    high = np.frombuffer(b"".join(table.column("high").to_pylist()), np.uint16) + grp * GROUP
-    return hashes, grp, low, high
+    grp, hashes, low, high = [np.frombuffer(b"".join(table.column(c).to_pylist()), kind)
+                              for c, kind in zip(_PACKED, (np.int64, _U, np.uint16, np.uint16))]
+    return hashes, grp, low + grp * GROUP, high + grp * GROUP
 
 
 def lookup(later_only: bool):
@@ -199,8 +195,7 @@ def window_entries(buckets: int, window: int):
                 if ask.size:
                     held.append((of_window[ask], ids[w.row + w.text_of()[ask]]))
         if not held:
-            return pa.table({"bucket": pa.array([], pa.int32()), "grp": pa.array([], pa.int64()),
-                             **{c: pa.array([], pa.binary()) for c in ("hashes", "low", "high")}})
+            return pa.table({"bucket": pa.array([], pa.int32()), **{c: pa.array([], pa.binary()) for c in _PACKED}})
         return pa.Table.from_batches([_entry_batch(_flush(held, buckets))])
     return run
 
@@ -293,7 +288,7 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     where nothing is removed, "" for null) and ``carry``."""
     spark = docs.sparkSession
     buckets = 4 * partitions(spark)
-    rows = doc_input(docs, id_col, text_col, carry).withColumn("grp", F.floor(F.col("doc_id") / GROUP))
+    rows = doc_input(docs, id_col, text_col, carry).withColumn("grp", F.call_function("shiftright", "doc_id", F.lit(GROUP.bit_length() - 1)))
     # rows without an id need no answers; spread them by their text
     rows = rows.withColumn("grp", F.coalesce("grp", -1 - F.pmod(F.hash("text"), F.lit(2**20)).cast("long")
                                              - F.lit(2**61)))
