@@ -73,20 +73,28 @@ def sentences(w: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def _bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Training rows: the buckets of the words, and the number of words of each sentence."""
+    """Training rows: the buckets of the distinct words, the number of each word among them
+    (TRAIN_WORDS fit 16 bits), and the number of words of each sentence."""
     for batch in batches:
-        buckets, sizes = [], []
+        buckets, places, sizes = [], [], []
         for w in words(batch.column("text"), table=_TABLE):
             bucket, begin, text = sentences(w)
             size = np.diff(np.append(begin, w.start.size)).astype(np.int32)
             cut = np.searchsorted(text, np.arange(w.n + 1))
             for i in range(w.n):
                 a, b = w.first[i], w.first[i + 1]
-                long = b - a > TRAIN_WORDS
-                buckets.append(None if long else bucket[a:b].tobytes())
-                sizes.append(None if long else size[cut[i]:cut[i + 1]].tobytes())
+                if b - a > TRAIN_WORDS:
+                    buckets.append(None)
+                    places.append(None)
+                    sizes.append(None)
+                    continue
+                distinct, place = np.unique(bucket[a:b], axis=0, return_inverse=True)
+                buckets.append(distinct.tobytes())
+                places.append(place.astype(np.uint16).tobytes())
+                sizes.append(size[cut[i]:cut[i + 1]].tobytes())
         yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id"), "toxic": batch.column("toxic"),
                                           "buckets": pa.array(buckets, pa.binary()),
+                                          "places": pa.array(places, pa.binary()),
                                           "sizes": pa.array(sizes, pa.binary())})
 
 
@@ -102,20 +110,29 @@ def train(docs: DataFrame, labels: DataFrame, learn_from: Column, id_col: str =
               .select("doc_id", "toxic"))                      # two labels: a proven bound
     rows = doc_input(docs, id_col, text_col).join(F.broadcast(chosen), "doc_id").where("text is not null")
     bags = (rows.select("doc_id", "text", "toxic")
-            .mapInArrow(_bags, "doc_id long, toxic int, buckets binary, sizes binary")
+            .mapInArrow(_bags, "doc_id long, toxic int, buckets binary, places binary, sizes binary")
             .where("buckets is not null").limit(2 * sum(TRAIN_ROWS.values())).toArrow())
     return fit(bags.column("doc_id").to_pylist(), bags.column("toxic").to_pylist(),
-               [np.frombuffer(b, np.int32).reshape(-1, 1 + len(PREFIXES))
-                for b in bags.column("buckets").to_pylist()],
-               [np.frombuffer(b, np.int32) for b in bags.column("sizes").to_pylist()])
+               [b.reshape(-1, 1 + len(PREFIXES)) for b in _views(bags.column("buckets"), np.int32)],
+               list(_views(bags.column("places"), np.uint16)), list(_views(bags.column("sizes"), np.int32)))
 
 
-def fit(ids: list[int], labels: list[int], buckets: list[np.ndarray], sizes: list[np.ndarray]) -> MilModel | None:
+def _views(column: pa.ChunkedArray, kind: type) -> Iterator[np.ndarray]:
+    """The values of a binary column as arrays over its own memory."""
+    for chunk in column.chunks:
+        for value in chunk:
+            yield np.frombuffer(value.as_buffer(), kind)
+
+
+def fit(ids: list[int], labels: list[int], buckets: list[np.ndarray], places: list[np.ndarray],
+        sizes: list[np.ndarray]) -> MilModel | None:
     """SGD over documents; the noisy-or passes a document's error to sentences and words.
 
+    The words of document r are the rows ``places[r]`` of ``buckets[r]``.
+
     Weights decay whenever their words occur, so that only words that keep explaining
     labels stay heavy: the stems of insults, not the rare words of single documents."""
-    order = sorted((r for r in range(len(ids)) if sizes[r].size), key=lambda r: (ids[r], buckets[r].tobytes()))
+    order = sorted((r for r in range(len(ids)) if sizes[r].size), key=lambda r: (ids[r], buckets[r].tobytes(), places[r].tobytes()))
     if not order:
         return None
     rng = np.random.default_rng(11)
@@ -126,11 +143,11 @@ def fit(ids: list[int], labels: list[int], buckets: list[np.ndarray], sizes: lis
         holders[held[r]] += 1
     holders[0] = 0
     learned = holders >= MIN_DOCS
-    offsets = {r: np.append(0, np.cumsum(sizes[r]))[:-1] for r in order}
+    offsets = {r: np.append(0, np.cumsum(sizes[r]))[:-1].astype(np.int32) for r in order}
     for epoch in range(EPOCHS):
         rate = RATE * (1 - 0.8 * epoch / EPOCHS)
         for r in rng.permutation(np.array(order)):
-            at = buckets[r]
+            at = buckets[r][places[r]]
             z = np.add.reduceat(weights[at].sum(axis=1), offsets[r]) + bias
             p = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
             clean = np.exp(np.log1p(-np.minimum(p, 1 - 1e-9)).sum())
