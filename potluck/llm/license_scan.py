@@ -2,8 +2,9 @@
 
 A text is reduced to its words (A-Z lower-cased; runs of digits, letters and anything
 beyond ASCII) joined by one space, so a rule never sees punctuation or line breaks. Rules
-are regular expressions over that form, each with a label, a priority and a keyword: a
-rule's expression runs only where its keyword occurs. A detection that lies inside another one of
+are regular expressions over that form, each with a label, a priority and a gate that every
+match passes: a keyword, and sets of words of each of which the text must hold one. A rule's
+expression runs only in texts that pass its gate. A detection that lies inside another one of
 a higher priority, or of the same priority and more words, or that covers the same words as
 one of an earlier rule, is suppressed; what is left gives the labels.
 
@@ -17,8 +18,10 @@ empty result.
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from re import _parser
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -93,15 +96,16 @@ NAMES = [
     ("openrail", "openrail", r"(?:bigscience |creativeml )?open ?rail(?: m)?"),
 ]
 
-# context of a name: expression, priority
+# context of a name: expression, priority, keyword, words of which a match holds one
 CONTEXTS = [
-    (r"spdx license identifier {spdx}(?: only| or later)?", 80),
+    (r"spdx license identifier {spdx}(?: only| or later)?", 80, "spdx license", ""),
     (r"(?:licen[cs]ed|released|distributed|published|available|provided|covered|redistributed|shared) "
      r"(?:it )?(?:under|by|as) (?:a |the |an )?(?:terms (?:and conditions )?of (?:the )?|conditions of (?:the )?)?"
-     r"{name}(?: (?:public )?licen[cs]e)?(?: (?:version |v)?\d(?: \d)?)?", 70),
-    (r"(?:subject to|governed by|under|see|agree to) (?:the )?(?:terms of (?:the )?)?{name} (?:public )?licen[cs]e", 60),
-    (r"{name} licen[cs]e(?:d)?(?: (?:version |v)?\d(?: \d)?)?", 50),
-    (r"licen[cs]e(?:d)?(?: is| type| name)? (?:the )?{name}", 40),
+     r"{name}(?: (?:public )?licen[cs]e)?(?: (?:version |v)?\d(?: \d)?)?", 70, "",
+     "licensed licenced released distributed published available provided covered redistributed shared"),
+    (r"(?:subject to|governed by|under|see|agree to) (?:the )?(?:terms of (?:the )?)?{name} (?:public )?licen[cs]e", 60, "licen", ""),
+    (r"{name} licen[cs]e(?:d)?(?: (?:version |v)?\d(?: \d)?)?", 50, "licen", ""),
+    (r"licen[cs]e(?:d)?(?: is| type| name)? (?:the )?{name}", 40, "licen", ""),
 ]
 
 # known passages: label, expression, keyword
@@ -148,6 +152,44 @@ class Rule:
     priority: int
     keyword: bytes
     pattern: re.Pattern
+    words: tuple[frozenset[bytes], ...] = ()
+
+
+def forms(expression: str) -> list[str]:
+    """All texts that a name's expression matches."""
+    def walk(parsed) -> list[str]:
+        out = [""]
+        for op, arg in parsed:
+            kind = str(op)
+            if kind == "LITERAL":
+                parts = [chr(arg)]
+            elif kind == "IN":
+                parts = [chr(c) for k, v in arg for c in ([v] if str(k) == "LITERAL" else range(v[0], v[1] + 1))]
+            elif kind == "SUBPATTERN":
+                parts = walk(arg[3])
+            elif kind == "BRANCH":
+                parts = [f for branch in arg[1] for f in walk(branch)]
+            elif kind == "MAX_REPEAT" and arg[:2] == (0, 1):
+                parts = ["", *walk(arg[2])]
+            else:
+                raise ValueError(f"{kind} in the name {expression}")
+            out = [x + y for x in out for y in parts]
+        return out
+    return walk(_parser.parse(expression))
+
+
+def cover(expression: str) -> frozenset[bytes]:
+    """Words of which every match of a name holds one; a name stands between spaces in all contexts."""
+    left = [set(f.split()) for f in forms(expression)]
+    every, chosen = list(left), []
+    while left:
+        held = Counter(w for f in left for w in f)
+        chosen.append(max(held, key=lambda w: (not w.isdigit(), held[w], len(w), w)))
+        left = [f for f in left if chosen[-1] not in f]
+    for word in list(chosen):
+        if all(f & (set(chosen) - {word}) for f in every):
+            chosen.remove(word)
+    return frozenset(w.encode() for w in chosen)
 
 
 def build_rules() -> list[Rule]:
@@ -156,20 +198,16 @@ def build_rules() -> list[Rule]:
     rules = [Rule(label, 100, phrase.encode(), whole(re.escape(phrase).replace(r"\ ", " "))) for phrase, label in BASE]
     rules += [Rule(label, 90, key.encode(), whole(x)) for label, x, key in PASSAGES]
     for label, spdx, name in NAMES:
-        for context, priority in CONTEXTS:
-            key = "spdx license" if "{spdx}" in context else spdx.split(" ")[0] if _plain(spdx, name) else "licen"
-            rules.append(Rule(label, priority, key.encode(), whole(context.replace("{spdx}", spdx).replace("{name}", name))))
+        for context, priority, key, words in CONTEXTS:
+            gate = [cover(spdx if "{spdx}" in context else name), *([frozenset(words.encode().split())] if words else [])]
+            rules.append(Rule(label, priority, key.encode(),
+                              whole(context.replace("{spdx}", spdx).replace("{name}", name)), tuple(gate)))
     return sorted(rules, key=lambda r: -r.priority)
 
 
-def _plain(spdx: str, name: str) -> bool:
-    """Does every form of the name hold the first SPDX word?"""
-    word = spdx.split(" ")[0]
-    return name == word or name.startswith(f"{word} ") and "|" not in name.split("(")[0]
-
-
 RULES = build_rules()
 _KEYWORDS = {r.keyword for r in RULES}
+_WORD_SETS = {s for r in RULES for s in r.words}
 _LOWER = bytes(c if c >= 128 or 48 <= c <= 57 or 97 <= c <= 122 else c + 32 if 65 <= c <= 90 else 32 for c in range(256))
 
 
@@ -189,9 +227,12 @@ def reduced(text: bytes) -> bytes:
 
 def detect(text: bytes) -> list[Detection]:
     """Detections in a reduced text that no other one suppresses, in order of position."""
-    present = {k: k in text for k in _KEYWORDS}
+    own = set(text.split(b" "))
+    present = {k for k in _KEYWORDS if k in text}
+    held = {s for s in _WORD_SETS if not s.isdisjoint(own)}
     found = [Detection(r.label, r.priority, m.start(), m.end(), i)
-             for i, r in enumerate(RULES) if present[r.keyword] for m in r.pattern.finditer(text)]
+             for i, r in enumerate(RULES) if r.keyword in present and held.issuperset(r.words)
+             for m in r.pattern.finditer(text)]
     return suppress(found)
 
 

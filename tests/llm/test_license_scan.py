@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import re
+from re import _parser
 
 from potluck.llm.license_scan import BASE, RULES, Detection, detect, license_scan, reduced, scan, suppress
 
@@ -51,6 +52,47 @@ def test_keywords_never_hide_a_match():
         assert detect(text) == suppress(every)
 
 
+def least(parsed):
+    """The matches of an expression without any optional part."""
+    out = [""]
+    for op, arg in parsed:
+        kind = str(op)
+        if kind == "LITERAL":
+            parts = [chr(arg)]
+        elif kind == "IN":
+            parts = [{"LITERAL": lambda v: chr(v), "RANGE": lambda v: chr(v[0]), "CATEGORY": lambda v: "1"}[str(k)](v) for k, v in arg]
+        elif kind == "SUBPATTERN":
+            parts = least(arg[3])
+        elif kind == "BRANCH":
+            parts = [x for branch in arg[1] for x in least(branch)]
+        elif kind in ("MAX_REPEAT", "MIN_REPEAT"):
+            parts = [x * arg[0] for x in least(arg[2])] if arg[0] else [""]
+        elif kind == "ANY":
+            parts = ["x"]
+        else:
+            assert kind in ("ASSERT", "ASSERT_NOT")
+            parts = [""]
+        out = [x + y for x in out for y in parts]
+    return out
+
+
+def test_every_rule_runs_on_its_least_matches():
+    for i, r in enumerate(RULES):
+        for x in least(_parser.parse(r.pattern.pattern.decode())):
+            text = x.encode()
+            assert r.pattern.search(text), (r, x)
+            every = [Detection(o.label, o.priority, m.start(), m.end(), k) for k, o in enumerate(RULES)
+                     for m in o.pattern.finditer(text)]
+            assert i in [d.order for d in every] and detect(text) == suppress(every), (r, x)
+
+
+def test_names_without_the_word_licence():
+    found = {t: scan(t.encode())["labels"] for t in (
+        "released under the GPL v3", "distributed under the BSD", "available under CC BY-SA 4.0", "shared under GPLv2")}
+    assert list(found.values()) == ["gpl-3", "bsd", "cc-by-sa", "gpl-2"]
+    assert scan(b"released under the GPL v3")["score"] == 0.7
+
+
 def test_suppression():
     inner, outer, beside = Detection("a", 50, 5, 9), Detection("b", 60, 0, 10), Detection("c", 50, 8, 20)
     assert suppress([inner, beside, outer]) == [outer, beside]
