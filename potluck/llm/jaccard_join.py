@@ -3,8 +3,9 @@
 A text's shingles are its runs of ``SHINGLE`` words; two documents are linked if the Jaccard
 similarity of their shingle sets is at least ``THRESHOLD``.
 
-1. *Classes.* Documents with equal sets form a class; its smallest id stands for it and only
-   representatives are compared. Copies count as links of their class.
+1. *Classes.* Documents with equal sets form a class; one row of its smallest id stands for
+   it and only these rows are compared. Copies count as links of their class. Rows are told
+   apart by a number that the table of signatures gives them, since ids may repeat.
 2. *Forest.* A signature has ``TREES`` tries; a document's path in a trie is a sequence of
    min-hashes. Matching starts from the full depth and shortens the prefix until documents
    at the threshold meet in some trie with probability ``RECALL`` (``depth_for``). Documents
@@ -20,9 +21,11 @@ similarity of their shingle sets is at least ``THRESHOLD``.
 5. *Groups* are the connected components of the links, found by alternating star contraction.
 
 Defined cases: null and empty texts have no shingles, link to nothing and are groups of
-their own; texts of fewer than ``SHINGLE`` words have one shingle, all their words; rows of
-one id share class, group and links; rows without an id are linked to nothing and have null
-class and group; an empty table gives an empty result.
+their own; texts of fewer than ``SHINGLE`` words have one shingle, all their words; rows with
+the same id and the same shingles are one document: they count once and are not linked to
+each other; rows with the same id and other shingles are documents of their own, each with
+its own class, group and links; rows without an id are linked to nothing and have null class
+and group; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -34,6 +37,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from potluck.llm.common import checkpointed, doc_input
 from potluck.llm.words import Words, mix, windows, words
@@ -88,7 +92,7 @@ def signatures(sets: list[np.ndarray], depth: int) -> np.ndarray:
 
 
 def _sign(depth: int):
-    """Task function: digest of the shingle set and signature of each text that has one."""
+    """Task function: the rows with digest of the shingle set and signature, where a text has one."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for w in words(batch.column("text")):
@@ -99,9 +103,10 @@ def _sign(depth: int):
                 for row, i in enumerate(some):
                     digests[i] = hashlib.blake2b(sets[i].tobytes(), digest_size=16).digest()
                     signs[i] = sig[row].tobytes()
-                yield pa.RecordBatch.from_pydict({
-                    "doc_id": batch.column("doc_id").slice(w.row, w.n),
-                    "digest": pa.array(digests, pa.binary()), "sig": pa.array(signs, pa.binary())})
+                part = batch.slice(w.row, w.n)
+                yield pa.RecordBatch.from_arrays(
+                    [*part.columns, pa.array(digests, pa.binary()), pa.array(signs, pa.binary())],
+                    [*part.schema.names, "digest", "sig"])
     return run
 
 
@@ -116,13 +121,13 @@ def _paths(depth: int):
             if not batch.num_rows:
                 continue
             sig = _matrix(batch.column("sig"), TREES * depth).astype(_U)
-            cls = batch.column("cls").to_numpy()
+            row = batch.column("row").to_numpy()
             for tree in range(TREES):
-                node = np.full(cls.size, tree + 1, _U)
+                node = np.full(row.size, tree + 1, _U)
                 for c in range(tree * depth, (tree + 1) * depth):
                     node = mix(node ^ sig[:, c]) + _U(c)
-                yield pa.RecordBatch.from_pydict({"tree": pa.array(np.full(cls.size, tree, np.int32)),
-                                                  "node": pa.array(node.view(np.int64)), "cls": pa.array(cls)})
+                yield pa.RecordBatch.from_pydict({"tree": pa.array(np.full(row.size, tree, np.int32)),
+                                                  "node": pa.array(node.view(np.int64)), "row": pa.array(row)})
     return run
 
 
@@ -167,7 +172,7 @@ def _screen(depth: int, threshold: float):
         keep = np.zeros(table.num_rows, bool)
         keep[left[pairs.any(axis=1)]] = True
         keep[right[pairs.any(axis=0)]] = True
-        return table.select([*UNIT, "side", "cls"]).filter(pa.array(keep))
+        return table.select([*UNIT, "side", "row"]).filter(pa.array(keep))
     return run
 
 
@@ -214,14 +219,7 @@ def _verify(depth: int, threshold: float):
         sets: list[np.ndarray] = []
         for w in words(table.column("text").combine_chunks()):
             sets.extend(shingles(w))
-        # rows that share an id: only the text whose set is meant
-        good = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() == d
-                for s, d in zip(sets, table.column("digest").to_pylist())]
-        table = table.filter(pa.array(good))
-        sets = [s for s, g in zip(sets, good) if g]
-        tree, alone, left, right = _sides(table) if table.num_rows else (0, True, np.zeros(0, int), np.zeros(0, int))
-        if not left.size or not right.size:
-            return pa.table({c: pa.array([], pa.int64()) for c in ("cls", "other", "links")})
+        tree, alone, left, right = _sides(table)
         sig = signatures(sets, depth)
         pairs = _meet(sig[left], sig[right], tree, depth)
         if alone:
@@ -231,16 +229,18 @@ def _verify(depth: int, threshold: float):
         either = size[left][:, None] + size[right][None, :] - shared
         # shared / either >= threshold, in whole numbers
         pairs &= np.round(shared).astype(np.int64) * 10**6 >= np.round(threshold * 10**6) * np.round(either)
-        cls, weight = table.column("cls").to_numpy(), table.column("weight").to_numpy()
+        weight = table.column("weight").to_numpy()
         links = np.zeros(len(sets), np.int64)
         np.add.at(links, left, pairs @ weight[right])
         np.add.at(links, right, weight[left] @ pairs)
         at = np.argwhere(pairs)
         edges = _forest(np.column_stack([left[at[:, 0]], right[at[:, 1]]]).tolist(), len(sets))
         linked = np.flatnonzero(links)
+        one = pa.array([*linked.tolist(), *[a for a, _ in edges]], pa.int64())
+        two = pa.array([None] * linked.size + [b for _, b in edges], pa.int64())
         return pa.table({
-            "cls": pa.array(np.concatenate([cls[linked], cls[[a for a, _ in edges]]]), pa.int64()),
-            "other": pa.array([None] * linked.size + [int(cls[b]) for _, b in edges], pa.int64()),
+            "cls": table.column("cls").take(one), "row": table.column("row").take(one),
+            "other_cls": table.column("cls").take(two), "other_row": table.column("row").take(two),
             "links": pa.array(np.concatenate([links[linked], np.zeros(len(edges), np.int64)]), pa.int64())})
     return run
 
@@ -268,43 +268,50 @@ def components(edges: DataFrame) -> DataFrame:
     return now.select(F.col("a").alias("id"), F.col("b").alias("root"))
 
 
-def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-                 threshold: float = THRESHOLD, recall: float = RECALL) -> DataFrame:
-    """One row per input row: doc_id; copy_class, the smallest id with the same shingles;
-    class_id, the smallest id of the group; n_links, the number of other documents at the
-    threshold or above."""
+def _grouped(rows: DataFrame, threshold: float, recall: float) -> tuple[DataFrame, DataFrame]:
+    """The numbered rows with the digests of their sets; and one row per class: digest, me and
+    root (smallest id and number of the row that stands for the class, and for its group), n_links."""
     depth = depth_for(threshold, recall)
-    rows = doc_input(docs, id_col, text_col)
-    signed = checkpointed(rows.mapInArrow(_sign(depth), "doc_id long, digest binary, sig binary"), "signed")
+    schema = T.StructType([*rows.schema.fields, T.StructField("digest", T.BinaryType()), T.StructField("sig", T.BinaryType())])
+    # numbers are fixed once they are written
+    signed = checkpointed(rows.mapInArrow(_sign(depth), schema).withColumn("row", F.monotonically_increasing_id()), "signed")
     known = signed.where("doc_id is not null and digest is not null")
-    classes = known.groupBy("digest").agg(F.min("doc_id").alias("cls"), F.count_distinct("doc_id").alias("weight"))
-    reps = checkpointed(known.join(classes, "digest").where("doc_id = cls")
-                        .dropDuplicates(["digest"]).select("digest", "cls", "weight", "sig"), "classes")
+    classes = known.groupBy("digest").agg(F.min("doc_id").alias("cls"), F.min_by("row", "doc_id").alias("row"),
+                                          F.count_distinct("doc_id").alias("weight"))
+    reps = checkpointed(known.select("row", "sig").join(classes, "row"), "classes")
 
-    paths = reps.select("cls", "sig").mapInArrow(_paths(depth), "tree int, node long, cls long")
+    paths = reps.select("row", "sig").mapInArrow(_paths(depth), "tree int, node long, row long")
     shared = paths.groupBy("tree", "node").agg(F.count("*").alias("n")).where("n > 1")
     blocks = F.ceil(F.col("n") / BLOCK).cast("int")
     met = (paths.join(shared, ["tree", "node"])
-           .withColumn("own", F.pmod(F.xxhash64("cls"), blocks).cast("int"))
+           .withColumn("own", F.pmod(F.xxhash64("row"), blocks).cast("int"))
            .withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
            .select("tree", "node", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"),
-                   F.when(F.col("own") > F.col("other"), 1).otherwise(0).alias("side"), "cls"))
+                   F.when(F.col("own") > F.col("other"), 1).otherwise(0).alias("side"), "row"))
     screened = checkpointed(
-        met.join(reps.select("cls", "sig"), "cls").groupBy(*UNIT)
-        .applyInArrow(_screen(depth, threshold), "tree int, node long, lo int, hi int, side int, cls long"), "screened")
+        met.join(reps.select("row", "sig"), "row").groupBy(*UNIT)
+        .applyInArrow(_screen(depth, threshold), "tree int, node long, lo int, hi int, side int, row long"), "screened")
 
-    texts = screened.join(reps.select("cls", "digest", "weight"), "cls").join(
-        rows.where("doc_id is not null").withColumnRenamed("doc_id", "cls"), "cls")
+    texts = screened.join(reps.select("row", "cls", "weight"), "row").join(signed.select("row", "text"), "row")
     verified = checkpointed(texts.groupBy(*UNIT).applyInArrow(
-        _verify(depth, threshold), "cls long, other long, links long"), "verified")
-
-    links = verified.where("other is null").groupBy("cls").agg(F.sum("links").alias("linked"))
-    groups = components(verified.where("other is not null").select(F.col("cls").alias("a"), F.col("other").alias("b")))
-    of_class = (reps.select("digest", "cls", "weight").join(links, "cls", "left")
-                .join(groups, F.col("cls") == F.col("id"), "left")
-                .select("digest", "cls", F.coalesce("root", "cls").alias("root"),
-                        (F.coalesce("linked", F.lit(0)) + F.col("weight") - 1).alias("n_links")))
+        _verify(depth, threshold), "cls long, row long, other_cls long, other_row long, links long"), "verified")
+
+    links = verified.where("other_row is null").groupBy("row").agg(F.sum("links").alias("linked"))
+    groups = components(verified.where("other_row is not null").select(
+        F.struct("cls", "row").alias("a"), F.struct(F.col("other_cls").alias("cls"), F.col("other_row").alias("row")).alias("b")))
+    return signed, (reps.join(links, "row", "left").withColumn("me", F.struct("cls", "row"))
+                    .join(groups, F.col("me") == F.col("id"), "left")
+                    .select("digest", "me", F.coalesce("root", "me").alias("root"),
+                            (F.coalesce("linked", F.lit(0)) + F.col("weight") - 1).alias("n_links")))
+
+
+def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
+                 threshold: float = THRESHOLD, recall: float = RECALL) -> DataFrame:
+    """One row per input row: doc_id; copy_class, the smallest id with the same shingles;
+    class_id, the smallest id of the group; n_links, the number of other documents at the
+    threshold or above."""
+    signed, of_class = _grouped(doc_input(docs, id_col, text_col), threshold, recall)
     return (signed.select("doc_id", F.when(F.col("doc_id").isNotNull(), F.col("digest")).alias("digest"))
             .join(of_class, "digest", "left")
-            .select("doc_id", F.coalesce("cls", "doc_id").alias("copy_class"),
-                    F.coalesce("root", "doc_id").alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links")))
+            .select("doc_id", F.coalesce("me.cls", "doc_id").alias("copy_class"),
+                    F.coalesce("root.cls", "doc_id").alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links")))

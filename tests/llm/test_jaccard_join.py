@@ -74,6 +74,25 @@ def test_edge_cases(make_docs, edge_rows):
     assert len(nulls) == 2 and all(r.class_id is None and r.n_links == 0 for r in nulls)
 
 
+def test_repeated_rows_count_once(make_docs, words_pool, monkeypatch):
+    monkeypatch.setattr(J, "BLOCK", 8)
+    rng = random.Random(8)
+    base = rng.choices(words_pool, k=100)
+    rows = [(1, " ".join(base)), (2, edited(base, words_pool, rng, 1)), (3, " ".join(rng.choices(words_pool, k=50)))]
+    expected = brute(rows)
+    assert expected[1] == expected[2] == (1, 1)
+    got = J.jaccard_join(make_docs(rows + [rows[0]] * 20 + [rows[1]] * 3)).collect()
+    assert len(got) == 26 and all((r.class_id, r.n_links) == expected[r.doc_id] for r in got)
+
+
+def test_rows_of_one_id_with_other_texts(make_docs, words_pool):
+    rng = random.Random(6)
+    a, b = (" ".join(rng.choices(words_pool, k=40)) for _ in range(2))
+    got = J.jaccard_join(make_docs([(3, b), (7, a), (7, b), (9, a + " tail")])).collect()
+    assert sorted((r.doc_id, r.copy_class, r.class_id, r.n_links) for r in got) == [
+        (3, 3, 3, 1), (7, 3, 3, 1), (7, 7, 7, 1), (9, 9, 7, 1)]
+
+
 def test_empty_table(make_docs):
     assert J.jaccard_join(make_docs([])).collect() == []
 
