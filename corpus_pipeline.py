@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from potluck.llm import lang_id
 from potluck.llm.common import DOC_COLUMNS, checkpointed, documents
-from potluck.llm.jaccard_join import jaccard_join
+from potluck.llm.jaccard_join import one_per_group
 from potluck.llm.piece_bpe import piece_encode
 from potluck.llm.poisson_mix import poisson_mix
 from potluck.llm.queries import piece_model
@@ -30,11 +30,13 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document with the smallest id of each group of near duplicates."""
-    docs = docs.select(*DOC_COLUMNS)
-    kept = jaccard_join(docs).where("class_id = doc_id").select("doc_id").distinct()
-    one_each = docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return one_each.select(*DOC_COLUMNS).union(docs.where("doc_id is null"))
+    """Keeps one row of each group of near duplicates, of its smallest id.
+
+    Rows that share an id but not a text are documents of their own, each in its own group. Of
+    rows with the same id and the same shingles one stays, of rows with the same id and no
+    words one; rows without an id all stay."""
+    found = one_per_group(docs, carry=["lang", "source", "n_chars"])
+    return found.select("doc_id", "text", "carry.lang", "carry.source", "carry.n_chars")
 
 
 def substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -315,3 +315,15 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             .join(of_class, "digest", "left")
             .select("doc_id", F.coalesce("me.cls", "doc_id").alias("copy_class"),
                     F.coalesce("root.cls", "doc_id").alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links")))
+
+
+def one_per_group(docs: DataFrame, carry: list[str], id_col: str = "doc_id", text_col: str = "text",
+                  threshold: float = THRESHOLD, recall: float = RECALL) -> DataFrame:
+    """doc_id, text and carry of one row per group: a row of its smallest id, and where that id
+    has several texts in the group, one of them. Texts without shingles stay once per id; rows
+    without an id all stay."""
+    signed, of_class = _grouped(doc_input(docs, id_col, text_col, carry), threshold, recall)
+    bare = signed.where("doc_id is not null and digest is null").groupBy("doc_id").agg(F.min("row").alias("row"))
+    stay = (of_class.where("me = root").select("me.row").union(bare.select("row"))
+            .union(signed.where("doc_id is null").select("row")))
+    return signed.join(stay, "row", "left_semi").select("doc_id", "text", "carry")

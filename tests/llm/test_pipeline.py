@@ -53,6 +53,21 @@ def test_one_of_each_group_stays(spark, make_docs, rows):
     assert got.where("doc_id is null").count() == 1
 
 
+def test_rows_of_one_id_stay_by_their_texts(spark, make_docs, words_pool):
+    rng = random.Random(3)
+    a, b, c = (" ".join(rng.choices(words_pool, k=40)) for _ in range(3))
+    own = [(i, " ".join(rng.choices(words_pool, k=20))) for i in range(20, 40) for _ in range(2)]
+    pairs = [(3, b), (7, a), (7, b), (8, a + " tail"), (7, a), (9, c), (9, c + " end"), (10, None), (10, None), (None, b), *own]
+    got = stage("jaccard_join", spark, make_docs([(i, t, "en", "s") for i, t in pairs]))
+    assert got.columns == DOC_COLUMNS
+    kept = [(r.doc_id, r.text, r.lang, r.source, r.n_chars) for r in got.collect()]
+    nine = [t for i, t, *_ in kept if i == 9]
+    assert len(nine) == 1 and nine[0] in (c, c + " end")
+    expected = {(3, b), (7, a), (10, None), (None, b), *own}
+    assert {r[:2] for r in kept if r[0] != 9} == expected and len(kept) == len(expected) + 1
+    assert all(r[2:] == ("en", "s", None if r[1] is None else len(r[1])) for r in kept)
+
+
 def test_substrings(spark, make_docs, rows):
     got = stage("substring_dedup", spark, make_docs(rows))
     assert got.columns == DOC_COLUMNS
