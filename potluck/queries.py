@@ -250,8 +250,9 @@ def upsert_expenses(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def new_expenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     from potluck.operators.upsert import new_rows
-    _, store, incoming = _store_and_incoming(spark, sf_dir)
-    return doubles(new_rows(store, incoming))
+    from potluck.sources import fixture
+    led = from_tables(spark, sf_dir)
+    return doubles(new_rows(fixture.renumbered_store(led.expenses, led.shares, led.members), led.expenses))
 
 
 # ------------------------------------------------------------------ trends

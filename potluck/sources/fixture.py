@@ -18,7 +18,8 @@ Mapping (one expense per order, one user share per line item, one group per nati
 * simplified debts per group: from ``l_linenumber`` to ``1 + l_suppkey % 7`` (self edges
   removed), amount = sum of extended price; even ``to`` ids arrive nested as ``{"id": n}``
 
-The modulo rules only derive attribute values; every row of every table is read.
+The modulo rules derive attribute values and every row of every table is read; only the store
+and fetch of the upsert (``previous_export``, ``incoming_fetch``) leave out a third of the ids each.
 """
 
 from __future__ import annotations
@@ -147,17 +148,14 @@ def debts_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-# Upsert fixture: the store of an earlier run lacks the newest third of the ids (id % 3 = 2)
-# and holds rows that the new fetch does not send (id % 3 = 1); both read the whole table.
-def previous_export(expenses: DataFrame, shares: DataFrame, members: DataFrame) -> DataFrame:
+def legacy_form(expenses: DataFrame, shares: DataFrame, members: DataFrame) -> DataFrame:
     """The expense table as an earlier run stored it: an older description, amounts as
     doubles (as re-read from a spreadsheet), and one column per member in legacy spellings,
     here as the entries of ``member_columns``. Member i (in member order) is stored as
     ``<n>_owes`` (i % 3 = 0), ``<n>_owed`` with a conflicting ``<n>_paid`` (1), ``<n>_paid_x`` (2).
     """
     from potluck.operators.widen import MEMBER_COLUMNS, widen
-    old = expenses.where(F.col("expense_id") % 3 != 2).withColumn(
-        "description", F.concat(F.lit("old "), F.col("description")))
+    old = expenses.withColumn("description", F.concat(F.lit("old "), F.col("description")))
     wide = widen(old, shares, members, F.col("owed_share"))
 
     def stored(x: Column, i: Column) -> Column:
@@ -170,10 +168,22 @@ def previous_export(expenses: DataFrame, shares: DataFrame, members: DataFrame)
     return wide.withColumn("amount", F.col("amount").cast("double")).withColumn(MEMBER_COLUMNS, columns).drop("owes")
 
 
+# Upsert fixture: the store of an earlier run lacks the newest third of the ids (id % 3 = 2)
+# and holds rows that the new fetch does not send (id % 3 = 1); together they hold every id.
+def previous_export(expenses: DataFrame, shares: DataFrame, members: DataFrame) -> DataFrame:
+    return legacy_form(expenses.where(F.col("expense_id") % 3 != 2), shares, members)
+
+
 def incoming_fetch(expenses: DataFrame) -> DataFrame:
     return expenses.where(F.col("expense_id") % 3 != 1)
 
 
+def renumbered_store(expenses: DataFrame, shares: DataFrame, members: DataFrame) -> DataFrame:
+    """A store of every expense; those with id % 3 = 2 are known there by another id (-id)."""
+    k = F.col("expense_id")
+    return legacy_form(expenses, shares, members).withColumn("expense_id", F.when(k % 3 == 2, -k).otherwise(k))
+
+
 def landed_documents(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """Expense documents as they land (``EXPENSE_DOC``), in two drops of several versions.
 

@@ -57,6 +57,19 @@ def test_new_rows(spark, mini):
     assert rows(new_rows(_store(spark), mini.expenses), "expense_id") == [(2,), (4,), (6,)]
 
 
+def test_new_expenses_compares_whole_tables(spark, mini, monkeypatch):
+    from potluck import queries
+    from potluck.operators import upsert as operators
+    seen = {}
+    monkeypatch.setattr(queries, "from_tables", lambda *_: mini)
+    monkeypatch.setattr(operators, "new_rows", lambda store, incoming: seen.update(store=store, incoming=incoming) or new_rows(store, incoming))
+    got = queries.QUERIES["new_expenses"](spark, "/nowhere")
+    ids = sorted(r.expense_id for r in mini.expenses.collect())
+    assert sorted(abs(r.expense_id) for r in seen["store"].collect()) == ids
+    assert sorted(r.expense_id for r in seen["incoming"].collect()) == ids
+    assert sorted(r.expense_id for r in got.collect()) == [i for i in ids if i % 3 == 2]
+
+
 def test_legacy_columns(spark):
     from potluck.schemas import MEMBERS
     df = spark.createDataFrame([(GID, 1, 4.006, 9.0, 1.0)],
