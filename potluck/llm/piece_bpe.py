@@ -10,9 +10,9 @@ that follows another character, at line ends, and between letters and other char
 Parts are encoded once and kept in a cache of bounded size for each worker.
 
 The vocabulary file is read by the sentencepiece library on each executor from a path, a
-parameter. With ``verify``, the parts that an Arrow batch brings for the first time go to
-the library too, in one call, and ``matches_library`` says per row whether all its parts
-agree; the agenda's results are returned either way.
+parameter. With ``verify``, the whole texts of each Arrow batch go to the library too, and
+``matches_library`` says per row whether its ids and its decoded text agree, whatever the
+worker has cached before; the agenda's results are returned either way.
 
 Defined cases: null and empty texts give the end id alone and the empty text; U+2581 in a
 text is read as a space, as the library does; an empty table gives an empty result.
@@ -236,7 +236,6 @@ def encoder(path: str, verify: bool, outputs: tuple[str, ...]):
     """Task function: texts in; the wanted outputs, in Arrow batches, out."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = load(path)
-        model.cache.keep_new = verify
         for batch in batches:
             for at, texts in _rows(batch):
                 ids = [model.encode(t) + [model.end] for t in texts]
@@ -254,10 +253,10 @@ def encoder(path: str, verify: bool, outputs: tuple[str, ...]):
                 out["decoded_sha256"] = pa.array(
                     [hashlib.sha256(t.encode()).hexdigest() for t in decoded], pa.string())
                 if verify:
-                    model.verify_new()
+                    theirs = [i + [model.end] for i in model.library.encode(texts, num_threads=1)]
+                    back = model.library.decode(theirs, num_threads=1)
                     out["matches_library"] = pa.array(
-                        [not model.wrong or not t or model.wrong.isdisjoint(model.cut(t)) for t in texts],
-                        pa.bool_())
+                        [i == j and t == u for i, j, t, u in zip(ids, theirs, decoded, back)], pa.bool_())
                 yield pa.RecordBatch.from_pydict(out)
     return run
 

@@ -62,6 +62,24 @@ def test_verification_finds_a_wrong_part(model):
     assert own.wrong == {"▁wrong"} and not own.cache.new
 
 
+def test_verification_sees_cached_parts_and_decoding(monkeypatch):
+    import pyarrow as pa
+
+    from potluck.llm import piece_bpe
+    own = piece_bpe.PieceBpe(PATH)
+    monkeypatch.setitem(piece_bpe._loaded, PATH, own)
+    batch = pa.RecordBatch.from_pydict({"doc_id": pa.array([1, 2, 3]), "text": pa.array(["a wrong word", "a good one", None])})
+
+    def run():
+        return next(piece_bpe.encoder(PATH, True, ())(iter([batch]))).column("matches_library").to_pylist()
+    assert run() == [True, True, True]
+    own.cache[own.cut("a wrong word")[1]] = (5, 6)            # as an earlier run without verify left it
+    assert run() == [False, True, True]
+    own.cache.clear()
+    monkeypatch.setattr(own, "decode", lambda ids: "a good one")
+    assert run() == [False, True, False]
+
+
 def test_encode_edge_cases(make_docs, edge_rows, library):
     got = piece_encode(make_docs(edge_rows), PATH, carry=["grp"], verify=True).collect()
     assert len(got) == len(edge_rows)
