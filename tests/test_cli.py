@@ -5,7 +5,7 @@ from __future__ import annotations
 import json
 import uuid
 
-from conftest import DEBTS, DOCS, GID, MEMBERS_JSON
+from ledger_rows import DEBTS, DOCS, GID, MEMBERS_JSON
 from potluck.schemas import EXPENSE_DOC, EXPENSE_STORE
 from potluck.session import shared_path
 

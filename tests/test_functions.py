@@ -5,7 +5,7 @@ from __future__ import annotations
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import GID
+from ledger_rows import GID
 from potluck.functions.numbers import lenient_cost, lenient_long, lenient_money, py_float_text, resolve_user_id
 from potluck.schemas import GROUP_CONFIG
 from potluck.sources.calendar import in_months, month_start

@@ -8,7 +8,7 @@ from decimal import Decimal
 
 from pyspark.sql import functions as F
 
-from conftest import rows
+from ledger_rows import rows
 from potluck.operators import aggregates as A
 from potluck.operators.widen import owes_text, widen
 from potluck.plans.snapshot import Snapshot

@@ -6,7 +6,7 @@ from dataclasses import replace
 
 from pyspark.sql import functions as F
 
-from conftest import GID, rows
+from ledger_rows import GID, rows
 from potluck.operators import aggregates as A
 from potluck.operators import debts as D
 from potluck.operators.exclusions import ExclusionRules, exclusion_counts

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from potluck.session import shared_path
-from conftest import rows
+from ledger_rows import rows
 from potluck.operators.normalize import latest_documents
 from potluck.sources.docs import ledger_from_docs
 from potluck.streaming import upsert_stream as S

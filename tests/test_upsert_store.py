@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from potluck.session import shared_path
-from conftest import GID, rows
+from ledger_rows import GID, rows
 from potluck.operators.upsert import new_rows, upsert, with_position
 from potluck.operators.widen import canonical_owes, fold_member_columns, owes_text, widen
 from potluck.schemas import EXPENSE_STORE
