@@ -55,8 +55,69 @@ SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DE
 FROM s QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) <= 10
 """
 
+def crc32(text: str) -> str:
+    """Unsigned crc32 of a text of code points up to U+00FF, bit by bit over its UTF-8 bytes."""
+    octets = f"""flatten(list_transform(string_split({text}, ''), lambda c: CASE WHEN ord(c) < 128 THEN [CAST(ord(c) AS BIGINT)]
+      ELSE [CAST(192 + (ord(c) >> 6) AS BIGINT), CAST(128 + (ord(c) & 63) AS BIGINT)] END))"""
+    return f"""xor(CAST(4294967295 AS BIGINT), list_reduce(list_prepend(CAST(4294967295 AS BIGINT), {octets}),
+      lambda a, b: list_reduce([xor(a, b), 1, 2, 3, 4, 5, 6, 7, 8],
+                               lambda x, i: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END)))"""
+
+
+def _leaf(*values: str) -> str:
+    """sha256 of fields; each value an expression."""
+    return "sha256(" + " || ".join(
+        f"coalesce(octet_length(encode(CAST({v} AS VARCHAR))) || ':' || {v}, '-')" for v in values) + ")"
+
+
+def _climb(name: str, levels: int) -> str:
+    """Runs of eight, level by level, from ``{name}0`` (tree, idx, hash, n); ``{name}_top`` has
+    what remains of each tree, ``{name}_run{k}`` the sides of each node of a run."""
+    out = []
+    for k in range(levels):
+        out.append(f"""{name}_kids{k} AS (SELECT tree, idx // 8 AS parent, n, list(hash ORDER BY idx) AS kids FROM {name}{k} WHERE n > 1 GROUP BY ALL),
+{name}_run{k} AS (SELECT tree, parent * 8 + i - 1 AS idx, array_to_string(kids[1:i - 1], '') AS l, array_to_string(kids[i + 1:], '') AS r
+  FROM (SELECT *, unnest(range(1, len(kids) + 1)) AS i FROM {name}_kids{k})),
+{name}{k + 1} AS (SELECT tree, parent AS idx, sha256(array_to_string(kids, '')) AS hash, (n + 7) // 8 AS n FROM {name}_kids{k}),""")
+    tops = " UNION ALL ".join(f"SELECT tree, hash FROM {name}{k} WHERE n = 1" for k in range(levels + 1))
+    return "\n".join(out) + f"\n{name}_top AS ({tops}),"
+
+
+def _walk(name: str, path: str, levels: int) -> str:
+    """Each leaf's digests and proof carried up the levels of ``_climb``."""
+    return "\n".join(f"""{path}{k + 1} AS (SELECT p.* REPLACE (p.idx // 8 AS idx, CASE WHEN r.idx IS NULL THEN seen ELSE sha256(l || seen || r) END AS seen,
+  proof || coalesce(l || r, '') AS proof) FROM {path}{k} p LEFT JOIN {name}_run{k} r ON r.tree = p.tree AND r.idx = p.idx),""" for k in range(levels))
+
+
+# Up to 8 ** 7 rows a language and 8 ** 4 languages.
+OP13 = f"""
+WITH d AS (
+  SELECT *, {_leaf('doc_id', 'source', 'lang', 'n_chars', 'text')} AS leaf,
+         coalesce({crc32('CAST(doc_id AS VARCHAR)')} % 3 = 0, false) AS touched,
+         translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS lowered FROM documents),
+g AS (SELECT lang, row_number() OVER (ORDER BY lang NULLS FIRST) - 1 AS tree FROM (SELECT DISTINCT lang FROM documents)),
+s AS (
+  SELECT doc_id, leaf, g.tree, row_number() OVER (PARTITION BY g.tree ORDER BY doc_id NULLS FIRST, leaf) - 1 AS idx,
+         count(*) OVER (PARTITION BY g.tree) AS n,
+         CASE WHEN touched THEN {_leaf('doc_id', 'source', 'd.lang', 'n_chars', 'lowered')} ELSE leaf END AS seen
+  FROM d JOIN g ON d.lang IS NOT DISTINCT FROM g.lang),
+a0 AS (SELECT tree, idx, leaf AS hash, n FROM s),
+{_climb('a', 7)}
+b0 AS (SELECT 0 AS tree, tree AS idx, hash, (SELECT count(*) FROM g) AS n FROM a_top),
+{_climb('b', 4)}
+p0 AS (SELECT doc_id, leaf, tree, idx, seen, '' AS proof FROM s),
+{_walk('a', 'p', 7)}
+q0 AS (SELECT doc_id, leaf, tree AS of, 0 AS tree, tree AS idx, seen, proof FROM p7),
+{_walk('b', 'q', 4)}
+result AS (
+  SELECT doc_id, leaf, a_top.hash AS subroot, b_top.hash AS root, sha256(proof) AS proof_sha256, seen AS folded_root
+  FROM q4 JOIN a_top ON a_top.tree = q4.of CROSS JOIN b_top)
+SELECT *, folded_root = root AS verified FROM result
+"""
+
 QUERIES: dict[str, str] = {
     "op1_substring_dedup": OP1,
     "op4_poisson_mix": OP4,
     "op10_topk_search": OP10,
+    "op13_merkle_manifest": OP13,
 }

@@ -11,6 +11,7 @@ from potluck.llm.common import documents
 from potluck.llm import lang_id, toxicity
 from potluck.llm.jaccard_join import jaccard_join
 from potluck.llm.license_scan import license_scan
+from potluck.llm.merkle_manifest import FIELDS, leaf, merkle_manifest, proof_digest, verify
 from potluck.llm.piece_bpe import piece_encode
 from potluck.llm.poisson_mix import poisson_mix
 from potluck.llm.spotsigs import spotsigs
@@ -77,6 +78,17 @@ def op10_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_k(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), F.col("id") % 100 == 0)
 
 
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The manifest of documents, checked against a copy of which a third has its letters A-Z
+    in lower case."""
+    lowered = F.translate("text", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    touched = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 0, F.lit(False))
+    seen = F.when(touched & F.col("text").rlike("[A-Z]"), leaf([lowered if c == "text" else F.col(c) for c in FIELDS]))
+    manifest = merkle_manifest(documents(spark, sf_dir), carry={"seen": seen})
+    return verify(manifest, F.coalesce("seen", "leaf")).select(
+        "doc_id", "leaf", "subroot", "root", proof_digest(F.col("proof")).alias("proof_sha256"), "folded_root", "verified")
+
+
 QUERIES: dict[str, Query] = {
     "op1_substring_dedup": op1_substring_dedup,
     "op2_jaccard_join": op2_jaccard_join,
@@ -88,4 +100,5 @@ QUERIES: dict[str, Query] = {
     "op8_piece_bpe": op8_piece_bpe,
     "op9_lang_id": op9_lang_id,
     "op10_topk_search": op10_topk_search,
+    "op13_merkle_manifest": op13_merkle_manifest,
 }
