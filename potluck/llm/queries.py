@@ -16,6 +16,7 @@ from potluck.llm.piece_bpe import piece_encode
 from potluck.llm.poisson_mix import poisson_mix
 from potluck.llm.spotsigs import spotsigs
 from potluck.llm.substring_dedup import substring_dedup
+from potluck.llm import token_records
 from potluck.llm.topk_search import top_k
 from potluck.llm.trie_counts import token_counts
 
@@ -78,6 +79,13 @@ def op10_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_k(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), F.col("id") % 100 == 0)
 
 
+def op12_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+    folder = token_records.write_records(documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"),
+                                         token_records.new_folder(spark))
+    return token_records.with_start(token_records.index(spark, folder)).select("doc_id", "start", "n_tokens", "ids_crc32")
+
+
 def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The manifest of documents, checked against a copy of which a third has its letters A-Z
     in lower case."""
@@ -100,5 +108,6 @@ QUERIES: dict[str, Query] = {
     "op8_piece_bpe": op8_piece_bpe,
     "op9_lang_id": op9_lang_id,
     "op10_topk_search": op10_topk_search,
+    "op12_token_records": op12_token_records,
     "op13_merkle_manifest": op13_merkle_manifest,
 }
