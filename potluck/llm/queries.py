@@ -14,6 +14,7 @@ from potluck.llm.license_scan import license_scan
 from potluck.llm.merkle_manifest import FIELDS, leaf, merkle_manifest, proof_digest, verify
 from potluck.llm.piece_bpe import piece_encode
 from potluck.llm.poisson_mix import poisson_mix
+from potluck.llm.spelling_groups import corpus_words, spelling_groups
 from potluck.llm.spotsigs import spotsigs
 from potluck.llm.substring_dedup import substring_dedup
 from potluck.llm import token_records
@@ -79,6 +80,10 @@ def op10_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_k(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), F.col("id") % 100 == 0)
 
 
+def op11_spelling_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling_groups(corpus_words(documents(spark, sf_dir)))
+
+
 def op12_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
     folder = token_records.write_records(documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"),
@@ -108,6 +113,7 @@ QUERIES: dict[str, Query] = {
     "op8_piece_bpe": op8_piece_bpe,
     "op9_lang_id": op9_lang_id,
     "op10_topk_search": op10_topk_search,
+    "op11_spelling_groups": op11_spelling_groups,
     "op12_token_records": op12_token_records,
     "op13_merkle_manifest": op13_merkle_manifest,
 }
