@@ -14,7 +14,8 @@ from itertools import chain
 import numpy as np
 import pyarrow as pa
 
-POOL_PARTS = 300_000         # parts kept by a worker; all are dropped when they are more
+POOL_PARTS = 300_000         # parts kept by a worker; all are dropped when they are more,
+POOL_VALUES = 16 << 20       # or when their values in a column are
 POOL_PART_BYTES = 64         # longer parts are kept for the current slice only
 
 
@@ -50,7 +51,7 @@ def _room(a: np.ndarray, size: int) -> np.ndarray:
 
 
 class PartPool:
-    """``encode``: parts to one list of value sequences for each of ``dtypes``."""
+    """``encode``: parts to one list of value sequences (bytes for uint8) for each of ``dtypes``."""
 
     def __init__(self, encode: Callable[[list[bytes]], Sequence[Sequence]], dtypes: Sequence):
         self.encode, self.dtypes = encode, tuple(dtypes)
@@ -62,7 +63,7 @@ class PartPool:
 
     def places(self, parts: pa.Array) -> np.ndarray:
         """The place of each part in the columns of the pool; valid until the next call."""
-        if self.columns[0].n > POOL_PARTS:
+        if self.columns[0].n > POOL_PARTS or max(c.offsets[c.n] for c in self.columns) > POOL_VALUES:
             self._clear()
         coded = parts.dictionary_encode()
         distinct = coded.dictionary.to_pylist()
@@ -72,7 +73,8 @@ class PartPool:
             first = self.columns[0].n
             for column, dtype, values in zip(self.columns, self.dtypes, self.encode(new)):
                 lengths = np.fromiter(map(len, values), np.int64, len(new))
-                column.add(lengths, np.fromiter(chain.from_iterable(values), dtype, int(lengths.sum())))
+                column.add(lengths, np.frombuffer(b"".join(values), np.uint8) if dtype == np.uint8
+                           else np.fromiter(chain.from_iterable(values), dtype, int(lengths.sum())))
             self.known.update((p, first + i) for i, p in enumerate(new) if len(p) <= POOL_PART_BYTES)
             at = iter(range(first, first + len(new)))
             found = [next(at) if x is None else x for x in found]

@@ -7,12 +7,14 @@ merged meanwhile are skipped. What is no piece in the end falls back to its UTF-
 
 Texts are cut where no merge can reach across, as the vocabulary shows: before a space sign
 that follows another character, at line ends, and between letters and other characters.
-Parts are encoded once and kept in a cache of bounded size for each worker.
+Every distinct part of a slice of texts is encoded, decoded and written in decimals once, and
+kept in a pool of bounded size for each worker (``parts``); whole texts are put together from
+the parts by offsets.
 
 The vocabulary file is read by the sentencepiece library on each executor from a path, a
 parameter. With ``verify``, the whole texts of each Arrow batch go to the library too, and
 ``matches_library`` says per row whether its ids and its decoded text agree, whatever the
-worker has cached before; the agenda's results are returned either way.
+worker has in its pool; the agenda's results are returned either way.
 
 Defined cases: null and empty texts give the end id alone and the empty text; U+2581 in a
 text is read as a space, as the library does; an empty table gives an empty result.
@@ -24,22 +26,22 @@ import hashlib
 import heapq
 import re
 from collections.abc import Iterable, Iterator
-from itertools import chain
+from dataclasses import dataclass
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from potluck.llm.common import doc_input
+from potluck.llm.parts import PartPool, part_array, per_text
 from potluck.llm.words import slices, text_buffers
 
 SPACE = "▁"
 CONTROL = b"\xff\xff"            # stands for a control id: no text, and never part of UTF-8
-CACHE_PARTS = 300_000        # encoded parts kept by a worker
-CACHE_PART_CHARS = 40        # longer parts are encoded each time they occur
 SHORT_PART = 24              # up to here the agenda is a plain list, beyond it a heap
-BATCH_BYTES = 1 << 20        # text handled, and new parts verified, at a time
 LETTER = "A-Za-zÀ-ÖØ-öø-\u02af\u0300-\u036f\u1e00-\u1eff"    # Latin letters and marks on them
 
 _loaded: dict[str, "PieceBpe"] = {}
@@ -66,20 +68,47 @@ class PieceBpe:
         self.prefixed = lib.encode("a", out_type=str)[0].startswith(SPACE)
         if lib.normalize("  x  Ω ") != (SPACE if self.prefixed else "") + "  x  Ω ".replace(" ", SPACE):
             raise ValueError("only models with identity normalization are supported")
-        self.parts = self._cutter(self.ids)
-        self.cache = _PartCache(self)
-        self.wrong: set[str] = set()                 # parts on which the library disagreed
-
-    @staticmethod
-    def _cutter(pieces: Iterable[str]) -> re.Pattern:
-        """Pattern of parts whose ends no piece crosses."""
-        long = [p.lstrip(SPACE) for p in pieces if len(p) > 1]
-        if any(SPACE in p or "\n" in p for p in long):
-            return re.compile(r".+", re.S)           # a piece may span words: no safe cut
-        crossing = re.compile(f"[{LETTER}][^{LETTER}]|[^{LETTER}][{LETTER}]")
-        if any(crossing.search(p) for p in long):
-            return re.compile(f"{SPACE}*[^{SPACE}\n]+|{SPACE}+|\n")
-        return re.compile(f"{SPACE}*[{LETTER}]+|{SPACE}*[^{SPACE}\n{LETTER}]+|{SPACE}+|\n")
+        self.decimals = [b"%d " % i for i in range(n)]
+        # no piece holds a space sign or a line end behind another character; none both letters and others
+        long = [p.lstrip(SPACE) for p in self.ids if len(p) > 1]
+        mixed = re.compile(f"[{LETTER}][^{LETTER}]|[^{LETTER}][{LETTER}]")
+        self.cut_words = not any(SPACE in p or "\n" in p for p in long)
+        self.cut_letters = self.cut_words and not any(mixed.search(p) for p in long)
+        self.pool = PartPool(self._encode_parts, [np.int32, np.uint8, np.uint8])
+
+    def cut(self, data: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+        """Where parts begin in the texts ``data[bounds[i]:bounds[i + 1]]`` (spaces for space signs)."""
+        start = np.zeros(data.size + 1, bool)
+        start[bounds] = True
+        start = start[:-1]
+        if self.cut_words and data.size:
+            space, line = data == 32, data == 10
+            start |= line
+            start[1:] |= line[:-1] | (space[1:] & ~space[:-1])
+            if self.cut_letters:
+                letter = _letters(data)
+                start[1:] |= (letter[1:] != letter[:-1]) & ~space[:-1]
+        return np.flatnonzero(start)
+
+    def _encode_parts(self, parts: list[bytes]):
+        ids = [self.encode_part(p.decode().replace(" ", SPACE)) for p in parts]
+        number, text = self.decimals.__getitem__, self.bytes.__getitem__
+        return ids, [b"".join(map(number, i)) for i in ids], [b"".join(map(text, i)) for i in ids]
+
+    def encode_texts(self, column: pa.Array) -> Iterator["Encoded"]:
+        """The texts of a column (null: empty), slice by slice."""
+        column = pc.replace_substring(column.fill_null(""), SPACE, " ").cast(pa.large_string())
+        if self.prefixed:
+            column = pc.if_else(pc.equal(pc.binary_length(column), 0), column, pc.binary_join_element_wise(
+                pa.scalar(" ", pa.large_string()), column, pa.scalar("", pa.large_string())))
+        data, offsets = text_buffers(column)
+        for at, to in slices(offsets):
+            own, bounds = data[offsets[at]:offsets[to]], offsets[at:to + 1] - offsets[at]
+            start = self.cut(own, bounds)
+            first = np.searchsorted(start, bounds)
+            places = self.pool.places(part_array(own, start, np.append(start[1:], own.size)))
+            values = [c.gather(places) for c in self.pool.columns]
+            yield Encoded(at, *[x for flat, lengths in values for x in (flat, _bounds(per_text(lengths, first)))])
 
     def merge(self, text: str) -> list[str]:
         """The symbols of a part after all merges."""
@@ -144,23 +173,12 @@ class PieceBpe:
 
     def encode(self, text: str) -> list[int]:
         """Ids of a text, without the end id."""
-        if not text:
-            return []
-        cache = self.cache
-        return list(chain.from_iterable([cache[p] for p in self.cut(text)]))
-
-    def cut(self, text: str) -> list[str]:
-        """Parts of a non-empty text, with space signs."""
-        text = text.replace(" ", SPACE)
-        return self.parts.findall(SPACE + text if self.prefixed else text)
-
-    def verify_new(self) -> None:
-        """Hold the parts encoded since the last call against the library, in one call."""
-        # a line end in front keeps the library's own space sign away from the part
-        lead = len(self.library.encode("\n"))
-        new, self.cache.new = self.cache.new, {}
-        theirs = self.library.encode(["\n" + p for p in new], num_threads=1)
-        self.wrong.update(p for (p, ids), t in zip(new.items(), theirs) if tuple(t[lead:]) != ids)
+        return next(self.encode_texts(pa.array([text]))).ids.tolist()
+
+    def decoded(self, raw: bytes, first: int | None) -> bytes:
+        """The text of a whole encoding, from the bytes of its pieces and its first id: the sign
+        that encoding puts in front is taken off again, if a piece begins with it."""
+        return raw[1:] if self.prefixed and first is not None and not self.is_byte[first] and raw[:1] == b" " else raw
 
     def decode(self, ids: Iterable[int]) -> str:
         """The text of any ids; bytes that are no UTF-8 become U+FFFD one by one."""
@@ -200,22 +218,38 @@ class PieceBpe:
         return "".join(out)
 
 
-class _PartCache(dict):
-    def __init__(self, model: PieceBpe):
-        super().__init__()
-        self.model = model
-        self.new: dict[str, tuple[int, ...]] = {}    # encoded since the last verification
-        self.keep_new = False
-
-    def __missing__(self, part: str) -> tuple[int, ...]:
-        ids = self.model.encode_part(part)
-        if self.keep_new:
-            self.new[part] = ids
-        if len(part) <= CACHE_PART_CHARS:
-            if len(self) >= CACHE_PARTS:
-                self.clear()
-            self[part] = ids
-        return ids
+@dataclass
+class Encoded:
+    """Encodings of the texts from number ``row`` on: ids, decimals of the ids with a space
+    after each, and bytes of the pieces, one text after the other, with the bounds of each."""
+    row: int
+    ids: np.ndarray
+    id_bounds: np.ndarray
+    decimals: np.ndarray
+    decimal_bounds: np.ndarray
+    text: np.ndarray
+    text_bounds: np.ndarray
+
+
+def _bounds(lengths: np.ndarray) -> np.ndarray:
+    out = np.zeros(lengths.size + 1, np.int64)
+    np.cumsum(lengths, out=out[1:])
+    return out
+
+
+def _letters(data: np.ndarray) -> np.ndarray:
+    """Which bytes belong to characters of ``LETTER``."""
+    out = ((data >= 65) & (data <= 90)) | ((data >= 97) & (data <= 122))
+    lead = np.flatnonzero(data >= 0xC3)
+    lead = lead[lead + 1 < data.size]
+    one, two = data[lead], data[lead + 1]
+    pair = ((one == 0xC3) & (two != 0x97) & (two != 0xB7)) | ((one >= 0xC4) & (one <= 0xC9)) | (one == 0xCC)
+    pair |= ((one == 0xCA) | (one == 0xCD)) & (two <= 0xAF)
+    triple = lead[(one == 0xE1) & (two >= 0xB8) & (two <= 0xBB)]
+    lead = lead[pair]
+    out[lead] = out[lead + 1] = True
+    out[triple] = out[triple + 1] = out[triple + 2] = True
+    return out
 
 
 def load(path: str) -> PieceBpe:
@@ -225,38 +259,40 @@ def load(path: str) -> PieceBpe:
     return _loaded[path]
 
 
-def _rows(batch: pa.RecordBatch) -> Iterator[tuple[int, list[str]]]:
-    column = batch.column("text").fill_null("")
-    _, offsets = text_buffers(column)
-    for at, to in slices(offsets, BATCH_BYTES):
-        yield at, column.slice(at, to - at).to_pylist()
-
-
 def encoder(path: str, verify: bool, outputs: tuple[str, ...]):
     """Task function: texts in; the wanted outputs, in Arrow batches, out."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = load(path)
+        end = str(model.end).encode()
         for batch in batches:
-            for at, texts in _rows(batch):
-                ids = [model.encode(t) + [model.end] for t in texts]
-                decoded = [model.decode(i) for i in ids]
-                out = {"doc_id": batch.column("doc_id").slice(at, len(texts))}
+            for e in model.encode_texts(batch.column("text")):
+                n = e.id_bounds.size - 1
+                first = [int(e.ids[a]) if b > a else None for a, b in zip(e.id_bounds[:-1], e.id_bounds[1:])]
+                text, digits = e.text.tobytes(), e.decimals.tobytes()
+                decoded = [model.decoded(text[a:b], i) for a, b, i in zip(e.text_bounds[:-1], e.text_bounds[1:], first)]
+                counts = np.diff(e.id_bounds) + 1
+                out = {"doc_id": batch.column("doc_id").slice(e.row, n)}
                 if "carry" in batch.schema.names:
-                    out["carry"] = batch.column("carry").slice(at, len(texts))
+                    out["carry"] = batch.column("carry").slice(e.row, n)
                 if "ids" in outputs:
-                    out["ids"] = pa.array(ids, pa.list_(pa.int32()))
+                    ids = np.full(int(counts.sum()), model.end, np.int32)
+                    body = np.ones(ids.size, bool)
+                    body[np.cumsum(counts) - 1] = False
+                    ids[body] = e.ids
+                    out["ids"] = pa.ListArray.from_arrays(pa.array(_bounds(counts).astype(np.int32)), pa.array(ids))
                 if "decoded" in outputs:
-                    out["decoded"] = pa.array(decoded, pa.string())
-                out["n_tokens"] = pa.array([len(i) for i in ids], pa.int64())
-                out["ids_sha256"] = pa.array(
-                    [hashlib.sha256(" ".join(map(str, i)).encode()).hexdigest() for i in ids], pa.string())
-                out["decoded_sha256"] = pa.array(
-                    [hashlib.sha256(t.encode()).hexdigest() for t in decoded], pa.string())
+                    out["decoded"] = pa.array(decoded, pa.binary()).cast(pa.string())
+                out["n_tokens"] = pa.array(counts)
+                out["ids_sha256"] = pa.array([hashlib.sha256(digits[a:b] + end).hexdigest() for a, b in zip(
+                    e.decimal_bounds[:-1], e.decimal_bounds[1:])], pa.string())
+                out["decoded_sha256"] = pa.array([hashlib.sha256(t).hexdigest() for t in decoded], pa.string())
                 if verify:
-                    theirs = [i + [model.end] for i in model.library.encode(texts, num_threads=1)]
+                    texts = batch.column("text").slice(e.row, n).fill_null("").to_pylist()
+                    theirs = model.library.encode(texts, num_threads=1)
                     back = model.library.decode(theirs, num_threads=1)
                     out["matches_library"] = pa.array(
-                        [i == j and t == u for i, j, t, u in zip(ids, theirs, decoded, back)], pa.bool_())
+                        [i == e.ids[a:b].tolist() and t.encode() == d for i, t, d, a, b in zip(
+                            theirs, back, decoded, e.id_bounds[:-1], e.id_bounds[1:])], pa.bool_())
                 yield pa.RecordBatch.from_pydict(out)
     return run
 

@@ -53,15 +53,6 @@ def test_long_and_short_agendas_agree(model):
         assert model._merge_short(t) == model._merge_long(t)
 
 
-def test_verification_finds_a_wrong_part(model):
-    own = PieceBpe(PATH)
-    own.cache.keep_new = True
-    own.encode("these words are right")
-    own.cache.new["▁wrong"] = (5, 6)
-    own.verify_new()
-    assert own.wrong == {"▁wrong"} and not own.cache.new
-
-
 def test_verification_sees_cached_parts_and_decoding(monkeypatch):
     import pyarrow as pa
 
@@ -73,10 +64,12 @@ def test_verification_sees_cached_parts_and_decoding(monkeypatch):
     def run():
         return next(piece_bpe.encoder(PATH, True, ())(iter([batch]))).column("matches_library").to_pylist()
     assert run() == [True, True, True]
-    own.cache[own.cut("a wrong word")[1]] = (5, 6)            # as an earlier run without verify left it
+    place = own.pool.known[b" wrong"]                        # as if an earlier run had left it wrong
+    ids = own.pool.columns[0]
+    ids.flat[ids.offsets[place]] += 1
     assert run() == [False, True, True]
-    own.cache.clear()
-    monkeypatch.setattr(own, "decode", lambda ids: "a good one")
+    ids.flat[ids.offsets[place]] -= 1
+    monkeypatch.setattr(own, "decoded", lambda raw, first: b"a good one")
     assert run() == [False, True, False]
 
 
