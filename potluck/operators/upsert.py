@@ -8,10 +8,11 @@ partitioning).
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from potluck.operators.ranking import ranked
 from potluck.schemas import NULL_LABEL, UPSERT_SORT
 
 KEY = ["group_id", "expense_id"]
@@ -81,9 +82,9 @@ def with_position(merged: DataFrame) -> DataFrame:
     """Each group's rows numbered from 0 by date, category, description (id breaks ties).
 
     For presentation. A store is written unnumbered, each of its files in this order
-    (``sort_keys``)."""
-    order = Window.partitionBy("group_id").orderBy(*sort_keys(merged))
-    return merged.withColumn("pos", F.row_number().over(order) - 1)
+    (``sort_keys``). The rows are written once in ranges; a large group lies in several
+    (``ranking``)."""
+    return ranked(merged, ["group_id"], sort_keys(merged))
 
 
 def sort_keys(df: DataFrame) -> list[str]:

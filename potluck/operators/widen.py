@@ -52,19 +52,39 @@ def canonical_owes(store: DataFrame, members: DataFrame) -> DataFrame:
 
     Each member takes its ``<name>_owes`` column, else the first legacy spelling that the
     store has, in the fixed order of the variants; rounded, 0 when missing.
-    """
-    def value_of(name: Column) -> Column:
-        columns = F.col(MEMBER_COLUMNS)
-        spellings = [F.concat(name, F.lit(OWES_SUFFIX))] + [
-            F.concat(name, F.lit(v.replace("{n}", ""))) for v in LEGACY_VARIANTS]
-        zero = F.lit(0.0)
-        chosen = F.coalesce(*[F.when(F.map_contains_key(columns, s), F.coalesce(F.try_element_at(columns, s), zero))
-                              for s in spellings])
-        return chosen.cast(SUM)
 
+    Every stored column is looked at once: its name is split at the spelling, the columns and
+    the group's members are sorted together by name and spelling, and each name keeps its
+    first; no member is searched for in the row.
+    """
+    suffixes = [OWES_SUFFIX, *LEGACY_VARIANTS]
+    own = F.lit(len(suffixes))                                 # ranks a member's own entry, last
+
+    def entry(name: Column, rank: Column, value: Column, ord: Column) -> Column:
+        return F.struct(name.alias("name"), rank.alias("rank"), value.alias("value"), ord.alias("ord"))
+
+    def split(x: Column) -> Column:
+        key, value = x["key"], F.coalesce(x["value"], F.lit(0.0)).cast(SUM)
+        return F.coalesce(*[F.when(F.endswith(key, F.lit(s)), entry(
+            F.substring(key, F.lit(1), F.char_length(key) - len(s)), F.lit(i), value, F.lit(-1))) for i, s in enumerate(suffixes)])
+    stored = F.array_compact(F.transform(F.map_entries(MEMBER_COLUMNS), split))
+    of_group = F.transform(F.coalesce("_names", F.array().cast("array<string>")),
+                           lambda n, i: entry(n, own, F.lit(0).cast(SUM), i))
     names = member_lists(members).withColumnRenamed("names", "_names")
     keep = [c for c in store.columns if c not in (MEMBER_COLUMNS, OWES)]
-    return store.join(names, G, "left").select(*[F.col(f"`{c}`") for c in keep], _entries(value_of).alias(OWES))
+    rows = store.join(names, G, "left").select(*[F.col(f"`{c}`") for c in keep], F.array_sort(F.concat(
+        F.coalesce(stored, F.array().cast(f"array<struct<name:string,rank:int,value:{SUM.simpleString()},ord:int>>")), of_group)).alias("_all"))
+
+    def chosen(x: Column, i: Column) -> Column:
+        """The first entry of a name that is a member's: its own entry is not far behind."""
+        behind = F.slice("_all", i + 2, F.lit(len(suffixes)))
+        member = (x["rank"] == own) | F.exists(behind, lambda y: (y["name"] == x["name"]) & (y["rank"] == own))
+        return ~F.get("_all", i - 1)["name"].eqNullSafe(x["name"]) & member
+    both = F.zip_with(F.filter("_all", chosen), F.filter("_all", lambda x: x["rank"] == own),
+                      lambda a, b: F.struct(b["ord"].alias("ord"), b["name"].alias("name"), a["value"].alias("value")))
+    owes = F.transform(F.array_sort(both), lambda x: F.struct(
+        x["name"].alias("name"), F.round(x["value"], 2).cast("decimal(38,2)").alias("amount")))
+    return rows.select(*[F.col(f"`{c}`") for c in keep], owes.alias(OWES))
 
 
 def fold_member_columns(wide: DataFrame, fixed: list[str]) -> DataFrame:

@@ -280,10 +280,10 @@ JOIN (SELECT group_id, COUNT(*) AS shares_before,
 
 STORE = _wide_ctes("owed_share") + """,
 store AS (
-  SELECT group_id, expense_id, date, updated_at, month, 'old ' || description AS description, category,
-         CAST(amount AS DOUBLE) AS amount, currency, owes
-  FROM wide WHERE expense_id % 3 <> 2),
-incoming AS (SELECT * FROM expenses WHERE expense_id % 3 <> 1)"""
+  SELECT group_id, CASE WHEN expense_id % 3 = 2 THEN -expense_id ELSE expense_id END AS expense_id, date, updated_at,
+         month, 'old ' || description AS description, category, CAST(amount AS DOUBLE) AS amount, currency, owes
+  FROM wide),
+incoming AS (SELECT * FROM expenses)"""
 
 register("legacy_owes_columns", "SELECT * FROM store", STORE)
 

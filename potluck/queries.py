@@ -225,34 +225,33 @@ def exclusion_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counts(led.raw_expenses, led.raw_shares, EXCLUSION_RULES)
 
 
-def _store_and_incoming(spark: SparkSession, sf_dir: str):
+def _ledger_and_store(spark: SparkSession, sf_dir: str):
     from potluck.sources import fixture
     led = from_tables(spark, sf_dir)
-    return led, fixture.previous_export(led.expenses, led.shares, led.members), fixture.incoming_fetch(led.expenses)
+    return led, fixture.renumbered_store(led.expenses, led.shares, led.members)
 
 
 @query
 def legacy_owes_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     from potluck.operators.widen import canonical_owes
-    led, store, _ = _store_and_incoming(spark, sf_dir)
+    led, store = _ledger_and_store(spark, sf_dir)
     return shown(canonical_owes(store, led.members))
 
 
 @query
 def upsert_expenses(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The merged store in each group's presentation order (``pos``)."""
+    """The store, merged with a fetch of every expense, in each group's presentation order (``pos``)."""
     from potluck.operators.upsert import upsert, with_position
     from potluck.operators.widen import canonical_owes
-    led, store, incoming = _store_and_incoming(spark, sf_dir)
-    return shown(with_position(upsert(canonical_owes(store, led.members), incoming)))
+    led, store = _ledger_and_store(spark, sf_dir)
+    return shown(with_position(upsert(canonical_owes(store, led.members), led.expenses)))
 
 
 @query
 def new_expenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     from potluck.operators.upsert import new_rows
-    from potluck.sources import fixture
-    led = from_tables(spark, sf_dir)
-    return doubles(new_rows(fixture.renumbered_store(led.expenses, led.shares, led.members), led.expenses))
+    led, store = _ledger_and_store(spark, sf_dir)
+    return doubles(new_rows(store, led.expenses))
 
 
 # ------------------------------------------------------------------ trends

@@ -23,7 +23,7 @@ UNKNOWN_PERSON = "Unknown"
 # Suffix of the per-member money columns of the wide expense table.
 OWES_SUFFIX = "_owes"
 # Legacy per-member column spellings, in precedence order after the canonical "<name>_owes".
-LEGACY_VARIANTS = ("{n}_owed", "{n}_paid", "{n}_owed_x", "{n}_owed_y", "{n}_paid_x", "{n}_paid_y", "{n}_owes_x", "{n}_owes_y")
+LEGACY_VARIANTS = ("_owed", "_paid", "_owed_x", "_owed_y", "_paid_x", "_paid_y", "_owes_x", "_owes_y")
 # Debt / share direction modes; anything else means "reverse".
 DIRECTIONS = ("normal", "reverse")
 DEFAULT_DIRECTION = "reverse"

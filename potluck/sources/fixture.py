@@ -18,8 +18,7 @@ Mapping (one expense per order, one user share per line item, one group per nati
 * simplified debts per group: from ``l_linenumber`` to ``1 + l_suppkey % 7`` (self edges
   removed), amount = sum of extended price; even ``to`` ids arrive nested as ``{"id": n}``
 
-The modulo rules derive attribute values and every row of every table is read; only the store
-and fetch of the upsert (``previous_export``, ``incoming_fetch``) leave out a third of the ids each.
+The modulo rules derive attribute values; every row of every table is read.
 """
 
 from __future__ import annotations
@@ -168,18 +167,9 @@ def legacy_form(expenses: DataFrame, shares: DataFrame, members: DataFrame) -> D
     return wide.withColumn("amount", F.col("amount").cast("double")).withColumn(MEMBER_COLUMNS, columns).drop("owes")
 
 
-# Upsert fixture: the store of an earlier run lacks the newest third of the ids (id % 3 = 2)
-# and holds rows that the new fetch does not send (id % 3 = 1); together they hold every id.
-def previous_export(expenses: DataFrame, shares: DataFrame, members: DataFrame) -> DataFrame:
-    return legacy_form(expenses.where(F.col("expense_id") % 3 != 2), shares, members)
-
-
-def incoming_fetch(expenses: DataFrame) -> DataFrame:
-    return expenses.where(F.col("expense_id") % 3 != 1)
-
-
 def renumbered_store(expenses: DataFrame, shares: DataFrame, members: DataFrame) -> DataFrame:
-    """A store of every expense; those with id % 3 = 2 are known there by another id (-id)."""
+    """A store of every expense; those with id % 3 = 2 are known there by another id (-id), so
+    that a fetch of every expense meets rows of its own, sends new ones and leaves some alone."""
     k = F.col("expense_id")
     return legacy_form(expenses, shares, members).withColumn("expense_id", F.when(k % 3 == 2, -k).otherwise(k))
 
