@@ -14,7 +14,7 @@ from itertools import chain
 import numpy as np
 import pyarrow as pa
 
-POOL_PARTS = 300_000         # parts kept by a worker; all are dropped when they are more,
+POOL_PARTS = 500_000         # parts kept by a worker; all are dropped when they are more,
 POOL_VALUES = 16 << 20       # or when their values in a column are
 POOL_PART_BYTES = 64         # longer parts are kept for the current slice only
 
@@ -66,7 +66,7 @@ class PartPool:
         if self.columns[0].n > POOL_PARTS or max(c.offsets[c.n] for c in self.columns) > POOL_VALUES:
             self._clear()
         coded = parts.dictionary_encode()
-        distinct = coded.dictionary.to_pylist()
+        distinct = _bytes(coded.dictionary)
         found = list(map(self.known.get, distinct))
         new = [p for p, at in zip(distinct, found) if at is None]
         if new:
@@ -81,6 +81,13 @@ class PartPool:
         return np.array(found, np.int64)[coded.indices.to_numpy()] if found else np.zeros(0, np.int64)
 
 
+def _bytes(column: pa.Array) -> list[bytes]:
+    """Values of a large binary column without nulls; several times as fast as ``to_pylist``."""
+    offsets = np.frombuffer(column.buffers()[1], np.int64)[column.offset:column.offset + len(column) + 1].tolist()
+    data = column.buffers()[2].to_pybytes() if column.buffers()[2] else b""
+    return [data[a:b] for a, b in zip(offsets, offsets[1:])]
+
+
 def part_array(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> pa.Array:
     """The byte ranges as an Arrow column; they ascend and do not overlap."""
     lengths = end - start
