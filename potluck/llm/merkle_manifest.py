@@ -151,8 +151,9 @@ def merkle_manifest(docs: DataFrame, fields: list[str] = FIELDS, id_col: str = "
         key = _top_key(F.col("held")) if level == 0 else F.col("key")
         inner = _with(inner, places.select(key.alias("key"), "pointer", "proof"))
 
-    step = 1
-    while step < low + high:
+    # a group's only row is its subroot and points to itself, so it starts one step behind
+    step, depth = 1, max(low, min(high, 1)) + high
+    while step < depth:
         # nodes that lie step levels above another node
         bound = sum(on_level[step:]) + 2 * n_groups
         above = inner.where((F.col("key.level") >= step) | (F.col("key.level") < 0) | (F.col("key.tree") == ""))
