@@ -15,9 +15,11 @@ matching edges only, and is a near word where it ends with a word.
 
 Two words at one edit share their first or their last half, so a state starts at the node of
 the first half of the word, in either direction, and only the parts of the tries below such
-nodes are built; no state passes the crowded nodes near the root. Nodes that many words pass
-have several copies of their edges (``PER_COPY`` words each), which their states are spread
-over. Levels are as many as branching nodes lie below each other, whatever the length of the
+nodes are built; no state passes the crowded nodes near the root. An edge carries a sieve of
+what may follow its child: a bit for each ending of ``AHEAD`` code points and its length, up
+to the end of the word; a state that has spent its edit and finds no bit for the rest of its
+word cannot end, and is left out at once. Nodes that many words pass have several copies of
+their edges (``PER_COPY`` words each), which their states are spread over. Levels are as many as branching nodes lie below each other, whatever the length of the
 words. Each level is a written table; a level whose states fit into ``BROADCAST_BYTES``, as
 counted, is broadcast to the edges instead of shuffling both.
 
@@ -31,6 +33,7 @@ table gives an empty result.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -47,6 +50,8 @@ MIN_CHARS, MIN_COUNT, DROP_EVERY = 5, 3, 97
 FACTOR = 2                       # a form occurs so many times as often, at least
 PER_COPY = 4096                  # words that pass a node, for each copy of its edges
 BROADCAST_BYTES = 2 << 20
+AHEAD, SIEVE = 12, 8             # code points looked ahead; 64-bit words of a sieve
+LENGTH_STEP = 2654435761         # odd; spreads lengths over the bits
 BATCH_CHARS = 200_000            # code points of words whose prefixes are listed at a time
 _U = np.uint64
 
@@ -57,7 +62,9 @@ def corpus_words(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     runs = doc_input(docs, id_col, text_col).select(
         F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("of"),
         F.explode(F.regexp_extract_all("text", F.lit(RUN), F.lit(0))).alias("run"))
-    low = F.when(F.col("run").rlike("[A-Z]"), F.translate("run", UPPER, LOWER)).otherwise(F.col("run"))
+    runs = runs.where(F.char_length("run") >= min_chars)          # runs only become shorter
+    ascii_only = F.octet_length("run") == F.char_length("run")
+    low = F.when(ascii_only, F.lower("run")).otherwise(F.translate("run", UPPER, LOWER))
     hashed = runs.select(low.alias("run"), "of").select(
         "run", F.crc32(F.concat("of", F.lit(":"), "run").cast("binary")).alias("h"))
     at = (F.col("h") % F.char_length("run")).cast("int")
@@ -90,32 +97,40 @@ def _prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 total = np.zeros(points.size + 1, _U)
                 np.cumsum(value[points] * up[:points.size], out=total[1:])
                 first = np.cumsum(lengths) - lengths
-                low = (lengths - 1) // 2
+                half = lengths // 2 if backwards else (lengths + 1) // 2
+                low = (lengths - 1) // 2 if backwards else lengths // 2
                 many = lengths - low + 1
                 ends = np.cumsum(many)
                 pos = np.arange(int(ends[-1])) - np.repeat(ends - many - low, many)
                 start, length = np.repeat(first, many), np.repeat(lengths, many)
                 node = mix((total[start + pos] - total[start]) * down[start] + pos.astype(_U) + _U(backwards << 40))
+                rest = [text[a:min(a + AHEAD, b)] for a, b in zip((start + pos).tolist(), (start + length).tolist())]
+                ahead = np.fromiter((zlib.crc32(r.encode()) for r in rest), np.int64, pos.size)
+                ahead = (ahead + (length - pos) * LENGTH_STEP) & 0xFFFFFFFF
                 following = np.append(points, -1)[start + pos]
                 following[pos == length] = -1
                 yield pa.RecordBatch.from_pydict({
                     "wid": pa.array(np.repeat(ids[row:to], many)), "backwards": pa.array(np.full(pos.size, backwards)),
                     "pos": pa.array(pos.astype(np.int32)), "node": pa.array(node.view(np.int64)),
-                    "following": pa.array(following.astype(np.int32)), "half": pa.array(pos == length // 2)})
+                    "following": pa.array(following.astype(np.int32)),
+                    "half": pa.array(pos == np.repeat(half, many)), "ahead": pa.array(ahead)})
             row = to
 
 
 def _tries(words: DataFrame) -> tuple[DataFrame, DataFrame]:
     """The states at the halves of all words, and the edge table.
 
-    Edges: parent, copy, label, child, child_copies, target and target_n (the word that ends
-    with the child, if one does)."""
+    Edges: parent, copy, label, child, child_copies, sieve of the child, target and target_n
+    (the word that ends with the child, if one does)."""
     steps = checkpointed(words.select("wid", "word").mapInArrow(
-        _prefixes, "wid long, backwards boolean, pos int, node long, following int, half boolean"), "spelling-prefixes")
+        _prefixes, "wid long, backwards boolean, pos int, node long, following int, half boolean, ahead long"), "spelling-prefixes")
+    slot, bit = _bit(F.col("ahead"))
     nodes = steps.groupBy("node").agg(
-        F.min("following").alias("a"), F.max("following").alias("b"), F.max("half").alias("half"), F.count("*").alias("n"))
-    kept = nodes.where("half or a = -1 or a <> b").select("node", (1 + F.expr(f"n div {PER_COPY}")).alias("copies"))
-    stops = steps.join(kept, "node").groupBy("wid", "backwards").agg(
+        F.min("following").alias("a"), F.max("following").alias("b"), F.max("half").alias("half"), F.count("*").alias("n"),
+        *[F.bit_or(F.when(slot == k, bit).otherwise(F.lit(0).cast("long"))).alias(f"s{k}") for k in range(SIEVE)])
+    kept = checkpointed(nodes.where("half or a = -1 or a <> b").select(
+        "node", (1 + F.expr(f"n div {PER_COPY}")).alias("copies"), F.array(*[f"s{k}" for k in range(SIEVE)]).alias("sieve")), "spelling-nodes")
+    stops = steps.join(kept.select("node", "copies"), "node").groupBy("wid", "backwards").agg(
         F.array_sort(F.collect_list(F.struct("pos", "node", "copies", "half"))).alias("stops"))
     lines = checkpointed(stops.join(words, "wid").select(
         F.when(F.col("backwards"), F.reverse("word")).otherwise(F.col("word")).alias("word"), "n", "backwards", "stops"), "spelling-lines")
@@ -134,10 +149,23 @@ def _tries(words: DataFrame) -> tuple[DataFrame, DataFrame]:
         F.when(ends, F.col("n")).alias("target_n"))
     edges = edges.groupBy("parent", "copies", "label", "child", "child_copies").agg(
         F.max("target").alias("target"), F.max("target_n").alias("target_n"))
+    edges = edges.join(kept.select(F.col("node").alias("child"), "sieve"), "child")
     edges = edges.withColumn("copy", F.explode(F.sequence(F.lit(0).cast("long"), F.col("copies") - 1))).drop("copies")
     return starts, checkpointed(edges, "spelling-edges")
 
 
+def _bit(ahead: Column) -> tuple[Column, Column]:
+    """Place in the sieve: number of the word, and the bit as a word."""
+    one = F.lit(1).cast("long")
+    return (F.shiftright(ahead, 6) % SIEVE).cast("int"), F.call_function("shiftleft", one, (ahead % 64).cast("int"))
+
+
+def _ahead(word: Column, pos: Column) -> Column:
+    """What ``_prefixes`` says of the rest of a word."""
+    ends = F.crc32(F.substring(word, pos + 1, F.lit(AHEAD)).cast("binary"))
+    return (ends + (F.char_length(word) - pos).cast("long") * LENGTH_STEP) % (1 << 32)
+
+
 def _copy(word: Column, copies: Column) -> Column:
     return F.pmod(F.xxhash64(word), copies)
 
@@ -162,8 +190,11 @@ def _level(states: DataFrame, edges: DataFrame, small: bool) -> DataFrame:
         to(fresh & (here != "") & (first > here) & (rest == F.substring(word, pos + 2, step - 1)), pos + step, F.lit(1)),
         to(fresh & other & (rest == F.substring(word, pos + 1, step - 1)), pos + step - 1, F.lit(1))))
     moved = met.withColumn("move", F.explode(moves))
-    done = (F.col("move.edits") == 1) & (F.col("move.pos") == length)
-    return moved.where(~done | F.col("target").isNotNull()).select(
+    spent = F.col("move.edits") == 1
+    done = spent & (F.col("move.pos") == length)
+    slot, bit = _bit(_ahead(word, F.col("move.pos")))
+    may_end = F.get("sieve", slot).bitwiseAND(bit) != 0
+    return moved.where(F.when(done, F.col("target").isNotNull()).when(spent, may_end).otherwise(F.lit(True))).select(
         "word", "n", "backwards", F.col("move.pos").alias("pos"), F.col("child").alias("node"),
         _copy(word, F.col("child_copies")).alias("copy"), F.col("move.edits").alias("edits"),
         F.when(done, F.col("target")).alias("target"), F.when(done, F.col("target_n")).alias("target_n"))
