@@ -213,7 +213,11 @@ def person_month(shares: DataFrame, members: DataFrame, value: Column) -> DataFr
     exact; ``ord`` is the member order, totals last.
     """
     t = tracked_shares(shares, members).select(G, "month", "member", value.alias("v"))
-    sums = t.groupBy(G, "month", "member").agg(F.sum("v").alias("v"))
+    return person_month_grid(t.groupBy(G, "month", "member").agg(F.sum("v").alias("v")), members)
+
+
+def person_month_grid(sums: DataFrame, members: DataFrame) -> DataFrame:
+    """``person_month`` from its sums (``month, member, v``)."""
     order = member_order(members).withColumnRenamed("name", "member")
     cells = grid(sums, "month", "member", total_label=TOTAL_LABEL).join(
         order.withColumn("is_total", F.lit(False)), [G, "member", "is_total"], "left")
@@ -221,6 +225,16 @@ def person_month(shares: DataFrame, members: DataFrame, value: Column) -> DataFr
                         F.coalesce("ord", F.lit(2**31 - 1)).alias("ord"), F.col("v").alias("amount"))
 
 
+def member_base(expenses: DataFrame, shares: DataFrame, members: DataFrame, mode: str) -> DataFrame:
+    """The base of the person charts: net owes per month and member with the number of share
+    rows behind each, apart for shares of kept expenses (``kept``) and of settlements."""
+    t = tracked_shares(shares, members).select(G, "expense_id", "month", "member", net_owes(mode).alias("v"))
+    keys = expenses.select(G, "expense_id", F.lit(True).alias("kept"))
+    return t.join(keys, [G, "expense_id"], "left").groupBy(
+        G, "month", "member", F.coalesce("kept", F.lit(False)).alias("kept")).agg(
+        F.sum("v").cast(SUM).alias("v"), F.count("*").alias("n"))
+
+
 def person_month_owed(shares: DataFrame, members: DataFrame) -> DataFrame:
     """Export table: owed share per month and member (+ the month's total)."""
     return person_month(shares, members, F.col("owed_share")).drop("ord").withColumn("amount", money("amount"))
@@ -269,6 +283,12 @@ def person_totals_by_month(expenses: DataFrame, shares: DataFrame, members: Data
     t = tracked_shares(shares, members).select(G, "expense_id", "member", net_owes(mode).alias("v"))
     rows = expenses.select(G, "expense_id", "month").join(t, [G, "expense_id"], "left")
     sums = rows.groupBy(G, "month", "member").agg(F.sum("v").cast(SUM).alias("v"))
+    return person_totals_grid(sums, members)
+
+
+def person_totals_grid(sums: DataFrame, members: DataFrame) -> DataFrame:
+    """``person_totals_by_month`` from its sums (``month, member, v``; a null member stands for
+    a month alone)."""
     names = member_order(members).select(G, F.col("name").alias("member"))
     return grid(sums, "month", "member", cols=names).select(
         G, "month", F.col("member").alias("person"), money("v").alias("amount"))

@@ -627,18 +627,26 @@ def _month_table(grid: str, label: str, order: str) -> str:
     UNION ALL SELECT DISTINCT group_id, month, 'Total', CAST(round(total, 2) AS DOUBLE) FROM {grid})"""
 
 
+NEWEST = """
+newest AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY group_id ORDER BY date DESC, expense_id) - 1 AS pos FROM expenses) WHERE pos < 30)"""
+
 register("snapshot_json", "\nUNION ALL\n".join([
-    _part("summary", f"SELECT group_id, {'CAST(NULL AS VARCHAR)'} AS key, 0 AS pos, 'expense_count' AS label, "
-          "CAST(COUNT(*) AS DOUBLE) AS amount FROM expenses GROUP BY 1"),
-    _part("summary", "SELECT group_id, CAST(NULL AS VARCHAR) AS key, 0 AS pos, 'total_expenses' AS label, "
-          "CAST(round(SUM(amount), 2) AS DOUBLE) AS amount FROM expenses GROUP BY 1"),
+    _part("group", f"""SELECT CAST(n_nationkey AS BIGINT) AS group_id, key, 0 AS pos, CASE key WHEN 'group_name' THEN n_name
+      ELSE '1970-01-01T00:00:00+00:00' END AS label, {_NO_AMOUNT} AS amount FROM nation, (VALUES ('group_name'), ('generated_at')) AS t(key)"""),
+    _part("range", f"""SELECT CAST(n_nationkey AS BIGINT) AS group_id, key, 0 AS pos, label, {_NO_AMOUNT} AS amount
+      FROM nation, (VALUES ('start_month', '1995-01'), ('end_month', '2001-12')) AS t(key, label)"""),
+    _part("summary", """SELECT g.group_id, CAST(NULL AS VARCHAR) AS key, 0 AS pos, 'expense_count' AS label, CAST(COUNT(expense_id) AS DOUBLE) AS amount
+      FROM (SELECT CAST(n_nationkey AS BIGINT) AS group_id FROM nation) g LEFT JOIN expenses e ON e.group_id = g.group_id GROUP BY 1"""),
+    _part("summary", """SELECT g.group_id, CAST(NULL AS VARCHAR) AS key, 0 AS pos, 'total_expenses' AS label,
+      CAST(round(coalesce(SUM(amount), 0), 2) AS DOUBLE) AS amount
+      FROM (SELECT CAST(n_nationkey AS BIGINT) AS group_id FROM nation) g LEFT JOIN expenses e ON e.group_id = g.group_id GROUP BY 1"""),
     _part("currencies", _ranked("SELECT DISTINCT group_id, currency FROM expenses WHERE trim(currency) <> ''",
                                 "currency", "currency", _NO_AMOUNT)),
     _part("months", _ranked(f"SELECT * FROM ({_MONTHS}) WHERE trim(month) <> ''", "month DESC", "month", _NO_AMOUNT)),
     _part("owes", _ranked(_balance("from_name"), "ord", "member", _AMOUNT)),
     _part("to_receive", _ranked(_balance("to_name"), "ord", "member", _AMOUNT)),
-    _part("debt_edges", "SELECT group_id, CAST(NULL AS VARCHAR) AS key, pos, from_name AS label, "
-          "CAST(amount AS DOUBLE) AS amount FROM edges"),
+    *[_part(f"debt_{end}", f"SELECT group_id, CAST({end}_id AS VARCHAR) AS key, pos, {end}_name AS label, "
+            "CAST(amount AS DOUBLE) AS amount FROM edges") for end in ("from", "to")],
     _part("monthly_totals", _ranked(_MONTHS, "month DESC", "month", _AMOUNT)),
     _part("category_totals_all", _ranked(_CATEGORIES, "v DESC, category", "category", _AMOUNT)),
     _part("categories", _ranked(_CATEGORIES, "category", "category", _NO_AMOUNT)),
@@ -648,12 +656,33 @@ register("snapshot_json", "\nUNION ALL\n".join([
     _part("person_totals_by_month", _ranked(_BY_MONTH, "ord", "member", _AMOUNT, "month", "group_id, month")),
     _part("monthly_by_category", _month_table("mc_grid", "category", "")),
     _part("per_person_month", _month_table("pm_grid", "member", "DESC")),
-    _part("recent_columns", "SELECT group_id, CAST(NULL AS VARCHAR) AS key, pos, label, " + _NO_AMOUNT + """ AS amount FROM (
+    _part("recent_expenses_columns", "SELECT group_id, CAST(NULL AS VARCHAR) AS key, pos, label, " + _NO_AMOUNT + """ AS amount FROM (
       SELECT group_id, 6 + row_number() OVER (PARTITION BY group_id ORDER BY ord) AS pos, member || '_owes' AS label FROM member_names
       UNION ALL
       SELECT DISTINCT group_id, p, c FROM member_names, (VALUES (0, 'date'), (1, 'month'), (2, 'description'), (3, 'category'),
         (4, 'amount'), (5, 'currency'), (6, 'expense_id')) AS t(p, c))"""),
-    _part("recent_expenses", """SELECT group_id, CAST(expense_id AS VARCHAR) AS key, pos, description AS label,
-      CAST(amount AS DOUBLE) AS amount FROM (SELECT *, row_number() OVER (PARTITION BY group_id ORDER BY date DESC, expense_id) - 1
-      AS pos FROM expenses) WHERE pos < 30"""),
-]), EDGES + "," + KEPT_TRACKED + "," + PM_GRID + "," + MC_GRID)
+    *[_part(f"{table}_columns", f"""SELECT group_id, CAST(NULL AS VARCHAR) AS key, row_number() OVER (PARTITION BY group_id ORDER BY o) - 1 AS pos,
+        label, {_NO_AMOUNT} AS amount FROM (SELECT group_id, 'month' AS label, 0 AS o FROM {grid} GROUP BY 1
+        UNION ALL SELECT group_id, label, row_number() OVER (PARTITION BY group_id ORDER BY o)
+          FROM (SELECT group_id, {label} AS label, {order} AS o FROM {grid} GROUP BY group_id, {label})
+        UNION ALL SELECT group_id, 'Total', 1000000 FROM {grid} GROUP BY 1)""")
+      for table, grid, label, order in (("monthly_by_category", "mc_grid", "category", "category"), ("per_person_month", "pm_grid", "member", "min(ord)"))],
+    _part("recent_expenses", f"""SELECT group_id, key, pos, CASE key WHEN 'date' THEN date WHEN 'month' THEN month WHEN 'description' THEN description
+        WHEN 'category' THEN category WHEN 'currency' THEN currency WHEN 'expense_id' THEN CAST(expense_id AS VARCHAR) END AS label,
+        CASE key WHEN 'amount' THEN CAST(amount AS DOUBLE) END AS amount
+      FROM newest, (VALUES ('date'), ('month'), ('description'), ('category'), ('amount'), ('currency'), ('expense_id')) AS t(key)
+      UNION ALL SELECT w.group_id, n.member || '_owes', pos, CAST(NULL AS VARCHAR), CAST(coalesce(round(SUM(t.net_rev), 2), 0) AS DOUBLE)
+      FROM newest w JOIN member_names n ON n.group_id = w.group_id
+      LEFT JOIN kept_tracked t ON t.group_id = w.group_id AND t.expense_id = w.expense_id AND t.member = n.member
+      GROUP BY w.group_id, n.member, pos"""),
+]), EDGES + "," + KEPT_TRACKED + "," + PM_GRID + "," + MC_GRID + "," + NEWEST)
+
+# The same over the landed documents: edits and deletions of the second drop, no month range.
+_DROPS = [("WHEN o.o_orderkey % 23 = 0 THEN", "WHEN o.o_orderkey % 23 = 0 OR o.o_orderkey % 10 = 0 THEN"),
+          ("o.o_orderpriority || ' ' || c.c_mktsegment AS description",
+           "o.o_orderpriority || ' ' || c.c_mktsegment || CASE WHEN o.o_orderkey % 4 = 0 THEN ' (edited)' ELSE '' END AS description"),
+          ("('start_month', '1995-01'), ('end_month', '2001-12')", "('start_month', NULL), ('end_month', NULL)")]
+QUERIES["stream_dashboard"] = QUERIES["snapshot_json"]
+for _plain, _landed in _DROPS:
+    assert _plain in QUERIES["stream_dashboard"]
+    QUERIES["stream_dashboard"] = QUERIES["stream_dashboard"].replace(_plain, _landed)

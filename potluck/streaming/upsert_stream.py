@@ -9,19 +9,24 @@ refresh fails. Here:
 * ``foreachBatch`` merges each micro-batch into the store of latest documents, from which
   ``plans`` derive expenses, shares, exclusions and snapshots like from any documents.
 
-Store layout: Parquet partitioned by ``id_range = id div range_size`` and ``version`` (the
-batch). Per batch:
-
-1. read the current documents of the batch's ranges (partition pruning at run time), put the
-   batch beside them and keep the latest document of each key;
-2. write those ranges under the batch's own version, one shuffle by range that splits large
-   ranges; nothing that readers see is touched;
-3. replace the small pointer file that names the last finished version.
-
-Readers take, for each range, its newest version up to the pointer: they see either all of a
-batch or nothing of it, and a failed batch leaves the last good state. A replayed batch
-rewrites its own version with the same rows. Work grows with the batch's ranges, not with
-the store. ``drop_superseded`` removes versions that no reader needs any more.
+Store layout: documents as Parquet in ``data/id_range=<id div range_size>/version=<batch>``, a
+manifest per batch (one row per range: its newest version, rows, smallest and largest id) and
+a pointer file with the last finished batch. Per batch:
+
+1. the manifest names the current files of the batch's ranges; only these are read, the batch
+   is put beside them and the latest document of each key is kept;
+2. those ranges are written under the batch's own version, one shuffle by range that splits
+   large ranges; nothing that readers see is touched;
+3. the next manifest is the last one with these ranges replaced;
+4. on request the dashboard is brought forward by the touched documents (``dashboard``);
+5. the pointer is replaced.
+
+Readers take the files that the pointer's manifest names: they see either all of a batch or
+nothing of it, and a failed batch leaves the last good state. A replayed batch rewrites its
+own version with the same rows. Work grows with the batch's ranges, and by a row per range
+with the store. The driver holds the touched ranges' numbers, and a reader of the whole store
+those of all ranges, one path for each million ids. ``drop_superseded`` removes versions that
+no reader needs any more.
 """
 
 from __future__ import annotations
@@ -36,11 +41,12 @@ from pyspark.sql.streaming import StreamingQuery
 from potluck.operators.normalize import latest_documents
 from potluck.schemas import EXPENSE_DOC, REFRESH_SECONDS_DEFAULT, REFRESH_SECONDS_MIN
 from potluck.sinks import writers
+from potluck.streaming import dashboard as D
 
 ID_RANGE, VERSION = "id_range", "version"
 POINTER = "CURRENT"
 DEFAULT_RANGE_SIZE = 1_000_000
-STORE = T.StructType([*EXPENSE_DOC.fields, T.StructField(ID_RANGE, T.LongType()), T.StructField(VERSION, T.LongType())])
+MANIFEST = T.StructType([T.StructField(c, T.LongType()) for c in (ID_RANGE, VERSION, "rows", "min_id", "max_id")])
 
 
 def refresh_seconds(value: int | str | None) -> int:
@@ -60,43 +66,70 @@ def current_version(spark: SparkSession, store: str) -> int | None:
     return int(spark.read.text(pointer).first()[0]) if writers.path_exists(spark, pointer) else None
 
 
-def _at(spark: SparkSession, store: str, version: int) -> DataFrame:
-    """The store's rows as of a version, with their range."""
-    rows = spark.read.schema(STORE).option("basePath", f"{store}/data").parquet(f"{store}/data").where(
-        F.col(VERSION) <= version)
-    newest = rows.groupBy(ID_RANGE).agg(F.max(VERSION).alias(VERSION))
-    return rows.join(newest, [ID_RANGE, VERSION], "left_semi").drop(VERSION)
+def manifest(spark: SparkSession, store: str, version: int | None) -> DataFrame:
+    """Ranges and their files as of a batch; none before the first one."""
+    if version is None:
+        return spark.createDataFrame([], MANIFEST)
+    return spark.read.schema(MANIFEST).parquet(f"{store}/manifest/v={version}")
+
+
+def _documents(spark: SparkSession, store: str, files: DataFrame) -> DataFrame:
+    """The documents of the given manifest rows; other files are not even listed."""
+    paths = [f"{store}/data/{ID_RANGE}={r[ID_RANGE]}/{VERSION}={r[VERSION]}" for r in files.select(ID_RANGE, VERSION).collect()]
+    return spark.read.schema(EXPENSE_DOC).parquet(*paths) if paths else spark.createDataFrame([], EXPENSE_DOC)
 
 
-def merge_batch(store: str, range_size: int = DEFAULT_RANGE_SIZE) -> Callable[[DataFrame, int], None]:
+def _same_key(docs: DataFrame, keys: DataFrame) -> DataFrame:
+    of = keys.select(F.col("group_id").alias("_g"), F.col("id").alias("_i"))
+    return docs.join(of, F.col("group_id").eqNullSafe(F.col("_g")) & F.col("id").eqNullSafe(F.col("_i")), "left_semi")
+
+
+def merge_batch(store: str, range_size: int = DEFAULT_RANGE_SIZE,
+                dashboard: D.Dashboard | None = None) -> Callable[[DataFrame, int], None]:
     """The ``foreachBatch`` function: bring one micro-batch into the store."""
     def run(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         docs = batch.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in EXPENSE_DOC.fields])
-        incoming = docs.withColumn(ID_RANGE, _range_of(range_size))
         before = current_version(spark, store)
         if before is not None and before >= batch_id:
-            before = batch_id - 1                     # a replay: as if the batch had not run
-        if before is not None and before >= 0:
-            touched = _at(spark, store, before).join(incoming.select(ID_RANGE).distinct(), ID_RANGE, "left_semi")
-            incoming = touched.unionByName(incoming)
-        merged = latest_documents(incoming.drop(ID_RANGE)).withColumn(ID_RANGE, _range_of(range_size))
+            before = _finished_before(spark, store, batch_id)      # a replay: as if the batch had not run
+        ranges = [r[0] for r in docs.select(_range_of(range_size)).distinct().collect()]
+        known = manifest(spark, store, before)
+        stored = _documents(spark, store, known.where(F.col(ID_RANGE).isin(ranges)))
+        merged = latest_documents(stored.unionByName(docs)).withColumn(ID_RANGE, _range_of(range_size))
         (merged.withColumn(VERSION, F.lit(batch_id).cast("long")).hint("rebalance", ID_RANGE)
          .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
          .partitionBy(ID_RANGE, VERSION).parquet(f"{store}/data"))
+
+        touched = spark.createDataFrame([(r, batch_id) for r in ranges], f"{ID_RANGE} long, {VERSION} long")
+        now = _documents(spark, store, touched)
+        own = now.groupBy(_range_of(range_size).alias(ID_RANGE)).agg(
+            F.lit(batch_id).cast("long").alias(VERSION), F.count("*").alias("rows"), F.min("id").alias("min_id"), F.max("id").alias("max_id"))
+        writers.write_table(known.where(~F.col(ID_RANGE).isin(ranges)).unionByName(own).coalesce(1), f"{store}/manifest/v={batch_id}")
+        if dashboard is not None:
+            keys = docs.select("group_id", "id").distinct()
+            D.refresh(spark, f"{store}/dashboard", batch_id, before, dashboard, _same_key(stored, keys), _same_key(now, keys),
+                      lambda: _documents(spark, store, manifest(spark, store, batch_id)))
         writers.touch(spark, f"{store}/{POINTER}", str(max(batch_id, current_version(spark, store) or 0)))
     return run
 
 
+def _finished_before(spark: SparkSession, store: str, batch_id: int) -> int | None:
+    """The newest batch before this one that has a manifest."""
+    fs, root = writers._fs(spark, f"{store}/manifest")
+    found = [int(st.getPath().getName()[2:]) for st in (fs.listStatus(root) if fs.exists(root) else [])]
+    return max((v for v in found if v < batch_id), default=None)
+
+
 def start(spark: SparkSession, landing: str, store: str, checkpoint: str,
           interval_seconds: int | None = None, available_now: bool = False,
           fmt: str = "parquet", max_files_per_trigger: int | None = None,
-          range_size: int = DEFAULT_RANGE_SIZE) -> StreamingQuery:
+          range_size: int = DEFAULT_RANGE_SIZE, dashboard: D.Dashboard | None = None) -> StreamingQuery:
     """Start the refresh stream. Exactly one of timer / ``available_now`` applies."""
     reader = spark.readStream.schema(EXPENSE_DOC).format(fmt)
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", str(max_files_per_trigger))
-    writer = (reader.load(landing).writeStream.foreachBatch(merge_batch(store, range_size))
+    writer = (reader.load(landing).writeStream.foreachBatch(merge_batch(store, range_size, dashboard))
               .option("checkpointLocation", checkpoint))
     if available_now:
         writer = writer.trigger(availableNow=True)
@@ -107,25 +140,31 @@ def start(spark: SparkSession, landing: str, store: str, checkpoint: str,
 
 def current_documents(spark: SparkSession, store: str) -> DataFrame:
     """The latest documents as of the last finished batch; none before the first one."""
-    version = current_version(spark, store)
-    if version is None:
-        return spark.createDataFrame([], EXPENSE_DOC)
-    return _at(spark, store, version).drop(ID_RANGE)
+    return _documents(spark, store, manifest(spark, store, current_version(spark, store)))
+
+
+def current_dashboard(spark: SparkSession, store: str, name: str = "snapshot") -> DataFrame | None:
+    """A table of the dashboard of the last finished batch (the JSON documents by default);
+    ``None`` before the first one."""
+    return D.published(spark, f"{store}/dashboard", current_version(spark, store), name)
 
 
 def drop_superseded(spark: SparkSession, store: str, keep: int = 2) -> int:
-    """Delete the folders of versions that are older than each range's last ``keep``; how many."""
+    """Delete what the last ``keep`` finished batches do not refer to: versions of ranges, older
+    manifests and dashboards; how many folders. A batch that is not finished is left alone."""
     version = current_version(spark, store)
     if version is None:
         return 0
-    fs, root = writers._fs(spark, f"{store}/data")
-    dropped = 0
-    for part in fs.listStatus(root) if fs.exists(root) else []:
-        if not part.isDirectory():
-            continue
-        versions = sorted(((int(v.getPath().getName().split("=")[1]), v.getPath()) for v in fs.listStatus(part.getPath())
-                           if v.isDirectory() and "=" in v.getPath().getName()), key=lambda x: x[0])
-        finished = [v for v in versions if v[0] <= version]
-        for _, path in finished[:-keep]:
-            dropped += bool(fs.delete(path, True))
-    return dropped
+    fs, root = writers._fs(spark, store)
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+
+    def folders(name: str) -> list[tuple[int, object]]:
+        at = path(f"{store}/{name}")
+        found = [s.getPath() for s in fs.listStatus(at) if s.isDirectory() and "=" in s.getPath().getName()] if fs.exists(at) else []
+        return [(int(p.getName().split("=")[1]), p) for p in found]
+    finished = sorted(v for v, _ in folders("manifest") if v <= version)[-keep:]
+    used = {(r[ID_RANGE], r[VERSION]) for v in finished for r in manifest(spark, store, v).select(ID_RANGE, VERSION).collect()}
+    old = [p for name in ("manifest", "dashboard") for v, p in folders(name) if v <= version and v not in finished]
+    for number, at in folders("data"):
+        old += [p for v, p in folders(f"data/{at.getName()}") if v <= version and (number, v) not in used]
+    return sum(bool(fs.delete(p, True)) for p in old)

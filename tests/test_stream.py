@@ -83,7 +83,11 @@ def test_batch_writes_only_its_ranges(spark, docs):
     parts = {(r.id_range, r.version) for r in spark.read.parquet(f"{store}/data").select("id_range", "version").distinct().collect()}
     assert parts == {(0, 0), (1, 0), (2, 0), (3, 0), (2, 1)}
     run(_edit(docs, 4, "2031-01-01T00:00:00Z", "Paris (again)"), 2)
-    assert S.drop_superseded(spark, store, keep=2) == 1
+    plan = S._documents(spark, store, S.manifest(spark, store, 2).where("id_range = 2")).inputFiles()
+    assert plan and all("/id_range=2/version=2/" in f for f in plan)          # nothing else is listed
+    kept = {(r.id_range, r.version, r.rows, r.min_id, r.max_id) for r in S.manifest(spark, store, 2).collect()}
+    assert kept == {(0, 0, 1, 1, 1), (1, 0, 2, 2, 3), (2, 2, 2, 4, 5), (3, 0, 1, 6, 6)}
+    assert S.drop_superseded(spark, store, keep=2) == 2                       # a version of range 2, a manifest
     assert {r.id: r.description for r in S.current_documents(spark, store).collect()}[4] == "Paris (again)"
 
 
