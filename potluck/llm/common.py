@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from potluck.session import shared_path
@@ -44,6 +44,34 @@ def doc_input(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return docs.select(*cols)
 
 
+MAX_GROUPS = 1_000           # groups that a sample is taken from: the most frequent ones
+
+
+def hash_sample(ids: DataFrame, group: str, limit: int | dict) -> DataFrame:
+    """(doc_id, ``group``, rank): of each group the distinct ids with the smallest hashes, ``limit``
+    (or ``limit[group]``) at most.
+
+    Ids are counted per group first. Only those are ranked whose hashes lie below the share of
+    all hashes that holds the limit with room to spare, so that a window sees little more than
+    the limit of a group, however many ids the group has."""
+    spark, limits = ids.sparkSession, limit if isinstance(limit, dict) else None
+    ids = ids.select("doc_id", group).distinct()
+    sizes = ids.groupBy(group).count().orderBy(F.desc("count"), group).limit(MAX_GROUPS).collect()
+    most = [(r[0], limits.get(r[0], 0) if limits is not None else limit, r[1]) for r in sizes]
+    shares = spark.createDataFrame([(g, n, min(1.0, (1.2 * n + 100) / of)) for g, n, of in most],
+                                   f"of {ids.schema[group].dataType.simpleString()}, most long, share double")
+    place = F.xxhash64("doc_id").cast("double") / float(2**64) + 0.5
+    few = ids.join(F.broadcast(shares), F.col(group) == F.col("of")).where(place <= F.col("share"))   # MAX_GROUPS rows
+    rank = F.row_number().over(Window.partitionBy(group).orderBy(F.xxhash64("doc_id"), "doc_id"))
+    return few.withColumn("rank", rank).where(F.col("rank") <= F.col("most")).select("doc_id", group, "rank")
+
+
+def one_text(rows: DataFrame, *keys: str) -> DataFrame:
+    """One of the texts of rows that share their keys: the one with the smallest hash."""
+    best = F.min(F.struct(F.xxhash64("text").alias("h"), F.col("text").alias("text")))
+    return rows.groupBy(*keys).agg(best["text"].alias("text"))
+
+
 def partitions(spark: SparkSession) -> int:
     """The deployment's shuffle width; it is set so that a partition fits a task's memory."""
     return int(spark.conf.get("spark.sql.shuffle.partitions"))

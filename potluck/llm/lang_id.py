@@ -12,8 +12,9 @@ score below which a prediction is rejected, ``REJECT_SHARE`` of good rows at mos
 Predictions run over all rows where they lie, without a shuffle.
 
 Defined cases: a null text, or one without a letter, is ``und`` with score 0 and rejected;
-rows without a label or an id are predicted like any other, but not learned from; with no
-rows to learn from every text is ``und``; an empty table gives an empty result.
+rows without a label or an id are predicted like any other, but not learned from; of rows that
+share an id and a label one is learned from, the text with the smallest hash; with no rows to
+learn from every text is ``und``; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -27,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from potluck.llm.common import doc_input
+from potluck.llm.common import doc_input, hash_sample, limit_batches, one_text
 from potluck.llm.words import SLICE_BYTES, letters_only, slices, text_buffers
 
 BUCKETS = 1 << 14
@@ -104,18 +105,15 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def train(docs: DataFrame, learn_from: Column, id_col: str = "doc_id", text_col: str = "text",
           lang_col: str = "lang") -> LangModel | None:
     """Fit on a bounded sample of the rows where ``learn_from`` holds; None if there are none."""
-    from pyspark.sql import Window
-
+    limit_batches(docs.sparkSession)
     labelled = docs.where(learn_from).select(F.col(f"`{id_col}`").cast("long").alias("doc_id"),
                                              F.col(f"`{lang_col}`").alias("lang"),
                                              F.col(f"`{text_col}`").alias("text")).where(
         "lang is not null and text is not null and doc_id is not null")
-    order = F.xxhash64("doc_id")
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy(order, "doc_id"))
-    chosen = (labelled.select("doc_id", "lang").withColumn("rank", rank).where(F.col("rank") <= TRAIN_PER_LANG)
-              .orderBy("rank", order).limit(TRAIN_ROWS).select("doc_id", "lang").distinct())
     # at most TRAIN_ROWS ids: a proven bound for the broadcast
-    rows = labelled.join(F.broadcast(chosen), ["doc_id", "lang"]).select("lang", "text")
+    chosen = (hash_sample(labelled, "lang", TRAIN_PER_LANG).orderBy("rank", F.xxhash64("doc_id"), "lang").limit(TRAIN_ROWS)
+              .select("doc_id", "lang"))
+    rows = one_text(labelled.join(F.broadcast(chosen), ["doc_id", "lang"]), "doc_id", "lang").select("lang", "text")
     sample = rows.mapInArrow(_counts, "lang string, ids binary, shares binary").toArrow()
     return fit(sample.column("lang").to_pylist(),
                [np.frombuffer(x, np.int32) for x in sample.column("ids").to_pylist()],

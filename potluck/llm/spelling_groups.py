@@ -184,12 +184,12 @@ def _level(states: DataFrame, edges: DataFrame, small: bool) -> DataFrame:
 
     def to(when: Column, position: Column, edits: Column) -> Column:
         return F.when(when, F.struct(position.cast("int").alias("pos"), edits.cast("int").alias("edits")))
-    moves = F.array_compact(F.array(
+    moves = F.array(
         to(F.substring(word, pos + 1, step) == label, pos + step, F.col("edits")),
         # a replacement is found from the word with the smaller code point
         to(fresh & (here != "") & (first > here) & (rest == F.substring(word, pos + 2, step - 1)), pos + step, F.lit(1)),
-        to(fresh & other & (rest == F.substring(word, pos + 1, step - 1)), pos + step - 1, F.lit(1))))
-    moved = met.withColumn("move", F.explode(moves))
+        to(fresh & other & (rest == F.substring(word, pos + 1, step - 1)), pos + step - 1, F.lit(1)))
+    moved = met.withColumn("move", F.explode(moves)).where("move is not null")
     spent = F.col("move.edits") == 1
     done = spent & (F.col("move.pos") == length)
     slot, bit = _bit(_ahead(word, F.col("move.pos")))

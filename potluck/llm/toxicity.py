@@ -8,7 +8,8 @@ can point to them.
 
 The model is fitted in numpy on a bounded sample: of each label the ``TRAIN_ROWS`` labelled
 documents with the smallest id hashes, of up to ``TRAIN_WORDS`` words each (longer
-ones are not learned from). Scoring covers whole texts of all rows where they lie, without
+ones are not learned from), and of these, in the order of the hashes and in the same
+proportion of both labels, as many as fit into ``TRAIN_BYTES``. Scoring covers whole texts of all rows where they lie, without
 a shuffle.
 
 A sentence ends at ``. ! ?`` or a line end. Words are runs of letters, A-Z lower-cased.
@@ -16,7 +17,8 @@ A word's features are its first 4 to 7 bytes, or the whole of a shorter word: st
 inflected forms share, rather than rare words that a model of few documents would memorize.
 
 Defined cases: null and empty texts have no sentences and score 0; repeated label rows
-count once each, as given; labels other than 0 and 1, or null, are not learned from; with
+count once; of documents that share an id one is learned from, the text with the smallest
+hash; an id with both labels is learned from with both; labels other than 0 and 1, or null, are not learned from; with
 nothing to learn from every score is 0; an empty table gives an empty result.
 """
 
@@ -27,17 +29,18 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from potluck.llm.common import doc_input
+from potluck.llm.common import checkpointed, doc_input, hash_sample, one_text
 from potluck.llm.words import Words, letters_only, words
 
 BITS = 18
 PREFIXES = (4, 5, 6, 7)      # bytes
 TRAIN_ROWS = {1: 2_500, 0: 7_500}    # training documents of each label at most
 TRAIN_WORDS = 20_000
+TRAIN_BYTES = 96 << 20       # of the training rows, as the driver receives them
 EPOCHS = 20
 RATE = 0.1
 DECAY = 5e-4                 # of a word's weight, each time a document with it is seen
@@ -92,7 +95,7 @@ def _bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 buckets.append(distinct.tobytes())
                 places.append(place.astype(np.uint16).tobytes())
                 sizes.append(size[cut[i]:cut[i + 1]].tobytes())
-        yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id"), "toxic": batch.column("toxic"),
+        yield pa.RecordBatch.from_pydict({**{c: batch.column(c) for c in ("doc_id", "toxic", "rank")},
                                           "buckets": pa.array(buckets, pa.binary()),
                                           "places": pa.array(places, pa.binary()),
                                           "sizes": pa.array(sizes, pa.binary())})
@@ -104,14 +107,19 @@ def train(docs: DataFrame, labels: DataFrame, learn_from: Column, id_col: str =
     known = (labels.where(learn_from)
              .select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{label_col}`").cast("int").alias("toxic"))
              .where("toxic in (0, 1) and doc_id is not null"))
-    rank = F.row_number().over(Window.partitionBy("toxic").orderBy(F.xxhash64("doc_id"), "doc_id"))
-    chosen = (known.withColumn("rank", rank)
-              .where(" or ".join(f"(toxic = {k} and rank <= {n})" for k, n in TRAIN_ROWS.items()))
-              .select("doc_id", "toxic"))                      # two labels: a proven bound
+    chosen = hash_sample(known, "toxic", TRAIN_ROWS)             # two labels: a proven bound
     rows = doc_input(docs, id_col, text_col).join(F.broadcast(chosen), "doc_id").where("text is not null")
-    bags = (rows.select("doc_id", "text", "toxic")
-            .mapInArrow(_bags, "doc_id long, toxic int, buckets binary, places binary, sizes binary")
-            .where("buckets is not null").limit(2 * sum(TRAIN_ROWS.values())).toArrow())
+    bags = checkpointed(one_text(rows, "doc_id", "toxic", "rank").select("doc_id", "text", "toxic", "rank").mapInArrow(
+        _bags, "doc_id long, toxic int, rank int, buckets binary, places binary, sizes binary").where("buckets is not null"), "toxicity-bags")
+    part = F.col("rank") / F.when(F.col("toxic") == 1, TRAIN_ROWS[1]).otherwise(TRAIN_ROWS[0])
+    size = F.length("buckets") + F.length("places") + F.length("sizes")
+    end, total = 0.0, 0
+    for r in bags.select(part.alias("part"), size.alias("size")).orderBy("part", "size").collect():
+        total += r.size
+        if total > TRAIN_BYTES:
+            break
+        end = r.part
+    bags = bags.where(part <= end).toArrow()
     return fit(bags.column("doc_id").to_pylist(), bags.column("toxic").to_pylist(),
                [b.reshape(-1, 1 + len(PREFIXES)) for b in _views(bags.column("buckets"), np.int32)],
                list(_views(bags.column("places"), np.uint16)), list(_views(bags.column("sizes"), np.int32)))

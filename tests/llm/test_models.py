@@ -103,3 +103,50 @@ def test_toxicity_edge_cases(spark, make_docs, edge_rows):
     assert toxicity.train(docs, labels.limit(0), lang_id.fold("doc_id", 3) != 5) is None
     assert {r.score for r in toxicity.score(docs, None).collect()} == {0.0}
     assert toxicity.score(make_docs([]), model).collect() == []
+
+
+def test_hash_sample_of_hot_ids_and_groups(spark):
+    """The smallest hashes of each group, each id once, however often it is repeated."""
+    from pyspark.sql import functions as F
+
+    from potluck.llm.common import hash_sample, one_text
+    rows = [(i, "hot") for i in range(20_000)] + [(7, "hot")] * 10_000 + [(i, "few") for i in range(40)] + [(7, "few")] * 3
+    df = spark.createDataFrame(rows, "doc_id long, label string").repartition(6)
+    got = hash_sample(df, "label", {"hot": 300, "few": 100}).collect()
+    hashes = {r.doc_id: r.h for r in spark.range(20_000).select(F.col("id").alias("doc_id"), F.xxhash64("id").alias("h")).collect()}
+    best = sorted(range(20_000), key=hashes.get)[:300]
+    assert [r.doc_id for r in sorted(got, key=lambda r: r["rank"]) if r.label == "hot"] == best
+    assert sorted(r.doc_id for r in got if r.label == "few") == list(range(40))
+    assert hash_sample(df.limit(0), "label", 5).count() == 0
+    plan = hash_sample(df, "label", {"hot": 300, "few": 100})._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
+    texts = spark.createDataFrame([(1, "a")] * 5000 + [(1, "b")] * 5000 + [(2, "c")], "doc_id long, text string").repartition(5)
+    chosen = one_text(texts, "doc_id").collect()
+    assert sorted(r.doc_id for r in chosen) == [1, 2] and {r.text for r in chosen} < {"a", "b", "c"}
+
+
+def test_toxicity_does_not_depend_on_repeats_or_partitions(spark, make_docs):
+    from pyspark.sql import functions as F
+
+    from potluck.llm import toxicity
+    bad, good = "you filthy vermin crawl away now", "the garden is quiet in the morning"
+    rows = [(i, f"{bad if i % 2 else good}. word{i % 5} stays here.") for i in range(60)]
+    labels = spark.createDataFrame([(i, i % 2) for i in range(60)] + [(3, 1)] * 500, "doc_id long, toxic int")
+    once = toxicity.train(make_docs(rows), labels, F.lit(True))
+    more = toxicity.train(make_docs(rows + [rows[3]] * 2000).repartition(7), labels.repartition(5), F.lit(True))
+    assert (once.weights == more.weights).all() and once.bias == more.bias
+
+
+def test_toxicity_sample_is_bounded_by_bytes(spark, make_docs, monkeypatch):
+    from pyspark.sql import functions as F
+
+    from potluck.llm import toxicity
+    seen = []
+    monkeypatch.setattr(toxicity, "fit", lambda ids, labels, *_: seen.append((ids, labels)))
+    rows = [(i, f"some words of number{i} and more") for i in range(80)]
+    labels = spark.createDataFrame([(i, i % 2) for i in range(80)], "doc_id long, toxic int")
+    monkeypatch.setattr(toxicity, "TRAIN_ROWS", {1: 30, 0: 30})
+    toxicity.train(make_docs(rows), labels, F.lit(True))
+    monkeypatch.setattr(toxicity, "TRAIN_BYTES", 4_000)
+    toxicity.train(make_docs(rows), labels, F.lit(True))
+    assert len(seen[0][0]) == 60 and 0 < len(seen[1][0]) < 60 and 0 < sum(seen[1][1]) < len(seen[1][1])
