@@ -36,26 +36,29 @@ def grid(sums: DataFrame, row: str, col: str, value: str = "v", cols: DataFrame
     ``sums`` holds ``group_id, row, col, value``, at most one row per cell; a null ``col``
     marks a row of the grid without cells. ``cols`` (``group_id, col``) replaces the columns
     that occur; else ``total_label`` adds the totals as one more column, marked by ``is_total``.
-    Each row of the pivot is gathered into a map, as long as the pivot is wide; the columns
-    come from the same maps, so Spark reuses their shuffle and runs the input once, and the
-    rows meet the columns of their group in a join: no task holds a group's whole grid.
+    Each row of the pivot is gathered into an array, as long as the pivot is wide, and each
+    group's columns into one list. A row's cells and a zero for each column are sorted together
+    and the first of each column is kept: the work is in proportion to the cells, nothing is
+    looked up. The columns come from the same arrays, so Spark reuses their shuffle and runs
+    the input once; no task holds a group's whole grid.
     """
-    cell = F.when(F.col(col).isNotNull(), F.struct(F.col(col).alias("k"), F.col(value).cast(SUM).alias("v")))
+    cell = F.when(F.col(col).isNotNull(), F.struct(F.col(col).alias("k"), F.lit(0).alias("rank"), F.col(value).cast(SUM).alias("v")))
     zero = F.lit(0).cast(SUM)
     rows = sums.groupBy(G, row).agg(
-        F.map_from_entries(F.collect_list(cell)).alias("_cells"),
+        F.collect_list(cell).alias("_cells"),
         F.coalesce(F.sum(F.when(F.col(col).isNotNull(), F.col(value))).cast(SUM), zero).alias("total"))
-    label = lambda name, is_total: F.struct(name.alias(col), F.lit(is_total).alias("is_total"))
-    if cols is None:
-        labels = F.transform(F.map_keys("_cells"), lambda k: label(k, False))
-        if total_label is not None:
-            labels = F.concat(labels, F.array(label(F.lit(total_label), True)))
-        cols = rows.select(G, F.explode(labels).alias("l")).select(G, "l.*").distinct()
-    else:
-        cols = cols.select(G, col, F.lit(False).alias("is_total"))
-    v = F.when(F.col("is_total"), F.col("total")).otherwise(
-        F.coalesce(F.try_element_at(F.col("_cells"), F.col(col)), zero))
-    return rows.join(cols, G).select(G, row, col, "is_total", v.alias(value), "total")
+    names = rows.select(G, F.explode("_cells.k").alias(col)) if cols is None else cols.select(G, col)
+    lists = names.distinct().groupBy(G).agg(F.collect_list(col).alias("_names"))
+    empty = F.transform(F.coalesce("_names", F.array().cast("array<string>")),
+                        lambda n: F.struct(n.alias("k"), F.lit(1).alias("rank"), zero.alias("v")))
+    both = rows.join(lists, G, "left").select(G, row, "total", F.array_sort(F.concat("_cells", empty)).alias("_all"))
+    beside = lambda x, i: F.get("_all", i)["k"].eqNullSafe(x["k"])
+    kept = F.filter("_all", lambda x, i: ~beside(x, i - 1) & ((x["rank"] == 1) | beside(x, i + 1)))
+    cells = F.transform(kept, lambda x: F.struct(x["k"].alias(col), F.lit(False).alias("is_total"), x["v"].alias(value)))
+    if cols is None and total_label is not None:
+        cells = F.concat(cells, F.array(F.struct(F.lit(total_label).alias(col), F.lit(True).alias("is_total"),
+                                                 F.col("total").alias(value))))
+    return both.select(G, row, F.explode(cells).alias("_c"), "total").select(G, row, "_c.*", "total")
 
 
 # ---------------------------------------------------------------- expense aggregates
