@@ -35,6 +35,9 @@ def _parser() -> argparse.ArgumentParser:
         sp.add_argument("--start", help="first month, YYYY-MM")
         sp.add_argument("--end", help="last month, YYYY-MM")
         sp.add_argument("--group-id", type=int, nargs="*", default=None)
+        rules(sp)
+
+    def rules(sp):
         sp.add_argument("--exclude-months", default="")
         sp.add_argument("--exclude-descriptions", default="")
         sp.add_argument("--debt-direction", default="reverse")
@@ -57,20 +60,40 @@ def _parser() -> argparse.ArgumentParser:
     st.add_argument("--format", default="parquet", choices=["json", "parquet"])
     st.add_argument("--interval", default=None)
     st.add_argument("--once", action="store_true", help="process what has landed, then stop")
+    st.add_argument("--groups", help="group configuration; with it each refresh publishes the dashboard")
+    st.add_argument("--debts")
+    st.add_argument("--recent", type=int, default=30)
+    rules(st)
     return p
 
 
-def _ledger(spark: SparkSession, a):
+def _params(a):
     from potluck.operators.exclusions import ExclusionRules
     from potluck.plans.ledger import LedgerParams
+    return LedgerParams(a.debt_direction, a.share_direction, ExclusionRules.of(a.exclude_months, a.exclude_descriptions))
+
+
+def _now() -> str:
+    return time.strftime("%Y-%m-%dT%H:%M:%S+00:00", time.gmtime())
+
+
+def _dashboard(a):
+    """What a refresh of the stream builds; nothing without the groups."""
+    from potluck.sources.docs import read_debts, read_groups
+    from potluck.streaming.dashboard import Dashboard
+    if not a.groups:
+        return None
+    return Dashboard(lambda spark: read_groups(spark, a.groups, a.format), lambda spark: read_debts(spark, a.debts, a.format),
+                     _params(a), a.recent, _now)
+
+
+def _ledger(spark: SparkSession, a):
     from potluck.sources.docs import ledger_from_docs, read_debts, read_docs, read_groups, rejected_docs
-    params = LedgerParams(a.debt_direction, a.share_direction,
-                          ExclusionRules.of(a.exclude_months, a.exclude_descriptions))
     docs = read_docs(spark, a.docs, a.format)
     if a.format == "json" and (bad := rejected_docs(spark, a.docs).count()):
         print(f"[!] {bad} line(s) of {a.docs} are no documents and are left out", file=sys.stderr)
     return ledger_from_docs(docs, read_groups(spark, a.groups, a.format), read_debts(spark, a.debts, a.format),
-                            params, a.group_id, a.start, a.end)
+                            _params(a), a.group_id, a.start, a.end)
 
 
 def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> int:
@@ -80,7 +103,7 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
         spark = SparkSession.builder.appName(f"potluck-{a.cmd}").config(map=SKEW_SETTINGS).getOrCreate()
     if a.cmd == "stream":
         from potluck.streaming.upsert_stream import start
-        q = start(spark, a.landing, a.store, a.checkpoint, a.interval, a.once, a.format)
+        q = start(spark, a.landing, a.store, a.checkpoint, a.interval, a.once, a.format, dashboard=_dashboard(a))
         q.awaitTermination()
         return 0
     led = _ledger(spark, a)
@@ -111,7 +134,7 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
     from potluck.plans.snapshot import Snapshot
     from potluck.sinks import writers
     snap = Snapshot(led, recent_rows=a.recent, start_month=a.start, end_month=a.end,
-                    generated_at=time.strftime("%Y-%m-%dT%H:%M:%S+00:00", time.gmtime()))
+                    generated_at=_now())
     base = f"{a.out.rstrip('/')}/_base"
     snap = snap.materialize(base, version)
     # the wide expense table is already written once under the base version; only the

@@ -136,11 +136,12 @@ class Snapshot:
         item = lambda label: [F.col(label).alias("label"), F.round("amount", 2).alias("amount")]
         month_item = [F.col("month"), F.round("amount", 2).alias("amount")]
 
-        def listed(df: DataFrame, name: str, order: list[Column], fields: list[Column]) -> DataFrame:
-            """A group's rows as a list; ``order`` sorts ascending."""
+        def listed(df: DataFrame, name: str, order: list[Column], fields: list[Column], newest: bool = False) -> DataFrame:
+            """A group's rows as a list; ``order`` sorts ascending, with ``newest`` descending."""
             gathered = F.array_sort(F.collect_list(F.struct(F.struct(*[c.alias(f"_{i}") for i, c in enumerate(order)]).alias("k"),
                                                             F.struct(*fields).alias("v"))))
-            return df.groupBy(G).agg(F.transform(gathered, lambda x: x["v"]).alias(name))
+            values = F.transform(gathered, lambda x: x["v"])
+            return df.groupBy(G).agg((F.reverse(values) if newest else values).alias(name))
 
         def by_key(df: DataFrame, name: str, key: str, order: list[Column], fields: list[Column]) -> DataFrame:
             """``{key: [rows]}`` of a group, keys ascending."""
@@ -150,7 +151,6 @@ class Snapshot:
             entries = F.array_sort(F.collect_list(F.struct(F.col(key).alias("k"), F.col("v"))))
             return lists.groupBy(G).agg(F.map_from_entries(entries).alias(name))
 
-        newest = [_descending("month")]
         totals = self.category_totals_all()
         by_month = self.category_totals_by_month()
         person_all = self.person_totals_all().join(order_of, [G, "person"])
@@ -159,22 +159,22 @@ class Snapshot:
         lists = payload_columns(member_lists(self.ledger.members)).withColumnRenamed("columns", "raw_columns")
         recent_rows = self.recent_expenses()
         parts = [
-            listed(self.months(), "months", newest, [F.col("month")]),
+            listed(self.months(), "months", [F.col("month")], [F.col("month")], newest=True),
             self.summary().select(G, F.struct(
                 "expense_count", F.round("total_expenses", 2).alias("total_expenses"),
                 F.filter(F.split("currencies", ","), lambda c: c != "").alias("currencies")).alias("summary")),
             listed(balances, "member_balances", [F.col("ord")], [F.col("name"), F.col("owes"), F.col("to_receive")]),
             listed(self.debt_edges(), "debt_edges", [F.col("pos")],
                    [F.col("from_id"), F.col("to_id"), F.col("from_name"), F.col("to_name"), A.money("amount").alias("amount")]),
-            listed(self.monthly_totals(), "monthly_totals", newest, month_item),
+            listed(self.monthly_totals(), "monthly_totals", [F.col("month")], month_item, newest=True),
             listed(totals, "category_totals_all", [-F.col("amount"), F.col("category")], item("category")),
             by_key(by_month, "category_totals_by_month", "month", [-F.col("amount"), F.col("category")], item("category")),
             by_key(self.category_month_series(), "category_month_series", "category", [F.col("pos")], month_item),
             listed(totals, "categories", [F.col("category")], [F.col("category")]),
             listed(person_all, "person_totals_all", [F.col("ord")], item("person")),
             by_key(person_months, "person_totals_by_month", "month", [F.col("ord")], item("person")),
-            _table(self.monthly_by_category(), "monthly_by_category", [F.col("month")]),
-            _table(self.per_person_month(), "per_person_month", newest),
+            _table(self.monthly_by_category(), "monthly_by_category"),
+            _table(self.per_person_month(), "per_person_month", newest=True),
             listed(recent_rows.select(G, "pos", row_json(recent_rows).alias("row")), "recent_rows", [F.col("pos")],
                    [F.col("row")]),
             lists,
@@ -207,11 +207,6 @@ class Snapshot:
         return doc.select(G, whole.alias("snapshot"))
 
 
-def _descending(text: str) -> Column:
-    """A sort key that puts larger texts first in an ascending order: code points negated."""
-    return F.transform(F.split(F.col(text), ""), lambda c: -F.when(c == "", 0).otherwise(F.ascii(c)))
-
-
 def _json_or(value: Column | str, empty: str) -> Column:
     col = F.col(value) if isinstance(value, str) else value
     return F.coalesce(F.to_json(col), F.lit(empty))
@@ -226,7 +221,7 @@ def _object(fields: list[tuple[str, Column]]) -> Column:
     return F.concat(F.lit("{"), _members(fields), F.lit("}"))
 
 
-def _table(rows: DataFrame, name: str, order: list[Column]) -> DataFrame:
+def _table(rows: DataFrame, name: str, newest: bool = False) -> DataFrame:
     """Month rows (``month, cells, total``) → one ``{columns, rows}`` text per group.
 
     A label that equals the total's name gives way to the total, as a later column of the
@@ -237,10 +232,9 @@ def _table(rows: DataFrame, name: str, order: list[Column]) -> DataFrame:
         F.array(F.struct(F.lit(TOTAL_LABEL).alias("key"), F.round("total", 2).alias("value"))))))
     month = F.to_json(F.struct("month"))
     row = F.concat(F.substring(month, F.lit(1), F.length(month) - 1), F.lit(","), F.substring(record, F.lit(2), F.length(record)))
-    gathered = F.array_sort(F.collect_list(F.struct(F.struct(*[c.alias(f"_{i}") for i, c in enumerate(order)]).alias("k"),
-                                                    row.alias("v"))))
+    gathered = F.transform(F.array_sort(F.collect_list(F.struct(F.col("month").alias("k"), row.alias("v")))), lambda x: x["v"])
+    gathered = F.reverse(gathered) if newest else gathered
     labels = F.first(F.transform(kept, lambda x: x["label"]))
     columns = F.to_json(F.concat(F.array(F.lit("month")), labels, F.array(F.lit(TOTAL_LABEL))))
     return rows.groupBy(G).agg(F.concat(
-        F.lit('{"columns":'), columns, F.lit(',"rows":['), F.array_join(F.transform(gathered, lambda x: x["v"]), ","),
-        F.lit("]}")).alias(name))
+        F.lit('{"columns":'), columns, F.lit(',"rows":['), F.array_join(gathered, ","), F.lit("]}")).alias(name))

@@ -43,9 +43,12 @@ def test_export_and_snapshot_commands(spark, capsys):
 
 def test_stream_command_once(spark):
     from potluck.cli import main
-    from potluck.streaming.upsert_stream import current_documents
+    from potluck.streaming.upsert_stream import current_dashboard, current_documents
     base = shared_path(spark, "tests", "potluck-test-cli-stream", uuid.uuid4().hex)
     _land(spark, base)
     assert main(["stream", "--landing", f"{base}/docs", "--store", f"{base}/store",
-                 "--checkpoint", f"{base}/ckpt", "--format", "json", "--once"], spark) == 0
+                 "--checkpoint", f"{base}/ckpt", "--format", "json", "--once", "--groups", f"{base}/groups",
+                 "--debts", f"{base}/debts", "--recent", "5"], spark) == 0
     assert sorted(r.id for r in current_documents(spark, f"{base}/store").collect()) == [1, 2, 3, 4, 5, 6]
+    doc = json.loads(current_dashboard(spark, f"{base}/store").collect()[0].snapshot)
+    assert doc["summary"]["expense_count"] == 4 and doc["generated_at"] and len(doc["tables"]["recent_expenses"]["rows"]) == 4
