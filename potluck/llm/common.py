@@ -102,4 +102,13 @@ def checkpointed(df: DataFrame, name: str) -> DataFrame:
         df.write.parquet(path)
     finally:
         spark.conf.set(key, before) if before is not None else spark.conf.unset(key)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.checkpoint_path = path
+    return out
+
+
+def release(df: DataFrame) -> None:
+    """Delete the folder of a checkpointed table that no later job reads."""
+    if path := df.__dict__.get("checkpoint_path"):
+        folder = df.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
+        folder.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(folder, True)

@@ -15,8 +15,8 @@ probability beyond double precision; sources are grouped by exact counts first,
 table has a row per source. It joins back with Spark's own choice of a broadcast or a
 shuffle.
 
-Defined cases: a null source is a source like any other; rows without an id, and rows that
-share one, take the hash of id and text; weights of sources that do not occur are left out
+Defined cases: a null source is a source like any other; rows that share an id are repeated
+alike and share their order keys, rows without an id take the hash of their text; weights of sources that do not occur are left out
 and the rest shared out in proportion; a source without weight gets none of the output; an
 empty table gives an empty result.
 """
