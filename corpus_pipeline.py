@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from potluck.llm import lang_id
-from potluck.llm.common import DOC_COLUMNS, checkpointed, documents
+from potluck.llm.common import DOC_COLUMNS, checkpointed, documents, release
 from potluck.llm.jaccard_join import one_per_group
 from potluck.llm.piece_bpe import piece_encode
 from potluck.llm.poisson_mix import poisson_mix
@@ -68,5 +68,6 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     for name, stage in STAGES[:-1]:
-        docs = checkpointed(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        before, docs = docs, checkpointed(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        release(before)                                  # only the last table is read from now on
     return STAGES[-1][1](spark, docs, sf_dir)
