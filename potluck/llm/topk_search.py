@@ -14,7 +14,8 @@ the smaller id, a query never finds its own row.
 
 Defined cases: vectors that are null, empty, or hold null or non-finite components, and
 rows without an id, take no part; rows with the same id are separate candidates, none of
-which the query of that id finds; vectors of different lengths only meet their own length;
+which the query of that id finds; query rows that share an id but not a vector are queries of
+their own, each with its own ranks, and equal query rows are one; vectors of different lengths only meet their own length;
 fewer candidates than k give fewer rows; an empty table gives none.
 """
 
@@ -29,7 +30,7 @@ BLOCK = 4_096                # candidates of a block, on average
 QUERIES = 1_024              # queries of a block, on average
 STEP = 64                    # depth of the first step down the lists
 
-FOUND = "query_id long, vec_id long, score long"
+FOUND = "query_id long, query_key long, vec_id long, score long"
 
 
 def usable(df: DataFrame, id_col: str, vector_col: str, scale: int) -> DataFrame:
@@ -95,17 +96,19 @@ def _matrix(column: pa.ChunkedArray, dims: int) -> np.ndarray:
 
 def _search_block(k: int):
     def run(queries: pa.Table, candidates: pa.Table) -> pa.Table:
-        out_q, out_v, out_s = [], [], []
+        out_q, out_k, out_v, out_s = [], [], [], []
         if queries.num_rows and candidates.num_rows:
             dims = candidates.column("dims")[0].as_py()
             block = Block(candidates.column("id").to_numpy(), _matrix(candidates.column("v"), dims))
-            for own, query in zip(queries.column("id").to_numpy(), _matrix(queries.column("v"), dims)):
+            for own, key, query in zip(queries.column("id").to_numpy(), queries.column("query_key").to_numpy(),
+                                       _matrix(queries.column("v"), dims)):
                 ids, scores = block.search(own, query, k)
                 out_q.append(np.full(ids.size, own))
+                out_k.append(np.full(ids.size, key))
                 out_v.append(ids)
                 out_s.append(scores)
         join = lambda parts: np.concatenate(parts) if parts else np.zeros(0, np.int64)
-        return pa.table({"query_id": pa.array(join(out_q), pa.int64()), "vec_id": pa.array(join(out_v), pa.int64()),
+        return pa.table({"query_id": pa.array(join(out_q), pa.int64()), "query_key": pa.array(join(out_k), pa.int64()), "vec_id": pa.array(join(out_v), pa.int64()),
                          "score": pa.array(join(out_s), pa.int64())})
     return run
 
@@ -120,11 +123,11 @@ def top_k(df: DataFrame, query_rows, k: int = 10, id_col: str = "vec_id", vector
     # rows that share an id are told apart by a row of their own; the hash takes the vector too
     candidates = (rows.withColumn("block", F.pmod(F.xxhash64("id", "v"), F.lit(blocks)))
                   .withColumn("qblock", F.explode(F.sequence(F.lit(0), F.lit(query_blocks - 1)))))
-    queries = (rows.where(query_rows).dropDuplicates(["id", "v"])
+    queries = (rows.where(query_rows).dropDuplicates(["id", "v"]).withColumn("query_key", F.xxhash64("v"))
                .withColumn("qblock", F.pmod(F.xxhash64("id"), F.lit(query_blocks)).cast("int"))
                .withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long")))))
     key = ["block", "qblock", "dims"]
     found = queries.groupBy(*key).cogroup(candidates.groupBy(*key)).applyInArrow(_search_block(k), FOUND)
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
+    rank = F.row_number().over(Window.partitionBy("query_id", "query_key").orderBy(F.desc("score"), "vec_id"))
     return (found.withColumn("rank", rank).where(F.col("rank") <= k)
             .select("query_id", "rank", "vec_id", "score"))

@@ -48,6 +48,10 @@ def test_edge_cases(spark):
     assert top_k(table(spark, []), F.col("id") % 100 == 0).collect() == []
     repeated = result(top_k(table(spark, [(100, [1.0]), (100, [1.0]), (1, [2.0]), (2, [3.0])]), F.col("id") % 100 == 0))
     assert repeated == {(100, 1, 2, 3 * 1024 * 1024), (100, 2, 1, 2 * 1024 * 1024)}
+    # query rows that share an id but not a vector: each with its own ranks
+    apart = top_k(table(spark, [(100, [1.0, 0.0]), (100, [0.0, 1.0]), (1, [3.0, 1.0]), (2, [2.0, 4.0])]), F.col("id") % 100 == 0)
+    m = 1024 * 1024
+    assert sorted(map(tuple, apart.collect())) == [(100, 1, 1, 3 * m), (100, 1, 2, 4 * m), (100, 2, 1, m), (100, 2, 2, 2 * m)]
 
 
 def test_search_stops_early():
