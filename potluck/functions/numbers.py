@@ -67,7 +67,8 @@ def resolve_user_id(c) -> Column:
 
 def py_float_text(c) -> Column:
     """Money rounded to cents → the text Python prints for the same float (100.00 → '100.0')."""
-    return F.regexp_replace(_col(c).cast("decimal(38,2)").cast("string"), "0$", "")
+    text = F.regexp_replace(_col(c).cast("decimal(38,2)").cast("string"), "0$", "")
+    return F.when(_col(c) == 0, F.lit("0.0")).otherwise(text)            # most cells of a wide table
 
 
 def pct_of_max(amount_cents: Column, max_cents: Column) -> Column:

@@ -19,15 +19,20 @@ from potluck.sources.members import member_lists
 G = "group_id"
 KEY = [G, "expense_id"]
 OWES = "owes"
+AMOUNT = "decimal(38,2)"
+FEW = 16                         # amounts of a row that are looked up one by one
 # Map column of a stored table that still has one column per member: column name → amount.
 MEMBER_COLUMNS = "member_columns"
 
 
 def _entries(value_of) -> Column:
     """One (name, amount) entry for each of the group's names; amounts rounded to cents."""
-    zero = F.lit(0).cast(SUM)
     return F.transform(F.coalesce("_names", F.array().cast("array<string>")), lambda n: F.struct(
-        n.alias("name"), F.round(F.coalesce(value_of(n), zero), 2).cast("decimal(38,2)").alias("amount")))
+        n.alias("name"), F.coalesce(_cents(value_of(n)), F.lit(0).cast(AMOUNT)).alias("amount")))
+
+
+def _cents(value: Column) -> Column:
+    return F.round(value, 2).cast(AMOUNT)
 
 
 def widen(expenses: DataFrame, shares: DataFrame, members: DataFrame, value: Column) -> DataFrame:
@@ -52,39 +57,81 @@ def canonical_owes(store: DataFrame, members: DataFrame) -> DataFrame:
 
     Each member takes its ``<name>_owes`` column, else the first legacy spelling that the
     store has, in the fixed order of the variants; rounded, 0 when missing.
+    """
+    return with_names(stored_owes(store, members), members)
 
-    Every stored column is looked at once: its name is split at the spelling, the columns and
-    the group's members are sorted together by name and spelling, and each name keeps its
-    first; no member is searched for in the row.
+
+def stored_owes(store: DataFrame, members: DataFrame) -> DataFrame:
+    """``canonical_owes`` without its names and zeros: ``owes`` holds (ord, amount) of what is
+    not 0, ``ord`` the place in the group's member list. Rows stay short where they are
+    shuffled and sorted; ``with_names`` fills them up.
+
+    A stored column's name is hashed into the group's table of possible names. In rows of
+    few amounts only these are looked up, and dropped where the row has an earlier spelling;
+    else all columns are, and sorted by member and spelling.
     """
-    suffixes = [OWES_SUFFIX, *LEGACY_VARIANTS]
-    own = F.lit(len(suffixes))                                 # ranks a member's own entry, last
-
-    def entry(name: Column, rank: Column, value: Column, ord: Column) -> Column:
-        return F.struct(name.alias("name"), rank.alias("rank"), value.alias("value"), ord.alias("ord"))
-
-    def split(x: Column) -> Column:
-        key, value = x["key"], F.coalesce(x["value"], F.lit(0.0)).cast(SUM)
-        return F.coalesce(*[F.when(F.endswith(key, F.lit(s)), entry(
-            F.substring(key, F.lit(1), F.char_length(key) - len(s)), F.lit(i), value, F.lit(-1))) for i, s in enumerate(suffixes)])
-    stored = F.array_compact(F.transform(F.map_entries(MEMBER_COLUMNS), split))
-    of_group = F.transform(F.coalesce("_names", F.array().cast("array<string>")),
-                           lambda n, i: entry(n, own, F.lit(0).cast(SUM), i))
-    names = member_lists(members).withColumnRenamed("names", "_names")
-    keep = [c for c in store.columns if c not in (MEMBER_COLUMNS, OWES)]
-    rows = store.join(names, G, "left").select(*[F.col(f"`{c}`") for c in keep], F.array_sort(F.concat(
-        F.coalesce(stored, F.array().cast(f"array<struct<name:string,rank:int,value:{SUM.simpleString()},ord:int>>")), of_group)).alias("_all"))
-
-    def chosen(x: Column, i: Column) -> Column:
-        """The first entry of a name that is a member's: its own entry is not far behind."""
-        behind = F.slice("_all", i + 2, F.lit(len(suffixes)))
-        member = (x["rank"] == own) | F.exists(behind, lambda y: (y["name"] == x["name"]) & (y["rank"] == own))
-        return ~F.get("_all", i - 1)["name"].eqNullSafe(x["name"]) & member
-    both = F.zip_with(F.filter("_all", chosen), F.filter("_all", lambda x: x["rank"] == own),
-                      lambda a, b: F.struct(b["ord"].alias("ord"), b["name"].alias("name"), a["value"].alias("value")))
-    owes = F.transform(F.array_sort(both), lambda x: F.struct(
-        x["name"].alias("name"), F.round(x["value"], 2).cast("decimal(38,2)").alias("amount")))
-    return rows.select(*[F.col(f"`{c}`") for c in keep], owes.alias(OWES))
+    keep = [F.col(f"`{c}`") for c in store.columns if c not in (MEMBER_COLUMNS, OWES)]
+    none = F.array().cast("array<struct<ord:int,rank:int,value:double,before:array<string>>>")
+
+    def found(entries: Column | str) -> Column:
+        return F.flatten(F.transform(entries, lambda x: F.coalesce(F.transform(
+            F.filter(F.get("_slots", F.pmod(F.xxhash64(x["key"]), F.size("_slots")).cast("int")), lambda y: y["key"] == x["key"]),
+            lambda y: F.struct(y["ord"].alias("ord"), y["rank"].alias("rank"), x["value"].alias("value"), y["before"].alias("before"))), none)))
+    entries, few = F.map_entries(MEMBER_COLUMNS), F.size("_some") <= FEW
+    rows = store.join(_spellings(members), G, "left").select(
+        *keep, MEMBER_COLUMNS, "_slots", F.filter(entries, lambda x: x["value"] != 0).alias("_some"))
+    rows = rows.select(*keep, MEMBER_COLUMNS, few.alias("_few"), F.when(few, found("_some")).otherwise(
+        F.sort_array(found(entries))).alias("_all"))
+    earlier = F.array_intersect(F.flatten(F.transform("_all", lambda x: x["before"])), F.map_keys(MEMBER_COLUMNS))
+    rows = rows.select(*keep, "_few", "_all", F.when(F.col("_few"), earlier).alias("_earlier"))
+    chosen = F.when(F.col("_few"), F.sort_array(F.filter("_all", lambda x: ~F.arrays_overlap(x["before"], "_earlier")))).otherwise(
+        F.filter(_first_of_each("_all"), lambda x: x["value"] != 0))
+    owes = F.transform(chosen, lambda x: F.struct(x["ord"].alias("ord"), _cents(x["value"].cast(SUM)).alias("amount")))
+    return rows.select(*keep, F.coalesce(owes, F.array().cast(f"array<struct<ord:int,amount:{AMOUNT}>>")).alias(OWES))
+
+
+def with_names(rows: DataFrame, members: DataFrame) -> DataFrame:
+    """Rows with ``stored_owes`` → the same with one (name, amount) for each of the group's
+    names; rows without ``owes`` stay without.
+
+    The entries of 0 are the group's own, taken over in runs between those that the row has."""
+    zeros = member_lists(members).select(G, F.transform("names", lambda n: F.struct(
+        n.alias("name"), F.lit(0).cast(AMOUNT).alias("amount"))).alias("_zeros"))
+    none = F.array().cast(f"array<struct<name:string,amount:{AMOUNT}>>")
+    both = rows.join(zeros, G, "left").withColumn("_zeros", F.coalesce("_zeros", none))
+
+    def behind(i: Column) -> Column:
+        """The place behind the row's own entry ``i``, from 0."""
+        return F.coalesce(F.get(OWES, i)["ord"] + 1, F.lit(0))
+    runs = F.transform(OWES, lambda x, i: F.concat(
+        F.slice("_zeros", behind(i - 1) + 1, x["ord"] - behind(i - 1)),
+        F.array(F.struct(F.get("_zeros", x["ord"])["name"].alias("name"), x["amount"].alias("amount")))))
+    last = behind(F.size(OWES) - 1)
+    owes = F.flatten(F.concat(runs, F.array(F.slice("_zeros", last + 1, F.size("_zeros") - last))))
+    return both.select(*[owes.alias(OWES) if c == OWES else F.col(f"`{c}`") for c in rows.columns])
+
+
+def _first_of_each(entries: str) -> Column:
+    """Of entries sorted by ``ord``, the first of each."""
+    return F.filter(entries, lambda x, i: ~F.get(entries, i - 1)["ord"].eqNullSafe(x["ord"]))
+
+
+def _spellings(members: DataFrame) -> DataFrame:
+    """``group_id, _slots``: every column name that a member's amount may be stored under, with
+    the member's place, the spelling's rank and the spellings ``before`` it, in as many slots
+    by the name's hash. One row per group, as long as the group's own configuration."""
+    suffixes = F.array(*[F.lit(s) for s in (OWES_SUFFIX, *LEGACY_VARIANTS)])
+    before = F.transform(F.slice(suffixes, F.lit(1), F.col("rank")), lambda s: F.concat("name", s))
+    lists = member_lists(members).withColumn("_n", F.size("names") * F.size(suffixes))
+    each = lists.select(G, "_n", F.posexplode("names").alias("ord", "name")).select(
+        G, "_n", "ord", "name", F.posexplode(suffixes).alias("rank", "suffix")).withColumn("key", F.concat("name", "suffix"))
+    entries = each.where("key is not null").select(
+        G, F.pmod(F.xxhash64("key"), F.col("_n")).cast("int").alias("slot"), F.struct("key", "ord", "rank", before.alias("before")).alias("e"))
+    empty = lists.select(G, F.explode(F.sequence(F.lit(0), F.col("_n") - 1)).alias("slot"), F.lit(None).cast(
+        entries.schema["e"].dataType).alias("e"))
+    slots = entries.unionByName(empty).groupBy(G, "slot").agg(F.collect_list("e").alias("es"))
+    ordered = F.sort_array(F.collect_list(F.struct("slot", "es")))
+    return slots.groupBy(G).agg(F.transform(ordered, lambda x: x["es"]).alias("_slots"))
 
 
 def fold_member_columns(wide: DataFrame, fixed: list[str]) -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 
+import pytest
 from pyspark.sql import functions as F
 
 from potluck.session import shared_path
@@ -181,3 +182,16 @@ def test_export_report_tables_as_csv(spark, mini):
     assert pp.columns == ["group_id", "month", "person", "is_total", "amount"]
     assert pp.count() == 6
     assert writers.read_published(spark, root, "raw_expenses").count() == 4
+
+
+@pytest.mark.parametrize("n", [5, 40])
+def test_stored_owes_holds_what_is_not_zero(spark, n):
+    """Few and many amounts: an earlier spelling of 0 or without a value hides a later one."""
+    from potluck.operators.widen import stored_owes
+    from potluck.schemas import MEMBERS
+    members = spark.createDataFrame([(GID, i, f"m{i}", i) for i in range(n)], MEMBERS)
+    columns = {f"m{i}_owed": float(i) for i in range(n)} | {f"m{i}_paid": 9.0 for i in range(n)} | {"m2_owes": None, "m3_owes": 0.0, "m4_owes": 7.005, "m9_x": 5.0}
+    store = spark.createDataFrame([(GID, 1, columns)], "group_id long, expense_id long, member_columns map<string,double>")
+    want = [0.0, 1.0, 0.0, 0.0, 7.01] + [float(i) for i in range(5, n)]
+    assert [(x.ord, float(x.amount)) for x in stored_owes(store, members).first().owes] == [(i, v) for i, v in enumerate(want) if v]
+    assert [(x.name, float(x.amount)) for x in canonical_owes(store, members).first().owes] == [(f"m{i}", v) for i, v in enumerate(want)]
