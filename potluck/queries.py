@@ -242,9 +242,10 @@ def legacy_owes_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
 def upsert_expenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The store, merged with a fetch of every expense, in each group's presentation order (``pos``)."""
     from potluck.operators.upsert import upsert, with_position
-    from potluck.operators.widen import canonical_owes
+    from potluck.operators.widen import stored_owes, with_names
     led, store = _ledger_and_store(spark, sf_dir)
-    return shown(with_position(upsert(canonical_owes(store, led.members), led.expenses)))
+    # the members' names and zeros are filled in when the rows stand in their places
+    return shown(with_names(with_position(upsert(stored_owes(store, led.members), led.expenses)), led.members))
 
 
 @query

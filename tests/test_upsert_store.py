@@ -184,6 +184,18 @@ def test_export_report_tables_as_csv(spark, mini):
     assert writers.read_published(spark, root, "raw_expenses").count() == 4
 
 
+def test_upsert_carries_no_names_or_zeros(spark, mini, monkeypatch):
+    from potluck import queries
+    from potluck.operators import upsert as operators
+    seen = {}
+    ranked = operators.ranked
+    monkeypatch.setattr(queries, "from_tables", lambda *_: mini)
+    monkeypatch.setattr(operators, "ranked", lambda df, *a: seen.update(rows=df) or ranked(df, *a))
+    got = {r.expense_id: r.owes for r in queries.QUERIES["upsert_expenses"](spark, "/nowhere").collect()}
+    assert got == {1: "Alice=60.0, Bob=40.0", -2: "Alice=1000.5, Bob=0.0", 2: None, 4: "Alice=80.0, Bob=0.0", 6: "Alice=0.0, Bob=0.0"}
+    assert {r.expense_id: r.owes and [x.ord for x in r.owes] for r in seen["rows"].collect()} == {1: [0, 1], -2: [0], 2: None, 4: [0], 6: []}
+
+
 @pytest.mark.parametrize("n", [5, 40])
 def test_stored_owes_holds_what_is_not_zero(spark, n):
     """Few and many amounts: an earlier spelling of 0 or without a value hides a later one."""
