@@ -25,12 +25,6 @@ FEW = 16                         # amounts of a row that are looked up one by on
 MEMBER_COLUMNS = "member_columns"
 
 
-def _entries(value_of) -> Column:
-    """One (name, amount) entry for each of the group's names; amounts rounded to cents."""
-    return F.transform(F.coalesce("_names", F.array().cast("array<string>")), lambda n: F.struct(
-        n.alias("name"), F.coalesce(_cents(value_of(n)), F.lit(0).cast(AMOUNT)).alias("amount")))
-
-
 def _cents(value: Column) -> Column:
     return F.round(value, 2).cast(AMOUNT)
 
@@ -39,17 +33,19 @@ def widen(expenses: DataFrame, shares: DataFrame, members: DataFrame, value: Col
     """Expense table plus ``owes``; an ``owes`` column it already has is derived anew.
 
     Shares are summed per (expense, member) and gathered per expense, at most one entry a
-    member, before the join on the full key. The group's names come from one row per group,
-    which Spark broadcasts when its size allows.
+    member, before the join on the full key; sums of 0 are left out until ``with_names``. The
+    group's names come from one row per group, which Spark broadcasts when its size allows.
     """
-    sums = tracked_shares(shares, members).groupBy(*KEY, "member").agg(F.sum(value).cast(SUM).alias("v"))
-    per_expense = sums.groupBy(*KEY).agg(F.map_from_entries(F.collect_list(F.struct("member", "v"))).alias("_sums"))
-    names = member_lists(members).withColumnRenamed("names", "_names")
+    places = member_lists(members).select(G, F.posexplode("names").alias("ord", "name"))
+    placed = members.select(G, "user_id", "name").join(places, [G, "name"])
+    sums = tracked_shares(shares, placed).groupBy(*KEY, "ord").agg(_cents(F.sum(value).cast(SUM)).alias("amount"))
+    per_expense = sums.groupBy(*KEY).agg(F.sort_array(F.collect_list(
+        F.when(F.col("amount") != 0, F.struct("ord", "amount")))).alias(OWES))
     base = expenses.drop(OWES)
     # both sides grow with the data: never broadcast on the strength of a file-size estimate
-    return base.join(per_expense.hint("merge"), KEY, "left").join(names, G, "left").select(
-        *[F.col(f"`{c}`") for c in base.columns],
-        _entries(lambda n: F.try_element_at(F.col("_sums"), n)).alias(OWES))
+    rows = base.join(per_expense.hint("merge"), KEY, "left").withColumn(
+        OWES, F.coalesce(OWES, F.array().cast(f"array<struct<ord:int,amount:{AMOUNT}>>")))
+    return with_names(rows.select(*[F.col(f"`{c}`") for c in base.columns], OWES), members)
 
 
 def canonical_owes(store: DataFrame, members: DataFrame) -> DataFrame:
