@@ -88,3 +88,7 @@ def test_landed_documents_month_range_is_pushed_down(spark, docs):
     text = plan_text(df)
     assert "GreaterThanOrEqual(date,2024-03-01)" in text and "LessThan(date,2024-04-01)" in text
     assert sorted(r.id for r in df.collect()) == [4, 5]
+
+
+def test_members_are_not_looked_up_in_each_expense(spark):
+    assert "try_element_at" not in plan_text(QUERIES["widen_owes"](spark, SF))
