@@ -231,11 +231,19 @@ def person_month_grid(sums: DataFrame, members: DataFrame) -> DataFrame:
 def member_base(expenses: DataFrame, shares: DataFrame, members: DataFrame, mode: str) -> DataFrame:
     """The base of the person charts: net owes per month and member with the number of share
     rows behind each, apart for shares of kept expenses (``kept``) and of settlements."""
-    t = tracked_shares(shares, members).select(G, "expense_id", "month", "member", net_owes(mode).alias("v"))
+    t = tracked_shares(shares, members).select(G, "expense_id", "month", "member", "owed_share", "paid_share")
     keys = expenses.select(G, "expense_id", F.lit(True).alias("kept"))
-    return t.join(keys, [G, "expense_id"], "left").groupBy(
-        G, "month", "member", F.coalesce("kept", F.lit(False)).alias("kept")).agg(
-        F.sum("v").cast(SUM).alias("v"), F.count("*").alias("n"))
+    return _member_sums(t.join(keys, [G, "expense_id"], "left"), mode)
+
+
+def marked_member_base(shares: DataFrame, members: DataFrame, mode: str) -> DataFrame:
+    """``member_base`` of shares that know whether they are ``kept`` (``docs.marked_shares``)."""
+    return _member_sums(tracked_shares(shares, members), mode)
+
+
+def _member_sums(shares: DataFrame, mode: str) -> DataFrame:
+    t = shares.select(G, "month", "member", F.coalesce("kept", F.lit(False)).alias("kept"), net_owes(mode).alias("v"))
+    return t.groupBy(G, "month", "member", "kept").agg(F.sum("v").cast(SUM).alias("v"), F.count("*").alias("n"))
 
 
 def person_month_owed(shares: DataFrame, members: DataFrame) -> DataFrame:

@@ -56,14 +56,24 @@ def latest_documents(docs: DataFrame) -> DataFrame:
     version of a key. Equal stamps are decided by the content's hash; documents without an
     id are all kept.
     """
-    key = ["group_id", "id"]
-    row = F.struct(*[F.col(c) for c in docs.columns])
-    stamp = F.when(~F.col("updated_at").isin("", NULL_LABEL), F.col("updated_at"))
-    rank = F.struct(F.coalesce(stamp, F.lit("")), F.xxhash64(F.to_json(row)))
-    best = docs.where("id is not null").groupBy(*key).agg(F.max_by(row, rank).alias("d")).select("d.*")
+    row, rank = document_rank(docs.columns)
+    best = docs.where("id is not null").groupBy("group_id", "id").agg(F.max_by(row, rank).alias("d")).select("d.*")
     return best.unionByName(docs.where("id is null"))
 
 
+def document_rank(columns: list[str]) -> tuple[Column, Column]:
+    """A document as one value, and what it is chosen by among those of its key."""
+    row = F.struct(*[F.col(c) for c in columns])
+    stamp = F.when(~F.col("updated_at").isin("", NULL_LABEL), F.col("updated_at"))
+    return row, F.struct(F.coalesce(stamp, F.lit("")), F.xxhash64(F.to_json(row)))
+
+
+def is_expense_document() -> Column:
+    """Does a document have a row in ``expenses`` that its shares find by their key?"""
+    category = F.coalesce(F.col("category.name"), F.lit(DEFAULT_CATEGORY))
+    return not_deleted(F.col("deleted_at")) & ~is_settlement(category) & F.col("id").isNotNull()
+
+
 def flatten_docs(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Nested documents (``EXPENSE_DOC``) → (headers, share rows); both narrow projections."""
     headers = docs.select(

@@ -624,12 +624,15 @@ def stream_dashboard(spark: SparkSession, sf_dir: str) -> DataFrame:
     brought forward by the edits and deletions of the second."""
     from potluck.plans.documents import document_values
     from potluck.sources import fixture
+    from potluck.sources.docs import read_debts
     from potluck.streaming import upsert_stream as S
     from potluck.streaming.dashboard import Dashboard
     base, led = _scratch(spark, "stream"), from_tables(spark, sf_dir)
-    dashboard = Dashboard(lambda _: led.groups, lambda _: led.debts_raw, generated_at=lambda: "1970-01-01T00:00:00+00:00")
+    led.debts_raw.write.parquet(f"{base}/debts")        # landed once, read by each refresh
+    dashboard = Dashboard(lambda _: led.groups, lambda s: read_debts(s, f"{base}/debts", "parquet"),
+                          generated_at=lambda: "1970-01-01T00:00:00+00:00")
     for name, drop in zip("ab", fixture.landed_documents(spark, sf_dir)):
-        drop.write.parquet(f"{base}/landing/{name}")
+        drop.write.option("compression", "zstd").parquet(f"{base}/landing/{name}")
         S.start(spark, f"{base}/landing/*", f"{base}/store", f"{base}/checkpoint", available_now=True,
                 dashboard=dashboard).awaitTermination()
     return document_values(S.current_dashboard(spark, f"{base}/store"))

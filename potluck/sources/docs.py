@@ -12,7 +12,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from potluck.operators.normalize import flatten_docs, latest_documents, normalize_expenses, normalize_shares
+from potluck.operators.normalize import (
+    flatten_docs, is_expense_document, latest_documents, normalize_expenses, normalize_shares,
+)
 from potluck.plans.ledger import Ledger, LedgerParams, build
 from potluck.schemas import DEBTS_RAW, EXPENSE_DOC, GROUP_CONFIG
 from potluck.sources.calendar import month_start
@@ -68,16 +70,26 @@ def month_range(docs: DataFrame, start_ym: str | None, end_ym: str | None) -> Da
 
 def ledger_from_docs(docs: DataFrame, groups: DataFrame, debts: DataFrame,
                      params: LedgerParams | None = None, group_ids: list[int] | None = None,
-                     start_ym: str | None = None, end_ym: str | None = None) -> Ledger:
+                     start_ym: str | None = None, end_ym: str | None = None, latest: bool = False) -> Ledger:
     """Ledger over landed documents: latest versions, months, flatten, normalize, exclude.
 
     A version's month counts only after the latest one is chosen: a document that moved to
-    another month is in that month alone."""
+    another month is in that month alone. ``latest``: the documents are the latest already, as
+    a document store's are; they are then not gathered by key again."""
     if group_ids:
         docs = docs.where(F.col("group_id").isin(group_ids))
         groups = groups.where(F.col("group_id").isin(group_ids))
         debts = debts.where(F.col("group_id").isin(group_ids))
     members = members_from_config(groups)
-    headers, share_rows = flatten_docs(month_range(latest_documents(docs), start_ym, end_ym))
+    headers, share_rows = flatten_docs(month_range(docs if latest else latest_documents(docs), start_ym, end_ym))
     return build(groups, members, normalize_expenses(headers), normalize_shares(share_rows, members),
                  debts, params)
+
+
+def marked_shares(docs: DataFrame, members: DataFrame) -> DataFrame:
+    """The shares of latest documents with ``kept``: are they of an expense (not of a settlement
+    or a document without an id)? Told from the document itself, so no share is looked up."""
+    def of(kept: bool) -> DataFrame:
+        part = docs.where(is_expense_document() if kept else ~is_expense_document())
+        return normalize_shares(flatten_docs(part)[1], members).withColumn("kept", F.lit(kept))
+    return of(True).unionByName(of(False))

@@ -34,7 +34,7 @@ from potluck.plans.ledger import Ledger, LedgerParams
 from potluck.plans.snapshot import Snapshot
 from potluck.schemas import RECENT_ROWS_DEFAULT, RECENT_ROWS_MIN, SUM
 from potluck.sinks import writers
-from potluck.sources.docs import ledger_from_docs
+from potluck.sources.docs import ledger_from_docs, marked_shares
 
 G = "group_id"
 SPARE = 70                       # newest rows kept beyond those that are shown
@@ -61,13 +61,17 @@ class Dashboard:
         return json.dumps([repr(self.params), self.shown])
 
     def ledger(self, docs: DataFrame, groups: DataFrame) -> Ledger:
-        return ledger_from_docs(docs, groups, self.debts(docs.sparkSession), self.params)
+        return ledger_from_docs(docs, groups, self.debts(docs.sparkSession), self.params, latest=True)
 
 
-def contributions(led: Ledger) -> dict[str, DataFrame]:
-    """The sums that a ledger's documents make."""
-    return {"sums": A.chart_base(led.expenses),
-            "member_sums": A.member_base(led.expenses, led.shares, led.members, led.params.share_mode)}
+def contributions(led: Ledger, docs: DataFrame | None = None) -> dict[str, DataFrame]:
+    """The sums that a ledger's documents make. With the documents, the member sums take from
+    them which shares are kept; exclusions need the table of expenses for that."""
+    if docs is None or led.params.exclusions.active:
+        people = A.member_base(led.expenses, led.shares, led.members, led.params.share_mode)
+    else:
+        people = A.marked_member_base(marked_shares(docs, led.members), led.members, led.params.share_mode)
+    return {"sums": A.chart_base(led.expenses), "member_sums": people}
 
 
 def _advanced(name: str, state: DataFrame, before: DataFrame, after: DataFrame) -> DataFrame:
@@ -78,9 +82,10 @@ def _advanced(name: str, state: DataFrame, before: DataFrame, after: DataFrame)
     return both.groupBy(*keys).agg(F.sum(value).cast(SUM).alias(value), F.sum("n").alias("n")).where("n <> 0")
 
 
-def _newest(led: Ledger, n: int) -> DataFrame:
-    """The first ``n`` rows of each group; member amounts are gathered for these alone."""
-    top = first_rows(led.expenses, n).drop("pos")
+def _newest(led: Ledger, n: int, write: Callable[[DataFrame], DataFrame] = lambda df: df) -> DataFrame:
+    """The first ``n`` rows of each group; member amounts are gathered for these alone. With
+    ``write`` the rows are written first, so that the shares meet a table whose size is known."""
+    top = write(first_rows(led.expenses, n).drop("pos"))
     shares = led.shares.join(top.select(G, "expense_id"), [G, "expense_id"], "left_semi")
     return raw_table(widen(top, shares, led.members, A.net_owes(led.params.share_mode)))
 
@@ -94,8 +99,8 @@ def _cut(rows: DataFrame, n: int) -> DataFrame:
         "cut", F.coalesce("_cut", "cut")).drop("_g", "_cut")
 
 
-def _filled(led: Ledger, n: int) -> DataFrame:
-    return _cut(_newest(led, n).withColumn("cut", F.lit(None).cast("struct<date:string,expense_id:bigint>")), n)
+def _filled(led: Ledger, n: int, write: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    return _cut(_newest(led, n, write).withColumn("cut", F.lit(None).cast("struct<date:string,expense_id:bigint>")), n)
 
 
 def _apart(df: DataFrame, groups: DataFrame, how: str) -> DataFrame:
@@ -109,7 +114,8 @@ def refresh(spark: SparkSession, root: str, version: int, previous: int | None,
     """Write the dashboard of a batch under ``root``.
 
     ``old`` and ``new``: the touched documents before and after the batch; ``everything``: all
-    documents after it, read only where a group has to start anew or be filled up."""
+    documents after it, read only where a group has to start anew or be filled up. Each of them
+    holds one document of a key."""
     groups = dashboard.groups(spark)
     base = writers.version_path(root, version)
     writers.begin(spark, root, version)
@@ -123,17 +129,19 @@ def refresh(spark: SparkSession, root: str, version: int, previous: int | None,
     keep = dashboard.shown + SPARE
     state = _state(spark, root, previous, dashboard)
     if state is None:
-        led = dashboard.ledger(everything(), groups)
-        tables = {name: written(name, df) for name, df in contributions(led).items()}
-        recent = written("recent", _filled(led, keep))
+        docs = everything()
+        led = dashboard.ledger(docs, groups)
+        tables = {name: written(name, df) for name, df in contributions(led, docs).items()}
+        recent = written("recent", _filled(led, keep, lambda df: written("top", df)))
     else:
         # groups with another member map than before
         moved = members.exceptAll(state["members"]).unionByName(state["members"].exceptAll(members)).select(G).distinct()
         moved = written("moved", moved)
         anew = moved.limit(1).count() > 0
         before = dashboard.ledger(old, groups)
-        fresh = contributions(dashboard.ledger(_apart(everything(), moved, "left_semi"), groups)) if anew else None
-        minus, plus, tables = contributions(before), contributions(after), {}
+        again = _apart(everything(), moved, "left_semi") if anew else None
+        fresh = contributions(dashboard.ledger(again, groups), again) if anew else None
+        minus, plus, tables = contributions(before, old), contributions(after, new), {}
         for name in KEYS:
             rest = [_apart(df, moved, "left_anti") if anew else df for df in (state[name], minus[name], plus[name])]
             total = _advanced(name, *rest)
@@ -163,7 +171,8 @@ def _recent(dashboard: Dashboard, kept: DataFrame, old: DataFrame, after: Ledger
     rest = kept.drop("pos", "cut").join(
         touched, F.col(G).eqNullSafe(F.col("_g")) & F.col("expense_id").eqNullSafe(F.col("_i")), "left_anti")
     cuts = kept.select(F.col(G).alias("_of"), "cut").distinct()
-    rows = rest.unionByName(_newest(after, keep)).join(cuts, F.col(G).eqNullSafe(F.col("_of")), "left").drop("_of")
+    newest = _newest(after, keep, lambda df: written("top", df))
+    rows = rest.unionByName(newest).join(cuts, F.col(G).eqNullSafe(F.col("_of")), "left").drop("_of")
     # what does not stand behind the cut is complete
     known = F.col("cut").isNull() | (F.col("date") > F.col("cut.date")) | (F.col("date").eqNullSafe(F.col("cut.date")) & (
         F.col("expense_id").isNull() | (F.col("expense_id") <= F.col("cut.expense_id"))))
@@ -174,7 +183,7 @@ def _recent(dashboard: Dashboard, kept: DataFrame, old: DataFrame, after: Ledger
     again = short.unionByName(moved).distinct()
     if again.limit(1).count() == 0:
         return written("recent", carried)
-    filled = _filled(dashboard.ledger(_apart(everything(), again, "left_semi"), groups), keep)
+    filled = _filled(dashboard.ledger(_apart(everything(), again, "left_semi"), groups), keep, lambda df: written("filled", df))
     return written("recent", _apart(carried, again, "left_anti").unionByName(filled.select(carried.columns)))
 
 

@@ -14,13 +14,18 @@ manifest per batch (one row per range: its newest version, rows, smallest and la
 a pointer file with the last finished batch. Per batch:
 
 1. the manifest names the current files of the batch's ranges; only these are read, the batch
-   is put beside them and the latest document of each key is kept;
-2. those ranges are written under the batch's own version, one shuffle by range that splits
-   large ranges; nothing that readers see is touched;
+   is put beside them, and both are dealt by range and slice: a range has as many slices as
+   its documents fill files (``DOCS_PER_FILE``), a key lies in one of them;
+2. in that one shuffle the latest document of each key is kept and written under the batch's
+   own version; nothing that readers see is touched. For a dashboard, documents that the batch
+   touches are marked and have beside them what was stored before;
 3. the next manifest is the last one with these ranges replaced;
-4. on request the dashboard is brought forward by the touched documents (``dashboard``);
+4. on request the dashboard is brought forward by the marked documents (``dashboard``);
 5. the pointer is replaced.
 
+The store holds one document of each key, so readers need not look for the latest again. For
+that a store keeps its range size: a batch with another one is refused.
+
 Readers take the files that the pointer's manifest names: they see either all of a batch or
 nothing of it, and a failed batch leaves the last good state. A replayed batch rewrites its
 own version with the same rows. Work grows with the batch's ranges, and by a row per range
@@ -33,12 +38,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
-from potluck.operators.normalize import latest_documents
+from potluck.operators.normalize import document_rank
 from potluck.schemas import EXPENSE_DOC, REFRESH_SECONDS_DEFAULT, REFRESH_SECONDS_MIN
 from potluck.sinks import writers
 from potluck.streaming import dashboard as D
@@ -46,8 +51,13 @@ from potluck.streaming import dashboard as D
 ID_RANGE, VERSION = "id_range", "version"
 POINTER = "CURRENT"
 DEFAULT_RANGE_SIZE = 1_000_000
+DOCS_PER_FILE = 100_000
+SLICE, STORED, TOUCHED, BEFORE = "_slice", "_stored", "touched", "before"
 MANIFEST = T.StructType([T.StructField(c, T.LongType()) for c in (ID_RANGE, VERSION, "rows", "min_id", "max_id")])
 
+# the documents of a batch that has a dashboard
+CHANGES = T.StructType([*EXPENSE_DOC.fields, T.StructField(TOUCHED, T.BooleanType()), T.StructField(BEFORE, EXPENSE_DOC)])
+
 
 def refresh_seconds(value: int | str | None) -> int:
     """Timer interval: default 900 s, never below 30 s; a non-integer value is an error."""
@@ -56,8 +66,8 @@ def refresh_seconds(value: int | str | None) -> int:
     return max(int(str(value).strip()), REFRESH_SECONDS_MIN)
 
 
-def _range_of(size: int):
-    return F.coalesce(F.call_function("div", F.col("id"), F.lit(size)).cast("long"), F.lit(-1))
+def _range_of(size: int, of: str = "id") -> Column:
+    return F.coalesce(F.call_function("div", F.col(of), F.lit(size)).cast("long"), F.lit(-1))
 
 
 def current_version(spark: SparkSession, store: str) -> int | None:
@@ -75,13 +85,36 @@ def manifest(spark: SparkSession, store: str, version: int | None) -> DataFrame:
 
 def _documents(spark: SparkSession, store: str, files: DataFrame) -> DataFrame:
     """The documents of the given manifest rows; other files are not even listed."""
-    paths = [f"{store}/data/{ID_RANGE}={r[ID_RANGE]}/{VERSION}={r[VERSION]}" for r in files.select(ID_RANGE, VERSION).collect()]
-    return spark.read.schema(EXPENSE_DOC).parquet(*paths) if paths else spark.createDataFrame([], EXPENSE_DOC)
+    return _read(spark, store, [(r[ID_RANGE], r[VERSION]) for r in files.select(ID_RANGE, VERSION).collect()], EXPENSE_DOC)
+
+
+def _read(spark: SparkSession, store: str, files: list[tuple[int, int]], schema: T.StructType) -> DataFrame:
+    paths = [f"{store}/data/{ID_RANGE}={r}/{VERSION}={v}" for r, v in files]
+    return spark.read.schema(schema).parquet(*paths) if paths else spark.createDataFrame([], schema)
+
 
+def _sliced(stored: DataFrame, docs: DataFrame, files: DataFrame, size: int) -> DataFrame:
+    """Stored and new documents (``STORED``) dealt by range and slice; ``files``: the number of
+    each range's slices. Documents without a key of their own go by their content."""
+    both = stored.withColumn(STORED, F.lit(True)).unionByName(docs.withColumn(STORED, F.lit(False)))
+    spread = F.when(F.col("id").isNull(), F.xxhash64("group_id", "date", "updated_at", "cost", "description")).otherwise(
+        F.xxhash64("group_id", "id"))
+    known = both.withColumn(ID_RANGE, _range_of(size)).join(F.broadcast(files), ID_RANGE)
+    return known.withColumn(SLICE, F.pmod(spread, "files")).drop("files").repartition(ID_RANGE, SLICE)
 
-def _same_key(docs: DataFrame, keys: DataFrame) -> DataFrame:
-    of = keys.select(F.col("group_id").alias("_g"), F.col("id").alias("_i"))
-    return docs.join(of, F.col("group_id").eqNullSafe(F.col("_g")) & F.col("id").eqNullSafe(F.col("_i")), "left_semi")
+
+def _merged(sliced: DataFrame) -> DataFrame:
+    """The latest document of each key (``latest_documents``), whether a new one has the key
+    (``TOUCHED``), and then the one that was stored (``BEFORE``).
+
+    Slices are whole keys, so that the documents are not shuffled again to be grouped."""
+    columns = [f.name for f in EXPENSE_DOC.fields]
+    (row, rank), stored = document_rank(columns), F.col(STORED)
+    best = sliced.where("id is not null").groupBy(ID_RANGE, SLICE, "group_id", "id").agg(
+        F.max_by(row, rank).alias("_d"), F.bool_or(~stored).alias(TOUCHED),
+        F.max_by(F.when(stored, row), F.when(stored, rank)).alias("_old"))
+    without = sliced.where("id is null").select(*columns, ID_RANGE, (~stored).alias(TOUCHED), F.when(F.lit(False), row).alias(BEFORE))
+    return best.select("_d.*", ID_RANGE, TOUCHED, F.when(F.col(TOUCHED), F.col("_old")).alias(BEFORE)).unionByName(without)
 
 
 def merge_batch(store: str, range_size: int = DEFAULT_RANGE_SIZE,
@@ -93,27 +126,41 @@ def merge_batch(store: str, range_size: int = DEFAULT_RANGE_SIZE,
         before = current_version(spark, store)
         if before is not None and before >= batch_id:
             before = _finished_before(spark, store, batch_id)      # a replay: as if the batch had not run
-        ranges = [r[0] for r in docs.select(_range_of(range_size)).distinct().collect()]
+        count = {r[0]: r[1] for r in docs.groupBy(_range_of(range_size)).count().collect()}
+        ranges = list(count)
         known = manifest(spark, store, before)
-        stored = _documents(spark, store, known.where(F.col(ID_RANGE).isin(ranges)))
-        merged = latest_documents(stored.unionByName(docs)).withColumn(ID_RANGE, _range_of(range_size))
-        (merged.withColumn(VERSION, F.lit(batch_id).cast("long")).hint("rebalance", ID_RANGE)
-         .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+        _same_ranges(known, range_size)
+        current = known.where(F.col(ID_RANGE).isin(ranges))
+        for r in current.collect():
+            count[r[ID_RANGE]] += r["rows"]
+        files = spark.createDataFrame([(r, -(-n // DOCS_PER_FILE)) for r, n in count.items()], f"{ID_RANGE} long, files long")
+        merged = _merged(_sliced(_documents(spark, store, current), docs, files, range_size))
+        if dashboard is None:
+            merged = merged.drop(TOUCHED, BEFORE)
+        (merged.withColumn(VERSION, F.lit(batch_id).cast("long"))
+         .write.mode("overwrite").option("partitionOverwriteMode", "dynamic").option("compression", "zstd")
          .partitionBy(ID_RANGE, VERSION).parquet(f"{store}/data"))
 
-        touched = spark.createDataFrame([(r, batch_id) for r in ranges], f"{ID_RANGE} long, {VERSION} long")
-        now = _documents(spark, store, touched)
+        now = _read(spark, store, [(r, batch_id) for r in ranges], CHANGES)
         own = now.groupBy(_range_of(range_size).alias(ID_RANGE)).agg(
             F.lit(batch_id).cast("long").alias(VERSION), F.count("*").alias("rows"), F.min("id").alias("min_id"), F.max("id").alias("max_id"))
         writers.write_table(known.where(~F.col(ID_RANGE).isin(ranges)).unionByName(own).coalesce(1), f"{store}/manifest/v={batch_id}")
         if dashboard is not None:
-            keys = docs.select("group_id", "id").distinct()
-            D.refresh(spark, f"{store}/dashboard", batch_id, before, dashboard, _same_key(stored, keys), _same_key(now, keys),
+            new = now.where(TOUCHED)
+            D.refresh(spark, f"{store}/dashboard", batch_id, before, dashboard,
+                      new.where(F.col(BEFORE).isNotNull()).select(f"{BEFORE}.*"), new.drop(TOUCHED, BEFORE),
                       lambda: _documents(spark, store, manifest(spark, store, batch_id)))
         writers.touch(spark, f"{store}/{POINTER}", str(max(batch_id, current_version(spark, store) or 0)))
     return run
 
 
+def _same_ranges(known: DataFrame, size: int) -> None:
+    """A key would have two places in a store whose ranges are of different sizes."""
+    other = [_range_of(size, c) != F.col(ID_RANGE) for c in ("min_id", "max_id")]
+    if not known.where("min_id is not null").where(other[0] | other[1]).isEmpty():
+        raise ValueError(f"the store's ranges are not of {size} ids")
+
+
 def _finished_before(spark: SparkSession, store: str, batch_id: int) -> int | None:
     """The newest batch before this one that has a manifest."""
     fs, root = writers._fs(spark, f"{store}/manifest")

@@ -100,3 +100,46 @@ def test_deletion_hides_every_version_and_stale_ones_do_not_win(spark, docs, min
     run(gone.unionByName(stale), 1)
     led = ledger_from_docs(S.current_documents(spark, f"{base}/store"), mini.groups, mini.debts_raw)
     assert {r.expense_id: r.description for r in led.expenses.collect()} == {2: "Fuel", 4: "Paris trip", 6: "Undated"}
+
+
+def _plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_merge_shuffles_documents_once(spark, docs):
+    files = spark.createDataFrame([(i, 2) for i in range(4)], "id_range long, files long")
+    merged = S._merged(S._sliced(docs.where("id <= 3"), docs.where("id >= 3"), files, 2))
+    assert _plan(merged).count("Exchange hashpartitioning") == 2        # of those with an id, and of those without
+
+
+def test_slices_hold_every_document(spark, docs, monkeypatch):
+    monkeypatch.setattr(S, "DOCS_PER_FILE", 1)
+    store = f"{_base(spark, 'stream-slices')}/store"
+    nameless = docs.where("id <= 2").withColumn("id", F.lit(None).cast("long"))
+    both = docs.unionByName(nameless).unionByName(nameless)                 # without an id all are kept
+    S.merge_batch(store, 1000)(both, 0)
+    S.merge_batch(store, 1000)(_edit(docs, 4, "2030-01-01T00:00:00Z", "Paris (edited)").unionByName(nameless), 1)
+    now = S.current_documents(spark, store)
+    assert len({f.rsplit("/", 1)[1] for f in now.where("id > 0").inputFiles()}) > 1
+    assert rows(now, *COLS) == rows(latest_documents(
+        both.unionByName(nameless).unionByName(_edit(docs, 4, "2030-01-01T00:00:00Z", "Paris (edited)"))), *COLS)
+
+
+def test_touched_documents_have_the_stored_one_beside_them(spark, docs):
+    files = spark.createDataFrame([(0, 3)], "id_range long, files long")
+    stale = _edit(docs, 2, None, "stale")
+    got = S._merged(S._sliced(docs, _edit(docs, 1, "2030-01-01T00:00:00Z", "new").unionByName(stale).unionByName(
+        docs.where("id = 3").withColumn("id", F.lit(7).cast("long"))), files, 1000))
+    old = {r.id: r.description for r in docs.collect()}
+    assert {r.id: (r.description, r.touched, r.before and r.before.description) for r in got.collect()} == {
+        **{i: (old[i], False, None) for i in (3, 4, 5, 6)}, 1: ("new", True, old[1]), 2: (old[2], True, old[2]), 7: (old[3], True, None)}
+
+
+def test_store_is_read_without_a_shuffle_and_keeps_its_ranges(spark, docs, mini):
+    store = f"{_base(spark, 'stream-read')}/store"
+    S.merge_batch(store, 2)(docs, 0)
+    led = ledger_from_docs(S.current_documents(spark, store), mini.groups, mini.debts_raw, latest=True)
+    assert "Exchange" not in _plan(led.expenses)
+    assert rows(led.expenses, "expense_id", "amount") == rows(mini.expenses, "expense_id", "amount")
+    with pytest.raises(ValueError, match="ranges"):
+        S.merge_batch(store, 3)(docs, 1)

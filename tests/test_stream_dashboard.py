@@ -152,3 +152,15 @@ def test_published_documents(spark):
     assert S.drop_superseded(spark, r.store, keep=1) >= 2
     rows = lambda docs: sorted(map(tuple, document_values(docs).collect()), key=str)
     assert rows(S.current_dashboard(spark, r.store)) == rows(Snapshot(r.ledger(), r.recent).to_json())
+
+
+def test_sums_of_documents_need_no_join_with_expenses(spark):
+    """Settlements, deleted documents and those without an id are told apart by themselves."""
+    rnd = random.Random(3)
+    docs = [_doc(rnd, i, deleted=rnd.choice([None, None, "", "x"])) for i in range(1, 80)] + [dict(_doc(rnd, 1, group=1), id=None)] * 2
+    r = Refreshes(spark)
+    d, df = r.dashboard(), spark.createDataFrame(docs, EXPENSE_DOC)
+    led = d.ledger(df, d.groups(spark))
+    assert _values(D.contributions(led, df)) == _values(D.contributions(led))
+    plan = D.contributions(led, df)["member_sums"]._jdf.queryExecution().optimizedPlan().toString()
+    assert "expense_id" not in plan
