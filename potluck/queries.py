@@ -599,8 +599,8 @@ def _streamed(spark: SparkSession, sf_dir: str):
     from potluck.streaming import upsert_stream as S
     base = _scratch(spark, "stream")
     first, second = fixture.landed_documents(spark, sf_dir)
-    first.write.parquet(f"{base}/landing/a")
-    second.write.parquet(f"{base}/landing/b")
+    for name, drop in (("a", first), ("b", second)):
+        drop.write.option("compression", "zstd").parquet(f"{base}/landing/{name}")
     S.start(spark, f"{base}/landing/*", f"{base}/store", f"{base}/checkpoint", available_now=True).awaitTermination()
     led = from_tables(spark, sf_dir)
     return ledger_from_docs(S.current_documents(spark, f"{base}/store"), led.groups, led.debts_raw)

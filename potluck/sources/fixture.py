@@ -81,15 +81,24 @@ def _orders(spark: SparkSession, sf_dir: str, start_month: str | None, end_month
 def expense_headers(spark: SparkSession, sf_dir: str, start_month: str | None = None,
                     end_month: str | None = None) -> DataFrame:
     """Expense documents without their users (schema ``EXPENSE_HEADER``), of whole months."""
+    return _orders_of_customers(spark, sf_dir, start_month, end_month).select(*_header_columns())
+
+
+def _orders_of_customers(spark: SparkSession, sf_dir: str, start_month: str | None = None,
+                         end_month: str | None = None) -> DataFrame:
     o = _orders(spark, sf_dir, start_month, end_month)
     c = table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey", "c_mktsegment")
+    return o.join(c, o.o_custkey == c.c_custkey)
+
+
+def _header_columns() -> list[Column]:
     k = F.col("o_orderkey")
     stamp = F.col("o_orderdate").cast("string")
     category = (F.when(k % 20 == 0, F.lit("Payment"))
                 .when(k % 31 == 0, F.lit("Bank Transfer"))
                 .when(k % 17 == 0, F.lit(None).cast("string"))
                 .otherwise(F.col("c_mktsegment")))
-    return o.join(c, o.o_custkey == c.c_custkey).select(
+    return [
         F.col("c_nationkey").cast("long").alias("group_id"),
         k.alias("id"),
         F.substring(stamp, 1, 10).alias("date"),
@@ -99,7 +108,7 @@ def expense_headers(spark: SparkSession, sf_dir: str, start_month: str | None =
         F.when(k % 50 == 0, F.lit("USD")).otherwise(F.lit("ILS")).alias("currency_code"),
         F.concat_ws(" ", F.col("o_orderpriority"), F.col("c_mktsegment")).alias("description"),
         category.alias("category_name"),
-    )
+    ]
 
 
 def share_rows(spark: SparkSession, sf_dir: str, headers: DataFrame | None = None) -> DataFrame:
@@ -128,14 +137,12 @@ def debts_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
     c = table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey")
     li = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_suppkey", "l_extendedprice")
-    frm = F.col("l_linenumber").cast("long")
-    to = (F.col("l_suppkey") % 7 + 1).cast("long")
-    edges = (li.join(o.hint("merge"), li.l_orderkey == o.o_orderkey)
+    # the ends and the amount are told before the join, where they are short
+    ends = li.select("l_orderkey", F.col("l_linenumber").cast("long").alias("f"), (F.col("l_suppkey") % 7 + 1).cast("long").alias("t"),
+                     F.col("l_extendedprice").cast("decimal(18,2)").alias("price")).where(F.col("f") != F.col("t"))
+    edges = (ends.join(o.hint("merge"), F.col("l_orderkey") == F.col("o_orderkey"))
              .join(c, F.col("o_custkey") == F.col("c_custkey"))
-             .select(F.col("c_nationkey").cast("long").alias("group_id"), frm.alias("f"), to.alias("t"),
-                     F.col("l_extendedprice").cast("decimal(18,2)").alias("price"))
-             .where(F.col("f") != F.col("t"))
-             .groupBy("group_id", "f", "t")
+             .groupBy(F.col("c_nationkey").cast("long").alias("group_id"), "f", "t")
              .agg(F.sum("price").alias("amount")))
     to_text = F.when(F.col("t") % 2 == 0, F.format_string('{"id": %d}', F.col("t"))).otherwise(
         F.col("t").cast("string"))
@@ -181,31 +188,42 @@ def landed_documents(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataF
     stamp. Then those with id % 4 = 0 a second later, edited, and those with id % 10 = 0 two
     seconds later, deleted. Amounts use the three spellings of the share fields by id % 3.
     """
-    h = expense_headers(spark, sf_dir)
     li = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_extendedprice", "l_returnflag")
-    owed = F.col("l_extendedprice").cast("decimal(18,2)")
-    paid = F.when(F.col("l_returnflag") == "A", owed * 0).when(F.col("l_returnflag") == "N", owed * 2).otherwise(owed)
-    spelled = F.col("l_orderkey") % 3
+    # rows are joined as numbers and written out as documents behind the join
+    times = F.when(F.col("l_returnflag") == "A", 0).when(F.col("l_returnflag") == "N", 2).otherwise(1)
+    entry = F.struct("l_linenumber", F.col("l_extendedprice").cast("decimal(18,2)").alias("owed"), times.alias("times"))
+    entries = li.groupBy("l_orderkey").agg(F.collect_list(entry).alias("_entries"))
+    spelled = F.col("o_orderkey") % 3
 
     def amount(value: Column, spelling: int) -> Column:
         return F.when(spelled == spelling, value.cast("decimal(18,2)").cast("string"))
-    user = F.struct(
-        F.col("l_linenumber").cast("string").alias("user_id"),
-        F.lit(None).cast("struct<id:string,first_name:string>").alias("user"),
-        *[amount(v, i).alias(n) for v, names in ((owed, ("owed_share", "owedShare", "owed")),
-                                                 (paid, ("paid_share", "paidShare", "paid")))
-          for i, n in enumerate(names)])
-    users = li.groupBy(F.col("l_orderkey").alias("id")).agg(F.collect_list(user).alias("users"))
-    docs = h.join(users, "id", "left").withColumn("category", F.struct(F.col("category_name").alias("name")))
-    docs = docs.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in EXPENSE_DOC.fields])
-    k = F.col("id")
-
-    def version(rows: DataFrame, **changes: Column) -> DataFrame:
-        return rows.select(*[changes[c].alias(c) if c in changes else F.col(c) for c in docs.columns])
-    stale = version(docs.where(k % 6 == 0), updated_at=F.lit(None).cast("string"), description=F.lit("stale"),
-                    cost=F.lit("1"))
-    edited = version(docs.where(k % 4 == 0), updated_at=F.concat("updated_at", F.lit("+1")),
-                     description=F.concat("description", F.lit(" (edited)")))
-    deleted = version(docs.where(k % 10 == 0), updated_at=F.concat("updated_at", F.lit("+2")),
-                      deleted_at=F.lit("2003-01-01"))
-    return docs.unionByName(stale), edited.unionByName(deleted)
+
+    def user(x: Column) -> Column:
+        return F.struct(
+            x["l_linenumber"].cast("string").alias("user_id"),
+            F.lit(None).cast("struct<id:string,first_name:string>").alias("user"),
+            *[amount(v, i).alias(n) for v, names in ((x["owed"], ("owed_share", "owedShare", "owed")),
+                                                     (x["owed"] * x["times"], ("paid_share", "paidShare", "paid")))
+              for i, n in enumerate(names)])
+    orders = _orders_of_customers(spark, sf_dir)
+    k = F.col("o_orderkey")
+
+    def drop(rows: DataFrame, versions: Column, changes: dict[str, dict[int, Column]]) -> DataFrame:
+        """Documents of the orders, each in the given versions."""
+        joined = rows.join(entries, F.col("o_orderkey") == F.col("l_orderkey"), "left")
+        docs = joined.select(*_header_columns(), F.transform("_entries", user).alias("users"), F.explode(versions).alias("_v"))
+        docs = docs.withColumn("category", F.struct(F.col("category_name").alias("name")))
+
+        def value(name: str) -> Column:
+            out = F.col(name)
+            for v, changed in changes.get(name, {}).items():
+                out = F.when(F.col("_v") == v, changed).otherwise(out)
+            return out
+        return docs.select(*[value(f.name).cast(f.dataType).alias(f.name) for f in EXPENSE_DOC.fields])
+    stamp, text = F.col("updated_at"), F.col("description")
+    first = drop(orders, F.when(k % 6 == 0, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0))), {
+        "updated_at": {1: F.lit(None).cast("string")}, "description": {1: F.lit("stale")}, "cost": {1: F.lit("1")}})
+    second = drop(orders.where((k % 4 == 0) | (k % 10 == 0)), F.array_compact(F.array(F.when(k % 4 == 0, 1), F.when(k % 10 == 0, 2))), {
+        "updated_at": {1: F.concat(stamp, F.lit("+1")), 2: F.concat(stamp, F.lit("+2"))},
+        "description": {1: F.concat(text, F.lit(" (edited)"))}, "deleted_at": {2: F.lit("2003-01-01")}})
+    return first, second

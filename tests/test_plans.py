@@ -92,3 +92,10 @@ def test_landed_documents_month_range_is_pushed_down(spark, docs):
 
 def test_members_are_not_looked_up_in_each_expense(spark):
     assert "try_element_at" not in plan_text(QUERIES["widen_owes"](spark, SF))
+
+
+def test_a_drop_is_made_of_one_pass_over_the_tables(spark):
+    from potluck.sources import fixture
+    for drop in fixture.landed_documents(spark, SF):
+        assert drop._jdf.queryExecution().optimizedPlan().toString().count("l_extendedprice") > 0
+        assert drop._jdf.queryExecution().executedPlan().toString().count("/lineitem.parquet") == 1
