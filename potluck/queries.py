@@ -603,7 +603,7 @@ def _streamed(spark: SparkSession, sf_dir: str):
         drop.write.option("compression", "zstd").parquet(f"{base}/landing/{name}")
     S.start(spark, f"{base}/landing/*", f"{base}/store", f"{base}/checkpoint", available_now=True).awaitTermination()
     led = from_tables(spark, sf_dir)
-    return ledger_from_docs(S.current_documents(spark, f"{base}/store"), led.groups, led.debts_raw)
+    return ledger_from_docs(S.current_documents(spark, f"{base}/store"), led.groups, led.debts_raw, latest=True)
 
 
 @query
